@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
@@ -78,3 +78,17 @@ def non_blank(parts: Column) -> Column:
 def ascii_upper_lower_check(text: Column) -> Column:
     """True when all cased characters are upper case and there is at least one."""
     return (F.upper(text) == text) & (F.lower(text) != text)
+
+
+# --- rows from arrays ----------------------------------------------------------
+
+
+def each(df: DataFrame, keep: list[str], items: Column | str, position: str, item: str) -> DataFrame:
+    """One row per array element with its 0-based position; empty arrays give none.
+
+    The plain explode makes Spark filter on the array's size first, which evaluates
+    a computed array a second time. The outer form does not, and its placeholder
+    rows are dropped afterwards.
+    """
+    rows = df.select(*keep, F.posexplode_outer(items).alias(position, item))
+    return rows.filter(F.col(position).isNotNull())

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import fold, join, let, strip, ws_count
+from textloom.functions.core import each, fold, join, let, strip, ws_count
 from textloom.functions.text import paragraphs, sentences_chunk, spans, split_long
 
 _BY_PARAGRAPH, _PACK, _BREAK = 0, 1, 2
@@ -88,9 +88,7 @@ def chunk_paragraphs(
     keep = keep if keep is not None else [c for c in df.columns if c != paras]
     df = df.withColumn("_units", _units(F.col(paras), target, maximum))
     df = df.withColumn("_starts", _chunk_starts(F.col("_units"), target, maximum))
-    df = df.select(
-        *keep, "_units", F.posexplode(spans(F.col("_starts"), F.size("_units"))).alias("chunk_id", "_span")
-    )
+    df = each(df, [*keep, "_units"], spans(F.col("_starts"), F.size("_units")), "chunk_id", "_span")
     df = df.select(*keep, "chunk_id", F.slice("_units", F.col("_span.start"), F.col("_span.length")).alias("_part"))
     return df.select(
         *keep,

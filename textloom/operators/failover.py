@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import py_round
+from textloom.functions.core import each, py_round
 
 
 def default_quotas(spark) -> DataFrame:
@@ -63,7 +63,7 @@ def failover_errors(calls: DataFrame, quotas: DataFrame, priorities: int = len(V
         F.array(*[F.col(f"_f{p}") for p in range(priorities)]),
         lambda f: f.isNotNull() & (F.col("won").isNull() | (f["priority"] < F.col("won.priority"))),
     )
-    return outcomes.select("request_id", F.explode(failed).alias("f")).select(
+    return each(outcomes, ["request_id"], failed, "_pos", "f").select(
         "request_id", "f.priority", "f.provider", "f.status"
     )
 

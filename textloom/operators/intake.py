@@ -42,17 +42,22 @@ def file_reason(path: Column, length: Column, head: Column) -> Column:
     )
 
 
-def admit_files(spark: SparkSession, path: str, suffix_glob: str | None = None) -> DataFrame:
+def admit_files(spark: SparkSession, path: str) -> DataFrame:
     """Manifest of a folder of files with the reason each is rejected.
 
-    Oversized files are recognised by their length; their content is not kept.
+    Only files of the right type and size are opened: the manifest itself does not
+    read content, and the length filter reaches the file source.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if suffix_glob:
-        reader = reader.option("pathGlobFilter", suffix_glob)
+    manifest = reader.load(path).select("path", "length", "modificationTime")
+    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in V.FILE_SUFFIX)
     head = F.decode(F.substring("content", 1, len(V.FILE_MAGIC)), "ISO-8859-1")
-    return reader.load(path).select(
-        "path", "length", "modificationTime", file_reason(F.col("path"), F.col("length"), head).alias("reason")
+    opened = (
+        reader.option("pathGlobFilter", glob).load(path)
+        .filter(F.col("length") <= V.MAX_FILE_BYTES).select("path", head.alias("_head"))
+    )
+    return manifest.join(opened, "path", "left").select(
+        "path", "length", "modificationTime", file_reason(F.col("path"), F.col("length"), F.col("_head")).alias("reason")
     )
 
 

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
+from textloom.functions.core import ascii_upper_lower_check, each, fold, join, let, non_blank, py_round, strip, ws_words
 from textloom.functions.text import spans
-from textloom.functions.core import ascii_upper_lower_check, fold, join, let, non_blank, py_round, strip, ws_words
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -363,7 +363,8 @@ def sequence_audit(expected: DataFrame, received: DataFrame, key: str, seq: str)
             F.when(F.col("_r") > 1, "duplicate"),
         )
     )
-    return e.join(r, [key, seq], "full_outer").select(key, seq, F.explode(problems).alias("problem"))
+    both = e.join(r, [key, seq], "full_outer")
+    return each(both, [key, seq], problems, "_pos", "problem").drop("_pos")
 
 
 def split_words(text: Column, weights: Column) -> Column:
@@ -425,11 +426,11 @@ def distribute_chunks(chunks: DataFrame, blocks: DataFrame, key: str, text: str
         F.array_sort(F.collect_list(entry)).alias("_plan")
     )
     pieces = chunks.select(key, "chunk_id", text).join(plan, [key, "chunk_id"])
-    dealt = pieces.select(
-        key, "chunk_id",
-        F.posexplode(F.arrays_zip(
-            F.col("_plan.original_index").alias("original_index"),
-            distribute_text(F.col(text), F.col("_plan._weight")).alias("rewritten_text"),
-        )).alias("_i", "_d"),
-    ).select(key, "chunk_id", "_d.original_index", "_d.rewritten_text")
+    shares = F.arrays_zip(
+        F.col("_plan.original_index").alias("original_index"),
+        distribute_text(F.col(text), F.col("_plan._weight")).alias("rewritten_text"),
+    )
+    dealt = each(pieces, [key, "chunk_id"], shares, "_i", "_d").select(
+        key, "chunk_id", "_d.original_index", "_d.rewritten_text"
+    )
     return dealt.join(blocks.withColumnRenamed("text", "original_text"), [key, "original_index"])

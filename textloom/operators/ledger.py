@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
+from textloom.functions.core import each
 from textloom.functions.text import safe_stem
 
 
@@ -76,7 +77,7 @@ def audit_runs(runs: DataFrame) -> DataFrame:
             F.when(F.col("master_summary").isNull(), "summary missing"),
         )
     )
-    return runs.select("run_id", F.explode(checks).alias("violation"))
+    return each(runs, ["run_id"], checks, "_pos", "violation").drop("_pos")
 
 
 def orphan_chunks(chunks: DataFrame, runs: DataFrame) -> DataFrame:

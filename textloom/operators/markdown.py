@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import fold, strip
+from textloom.functions.core import each, fold, strip
 
 FENCE = r"^[ \t]*(?:```|~~~)"
 TABLE = r"^[ \t]*\|"
@@ -34,12 +34,11 @@ def segment_markdown(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     lines = df.select(key, F.split(text, "\n").alias("_lines"))
     fenced = F.exists("_lines", lambda line: line.rlike(FENCE))
     counts = F.when(fenced, _fence_counts(F.col("_lines")))
-    rows = lines.select(
-        key, F.posexplode(F.arrays_zip(
-            F.col("_lines").alias("line"),
-            F.coalesce(counts, F.transform("_lines", lambda _: F.lit(0))).alias("fences"),
-        )).alias("line_no", "_l"),
-    ).select(key, "line_no", "_l.line", "_l.fences")
+    marked = F.arrays_zip(
+        F.col("_lines").alias("line"),
+        F.coalesce(counts, F.transform("_lines", lambda _: F.lit(0))).alias("fences"),
+    )
+    rows = each(lines, [key], marked, "line_no", "_l").select(key, "line_no", "_l.line", "_l.fences")
     line = F.col("line")
     label = (
         F.when(line.rlike(FENCE), "fence")

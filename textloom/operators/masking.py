@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import fold, join, let
+from textloom.functions.core import each, fold, join, let
 
 _EMPTY = "array<string>"
 
@@ -35,22 +35,61 @@ def _token_map(known: Column, template: str) -> Column:
     return F.map_from_arrays(F.transform(known, lambda _, i: _token(template, i + 1)), known)
 
 
+def _citation_stage(pattern: str):
+    def stage(state: Column) -> Column:
+        def numbered(hits: Column) -> Column:
+            known = F.concat(state["known"], F.array_except(hits, state["known"]))
+            return let(
+                known,
+                lambda k: F.struct(
+                    _replace_matches(
+                        state["text"], pattern, hits, lambda h: _token(V.CITATION_TOKEN, F.array_position(k, h))
+                    ).alias("text"),
+                    k.alias("known"),
+                ),
+            )
+
+        return let(F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0)), numbered)
+
+    return stage
+
+
 def mask_citations(
     df: DataFrame, text: str = "text", out: str = "masked", token_map: str = "citation_map"
 ) -> DataFrame:
     """Replace citations by numbered tokens; equal citations share a token."""
-    df = df.withColumns({out: F.coalesce(F.col(text), F.lit("")), "_known": F.array().cast(_EMPTY)})
+    state = F.struct(F.coalesce(F.col(text), F.lit("")).alias("text"), F.array().cast(_EMPTY).alias("known"))
     for pattern in V.CITATION_PATTERNS:
-        df = df.withColumn("_hits", F.regexp_extract_all(F.col(out), F.lit(pattern), F.lit(0)))
-        df = df.withColumn("_known", F.concat("_known", F.array_except("_hits", "_known")))
-        df = df.withColumn(
-            out,
-            _replace_matches(
-                F.col(out), pattern, F.col("_hits"),
-                lambda hit: _token(V.CITATION_TOKEN, F.array_position(F.col("_known"), hit)),
-            ),
-        )
-    return df.withColumn(token_map, _token_map(F.col("_known"), V.CITATION_TOKEN)).drop("_known", "_hits")
+        state = let(state, _citation_stage(pattern))
+    df = df.withColumn("_masked", state)
+    return df.withColumns(
+        {out: F.col("_masked.text"), token_map: _token_map(F.col("_masked.known"), V.CITATION_TOKEN)}
+    ).drop("_masked")
+
+
+def _math_stage(kind: str, pattern: str):
+    def stage(state: Column) -> Column:
+        def numbered(hits: Column) -> Column:
+            fresh = F.array_except(F.array_except(hits, state["blocks"]), state["inlines"])
+            grown = {k: F.concat(state[k], fresh) if k == kind else state[k] for k in ("blocks", "inlines")}
+
+            def replaced(known: Column) -> Column:
+                def token(hit: Column) -> Column:
+                    block = F.array_position(known["blocks"], hit)
+                    return F.when(block > 0, _token(V.MATH_BLOCK_TOKEN, block)).otherwise(
+                        _token(V.MATH_INLINE_TOKEN, F.array_position(known["inlines"], hit))
+                    )
+
+                return F.struct(
+                    _replace_matches(state["text"], pattern, hits, token).alias("text"),
+                    known["blocks"].alias("blocks"), known["inlines"].alias("inlines"),
+                )
+
+            return let(F.struct(*[v.alias(k) for k, v in grown.items()]), replaced)
+
+        return let(F.regexp_extract_all(state["text"], F.lit(pattern), F.lit(0)), numbered)
+
+    return stage
 
 
 def mask_math(df: DataFrame, text: str = "text", out: str = "masked", token_map: str = "math_map") -> DataFrame:
@@ -59,27 +98,19 @@ def mask_math(df: DataFrame, text: str = "text", out: str = "masked", token_map:
     The two kinds are numbered separately but share one dictionary, so an inline
     formula equal to a block formula takes the block token.
     """
-    df = df.withColumns(
-        {out: F.coalesce(F.col(text), F.lit("")), "_blocks": F.array().cast(_EMPTY), "_inlines": F.array().cast(_EMPTY)}
+    none = F.array().cast(_EMPTY)
+    state = F.struct(
+        F.coalesce(F.col(text), F.lit("")).alias("text"), none.alias("blocks"), none.alias("inlines")
     )
-
-    def token(hit: Column) -> Column:
-        return F.when(
-            F.array_contains(F.col("_blocks"), hit),
-            _token(V.MATH_BLOCK_TOKEN, F.array_position(F.col("_blocks"), hit)),
-        ).otherwise(_token(V.MATH_INLINE_TOKEN, F.array_position(F.col("_inlines"), hit)))
-
-    stages = [("_blocks", p) for p in V.MATH_BLOCK_PATTERNS] + [("_inlines", p) for p in V.MATH_INLINE_PATTERNS]
+    stages = [("blocks", p) for p in V.MATH_BLOCK_PATTERNS] + [("inlines", p) for p in V.MATH_INLINE_PATTERNS]
     for kind, pattern in stages:
-        df = df.withColumn("_hits", F.regexp_extract_all(F.col(out), F.lit(pattern), F.lit(0)))
-        df = df.withColumn(
-            kind, F.concat(kind, F.array_except(F.array_except("_hits", "_blocks"), F.col("_inlines")))
-        )
-        df = df.withColumn(out, _replace_matches(F.col(out), pattern, F.col("_hits"), token))
+        state = let(state, _math_stage(kind, pattern))
+    df = df.withColumn("_masked", state)
     maps = F.map_concat(
-        _token_map(F.col("_blocks"), V.MATH_BLOCK_TOKEN), _token_map(F.col("_inlines"), V.MATH_INLINE_TOKEN)
+        _token_map(F.col("_masked.blocks"), V.MATH_BLOCK_TOKEN),
+        _token_map(F.col("_masked.inlines"), V.MATH_INLINE_TOKEN),
     )
-    return df.withColumn(token_map, maps).drop("_blocks", "_inlines", "_hits")
+    return df.withColumns({out: F.col("_masked.text"), token_map: maps}).drop("_masked")
 
 
 def mask_all(df: DataFrame, text: str = "text", out: str = "masked") -> DataFrame:
@@ -99,7 +130,8 @@ def merge_maps(first: Column, second: Column) -> Column:
 
 def token_rows(df: DataFrame, token_map: str, keys: list[str]) -> DataFrame:
     """The token map as a long table (keys, token, original)."""
-    return df.select(*keys, F.explode(token_map).alias("token", "original"))
+    rows = each(df, keys, F.map_entries(token_map), "_pos", "_entry")
+    return rows.select(*keys, F.col("_entry.key").alias("token"), F.col("_entry.value").alias("original"))
 
 
 def mask_counts(citation_map: Column, math_map: Column) -> Column:

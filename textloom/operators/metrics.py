@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import fold, is_blank, let, py_round, ws_count, ws_words
+from textloom.functions.core import each, fold, is_blank, let, py_round, ws_count, ws_words
 from textloom.functions.text import sentences_metrics, sentences_naive, words
 
 
@@ -65,7 +65,7 @@ def burstiness(mean: Column, std: Column) -> Column:
 def document_word_frequency(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, word, n): how often each word occurs in each document."""
     return (
-        df.select(key, F.explode(words(F.col(text))).alias("word"))
+        each(df, [key], words(F.col(text)), "_pos", "word")
         .groupBy(key, "word")
         .agg(F.count("*").alias("n"))
     )
@@ -73,7 +73,7 @@ def document_word_frequency(df: DataFrame, key: str, text: str = "text") -> Data
 
 def word_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over the corpus."""
-    return df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    return each(df, [], words(F.col(text)), "_pos", "word").groupBy("word").agg(F.count("*").alias("n"))
 
 
 def type_token_ratio(frequencies: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,7 +128,7 @@ def buzzword_hits(df: DataFrame, key: str, text: str = "text") -> DataFrame:
         F.transform(ws_words(F.col(text)), lambda w: F.btrim(F.lower(w), F.lit(V.BUZZWORD_STRIP))),
         lambda w: w.isin(*V.BUZZWORDS),
     )
-    return df.select(key, F.explode(listed).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
+    return each(df, [key], listed, "_pos", "word").groupBy(key, "word").agg(F.count("*").alias("n"))
 
 
 def uniformity_score(text: Column) -> Column:
@@ -172,7 +172,8 @@ def corpus_statistics(df: DataFrame, group: str, text: str = "text") -> DataFram
     )
     sums = [F.sum(c).alias(c) for c in ("docs", "sentences", "total", "squares")]
     counted = (
-        by_sentence.select(group, F.inline(entries)).groupBy(group, "word").agg(F.count("word").alias("n"), *sums)
+        each(by_sentence, [group], entries, "_pos", "_e").select(group, "_e.*")
+        .groupBy(group, "word").agg(F.count("word").alias("n"), *sums)
     )
     rolled = counted.groupBy(group).agg(F.sum("n").alias("words"), F.count("word").alias("distinct_words"), *sums)
     n, s, ss = F.col("sentences"), F.col("total"), F.col("squares")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import fold
+from textloom.functions.core import each, fold
 from textloom.operators.masking import masks_preserved
 
 KEYS = ["run_id", "sequence_no"]
@@ -61,9 +61,10 @@ def convergence_flags(
     stops: degraded, or the second stall of the chunk.
     """
     keys = keys or KEYS
-    rows = gather_attempts(attempts, max_iterations, keys).select(
-        *keys, _history(F.col("base"), F.col("accepted")).alias("_h"), F.posexplode("accepted").alias("_i", "_a")
+    gathered = gather_attempts(attempts, max_iterations, keys).withColumn(
+        "_h", _history(F.col("base"), F.col("accepted"))
     )
+    rows = each(gathered, [*keys, "_h"], "accepted", "_i", "_a")
 
     def degraded_at(i: Column) -> Column:
         return F.get(F.col("_h"), i + 1) > F.get(F.col("_h"), i) + tolerance

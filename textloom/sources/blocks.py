@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom import fixed_values as V
-from textloom.functions.core import collapse_ws, join, strip, ws_count
+from textloom.functions.core import collapse_ws, each, join, let, strip, ws_count
 
 SPAN = T.StructType(
     [
@@ -49,8 +49,6 @@ def html_blocks(html: Column) -> Column:
     type 1 without text. The page stays one row, so nothing shuffles.
     """
     visible = F.regexp_replace(html, INVISIBLE, "")
-    tags = F.transform(F.regexp_extract_all(visible, F.lit(BLOCK_OPEN), F.lit(1)), F.lower)
-    bodies = F.slice(F.split(visible, BLOCK_OPEN, -1), 2, 2147483647)
 
     def plain(body: Column) -> Column:
         text = F.regexp_replace(F.get(F.split(body, BLOCK_CLOSE, 2), F.lit(0)), ANY_TAG, " ")
@@ -63,15 +61,22 @@ def html_blocks(html: Column) -> Column:
             tag.alias("tag"), text.alias("text"), ws_count(text).alias("word_count"), F.lit(kind).alias("block_type")
         )
 
-    texts = F.transform(
-        F.zip_with(tags, F.transform(bodies, plain), lambda t, x: F.struct(t.alias("t"), x.alias("x"))),
-        lambda p: block(p["t"], p["x"], 0),
-    )
-    images = F.transform(
-        F.regexp_extract_all(visible, F.lit(IMAGE), F.lit(0)), lambda _: block(F.lit("img"), F.lit(""), 1)
-    )
+    def blocks(page: Column) -> Column:
+        tags = F.transform(F.regexp_extract_all(page, F.lit(BLOCK_OPEN), F.lit(1)), F.lower)
+        # the part before the first block tag belongs to no block
+        texts = let(
+            F.split(page, BLOCK_OPEN, -1),
+            lambda parts: F.transform(
+                tags, lambda tag, i: let(plain(F.get(parts, i + 1)), lambda text: block(tag, text, 0))
+            ),
+        )
+        images = F.transform(
+            F.regexp_extract_all(page, F.lit(IMAGE), F.lit(0)), lambda _: block(F.lit("img"), F.lit(""), 1)
+        )
+        return F.concat(texts, images)
+
     return F.transform(
-        F.concat(texts, images),
+        let(visible, blocks),
         lambda b, i: F.struct(
             i.cast("int").alias("block_no"), b["tag"].alias("tag"), b["text"].alias("text"),
             b["word_count"].alias("word_count"), b["block_type"].alias("block_type"),
@@ -86,7 +91,7 @@ def page_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> D
 
 def explode_blocks(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
     """One row per block of every page."""
-    return page_blocks(pages, key, html).select(key, F.inline("blocks"))
+    return each(page_blocks(pages, key, html), [key], "blocks", "_pos", "_b").select(key, "_b.*")
 
 
 def text_blocks(blocks: DataFrame) -> DataFrame:
