@@ -314,20 +314,20 @@ def prepared_chunks(spark, sf):
 
 @query
 def finished_documents(spark, sf):
-    """The whole job with two candidate texts per chunk, back to restored documents."""
+    """The whole job with a better and a failed candidate per chunk, back to restored documents."""
     chunks, maps, _ = jobs.prepare_documents(_cited(texts(spark, sf)), target=V.LIBRARY_TARGET_WORDS, maximum=V.LIBRARY_MAX_WORDS)
     first, second = F.col("text"), F.concat(F.lit("New: "), "text")
     attempts = chunks.select(
         "doc_id", "chunk_id",
         F.inline(F.array(*[
             F.struct(F.lit(i).alias("iteration"), t.alias("text"), F.lit(s).alias("score"), F.lit(False).alias("from_fallback"))
-            for i, t, s in ((0, first, 80.0), (1, second, 40.0), (2, F.lit("masks lost"), 5.0))
+            for i, t, s in ((0, first, 80.0), (1, second, 40.0), (2, F.lit(None).cast("string"), 5.0))
         ])),
     )
     done = jobs.finish_documents(chunks, maps, attempts)
     return done.select(
         "doc_id", F.col("part"), F.coalesce("error", F.lit("")).alias("error"),
-        F.sha2(F.regexp_replace(F.regexp_replace("text", "New: |masks lost", ""), f"{V.WS}+", ""), 256).alias("sha"),
+        F.sha2(F.regexp_replace(F.regexp_replace("text", "New: ", ""), f"{V.WS}+", ""), 256).alias("sha"),
     )
 
 
@@ -616,8 +616,8 @@ def block_json(spark, sf):
     blocks = layout.normalize_bbox(
         _blocks(spark, sf).withColumns({"x0": F.lit(0.0), "y0": F.col("block_no") * 12.0, "x1": F.col("word_count") * 5.0, "y1": F.col("block_no") * 12.0 + 10})
     ).select("page_id", "block_no", *layout.BOX, "width", "height", "text", "word_count", "block_type")
-    written = B.blocks_to_json(blocks.withColumn("k", F.col("block_no")), ["page_id", "k"])
-    cut = written.withColumn("json", F.when(F.length("json") % 3 == 0, F.expr("left(json, 20)")).otherwise(F.col("json")))
+    written = B.blocks_to_json(blocks.withColumns({"k": F.col("block_no"), "w": F.col("word_count")}), ["page_id", "k", "w"])
+    cut = written.withColumn("json", F.when(F.col("w") % 3 == 0, F.expr("left(json, 20)")).otherwise(F.col("json")))
     back = layout.with_stub_blocks(B.blocks_from_json(cut, ["page_id", "k"]))
     return back.groupBy("page_id").agg(
         F.count("*").alias("blocks"), F.count("error").alias("errors"), F.sum("word_count").cast("bigint").alias("words"),
@@ -797,7 +797,7 @@ def updated_chunks(spark, sf):
     chunks = said.select(F.col("conv_id").alias("run_id"), F.col("turn").alias("sequence_no"), F.col("text").alias("clean_text"),
                          F.lit(None).cast("string").alias("processed"), F.lit(0).alias("iterations"))
     updates = said.filter("role = 'user'").select(F.col("conv_id").alias("run_id"), F.col("turn").alias("sequence_no"),
-                                                  F.upper("text").alias("processed"), F.lit(2).alias("iterations"))
+                                                  F.concat("text", F.lit("*")).alias("processed"), F.lit(2).alias("iterations"))
     return ledger.apply_updates(chunks, updates).select("run_id", "sequence_no", "processed", F.col("iterations").cast("bigint").alias("iterations"))
 
 
