@@ -132,8 +132,8 @@ s AS (SELECT *, 'Thesis:' || chr(10) || thesis || chr(10) || chr(10) || 'METHODO
   || '1. ' || array_to_string(w[1:5], ',') || chr(10) || '- ' || array_to_string(w[6:10], '.,') || '.' AS summary FROM g),
 c AS (SELECT *, len({tokens('summary')}) AS n,
   list_filter(list_transform(list_concat(
-    string_split(ltrim(array_to_string(w[1:5], ','), '-*•1234567890. '), ','),
-    string_split(ltrim(array_to_string(w[6:10], '.,') || '.', '-*•1234567890. '), ',')), lambda t_: rtrim(t_, '.')), lambda t_: t_ <> '') AS found FROM s)
+    w[1:5],
+    w[6:10]), lambda t_: rtrim(t_, '.')), lambda t_: t_ <> '') AS found FROM s)
 SELECT doc_id, (thesis <> '' AND method <> '' AND len(found) = 10 AND n BETWEEN 150 AND 250) AS valid,
   length(thesis) AS thesis_chars, length(method) AS methodology_chars, len(found) AS terms, n AS word_count,
   sha256(CASE WHEN thesis <> '' AND method <> '' AND len(found) = 10 AND n BETWEEN 150 AND 250 THEN summary ELSE 'default' END) AS chosen
@@ -240,19 +240,40 @@ _FORMULAS = r"""
 f AS (SELECT doc_id, text || chr(10) || 'Let $x_{' || doc_id || '}$ and $x_{' || doc_id || '}$ with \(y\).' || chr(10) || '\[z_{' || doc_id
   || '}\]' || chr(10) || '\begin{align}a &= ' || doc_id || '\end{align}' AS text FROM documents)"""
 # Block notations first. Two or more dollars left over afterwards delimit no inline formula.
-_ORDERED = "list_filter({0}, lambda h_, i_: list_position({0}, h_) = i_)"
-_BY_TOKEN = "CASE WHEN len({1}) = 0 THEN {0} ELSE list_reduce({1}, lambda t_, h_: replace(t_, h_, '{2}' || (list_position({1}, h_) - 1) || '__'), {0}) END"
-_MATH = rf"""
-mb AS (SELECT *, list_concat(regexp_extract_all(text, '(?s)\$\$[^$].*?\$\$'),
-  list_concat(regexp_extract_all(text, '(?s)\\begin\{{align\}}.+?\\end\{{align\}}'), regexp_extract_all(text, '(?s)\\\[.+?\\\]'))) AS hits FROM {{0}}),
-mb1 AS (SELECT doc_id, {fill(_ORDERED, 'hits')} AS blocks, text FROM mb),
-mb2 AS (SELECT doc_id, blocks, {fill(_BY_TOKEN, 'text', 'blocks', '__MATH_BLOCK_')} AS t FROM mb1),
-mi AS (SELECT *, list_concat(regexp_extract_all(t, '(?s)\\\(.+?\\\)'),
-  regexp_extract_all(regexp_replace(t, '\${{2,}}', chr(2), 'g'), '\$[^$\n\x02]{{1,500}}\$')) AS h FROM mb2),
-mi1 AS (SELECT doc_id, blocks, t, {fill(_ORDERED, 'h')} AS inlines FROM mi),
-masked AS (SELECT doc_id, blocks, inlines, {fill(_BY_TOKEN, 't', 'inlines', '__MATH_INLINE_')} AS text FROM mi1)"""
+_NEXT = "list_concat({1}, list_filter({0}, lambda h_, i_: list_position({0}, h_) = i_ AND NOT list_contains({1}, h_)))"
+_BETWEEN = (
+    "array_to_string(list_transform({0}, lambda p_, i_: p_ || CASE WHEN i_ <= len({1}) "
+    "THEN '{3}' || (list_position({2}, {1}[i_]) - 1) || '__' ELSE '' END), '')"
+)
+
+
+def _math_stages(source: str) -> str:
+    """Pattern by pattern: the texts between matches joined with the tokens of the matches.
+
+    Before the dollar formulas, runs of two or more dollars are hidden because they
+    delimit none.
+    """
+    stages = [
+        ("b", "BLOCK", r"(?s)\$\$[^$].*?\$\$"), ("b", "BLOCK", r"(?s)\\begin\{align\}.+?\\end\{align\}"),
+        ("b", "BLOCK", r"(?s)\\\[.+?\\\]"), ("i", "INLINE", r"(?s)\\\(.+?\\\)"), ("i", "INLINE", r"\$[^$\n\x02]{1,500}\$"),
+    ]
+    out = [f"m0 AS (SELECT doc_id, text AS t, []::VARCHAR[] AS b, []::VARCHAR[] AS i FROM {source})"]
+    for n, (kind, name, pattern) in enumerate(stages, 1):
+        text = "t"
+        if pattern.startswith(r"\$["):
+            text = r"regexp_replace(replace(t, '$$', chr(2) || chr(2)), '\x02\$', chr(2) || chr(2), 'g')"
+        other = "b" if kind == "i" else "i"
+        out.append(
+            f"h{n} AS (SELECT doc_id, b, i, string_split_regex({text}, '{pattern}') AS s, regexp_extract_all({text}, '{pattern}') AS h FROM m{n - 1})"
+        )
+        out.append(f"k{n} AS (SELECT doc_id, s, h, {other}, {fill(_NEXT, 'h', kind)} AS {kind} FROM h{n})")
+        out.append(f"m{n} AS (SELECT doc_id, b, i, {fill(_BETWEEN, 's', 'h', kind, '__MATH_' + name + '_')} AS t FROM k{n})")
+    out.append("masked AS (SELECT doc_id, b AS blocks, i AS inlines, replace(t, chr(2), '$') AS text FROM m5)")
+    return ",\n".join(out)
+
+
 oracle("mask_math", f"""
-WITH {_FORMULAS}, {fill(_MATH, 'f')}
+WITH {_FORMULAS}, {_math_stages('f')}
 SELECT doc_id, text AS masked, len(blocks) AS blocks, len(inlines) AS inlines FROM masked""")
 oracle("mask_roundtrip", f"""
 WITH {_FORMULAS}, {fill(_CITED, 'f')}
@@ -293,12 +314,12 @@ SELECT doc_id, chunk_id, word_count, array_to_string(list_sort(paras), ',') AS p
 
 _ONE_PARA = f"p2 AS (SELECT doc_id, 0 AS para, {trim('text')} AS t, len({tokens('text')}) AS n FROM masked WHERE {trim('text')} <> '')"
 oracle("intake_stream", f"""
-WITH {fill(_MATH, 'documents')}, {_ONE_PARA}, {fill(_UNITS, 250, 400)}
+WITH {_math_stages('documents')}, {_ONE_PARA}, {fill(_UNITS, 250, 400)}
 SELECT doc_id, count(*) AS chunks, sum(word_count)::BIGINT AS words FROM chunks GROUP BY doc_id""")
 oracle("prepared_chunks", f"""
 WITH d AS (SELECT doc_id, {trim('text')} AS text FROM documents),
 dp AS (SELECT doc_id, replace(text, chr(10), chr(10) || ' ' || chr(10)) AS text FROM d),
-{fill(_CITED, 'dp')}, {_KNOWN}, ct AS (SELECT doc_id, {_MASKED} AS text FROM k), {fill(_MATH, 'ct')},
+{fill(_CITED, 'dp')}, {_KNOWN}, ct AS (SELECT doc_id, {_MASKED} AS text FROM k), {_math_stages('ct')},
 p AS (SELECT doc_id, unnest(string_split(text, chr(10) || ' ' || chr(10))) AS raw,
   generate_subscripts(string_split(text, chr(10) || ' ' || chr(10)), 1) - 1 AS para FROM masked),
 p2 AS (SELECT doc_id, para, {trim('raw')} AS t, len({tokens('raw')}) AS n FROM p WHERE {trim('raw')} <> ''), {fill(_UNITS, 250, 400)}
