@@ -237,7 +237,7 @@ def _wrap_starts(widths: Column, space: int, font_size: Column, limit: Column) -
 def wrap_lines(text: Column, font_size: Column, width: Column) -> Column:
     """Array of lines no wider than ``width`` where words allow it."""
     def lines(words: Column) -> Column:
-        starts = _wrap_starts(F.transform(words, text_width), V.HELVETICA_SPACE, font_size, width)
+        starts = _wrap_starts(F.transform(words, lambda w: text_width(w)), V.HELVETICA_SPACE, font_size, width)
         return let(
             starts,
             lambda st: F.transform(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +40,7 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         return tempfile.mkdtemp(prefix="spark-")
-    jvm = spark.sparkContext._jvm
-    return f"{root.rstrip('/')}/textloom-{jvm.java.util.UUID.randomUUID()}"
+    return f"{root.rstrip('/')}/textloom-{uuid.uuid4()}"
 
 
 def spread(df: DataFrame) -> DataFrame:
