@@ -12,7 +12,7 @@ from textloom import fixed_values as V
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.get(F.transform(F.array(value), lambda bound: body(bound)), F.lit(0))
 
 
 def fold(items: Column, start: Column, step: Callable, finish: Callable | None = None) -> Column:
@@ -55,11 +55,13 @@ def is_blank(text: Column) -> Column:
 
 def ws_words(text: Column) -> Column:
     """Words between runs of white space."""
-    return F.filter(F.split(text, f"{V.WS}+"), lambda w: w != "")
+    bare = strip(text)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, f"{V.WS}+"))
 
 
 def ws_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"{V.NOT_WS}+"))
+    bare = strip(text)
+    return F.when(bare == "", F.lit(0)).otherwise(F.size(F.split(bare, f"{V.WS}+")))
 
 
 def collapse_ws(text: Column, by: str = " ") -> Column:

@@ -51,10 +51,15 @@ def sentences_metrics(text: Column) -> Column:
     hidden = F.regexp_replace(
         text, rf"(?=[{initials}]){edge}({'|'.join(V.METRIC_TITLES)})\.", f"$1{dot}"
     )
-    hidden = F.regexp_replace(hidden, rf"(?=[eE]\.g\.){edge}([eE])\.g\.", f"$1{dot}g{dot}")
-    hidden = F.regexp_replace(hidden, rf"(?=[iI]\.e\.){edge}([iI])\.e\.", f"$1{dot}e{dot}")
-    hidden = F.regexp_replace(hidden, rf"(?=[ap]\.m\.){edge}([ap])\.m\.", f"$1{dot}m{dot}")
-    hidden = F.regexp_replace(hidden, rf"(?=[AP]\.M\.){edge}([AP])\.M\.", f"$1{dot}M{dot}")
+    for inner, letters in (("g", "eE"), ("e", "iI"), ("m", "ap"), ("M", "AP")):
+        # texts without the dotted ending are spared the pattern
+        pattern = rf"(?=[{letters}]\.{inner}\.){edge}([{letters}])\.{inner}\."
+        hidden = let(
+            hidden,
+            lambda h, ending=f".{inner}.", p=pattern, out=f"$1{dot}{inner}{dot}": F.when(
+                F.contains(h, F.lit(ending)), F.regexp_replace(h, p, out)
+            ).otherwise(h),
+        )
     flat = collapse_ws(strip(hidden))
     pieces = F.filter(F.split(flat, r"(?<=[.!?]) "), lambda s: strip(s) != "")
     return F.transform(pieces, lambda s: F.replace(s, F.lit(dot), F.lit(".")))

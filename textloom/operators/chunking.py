@@ -16,7 +16,7 @@ from textloom.functions.core import each, fold, join, let, strip, ws_count
 from textloom.functions.text import paragraphs, sentences_chunk, spans, split_long
 
 _BY_PARAGRAPH, _PACK, _BREAK = 0, 1, 2
-_SENTENCE_GAP = rf"(?<=[.!?]){V.WS}+"
+_SENTENCE_GAP = rf"([.!?]){V.WS}+"
 
 
 def _units(paras: Column, target: int, maximum: int) -> Column:
@@ -47,7 +47,7 @@ def _units(paras: Column, target: int, maximum: int) -> Column:
             ws_count(p["text"]),
             lambda n: F.when(
                 n <= maximum,
-                F.array(unit(p["index"], n, _BY_PARAGRAPH, F.regexp_replace(p["text"], _SENTENCE_GAP, " "))),
+                F.array(unit(p["index"], n, _BY_PARAGRAPH, F.regexp_replace(p["text"], _SENTENCE_GAP, "$1 "))),
             ),
         )
         return F.coalesce(small, sentence_units(p["index"], p["text"]))

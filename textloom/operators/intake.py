@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import strip
+from textloom.functions.core import let, strip
 from textloom.functions.text import document_name, length_band
 
 
@@ -81,7 +81,7 @@ def glossary_check(df: DataFrame, source: str, processed: str, glossary: str) ->
     A run carries its own short glossary, so this is a filter over the row's array
     and never a join of all texts with all terms.
     """
-    expected = F.filter(F.col(glossary), lambda t: F.contains(F.col(source), t))
-    return df.withColumn("expected_terms", expected).withColumn(
-        "lost_terms", F.filter("expected_terms", lambda t: ~F.contains(F.col(processed), t))
-    )
+    # The texts are bound first: a computed column would be inlined into the loop.
+    expected = let(F.col(source), lambda s: F.filter(F.col(glossary), lambda t: F.contains(s, t)))
+    lost = let(F.col(processed), lambda p: F.filter("expected_terms", lambda t: ~F.contains(p, t)))
+    return df.withColumn("expected_terms", expected).withColumn("lost_terms", lost)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import ascii_upper_lower_check, each, fold, join, let, non_blank, py_round, strip, ws_words
+from textloom.functions.core import ascii_upper_lower_check, each, fold, join, let, non_blank, py_round, strip, ws_count, ws_words
 from textloom.functions.text import spans
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -114,24 +114,28 @@ def page_count_mismatches(left: DataFrame, right: DataFrame, key: str, page: str
 
 def _line_count(lengths: Column, font_size: Column, width: Column) -> Column:
     """Lines needed when every character has the same width; wide words span lines."""
-    char = font_size * V.CHAR_WIDTH_RATIO
     start = F.struct(F.lit(1).cast("bigint").alias("lines"), F.lit(0.0).alias("used"))
 
-    def step(s: Column, n: Column) -> Column:
-        word = n * char
-        wide = F.struct(
-            (s["lines"] + F.when(s["used"] > 0, 1).otherwise(0) + F.ceil(word / width) - 1).alias("lines"),
-            (word % width).alias("used"),
-        )
-        wraps = s["used"] + word > width
-        narrow = F.struct(
-            (s["lines"] + F.when(wraps, 1).otherwise(0)).alias("lines"),
-            (F.when(wraps, F.lit(0.0)).otherwise(s["used"]) + word + char).alias("used"),
-        )
-        return F.when(word > width, wide).otherwise(narrow)
+    def packed(char: Column) -> Column:
+        def step(s: Column, n: Column) -> Column:
+            def placed(word: Column) -> Column:
+                wide = F.struct(
+                    (s["lines"] + F.when(s["used"] > 0, 1).otherwise(0) + F.ceil(word / width) - 1).alias("lines"),
+                    (word % width).alias("used"),
+                )
+                wraps = s["used"] + word > width
+                narrow = F.struct(
+                    (s["lines"] + F.when(wraps, 1).otherwise(0)).alias("lines"),
+                    (F.when(wraps, F.lit(0.0)).otherwise(s["used"]) + word + char).alias("used"),
+                )
+                return F.when(word > width, wide).otherwise(narrow)
+
+            return placed(n * char)
+
+        return fold(lengths, start, step, lambda s: s["lines"])
 
     return F.when(F.size(lengths) == 0, F.lit(0).cast("bigint")).otherwise(
-        fold(lengths, start, step, lambda s: s["lines"])
+        let(font_size * V.CHAR_WIDTH_RATIO, packed)
     )
 
 
@@ -175,13 +179,20 @@ def overflow_report(
         }
     )
 
-    def try_scale(found: Column, percent: Column) -> Column:
-        scaled = size * (percent / 100.0)
-        floor = F.col("_chars") * scaled * V.CHAR_WIDTH_RATIO / w * scaled * V.LINE_SPACING
-        fits = (floor <= h * (1 + 1e-9)) & (_line_count(F.col("_n"), scaled, w) * scaled * V.LINE_SPACING <= h)
-        return F.when(found.isNotNull(), found).when(fits, percent / 100.0)
+    def first_scale(words: Column) -> Column:
+        def try_scale(found: Column, percent: Column) -> Column:
+            def fits(scaled: Column) -> Column:
+                floor = words["chars"] * scaled * V.CHAR_WIDTH_RATIO / w * scaled * V.LINE_SPACING
+                return (floor <= h * (1 + 1e-9)) & (
+                    _line_count(words["lengths"], scaled, w) * scaled * V.LINE_SPACING <= h
+                )
+
+            return F.when(found.isNotNull(), found).when(let(size * (percent / 100.0), fits), percent / 100.0)
+
+        return fold(F.sequence(F.lit(95), F.lit(10), F.lit(-1)), F.lit(None).cast("double"), try_scale)
 
-    search = fold(F.sequence(F.lit(95), F.lit(10), F.lit(-1)), F.lit(None).cast("double"), try_scale)
+    # Bound outside the search: a column used once is inlined, here into a loop.
+    search = let(F.struct(F.col("_n").alias("lengths"), F.col("_chars").alias("chars")), first_scale)
     blocks = blocks.withColumn(
         "scale", F.when(F.col("overflow"), F.coalesce(search, F.lit(0.1))).otherwise(F.lit(1.0))
     )
@@ -197,18 +208,36 @@ def _glyph_codes(widths: dict[int, str]) -> tuple[str, str]:
     return source, "".join(chr(w) * len(chars) for w, chars in widths.items())
 
 
-def text_width(text: Column, bold: Column | None = None) -> Column:
-    """Width in thousandths of the font size."""
+def _coded(text: Column, widths: dict[int, str]) -> Column:
+    """Every character but the space replaced by the character whose code is its width."""
+    visible = {w: chars.replace(" ", "") for w, chars in widths.items()}
+    source, target = _glyph_codes(visible)
+    # Unknown characters first, so that translated codes are not mistaken for them.
+    known = "".join(f"\\x{{{ord(c):x}}}" for c in source)
+    return F.translate(F.regexp_replace(text, f"[^ {known}]", chr(V.DEFAULT_GLYPH_WIDTH)), source, target)
+
+
+def _code_sum(coded: Column) -> Column:
+    return fold(
+        F.split(coded, ""), F.lit(0),
+        lambda a, c: a + F.when(c == " ", F.lit(V.HELVETICA_SPACE)).otherwise(F.ascii(c)),
+    )
+
+
+def word_widths(words: Column, bold: Column | None = None) -> Column:
+    """Width of each word in thousandths of the font size; the text is coded once."""
     def measure(widths: dict[int, str]) -> Column:
-        source, target = _glyph_codes(widths)
-        default = chr(V.DEFAULT_GLYPH_WIDTH)
-        # Unknown characters first, so that translated codes are not mistaken for them.
-        known = "".join(f"\\x{{{ord(c):x}}}" for c in source)
-        coded = F.translate(F.regexp_replace(text, f"[^{known}]", default), source, target)
-        return fold(F.split(coded, ""), F.lit(0), lambda a, c: a + F.ascii(c))
+        coded = F.split(_coded(join(words, " "), widths), " ")
+        return F.transform(coded, lambda w: fold(F.split(w, ""), F.lit(0), lambda a, c: a + F.ascii(c)))
 
     plain = measure(V.HELVETICA_WIDTHS)
-    return plain if bold is None else F.when(bold, measure(V.HELVETICA_BOLD_WIDTHS)).otherwise(plain)
+    chosen = plain if bold is None else F.when(bold, measure(V.HELVETICA_BOLD_WIDTHS)).otherwise(plain)
+    return F.when(F.size(words) == 0, F.array().cast("array<int>")).otherwise(chosen)
+
+
+def text_width(text: Column) -> Column:
+    """Width of a text in thousandths of the font size."""
+    return _code_sum(_coded(text, V.HELVETICA_WIDTHS))
 
 
 def _wrap_starts(widths: Column, space: int, font_size: Column, limit: Column) -> Column:
@@ -237,7 +266,7 @@ def _wrap_starts(widths: Column, space: int, font_size: Column, limit: Column) -
 def wrap_lines(text: Column, font_size: Column, width: Column) -> Column:
     """Array of lines no wider than ``width`` where words allow it."""
     def lines(words: Column) -> Column:
-        starts = _wrap_starts(F.transform(words, lambda w: text_width(w)), V.HELVETICA_SPACE, font_size, width)
+        starts = _wrap_starts(word_widths(words), V.HELVETICA_SPACE, font_size, width)
         return let(
             starts,
             lambda st: F.transform(
@@ -266,25 +295,35 @@ def fit_paragraphs(
             "_h": F.greatest(F.lit(1.0), F.col(height).cast("double")),
         }
     )
-    blocks = blocks.withColumn("_widths", F.transform("_words", lambda w: text_width(w, bold)))
+    blocks = blocks.withColumn("_widths", word_widths(F.col("_words"), bold))
 
-    def layout(step: Column) -> Column:
+    def layout(step: Column, widths: Column) -> Column:
         factor = F.lit(1.0) - F.lit(0.1) * (step / F.lit(float(V.FIT_STEPS)))
-        size = F.greatest(F.lit(V.MIN_FONT_SIZE), F.lit(font_size) * factor)
-        gap = F.lit(spacing) * factor
-        starts = _wrap_starts(F.col("_widths"), V.HELVETICA_SPACE, size, F.col("_w"))
-        return let(
-            starts,
-            lambda st: F.struct(
-                st.alias("starts"), size.alias("size"), gap.alias("gap"),
-                (F.size(st) * size * gap <= F.col("_h")).alias("fits"),
-            ),
+        scale = F.struct(
+            F.greatest(F.lit(V.MIN_FONT_SIZE), F.lit(font_size) * factor).alias("size"),
+            (F.lit(spacing) * factor).alias("gap"),
         )
 
+        def sized(s: Column) -> Column:
+            starts = _wrap_starts(widths, V.HELVETICA_SPACE, s["size"], F.col("_w"))
+            return let(
+                starts,
+                lambda st: F.struct(
+                    st.alias("starts"), s["size"].alias("size"), s["gap"].alias("gap"),
+                    (F.size(st) * s["size"] * s["gap"] <= F.col("_h")).alias("fits"),
+                ),
+            )
+
+        return let(scale, sized)  # bound, or every word would compute it again
+
     none = F.lit(None).cast("struct<starts:array<int>,size:double,gap:double,fits:boolean>")
-    search = fold(
-        F.sequence(F.lit(0), F.lit(V.FIT_STEPS)), none,
-        lambda best, step: F.when(F.coalesce(best["fits"], F.lit(False)), best).otherwise(layout(step)),
+    # Bound outside the search: a column used once is inlined, here into a loop.
+    search = let(
+        F.col("_widths"),
+        lambda widths: fold(
+            F.sequence(F.lit(0), F.lit(V.FIT_STEPS)), none,
+            lambda best, step: F.when(F.coalesce(best["fits"], F.lit(False)), best).otherwise(layout(step, widths)),
+        ),
     )
     blocks = blocks.withColumn("_fit", search)
     size, gap = py_round(F.col("_fit.size"), 2), py_round(F.col("_fit.gap"), 2)
@@ -312,28 +351,26 @@ def fit_paragraphs(
 
 
 def chunk_block_links(chunks: DataFrame, blocks: DataFrame, key: str) -> DataFrame:
-    """(key, chunk_id, original_index, block_no, position): the blocks each chunk refers to.
+    """(key, chunk_id, original_index, block_no, weight, position): the blocks each chunk refers to.
 
     A paragraph index means the block at that list position; where there is none it
     means the blocks with that block number. A block counts once per chunk, at its
-    first reference.
+    first reference. Its weight is its number of words, at least one.
     """
     refs = chunks.select(key, "chunk_id", F.posexplode("paragraph_indices").alias("_at", "_index"))
-    slim = blocks.select(key, "original_index", "block_no")
-    by_index = slim.select(key, F.col("original_index").alias("_index"), "block_no", F.lit(True).alias("_hit"))
-    tried = refs.join(by_index, [key, "_index"], "left")
-    direct = tried.filter("_hit").select(
-        key, "chunk_id", F.col("_index").alias("original_index"), "block_no", "_at"
-    )
-    numbered = slim.select(key, F.col("block_no").alias("_index"), "block_no", "original_index")
+    weight = F.greatest(F.lit(1), ws_count(F.coalesce("text", F.lit(""))))
+    slim = blocks.select(key, "original_index", "block_no", weight.alias("weight"))
+    out = [key, "chunk_id", "original_index", "block_no", "weight", "_at"]
+    tried = refs.join(slim.withColumn("_index", F.col("original_index")), [key, "_index"], "left")
+    direct = tried.filter(F.col("original_index").isNotNull()).select(*out)
     by_number = (
-        tried.filter(F.col("_hit").isNull()).select(key, "chunk_id", "_at", "_index")
-        .join(numbered, [key, "_index"])
-        .select(key, "chunk_id", "original_index", "block_no", "_at")
+        tried.filter(F.col("original_index").isNull()).select(key, "chunk_id", "_at", "_index")
+        .join(slim.withColumn("_index", F.col("block_no")), [key, "_index"])
+        .select(*out)
     )
     return (
         direct.unionByName(by_number)
-        .groupBy(key, "chunk_id", "original_index", "block_no")
+        .groupBy(key, "chunk_id", "original_index", "block_no", "weight")
         .agg(F.min("_at").alias("position"))
     )
 
@@ -416,19 +453,17 @@ def distribute_chunks(chunks: DataFrame, blocks: DataFrame, key: str, text: str
 
     A chunk refers to as many blocks as its own row lists, which bounds the group
     collected per chunk; only weights and numbers are collected, and the block
-    columns are joined back by (key, original_index).
+    columns are joined back by (key, original_index). Blocks and chunks are read
+    more than once, so pass written tables or cheap projections of them.
     """
-    links = chunk_block_links(chunks, blocks, key)
-    weight = F.greatest(F.lit(1), F.size(ws_words(F.coalesce("text", F.lit("")))))
-    weights = blocks.select(key, "original_index", weight.alias("_weight"))
-    entry = F.struct("position", "original_index", "_weight")
-    plan = links.join(weights, [key, "original_index"]).groupBy(key, "chunk_id").agg(
+    entry = F.struct("position", "original_index", "weight")
+    plan = chunk_block_links(chunks, blocks, key).groupBy(key, "chunk_id").agg(
         F.array_sort(F.collect_list(entry)).alias("_plan")
     )
     pieces = chunks.select(key, "chunk_id", text).join(plan, [key, "chunk_id"])
     shares = F.arrays_zip(
         F.col("_plan.original_index").alias("original_index"),
-        distribute_text(F.col(text), F.col("_plan._weight")).alias("rewritten_text"),
+        distribute_text(F.col(text), F.col("_plan.weight")).alias("rewritten_text"),
     )
     dealt = each(pieces, [key, "chunk_id"], shares, "_i", "_d").select(
         key, "chunk_id", "_d.original_index", "_d.rewritten_text"

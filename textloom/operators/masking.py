@@ -154,7 +154,7 @@ def mask_counts(citation_map: Column, math_map: Column) -> Column:
 def _unmask_strict(text: Column, token_map: Column, pattern: str) -> Column:
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def restored(found: Column) -> Column:
+    def restored(found: Column, token_map: Column) -> Column:
         missing = F.filter(found, lambda t: ~F.map_contains_key(token_map, t))
         replaced = _replace_matches(text, pattern, found, lambda t: F.coalesce(F.try_element_at(token_map, t), t))
         failed = (F.size(token_map) > 0) & (F.size(missing) > 0)
@@ -163,7 +163,7 @@ def _unmask_strict(text: Column, token_map: Column, pattern: str) -> Column:
             F.when(failed, F.concat(F.lit("unknown tokens: "), join(missing, ", "))).alias("error"),
         )
 
-    return let(tokens, restored)
+    return let(tokens, lambda found: let(token_map, lambda known: restored(found, known)))
 
 
 def unmask_citations(text: Column, token_map: Column) -> Column:
@@ -210,23 +210,22 @@ def restore_nested(text: Column, citation_map: Column, math_map: Column) -> Colu
     Mathematics is undone before citations because formulas may hold citation
     tokens, and twice because an environment may hold a display-block token.
     """
-    def once(value: Column) -> Column:
+    def once(value: Column, known: Column) -> Column:
         return let(
             F.regexp_extract_all(value, F.lit(V.MATH_TOKEN_PATTERN), F.lit(0)),
             lambda found: _replace_matches(
-                value, V.MATH_TOKEN_PATTERN, found, lambda t: F.coalesce(F.try_element_at(math_map, t), t)
+                value, V.MATH_TOKEN_PATTERN, found, lambda t: F.coalesce(F.try_element_at(known, t), t)
             ),
         )
 
-    return let(let(text, once), lambda first: let(once(first), lambda v: unmask_citations(v, citation_map)))
+    twice = let(math_map, lambda known: let(let(text, lambda t: once(t, known)), lambda first: once(first, known)))
+    return let(twice, lambda value: unmask_citations(value, citation_map))
 
 
 def masks_preserved(source: Column, candidate: Column) -> Column:
     """Every placeholder of the source occurs in the candidate."""
-    return F.forall(
-        F.regexp_extract_all(source, F.lit(V.PLACEHOLDER_PATTERN), F.lit(0)),
-        lambda p: F.contains(candidate, p),
-    )
+    placeholders = F.regexp_extract_all(source, F.lit(V.PLACEHOLDER_PATTERN), F.lit(0))
+    return let(candidate, lambda text: F.forall(placeholders, lambda p: F.contains(text, p)))
 
 
 def audit_roundtrip(df: DataFrame, text: str = "text") -> DataFrame:

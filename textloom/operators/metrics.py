@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,7 +97,8 @@ def corpus_perplexity(df: DataFrame, key: str, text: str = "text", frequent_shar
     shuffle join, which handles the remaining words.
     """
     counts = document_word_frequency(df, key, text)
-    corpus = word_frequency(df, text)
+    # From the counts and not from the texts: the shuffle of the counts is reused.
+    corpus = counts.groupBy("word").agg(F.sum("n").alias("n"))
     total = corpus.agg(F.sum("n").alias("t")).scalar()
     model = corpus.select(
         "word", F.log(F.col("n") / total).alias("_log_p"), (F.col("n") * frequent_share > total).alias("_frequent")
@@ -114,11 +118,19 @@ def corpus_perplexity(df: DataFrame, key: str, text: str = "text", frequent_shar
     )
 
 
+_BUZZWORD = (
+    rf"(?:\A|{V.WS})[{V.BUZZWORD_STRIP}]*(?:{'|'.join(V.BUZZWORDS)})[{V.BUZZWORD_STRIP}]*(?!{V.NOT_WS})"
+)
+
+
 def buzzword_count(text: Column) -> Column:
     """Number of words that are on the list once lower-cased and stripped of punctuation."""
-    return F.size(
-        F.filter(ws_words(text), lambda w: F.btrim(F.lower(w), F.lit(V.BUZZWORD_STRIP)).isin(*V.BUZZWORDS))
-    )
+    def counted(lower: Column) -> Column:
+        # plain substring tests spare most texts the pattern
+        some = reduce(or_, [F.contains(lower, F.lit(w)) for w in V.BUZZWORDS])
+        return F.when(some, F.regexp_count(lower, F.lit(_BUZZWORD))).otherwise(F.lit(0))
+
+    return let(F.lower(text), counted)
 
 
 def buzzword_hits(df: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ from textloom.functions import text as X
 from textloom.functions.core import each, strip, ws_count
 from textloom.operators import chunking, failover, intake, layout, ledger, markdown, masking, metrics, scoring, selection
 from textloom.plans import documents as jobs
-from textloom.session import prepare, spread
+from textloom.session import prepare, spread, stored
 from textloom.sources import blocks as B
 from textloom.streaming import events as S
 
@@ -315,7 +315,9 @@ def prepared_chunks(spark, sf):
 @query
 def finished_documents(spark, sf):
     """The whole job with a better and a failed candidate per chunk, back to restored documents."""
-    chunks, maps, _ = jobs.prepare_documents(_cited(texts(spark, sf)), target=V.LIBRARY_TARGET_WORDS, maximum=V.LIBRARY_MAX_WORDS)
+    chunks, maps, _ = jobs.prepare_documents(
+        _cited(texts(spark, sf)), target=V.LIBRARY_TARGET_WORDS, maximum=V.LIBRARY_MAX_WORDS, store=True
+    )
     first, second = F.col("text"), F.concat(F.lit("New: "), "text")
     attempts = chunks.select(
         "doc_id", "chunk_id",
@@ -679,7 +681,7 @@ def fitted_paragraphs(spark, sf):
 
 def _page_chunks(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """A page's blocks and one chunk per page that refers to all of them."""
-    pages = B.page_blocks(_pages(spark, sf))
+    pages = stored(B.page_blocks(_pages(spark, sf)))
     blocks = B.text_blocks(each(pages, ["page_id"], "blocks", "pos", "b").select("page_id", "b.*")).select(
         "page_id", F.col("block_no").alias("original_index"), "block_no", "text", "word_count"
     )

@@ -10,23 +10,35 @@ from textloom.operators.chunking import block_paragraphs, chunk_documents, chunk
 from textloom.operators.intake import screen_documents
 from textloom.operators.masking import mask_all, merge_maps, restore_soft, restore_tokens
 from textloom.operators.selection import select_candidates
+from textloom.session import stored
 
 
 def prepare_documents(
     documents: DataFrame, key: str = "doc_id", text: str = "text",
-    target: int = V.TARGET_WORDS, maximum: int = V.MAX_WORDS,
+    target: int = V.TARGET_WORDS, maximum: int = V.MAX_WORDS, store: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Admit, mask and chunk texts: (chunks, token maps, rejected).
 
     Everything up to the chunks happens inside the document's row. The token maps
-    stay at one row per document instead of being repeated on every chunk.
+    stay at one row per document instead of being repeated on every chunk. With
+    ``store`` masked texts and chunks become tables in the shared folder, which is
+    what a job needs whose candidate texts come back later.
     """
     screened = screen_documents(documents.select(key, text), text)
     rejected = screened.filter(F.col("reason").isNotNull()).select(key, "reason")
-    masked = mask_all(screened.filter(F.col("reason").isNull()), text, "masked")
+    masked = masked_documents(screened, key, text)
+    if store:
+        masked = stored(masked)
     chunks = chunk_documents(masked.select(key, "masked"), "masked", target, maximum, [key])
-    maps = masked.select(key, "name", merge_maps(F.col("citation_map"), F.col("math_map")).alias("token_map"))
-    return chunks, maps, rejected
+    return (stored(chunks) if store else chunks), masked.drop("masked"), rejected
+
+
+def masked_documents(screened: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, name, masked, token_map) of the admitted texts."""
+    masked = mask_all(screened.filter(F.col("reason").isNull()), text, "masked")
+    return masked.select(
+        key, "name", "masked", merge_maps(F.col("citation_map"), F.col("math_map")).alias("token_map")
+    )
 
 
 def prepare_pages(

@@ -53,3 +53,14 @@ def spread(df: DataFrame) -> DataFrame:
     if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a table that several later steps read and return the written table.
+
+    Unlike a cache it survives the loss of executors, and the costly steps before it
+    run once.
+    """
+    folder = shared_dir(df.sparkSession)
+    df.write.parquet(f"{folder}/table")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/table")
