@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from textloom import fixed_values as V
 from textloom.functions.core import each, fold, is_blank, let, py_round, ws_count, ws_words
 from textloom.functions.text import sentences_metrics, sentences_naive, words
+from textloom.session import stored
 
 
 def _sum(items: Column) -> Column:
@@ -97,8 +98,8 @@ def corpus_perplexity(df: DataFrame, key: str, text: str = "text", frequent_shar
     shuffle join, which handles the remaining words.
     """
     counts = document_word_frequency(df, key, text)
-    # From the counts and not from the texts: the shuffle of the counts is reused.
-    corpus = counts.groupBy("word").agg(F.sum("n").alias("n"))
+    # The vocabulary is read three times below, so it is written once.
+    corpus = stored(word_frequency(df, text))
     total = corpus.agg(F.sum("n").alias("t")).scalar()
     model = corpus.select(
         "word", F.log(F.col("n") / total).alias("_log_p"), (F.col("n") * frequent_share > total).alias("_frequent")
