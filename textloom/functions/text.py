@@ -138,7 +138,7 @@ def auto_name(text: Column) -> Column:
     head = F.slice(F.split(strip(text), f"{V.WS}+", 8), 1, 7)  # the limit leaves the rest of the text unsplit
     cleaned = F.filter(F.transform(head, lambda w: F.regexp_replace(w, "[^a-zA-Z0-9]", "")), lambda w: w != "")
     name = F.substring(join(F.slice(cleaned, 1, 6), "_"), 1, V.MAX_NAME_CHARS)
-    return F.when(name == "", F.lit(V.DEFAULT_NAME)).otherwise(name)
+    return let(name, lambda n: F.when(n == "", F.lit(V.DEFAULT_NAME)).otherwise(n))
 
 
 def sanitize_name(name: Column) -> Column:
