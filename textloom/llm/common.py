@@ -60,9 +60,8 @@ def bitmap_of(df: DataFrame, position: str) -> np.ndarray:
     Built by a grouped aggregation into pieces of 4 KB; at most 8 MB come to the driver, however
     many rows there are.
     """
-    pieces = df.groupBy(F.bitmap_bucket_number(position).alias("piece")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(position)).alias("bits")
-    )
+    at = F.col(position) + 1  # the SQL functions number values from 1
+    pieces = df.groupBy(F.bitmap_bucket_number(at).alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
     out = np.zeros(1 << (BITMAP_BITS - 3), np.uint8)
     for row in pieces.collect():
         at = (row["piece"] - 1) * 4096

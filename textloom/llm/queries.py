@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm.common import small_batches, table
+from textloom.llm.ngram_join import similar_documents
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.url_filter import judge_urls
 from textloom.session import prepare
@@ -33,6 +34,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+@query
+def op2_ngram_jaccard_join(spark, sf):
+    return similar_documents(table(spark, sf, "documents"))
+
+
 @query
 def op4_token_counts(spark, sf):
     counted = count_tokens(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
