@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from textloom.llm.common import small_batches, table
 from textloom.llm.ngram_join import similar_documents
 from textloom.llm.token_counts import count_tokens
+from textloom.llm.toxicity import judge_toxicity
 from textloom.llm.url_filter import judge_urls
 from textloom.session import prepare
 
@@ -50,6 +51,12 @@ def op7_url_filters(spark, sf):
     return judge_urls(table(spark, sf, "pages"), URL_RULES)
 
 
+@query
+def op9_toxicity(spark, sf):
+    judged = judge_toxicity(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic"))
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
 _RULED = "host = '{h}' OR host LIKE '%.{h}'"
 
 
