@@ -3,13 +3,16 @@
 A document's tokens are its distinct shingles of five words, as 64-bit hashes; documents with
 equal token sets are one class. Two classes of n and m tokens can only reach a similarity of 3/4
 if they share 3/4 of the larger set, so every class is indexed by a prefix of its tokens under one
-global order: rare tokens before frequent ones.
-
-* A token is frequent if more than a threshold of documents hold it. The threshold is found by
-  counting all tokens of all documents; it is the least power of two, from RARE on, that leaves at
-  most FREQUENT tokens. They travel as a bitmap of fixed size; a rare token that meets a set bit is
-  treated as frequent, which changes the order of the tokens but not the result.
-* Rare tokens of the prefix are indexed one by one. Frequent tokens are dealt into groups and a
+global order: lone tokens before rare ones before frequent ones.
+
+* All tokens of all documents are counted. A token is frequent if more than a threshold of
+  documents hold it, the least power of two from RARE on that leaves at most FREQUENT tokens. It is
+  lone if at most a second threshold of documents hold it, the least power of two that leaves at
+  most REPEATED others; for up to some billions of tokens this is 1. Both kinds travel as bitmaps
+  of fixed size; a token that meets a bit set by another one moves to the later kind, which changes
+  the order of the tokens but not the result.
+* Lone tokens need no index if their threshold is 1, for nothing else holds them. Rare tokens of
+  the prefix are indexed one by one. Frequent tokens are dealt into groups and a
   group is indexed by pairs: sets that share no pair share at most one token of the group, so the
   prefix is extended until every token beyond the first of each group, and every rare token, have
   made up for the dissimilarity that is allowed. The number of groups follows the size of the
@@ -48,8 +51,8 @@ from textloom.session import stored
 SHINGLE = 5
 #: A token in up to so many documents is rare, whatever the size of the corpus.
 RARE = 32
-#: So many tokens can be frequent at most.
-FREQUENT = 1 << 21
+#: So many tokens can be frequent, and so many more than lone, at most.
+FREQUENT, REPEATED = 1 << 21, 1 << 24
 #: Bits of a token that are counted by.
 COUNTED_BITS = 38
 #: Tokens or signatures a task sorts at once.
@@ -118,7 +121,7 @@ def slot_start(slot: int, bits: int, slots: int) -> int:
 
 
 def token_frequencies(docs: DataFrame, slots: int) -> DataFrame:
-    """(token, documents) of the tokens, cut to COUNTED_BITS, that more than RARE documents hold."""
+    """(at, documents): the bitmap places of all tokens in more than one document, and in how many they are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(parts):
@@ -144,36 +147,57 @@ def token_frequencies(docs: DataFrame, slots: int) -> DataFrame:
         numbers = np.sort(np.concatenate([from_planes(d, first) for d in group.column("data").to_pylist()]))
         edge = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
         found = np.diff(np.r_[edge, len(numbers)])
-        many = found > RARE
-        return pa.table({"token": numbers[edge[many]].astype(np.int64), "documents": found[many]})
+        many = found > 1
+        at = numbers[edge[many]] >> np.uint64(COUNTED_BITS - BITMAP_BITS)
+        return pa.table({"at": at.astype(np.int32), "documents": np.minimum(found[many], (1 << 31) - 1).astype(np.int32)})
 
     counted = docs.select(as_bytes("text").alias("text")).mapInArrow(count, "slot long, data binary")
-    return counted.groupBy("slot").applyInArrow(merge, "token long, documents long")
+    return counted.groupBy("slot").applyInArrow(merge, "at int, documents int")
+
+
+class Kinds:
+    """Which tokens are lone, rare and frequent."""
+
+    def __init__(self, repeated: np.ndarray, frequent: np.ndarray, lone_is_single: bool):
+        self.repeated, self.frequent, self.lone_is_single = repeated, frequent, lone_is_single
 
+    def of(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = tokens >> np.uint64(64 - BITMAP_BITS)
+        many, hot = in_bitmap(self.repeated, at), in_bitmap(self.frequent, at)
+        return tokens[~many], tokens[many & ~hot], tokens[hot]
 
-def frequent_tokens(docs: DataFrame, slots: int) -> np.ndarray:
-    """The bitmap of frequent tokens."""
+
+def token_kinds(docs: DataFrame, slots: int) -> Kinds:
     found = stored(token_frequencies(docs, slots))
     sizes = {r["power"]: r["n"] for r in found.groupBy(F.ceil(F.log2("documents")).alias("power")).agg(F.count("*").alias("n")).collect()}
-    power = next(p for p in range(65) if sum(n for q, n in sizes.items() if q > p) <= FREQUENT)
-    frequent = found.filter(F.col("documents") > F.lit(2.0) ** power)
-    return bitmap_of(frequent.select(F.shiftright("token", COUNTED_BITS - BITMAP_BITS).alias("at")), "at")
+
+    def threshold(least: int, most: int) -> int:
+        return next(1 << p for p in range(least.bit_length() - 1, 64) if sum(n for q, n in sizes.items() if q > p) <= most)
+
+    def above(limit: int) -> np.ndarray:
+        return bitmap_of(found.filter(F.col("documents") > limit).select(F.col("at").cast("long")), "at")
+
+    lone = threshold(1, REPEATED)
+    return Kinds(above(lone), above(max(lone, threshold(RARE, FREQUENT))), lone == 1)
 
 
 # --- signatures -----------------------------------------------------------------------------
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
+def signatures(tokens: np.ndarray, kinds: Kinds) -> np.ndarray:
     """The distinct signatures of a set of sorted tokens."""
     n = len(tokens)
     if n < 2:
         return np.empty(0, np.uint64)  # a set of one token is similar to itself alone
     allowed = n - needed(n) + 1
-    hot = in_bitmap(frequent, tokens >> np.uint64(64 - BITMAP_BITS))
-    rare = tokens[~hot][:allowed]
-    if len(rare) == allowed:
-        return rare
-    hot, parts = tokens[hot], [rare]
+    lone, rare, hot = kinds.of(tokens)
+    lone = lone[:allowed]
+    rare = rare[: allowed - len(lone)]
+    single = rare if kinds.lone_is_single else np.concatenate([lone, rare])
+    allowed -= len(lone) + len(rare)
+    if not allowed:
+        return single
+    parts = [single]
     for band in range(needed(n).bit_length() - 1, n.bit_length()):
         groups = max(1, (1 << band) // 4)
         group = (mix(hot) & np.uint64(groups - 1)).astype(np.int64)
@@ -181,7 +205,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
         ranked = group[order]
         beyond = np.empty(len(hot), bool)  # beyond the first token of its group
         beyond[order] = np.r_[False, ranked[1:] == ranked[:-1]]
-        end = np.searchsorted(np.cumsum(beyond), allowed - len(rare)) + 1
+        end = np.searchsorted(np.cumsum(beyond), allowed) + 1
         order = order[order < end]
         ranked, member = group[order], hot[order]
         for step in range(1, len(member)):
@@ -193,16 +217,15 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(parts))
 
 
-def buckets(docs: DataFrame, frequent: np.ndarray, slots: int) -> DataFrame:
+def buckets(docs: DataFrame, kinds: Kinds, slots: int) -> DataFrame:
     """(signature, member, least): classes that share a signature, with a smaller or equal class beside them.
 
     ``least`` is the least class of those that a task, or the place where the tasks' least ones
     meet, has seen of the bucket.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent.tobytes())
+    shared = docs.sparkSession.sparkContext.broadcast(kinds)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(shared.value, np.uint8)
         names = ["slot", "kind", "signature", "member", "least"]
 
         def flush(held: dict[int, np.ndarray]):
@@ -231,7 +254,7 @@ def buckets(docs: DataFrame, frequent: np.ndarray, slots: int) -> DataFrame:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 tokens = tokens_of(text)
-                found = signatures(tokens, bits)
+                found = signatures(tokens, shared.value)
                 if len(found):
                     held[fingerprint(tokens)] = found
                     size += len(found)
@@ -326,7 +349,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = max(64, size // SLOT_BYTES)
-    found = stored(buckets(docs, frequent_tokens(docs, slots), slots))
+    found = stored(buckets(docs, token_kinds(docs, slots), slots))
     wanted = bitmap_of(found.select(F.col("member").bitwiseAND((1 << BITMAP_BITS) - 1).alias("at")).union(found.select(F.col("least").bitwiseAND((1 << BITMAP_BITS) - 1).alias("at"))), "at")
     classes = stored(classes_of(docs, wanted))
     sets = stored(
