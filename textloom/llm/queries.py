@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from textloom.llm.byte_bpe import digests, encode_documents
 from textloom.llm.common import small_batches, table
 from textloom.llm.ngram_join import similar_documents
 from textloom.llm.token_counts import count_tokens
@@ -46,6 +47,12 @@ def op4_token_counts(spark, sf):
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query
+def op5_byte_bpe(spark, sf):
+    encoded = encode_documents(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digests(encoded)
+
+
 @query
 def op7_url_filters(spark, sf):
     return judge_urls(table(spark, sf, "pages"), URL_RULES)
