@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from textloom.llm.byte_bpe import digests, encode_documents
 from textloom.llm.common import small_batches, table
 from textloom.llm.ngram_join import similar_documents
+from textloom.llm.source_mix import mix_sources, word_count
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.toxicity import judge_toxicity
 from textloom.llm.url_filter import judge_urls
-from textloom.session import prepare
+from textloom.session import prepare, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,6 +43,13 @@ def op2_ngram_jaccard_join(spark, sf):
     return similar_documents(table(spark, sf, "documents"))
 
 
+@query
+def op3_source_mix(spark, sf):
+    sized = stored(table(spark, sf, "documents").select("doc_id", word_count("text").alias("size"), F.array("source").alias("sources")))
+    mixed = mix_sources(sized, "sources", "size")
+    return mixed.select("doc_id", "size", F.get("source_sizes", F.lit(0)).alias("source_size"), F.get("targets", F.lit(0)).alias("target"), "taken")
+
+
 @query
 def op4_token_counts(spark, sf):
     counted = count_tokens(table(spark, sf, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
