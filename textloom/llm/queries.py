@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm.byte_bpe import digests, encode_documents
 from textloom.llm.common import small_batches, table
+from textloom.llm.exact_topk import exact_top_k
 from textloom.llm.ngram_join import similar_documents
 from textloom.llm.source_mix import mix_sources, word_count
 from textloom.llm.token_counts import count_tokens
@@ -67,6 +68,11 @@ def op7_url_filters(spark, sf):
     return judge_urls(table(spark, sf, "pages"), URL_RULES)
 
 
+@query
+def op8_exact_topk(spark, sf):
+    return exact_top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op9_toxicity(spark, sf):
     judged = judge_toxicity(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "toxic"))
