@@ -12,6 +12,7 @@ from textloom.llm.byte_bpe import digests, encode_documents
 from textloom.llm.common import small_batches, table
 from textloom.llm.exact_topk import exact_top_k
 from textloom.llm.ngram_join import similar_documents
+from textloom.llm.posting_lists import nearest_neighbours
 from textloom.llm.source_mix import mix_sources, word_count
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.toxicity import judge_toxicity
@@ -63,6 +64,11 @@ def op5_byte_bpe(spark, sf):
     return digests(encoded)
 
 
+@query
+def op6_posting_lists(spark, sf):
+    return nearest_neighbours(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 @query
 def op7_url_filters(spark, sf):
     return judge_urls(table(spark, sf, "pages"), URL_RULES)
