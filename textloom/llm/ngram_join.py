@@ -19,13 +19,16 @@ global order: lone tokens before rare ones before frequent ones.
   smaller set of a pair (a power of two, the "band"), so a prefix of p tokens makes of the order
   of p pairs, never p squared. Sets near the border of a band are indexed for both bands.
 * Every signature that is in two classes or more is a bucket. A task links the members it sees of
-  a bucket to the least of them and passes only that one on, so a bucket that holds a third of all
+  a bucket to the lead among them and passes only that one on, so a bucket that holds a third of all
   rows reaches its place as one entry for each task buffer.
 
-Candidates are verified on whole sets. Within a bucket members are first held against the least
-member; connected components of the links found are formed; then buckets whose members are
-already one component need nothing more, and in all others every pair of members of different
-components is verified. Links within a component cannot change the components, so these are exact.
+Candidates are verified on whole sets. Within a bucket members are first held against its lead, the
+member with the fewest lone and rare tokens (an original rather than an altered copy); connected
+components of the links found are formed; then buckets whose members are already one component
+need nothing more, and in all others every pair of members of different components is looked at.
+Links within a component cannot change the components, so these are exact. Before sets are read a
+pair must pass a bound: two sets share at most the tokens that are not lone in either, less those
+whose place in a small bitmap of one set is empty in that of the other.
 
 Result: one row per input row. Null, empty and blank texts have no tokens and link with nothing;
 texts with fewer than five words have their whole word sequence as one token. Rows without an id
@@ -55,6 +58,8 @@ RARE = 32
 FREQUENT, REPEATED = 1 << 21, 1 << 24
 #: Bits of a token that are counted by.
 COUNTED_BITS = 38
+#: A set's small bitmap, in words of 64 bits.
+SKETCH = 16
 #: Tokens or signatures a task sorts at once.
 BUFFER = 1 << 21
 #: Bytes of text whose tokens meet in one group of the counting shuffle.
@@ -166,6 +171,19 @@ class Kinds:
         many, hot = in_bitmap(self.repeated, at), in_bitmap(self.frequent, at)
         return tokens[~many], tokens[many & ~hot], tokens[hot]
 
+    def oddness(self, tokens: np.ndarray) -> int:
+        """From 0, all tokens frequent, over 127, all rare, to 254, all lone."""
+        lone, rare, _ = self.of(tokens)
+        return 127 * (2 * len(lone) + len(rare)) // len(tokens)
+
+    def shared(self, tokens: np.ndarray) -> tuple[int, list[int]]:
+        """How many tokens other sets can hold too, and the small bitmap of these."""
+        if self.lone_is_single:
+            tokens = tokens[in_bitmap(self.repeated, tokens >> np.uint64(64 - BITMAP_BITS))]
+        bits = np.zeros(64 * SKETCH, np.uint8)
+        bits[(tokens & np.uint64(64 * SKETCH - 1)).astype(np.int64)] = 1
+        return len(tokens), np.packbits(bits).view(np.int64).tolist()
+
 
 def token_kinds(docs: DataFrame, slots: int) -> Kinds:
     found = stored(token_frequencies(docs, slots))
@@ -218,36 +236,36 @@ def signatures(tokens: np.ndarray, kinds: Kinds) -> np.ndarray:
 
 
 def buckets(docs: DataFrame, kinds: Kinds, slots: int) -> DataFrame:
-    """(signature, member, least): classes that share a signature, with a smaller or equal class beside them.
+    """(signature, member, lead): classes that share a signature, and the lead of their bucket.
 
-    ``least`` is the least class of those that a task, or the place where the tasks' least ones
-    meet, has seen of the bucket.
+    A lead is the first by oddness and then class of the members that a task, or the
+    place where the tasks' leads meet, has seen of the bucket.
     """
     shared = docs.sparkSession.sparkContext.broadcast(kinds)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["slot", "kind", "signature", "member", "least"]
-
-        def flush(held: dict[int, np.ndarray]):
-            keys = np.sort(np.fromiter(held, np.int64, len(held)))
-            sizes = np.array([len(held[k]) for k in keys.tolist()])
-            signature = np.concatenate([held[k] for k in keys.tolist()])
-            owner = np.repeat(keys, sizes)
-            order = np.argsort(signature, kind="stable")  # within a signature by class
+        names = ["slot", "kind", "signature", "member", "share", "lead"]
+        types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+        def flush(held: dict[int, tuple[int, np.ndarray]]):
+            ranked = sorted((share, key) for key, (share, _) in held.items())
+            keys, shares = np.array([k for _, k in ranked], np.int64), np.array([s for s, _ in ranked], np.uint8)
+            found = [held[k][1] for _, k in ranked]
+            signature = np.concatenate(found)
+            owner = np.repeat(np.arange(len(keys)), [len(f) for f in found])
+            order = np.argsort(signature, kind="stable")  # within a signature by rank
             signature, owner = signature[order], owner[order]
-            lead = np.r_[True, signature[1:] != signature[:-1]]
-            least = owner[lead][np.cumsum(lead) - 1]
-            slot, edge = slots_of(signature[lead], 64, slots)
-            rows = []
-            first, led = signature[lead], owner[lead]
+            first = np.r_[True, signature[1:] != signature[:-1]]
+            lead = owner[first][np.cumsum(first) - 1]
+            rows, led, leading = [], signature[first], owner[first]
+            slot, edge = slots_of(led, 64, slots)
             for s, a, b in zip(slot.tolist(), edge, edge[1:], strict=False):
-                at = np.unique(led[a:b], return_inverse=True)
-                rows.append((s, 0, planes(first[a:b], slot_start(s, 64, slots)), at[0].tobytes(), at[1].astype(np.uint32).tobytes()))
+                docs, place = np.unique(leading[a:b], return_inverse=True)
+                rows.append((s, 0, planes(led[a:b], slot_start(s, 64, slots)), keys[docs].tobytes(), shares[docs].tobytes(), place.astype(np.uint32).tobytes()))
             # The others are known to be in a bucket; they only pass through, in pieces dealt over all slots.
-            for part in np.array_split(np.flatnonzero(~lead), max(1, min(slots, int((~lead).sum()) // 20_000))):
+            for part in np.array_split(np.flatnonzero(~first), max(1, min(slots, int((~first).sum()) // 20_000))):
                 if len(part):
-                    rows.append((int(signature[part[0]] % np.uint64(slots)), 1, signature[part].tobytes(), owner[part].tobytes(), least[part].tobytes()))
-            types = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+                    rows.append((int(signature[part[0]] % np.uint64(slots)), 1, signature[part].tobytes(), keys[owner[part]].tobytes(), b"", keys[lead[part]].tobytes()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         size, held = 0, {}
@@ -256,7 +274,7 @@ def buckets(docs: DataFrame, kinds: Kinds, slots: int) -> DataFrame:
                 tokens = tokens_of(text)
                 found = signatures(tokens, shared.value)
                 if len(found):
-                    held[fingerprint(tokens)] = found
+                    held[fingerprint(tokens)] = (shared.value.oddness(tokens), found)
                     size += len(found)
                 if size >= BUFFER:
                     yield flush(held)
@@ -266,43 +284,49 @@ def buckets(docs: DataFrame, kinds: Kinds, slots: int) -> DataFrame:
 
     def meet(group: pa.Table) -> pa.Table:
         slot = group.column("slot")[0].as_py()
-        first = slot_start(slot, 64, slots)
-        signature, member, passed = [], [], [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
-        for row in group.select(["kind", "signature", "member", "least"]).to_pylist():
+        start = slot_start(slot, 64, slots)
+        signature, member, share, passed = [], [], [], [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
+        for row in group.select(["kind", "signature", "member", "share", "lead"]).to_pylist():
+            keys = np.frombuffer(row["member"], np.int64)
             if row["kind"]:
-                passed.append((np.frombuffer(row["signature"], np.uint64), np.frombuffer(row["member"], np.int64), np.frombuffer(row["least"], np.int64)))
+                passed.append((np.frombuffer(row["signature"], np.uint64), keys, np.frombuffer(row["lead"], np.int64)))
             else:
-                signature.append(from_planes(row["signature"], first))
-                member.append(np.frombuffer(row["member"], np.int64)[np.frombuffer(row["least"], np.uint32)])
+                place = np.frombuffer(row["lead"], np.uint32)
+                signature.append(from_planes(row["signature"], start))
+                member.append(keys[place])
+                share.append(np.frombuffer(row["share"], np.uint8)[place])
         if signature:
             signature, member = np.concatenate(signature), np.concatenate(member)
-            order = np.lexsort((member, signature))
+            order = np.lexsort((member, np.concatenate(share), signature))
             signature, member = signature[order], member[order]
             head = np.r_[True, signature[1:] != signature[:-1]]
-            least = member[head][np.cumsum(head) - 1]
+            lead = member[head][np.cumsum(head) - 1]
             new = np.r_[True, (signature[1:] != signature[:-1]) | (member[1:] != member[:-1])]
             size = np.bincount(np.cumsum(head) - 1, weights=new)[np.cumsum(head) - 1]
             keep = new & (size > 1)
-            passed.append((signature[keep], member[keep], least[keep]))
+            passed.append((signature[keep], member[keep], lead[keep]))
         columns = [np.concatenate(c) for c in zip(*passed, strict=True)]
-        return pa.table({"signature": columns[0].view(np.int64), "member": columns[1], "least": columns[2]})
+        return pa.table({"signature": columns[0].view(np.int64), "member": columns[1], "lead": columns[2]})
 
-    indexed = docs.select(as_bytes("text").alias("text")).mapInArrow(index, "slot long, kind int, signature binary, member binary, least binary")
-    return indexed.groupBy("slot").applyInArrow(meet, "signature long, member long, least long")
+    indexed = docs.select(as_bytes("text").alias("text")).mapInArrow(index, "slot long, kind int, signature binary, member binary, share binary, lead binary")
+    return indexed.groupBy("slot").applyInArrow(meet, "signature long, member long, lead long")
 
 
 # --- classes and links ------------------------------------------------------------------------
 
 
-def classes_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
-    """(doc_id, class, n_shingles, tokens): every row; tokens only where the class is wanted."""
-    shared = docs.sparkSession.sparkContext.broadcast(wanted.tobytes())
+def classes_of(docs: DataFrame, kinds: Kinds, wanted: np.ndarray) -> DataFrame:
+    """(doc_id, class, n_shingles, shared, sketch, tokens): every row; the last three only where the class is wanted.
+
+    ``shared``: how many tokens are not lone; ``sketch``: their small bitmap.
+    """
+    known = docs.sparkSession.sparkContext.broadcast((kinds, wanted))
     source = docs.select("doc_id", as_bytes("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, told = np.frombuffer(shared.value, np.uint8), set()
+        (kinds, bits), told = known.value, set()
         for batch in batches:
-            keys, sizes, sets = [], [], []
+            keys, sizes, shared, sketch, sets = [], [], [], [], []
             for text in batch.column(1).to_pylist():
                 tokens = tokens_of(text)
                 key = fingerprint(tokens) if len(tokens) else None
@@ -312,12 +336,15 @@ def classes_of(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
                     told.add(key)
                 keys.append(key)
                 sizes.append(len(tokens))
+                many, small = kinds.shared(tokens) if new else (None, None)
+                shared.append(many)
+                sketch.append(small)
                 sets.append(tokens.tobytes() if new else None)
             if len(told) > 100_000:
                 told.clear()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary())], names=["doc_id", "class", "n_shingles", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(shared, pa.int64()), pa.array(sketch, pa.list_(pa.int64())), pa.array(sets, pa.binary())], names=["doc_id", "class", "n_shingles", "shared", "sketch", "tokens"])
 
-    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, class long, n_shingles long, tokens binary"
+    schema = f"doc_id {source.schema['doc_id'].dataType.simpleString()}, class long, n_shingles long, shared long, sketch array<long>, tokens binary"
     return source.mapInArrow(run, schema)
 
 
@@ -331,11 +358,28 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(found, pa.bool_()))
 
 
+def possible(x: str, y: str) -> str:
+    """Whether sizes, shared tokens and sketches of two sets allow a similarity of 3/4.
+
+    n + m tokens with c in common need 7 c >= 3 (n + m). A bit that only one sketch has set stands
+    for a token at least that only this set holds.
+    """
+    missed = {(p, q): " + ".join(f"bit_count({p}.b{i} & ~{q}.b{i})" for i in range(SKETCH)) for p, q in ((x, y), (y, x))}
+    common = ", ".join(f"{p}.shared - ({missed[p, q]})" for p, q in ((x, y), (y, x)))
+    return f"7 * least({x}.shared, {y}.shared) >= 3 * ({x}.n + {y}.n) and 7 * least({common}) >= 3 * ({x}.n + {y}.n)"
+
+
+def bounds(sets: DataFrame, key: str) -> DataFrame:
+    """What ``possible`` needs of each class, its name in the column ``key``."""
+    return sets.select(F.col("class").alias(key), "n", "shared", *(F.col("sketch")[i].alias(f"b{i}") for i in range(SKETCH)))
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose whole sets have a similarity of 3/4 or more."""
-    left = sets.select(F.col("class").alias("a"), F.col("n").alias("n_a"), F.col("tokens").alias("set_a"))
-    right = sets.select(F.col("class").alias("b"), F.col("n").alias("n_b"), F.col("tokens").alias("set_b"))
-    joined = pairs.join(right, "b").join(left, "a").filter("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    x, y = bounds(sets, "a").alias("x"), bounds(sets, "b").alias("y")
+    left, right = (sets.select(F.col("class").alias(key), F.col("tokens").alias(f"set_{key}")) for key in "ab")
+    near = pairs.join(y, "b").join(x, "a").filter(possible("x", "y")).select("a", "b")
+    joined = near.join(right, "b").join(left, "a")
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
 
 
@@ -349,13 +393,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = max(64, size // SLOT_BYTES)
-    found = stored(buckets(docs, token_kinds(docs, slots), slots))
-    wanted = bitmap_of(found.select(F.col("member").bitwiseAND((1 << BITMAP_BITS) - 1).alias("at")).union(found.select(F.col("least").bitwiseAND((1 << BITMAP_BITS) - 1).alias("at"))), "at")
-    classes = stored(classes_of(docs, wanted))
-    sets = stored(
-        classes.filter("tokens is not null").select("class", F.col("n_shingles").alias("n"), "tokens").dropDuplicates(["class"])
-    )
-    first = stored(linked(found.filter("least <> member").select(F.col("least").alias("a"), F.col("member").alias("b")).distinct(), sets))
+    kinds = token_kinds(docs, slots)
+    found = stored(buckets(docs, kinds, slots))
+    low = (1 << BITMAP_BITS) - 1
+    wanted = found.select(F.explode(F.array("member", "lead")).alias("class")).select(F.col("class").bitwiseAND(low).alias("at"))
+    classes = stored(classes_of(docs, kinds, bitmap_of(wanted, "at")))
+    sets = classes.filter("tokens is not null").select("class", F.col("n_shingles").alias("n"), "shared", "sketch", "tokens")
+    sets = stored(sets.dropDuplicates(["class"]))
+    first = stored(linked(found.filter("lead <> member").select(F.col("lead").alias("a"), F.col("member").alias("b")).distinct(), sets))
     links = first.union(stored(_across(found, connected_components(first, "a", "b"), sets)))
     links = stored(links.distinct())
     component = connected_components(links, "a", "b").withColumnsRenamed({"node": "class"})
@@ -372,14 +417,14 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 def _across(found: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
     """Links between members of one bucket that are in different components so far.
 
-    A bucket seen by several tasks has several least members; they are members too.
+    A bucket seen by several tasks has several leads; they are members too.
     """
-    members = found.select("signature", "member").union(found.select("signature", F.col("least"))).distinct()
+    members = found.select("signature", F.explode(F.array("member", "lead")).alias("member")).distinct()
     of = components.withColumnsRenamed({"node": "member"})
     placed = members.join(of, "member", "left").withColumn("component", F.coalesce("component", "member"))
     mixed = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    rest = stored(placed.join(mixed.select("signature"), "signature", "left_semi").join(sets.select(F.col("class").alias("member"), "n"), "member"))
+    rest = stored(placed.join(mixed.select("signature"), "signature", "left_semi").join(bounds(sets, "member"), "member").filter("4 * shared >= 3 * n"))
     one, two = rest.alias("x"), rest.alias("y")
-    near = "x.signature = y.signature and x.member < y.member and x.component <> y.component and 4 * least(x.n, y.n) >= 3 * greatest(x.n, y.n)"
+    near = f"x.signature = y.signature and x.member < y.member and x.component <> y.component and {possible('x', 'y')}"
     pairs = one.join(two, F.expr(near)).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")).distinct()
     return linked(pairs, sets)
