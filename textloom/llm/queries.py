@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 from textloom.llm.byte_bpe import digests, encode_documents
 from textloom.llm.common import small_batches, table
 from textloom.llm.exact_topk import exact_top_k
+from textloom.llm.language_id import identify_languages
 from textloom.llm.ngram_join import similar_documents
 from textloom.llm.posting_lists import nearest_neighbours
 from textloom.llm.source_mix import mix_sources, word_count
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.toxicity import judge_toxicity
-from textloom.llm.url_filter import judge_urls
+from textloom.llm.url_filter import host_of, judge_urls
 from textloom.session import prepare, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +41,18 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return run
 
 
+LANGUAGES = ["en", "fr", "de", "es"]
+
+
+@query
+def op1_language_id(spark, sf):
+    pages = table(spark, sf, "pages")
+    declared = F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([^"'\s>]*)""", 1)
+    text = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<[^>]*>", " ")
+    marked = pages.select("page_id", host_of(F.col("url")).alias("host"), declared.alias("declared"), text.alias("text"))
+    return identify_languages(marked, LANGUAGES, "declared", "host").drop("text")
+
+
 @query
 def op2_ngram_jaccard_join(spark, sf):
     return similar_documents(table(spark, sf, "documents"))
