@@ -46,6 +46,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from textloom.llm.common import BITMAP_BITS, as_bytes, bitmap_of, in_bitmap
 from textloom.llm.graph import connected_components
@@ -428,3 +429,16 @@ def _across(found: DataFrame, components: DataFrame, sets: DataFrame) -> DataFra
     near = f"x.signature = y.signature and x.member < y.member and x.component <> y.component and {possible('x', 'y')}"
     pairs = one.join(two, F.expr(near)).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")).distinct()
     return linked(pairs, sets)
+
+
+def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each component the row with the smallest id.
+
+    Of repeated rows with that id one stays. Rows without an id are all kept.
+    """
+    kept = similar_documents(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    chosen = docs.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
+    # Ids are unique but for repeated rows, so a group of this window is one document.
+    order = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
+    once = chosen.withColumn("__place", F.row_number().over(order)).filter("__place = 1").drop("__place")
+    return once.unionByName(docs.filter(F.col(doc_id).isNull()))
