@@ -2,13 +2,18 @@
 
 1. Every task lays its texts out in blocks. The pre-tokens of a block are numbered, the most
    frequent first, and a text becomes the list of these numbers in order: its pre-tokens exploded
-   with their positions, packed. Blocks are written to the shared folder.
+   with their positions, packed. A block's name is a hash of what it holds.
 2. The distinct pre-tokens of each block go to slots by a hash, so equal pre-tokens of all blocks
    meet in one slot, once for each block and not for each occurrence. A slot encodes each of its
    distinct pre-tokens once and sends the ids back to the blocks.
 3. Blocks and ids meet by block; every text is put together by position. Decoding looks the ids up
    in the token-byte table, whose size is that of the vocabulary.
 
+The blocks are laid out twice, once for their words and once for their texts, because storing them
+would take more disk than it saves time; the input must be one that Spark reads alike both times, as
+tables are. If it is not, ids are missing for a block and the job fails. Equal blocks share a name
+and their ids.
+
 A block holds at most BLOCK bytes of text, or one longer text. The number of slots follows the size
 of the corpus, so the pre-tokens of a slot stay bounded. Blocks and words travel as compressed
 arrays, since rows for single pre-tokens would be several times as large as the texts.
@@ -23,7 +28,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,10 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.common import as_bytes, pre_tokens
-from textloom.session import stored
 
 #: Bytes of text in a block.
-BLOCK = 8_000_000
+BLOCK = 4_000_000
 #: Bytes of text for each slot of the word shuffle.
 SLOT_BYTES = 8_000_000
 
@@ -80,10 +83,9 @@ def text_blocks(docs: DataFrame, pattern: str, slots: int) -> DataFrame:
         for part in np.split(by_slot, np.flatnonzero(np.diff(slot[by_slot])) + 1) if len(names) else []:
             own = [names[i] for i in part.tolist()]
             pieces.append({"slot": int(slot[part[0]]), "sizes": packed(np.array([len(w) for w in own])), "text": zstandard.compress(b"".join(own), 1)})
-        columns = [
-            pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(id_arrow)), pa.array([packed(np.array(sizes))]),
-            pa.array([packed(number[places] if len(places) else places)]), pa.array([packed(slot)]), pa.array([pieces], words_type),
-        ]
+        sizes, places = packed(np.array(sizes)), packed(number[places] if len(places) else places)
+        name = hashlib.sha256(b"".join([sizes, places, b"\0".join(names)])).hexdigest()[:32]
+        columns = [pa.array([name]), pa.array([ids], pa.list_(id_arrow)), pa.array([sizes]), pa.array([places]), pa.array([packed(slot)]), pa.array([pieces], words_type)]
         return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "places", "slot_of", "words"])
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,28 +143,34 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = stored(text_blocks(docs, pattern, max(64, size // SLOT_BYTES)))
+    blocks = text_blocks(docs, pattern, max(64, size // SLOT_BYTES))
 
-    def put_together(block: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
+    def put_together(blocks: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
         table = {rank: token for token, rank in read_ranks(ranks).items()}
-        row = block.select(["sizes", "places", "slot_of"]).to_pylist()[0]
-        ids = block.column("ids").combine_chunks().flatten()
         coded: list[bytes] = []  # of the words in the order of slots
         plain: list[bytes] = []
-        for piece in sorted(words.select(["slot", "counts", "coded"]).to_pylist(), key=lambda p: p["slot"]):
-            flat = unpacked(piece["coded"])
-            for part in np.split(flat, np.cumsum(unpacked(piece["counts"]))[:-1]):
+        pieces = {p["slot"]: p for p in words.select(["slot", "counts", "coded"]).to_pylist()}
+        for slot in sorted(pieces):
+            flat = unpacked(pieces[slot]["coded"])
+            for part in np.split(flat, np.cumsum(unpacked(pieces[slot]["counts"]))[:-1]):
                 coded.append(part.tobytes())
                 plain.append(b"".join([table[i] for i in part.tolist()]))
-        place = np.empty(len(coded), np.int64)
-        place[np.argsort(unpacked(row["slot_of"]), kind="stable")] = np.arange(len(coded))
-        places, ends = place[unpacked(row["places"])], np.cumsum(unpacked(row["sizes"]).astype(np.int64)).tolist()
-        for low in range(0, len(ends), 500):
-            texts = [places[a:b].tolist() for a, b in zip([0, *ends][low : low + 500], ends[low : low + 500], strict=False)]
-            out = [pa.array([b"".join([source[p] for p in text]) for text in texts], pa.binary()) for source in (coded, plain)]
-            yield pa.RecordBatch.from_arrays([ids.slice(low, 500), *out], names=["doc_id", "ids", "decoded"])
+        for number, row in enumerate(blocks.select(["sizes", "places", "slot_of"]).to_pylist()):
+            ids = blocks.column("ids").slice(number, 1).combine_chunks().flatten()
+            slot_of = unpacked(row["slot_of"])
+            if len(slot_of) != len(coded):
+                raise ValueError("the input was not read alike twice: a block lacks its ids")
+            place = np.empty(len(coded), np.int64)
+            place[np.argsort(slot_of, kind="stable")] = np.arange(len(coded))
+            places, ends = place[unpacked(row["places"])], np.cumsum(unpacked(row["sizes"]).astype(np.int64)).tolist()
+            for low in range(0, len(ends), 500):
+                texts = [places[a:b].tolist() for a, b in zip([0, *ends][low : low + 500], ends[low : low + 500], strict=False)]
+                out = [pa.array([b"".join([source[p] for p in text]) for text in texts], pa.binary()) for source in (coded, plain)]
+                yield pa.RecordBatch.from_arrays([ids.slice(low, 500), *out], names=["doc_id", "ids", "decoded"])
 
     def whole(block: pa.Table, words: pa.Table) -> pa.Table:
+        if not block.num_rows:
+            raise ValueError("the input was not read alike twice: a block lacks its texts")
         return pa.Table.from_batches(put_together(block, words))
 
     texts = blocks.drop("words").groupBy("block").cogroup(encoded_words(blocks, ranks).groupBy("block"))
