@@ -154,7 +154,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024,
     count = rows.count()
     rotation = spark.sparkContext.broadcast(rotation_of(rows, dim, scale))
 
-    length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + F.floor(x * scale) * F.floor(x * scale))
+    length = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
     cells = max(1, -(-count // CELL))
     dealt = rows.withColumn("length", length).repartitionByRange(cells, F.col("length").desc(), F.xxhash64("vec_id"))
     blocks = stored(dealt.sortWithinPartitions(F.col("length").desc(), "vec_id").select("vec_id", "vector").mapInArrow(_packer(dim, scale, CELL), "cell long, longest double, ids binary, rows binary"))

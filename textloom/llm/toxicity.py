@@ -35,12 +35,12 @@ BITS = 20
 #: The classifier is fitted on so many labelled rows at most, taken by the order of a hash of the id.
 SAMPLE = 16_000
 SHARDS = 8
-PASSES = 2
+PASSES = 3
 #: A longer word also counts as its first so many bytes, which its inflected forms share.
 STEMS = (4, 5, 6)
 #: Pairs of words with up to so many words between them.
 SKIP = 2
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 1.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 1.0
 #: Stands for the bias in the weights.
 BIAS = -1
 
