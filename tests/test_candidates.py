@@ -200,3 +200,40 @@ def test_seeding_twice_inserts_nothing(spark):
     }
     again = failover.seed_quotas(first.drop("inserted"), defaults, reset_used=False)
     assert again.filter("inserted").count() == 0
+
+
+def test_no_failed_call_is_lost(spark):
+    rows = [(1, p, f"p{p}", 500, None, 0) for p in range(7)] + [(1, 2, "p2", 503, None, 0), (1, 7, "p7", 200, "ok", 1), (1, 8, "p8", 500, None, 0)]
+    made = calls(spark, rows + [(1, 7, "p7", 200, "ok", 1)])
+    errors = failover.failover_errors(made, quotas(spark, [])).orderBy("priority", "status").collect()
+    assert [(r.priority, r.status) for r in errors] == [(0, 500), (1, 500), (2, 500), (2, 503), (3, 500), (4, 500), (5, 500), (6, 500)]
+    assert [tuple(r) for r in failover.resolve_failover(made, quotas(spark, [])).collect()] == [(1, 7, "p7", "ok", False)]
+
+
+def test_quota_records_count_once(spark):
+    twice = quotas(spark, [("google", 10, 4, 1), ("google", 10, 6, 1)])
+    used = {r.provider: r for r in failover.quota_usage(twice).collect()}
+    assert len(used) == 4 and used["google"].remaining == 4
+    after = failover.accumulate_usage(twice, calls(spark, [(1, 0, "google", 200, "x", 3)])).collect()
+    assert [(r.provider, r.used_today) for r in after] == [("google", 9)]
+
+
+def test_attempts_that_take_no_part_are_told(spark):
+    schema = "run_id string, sequence_no bigint, iteration int, text string, score double, from_fallback boolean"
+    rows = [("r", 0, i, f"t{i}", 90.0 - i, False) for i in range(6)] + [("r", 1, 1, "x", 5.0, False), ("r", 2, 0, "b", 50.0, False), ("r", 2, 1, None, 1.0, False)]
+    df = spark.createDataFrame(rows, schema)
+    told = {(r.sequence_no, r.iteration): r.reason for r in selection.unusable_attempts(df).collect()}
+    assert told == {(0, 4): "beyond the last iteration", (0, 5): "beyond the last iteration", (1, 1): "no baseline", (2, 1): "no text or score"}
+    chosen = {r.sequence_no: r.stop_reason for r in selection.select_candidates(df).collect()}
+    assert chosen[1] == "no baseline"
+
+
+def test_metric_abbreviations_one_by_one(spark):
+    from textloom.functions.text import sentences_metrics
+
+    shorts = ["Dr.", "dr.", "Mr.", "mr.", "Mrs.", "mrs.", "Ms.", "ms.", "Prof.", "prof.", "Col.", "col.", "Gen.", "gen.", "Vs.", "vs.",
+              "e.g.", "E.g.", "i.e.", "I.e.", "a.m.", "p.m.", "A.M.", "P.M."]
+    df = spark.createDataFrame([(f"One {s} two. Three.", f"One x{s} two.") for s in shorts], "a string, b string")
+    rows = df.select(sentences_metrics(F.col("a")).alias("a"), sentences_metrics(F.col("b")).alias("b")).collect()
+    for s, row in zip(shorts, rows, strict=True):
+        assert row.a == [f"One {s} two.", "Three."] and len(row.b) == 2

@@ -110,12 +110,13 @@ def test_new_rows_have_stable_keys(spark):
     assert first[0].processed is None and first[0].iterations == 0
 
 
-def test_reassembly_splits_only_beyond_the_span_and_collapses_copies(spark):
+def test_reassembly_collapses_copies_and_knows_no_limit(spark):
     rows = [(1, i, f"t{i}") for i in range(7)] * 3
     df = spark.createDataFrame(rows, "k int, p int, t string")
     assert C.reassemble(df, "k", "p", "t", " ").first()["t"] == "t0 t1 t2 t3 t4 t5 t6"
-    parts = C.reassemble(df, "k", "p", "t", " ", span=4).orderBy("part").collect()
-    assert [r["t"] for r in parts] == ["t0 t1 t2 t3", "t4 t5 t6"]
+    many = spark.range(70_003).select(F.lit(1).alias("k"), F.col("id").alias("p"), F.col("id").cast("string").alias("t"))
+    whole = C.reassemble(many, "k", "p", "t", " ").collect()
+    assert len(whole) == 1 and whole[0]["n_pieces"] == 70_003 and whole[0]["t"].split() == [str(i) for i in range(70_003)]
 
 
 def test_split_long_never_exceeds_the_limit(spark):

@@ -112,3 +112,24 @@ def test_document_job_end_to_end(spark):
     squeeze = lambda t: "".join(t.split())
     assert squeeze(done[1].text.replace("so ", "")) == squeeze(PAPER)
     assert "__" not in done[1].text
+
+
+def test_one_update_counts_for_a_chunk(spark):
+    updates = spark.createDataFrame([("a", 0, "first", 1), ("a", 0, "second", 2), ("a", 0, "second", 2)], "run_id string, sequence_no int, processed string, iterations int")
+    got = {(r.run_id, r.sequence_no): (r.processed, r.iterations) for r in ledger.apply_updates(chunks(spark), updates).collect()}
+    assert got == {("a", 0): ("second", 2), ("a", 1): (None, 0), ("z", 0): (None, 0)} and ledger.apply_updates(chunks(spark), updates).count() == 3
+
+
+def test_runs_are_finished(spark):
+    done = chunks(spark).withColumn("processed", F.when(F.col("run_id") == "a", "p"))
+    summaries = spark.createDataFrame([("b", "new")], "run_id string, master_summary string")
+    got = {r.run_id: (r.total_chunks, r.status, r.master_summary) for r in ledger.finish_runs(runs(spark), done, summaries).collect()}
+    assert got == {"a": (2, "completed", "s"), "b": (0, "failed", "new"), "c": (0, "failed", "s")}
+
+
+def test_long_documents_pass_the_job(spark):
+    docs = spark.createDataFrame([(0, "word " * 40_000), (1, "")], "doc_id bigint, text string")
+    pieces, _, rejected = jobs.prepare_documents(docs)
+    assert pieces.agg(F.sum("word_count")).first()[0] == 40_000
+    assert [tuple(r) for r in rejected.collect()] == [(1, "empty")]
+    assert [r.doc_id for r in jobs.prepare_documents(docs, limit=60_000)[2].collect()] == [0, 1]

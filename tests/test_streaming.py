@@ -1,9 +1,13 @@
 import json
+import os
+from datetime import datetime
 from types import SimpleNamespace
 
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textloom import session
 from textloom.operators import selection
 from textloom.session import shared_dir
 from textloom.streaming import events as S
@@ -123,6 +127,44 @@ def test_intake_stream_equals_batch(spark, tmp_path):
 
 
 def test_shared_folder_setting_is_read(spark, tmp_path):
-    assert shared_dir(spark).startswith("/tmp/")
-    clustered = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: {"spark.checkpoint.dir": str(tmp_path)}[key]))
-    assert shared_dir(clustered).startswith(f"{tmp_path}/textloom-")
+    def made(master, **conf):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf.get("folder", default)), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_dir(made("spark://host:7077", folder=str(tmp_path))).startswith(f"{tmp_path}/textloom-")
+    assert "textloom-" in shared_dir(made("local[4]"))
+    with pytest.raises(ValueError, match=r"spark\.checkpoint\.dir"):
+        shared_dir(made("yarn"))
+
+
+def test_release_deletes_what_was_written(spark):
+    folder = shared_dir(spark)
+    spark.range(3).write.parquet(f"{folder}/table")
+    assert os.path.exists(folder)
+    session.release(spark)
+    assert not os.path.exists(folder)
+
+
+@pytest.mark.parametrize("name", ["parsed_status_events", "run_states_stream", "error_feed_stream", "score_monitor_stream", "daily_tokens_stream", "requests_per_minute_stream", "intake_stream"])
+def test_streams_read_tables_in_parts(spark, tmp_path, name):
+    from textloom.plans.catalog import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    for table in ("events", "documents"):
+        spark.read.parquet(f"{sf}/{table}.parquet").repartition(3).write.parquet(f"{tmp_path}/{table}.parquet")
+    assert rows_of(QUERIES[name](spark, str(tmp_path))) == rows_of(QUERIES[name](spark, sf)) != []
+
+
+def test_late_progress_counts_where_it_belongs(spark, tmp_path):
+    at = [datetime(2024, 1, 1, h) for h in range(5)]
+    schema = "o int, run_id string, event_id bigint, event_time timestamp, category string, progress_state string"
+    rows = [(0, "r", 3, at[3], "progress", "assembly"), (1, "r", 4, at[4], "error", None), (2, "r", 1, at[1], "progress", "parsing"), (3, "r", 2, at[2], "error", None)]
+    df = spark.createDataFrame(rows, schema)
+    live = S.run_error_feed(as_stream(spark, df, tmp_path).drop("o"), str(tmp_path / "out"))
+    assert {(r.event_id, r.state) for r in live.collect()} == {(4, "assembly"), (2, "parsing")}
+
+
+def test_intake_keeps_maps_and_rejected_rows(spark, tmp_path):
+    docs = spark.createDataFrame([(0, "Text [1]. " + "word " * 20), (1, "  "), (2, "x" * 200_000)], "doc_id bigint, text string")
+    chunks, maps, rejected = S.run_intake(as_stream(spark, docs, tmp_path), folder=str(tmp_path / "out"))
+    assert {r.doc_id for r in chunks.collect()} == {0, 2} == {r.doc_id for r in maps.collect()}
+    assert [tuple(r) for r in rejected.collect()] == [(1, "empty")]

@@ -34,10 +34,21 @@ CHUNK_ABBREVIATIONS = [
 ]
 
 # Abbreviations whose dots do not end a sentence in the metrics splitter.
-METRIC_TITLES = [
-    "Dr", "dr", "Mr", "mr", "Mrs", "mrs", "Ms", "ms",
-    "Prof", "prof", "Col", "col", "Gen", "gen", "Vs", "vs",
+METRIC_ABBREVIATIONS = [
+    "Dr.", "dr.", "Mr.", "mr.", "Mrs.", "mrs.", "Ms.", "ms.",
+    "Prof.", "prof.", "Col.", "col.", "Gen.", "gen.", "Vs.", "vs.",
+    "e.g.", "E.g.", "i.e.", "I.e.", "a.m.", "p.m.", "A.M.", "P.M.",
 ]
+# Where texts are split: after the end of a sentence, at blank lines, after a clause.
+SENTENCE_GAP = rf"(?<=[.!?]){WS}+"
+PARAGRAPH_GAP = rf"\n{WS}*\n"
+CLAUSE_GAP = rf"(?<=[,;:—]){WS}+"
+# A code fence around a whole answer, reasoning inside one, and the parts of a summary.
+FENCE = r"(?s)\A```(?:[a-zA-Z0-9-]*\n)?(.*?)```\z"
+THINK = r"(?is)<think>.*?</think>"
+SUMMARY_THESIS = r"(?isu)THESIS:(.*?)(METHODOLOGY:|$)"
+SUMMARY_METHODOLOGY = r"(?isu)METHODOLOGY:(.*?)(GLOSSARY:|$)"
+SUMMARY_GLOSSARY = r"(?isu)GLOSSARY:(.*)$"
 METRIC_DOT_MASK = "\u200b"
 
 # --- uniformity score -----------------------------------------------------

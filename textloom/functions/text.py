@@ -24,7 +24,6 @@ def words(text: Column) -> Column:
 
 # --- sentences ---------------------------------------------------------------
 
-_SENTENCE_GAP = rf"(?<=[.!?]){V.WS}+"
 _ENDS_WITH_ABBREVIATION = (
     rf"(?i)(?:^|{V.WS})(?:{'|'.join(re.escape(a) for a in V.CHUNK_ABBREVIATIONS)})[.?,!]*{V.WS}*\z"
 )
@@ -36,7 +35,7 @@ def sentences_chunk(text: Column) -> Column:
     No piece contains a dot followed by a line feed (that would have been a gap),
     so this pair separates finished sentences while glued ones get a space.
     """
-    pieces = F.filter(F.split(text, _SENTENCE_GAP), lambda p: p != "")
+    pieces = F.filter(F.split(text, V.SENTENCE_GAP), lambda p: p != "")
     ended = F.transform(
         pieces, lambda p: F.concat(p, F.when(p.rlike(_ENDS_WITH_ABBREVIATION), F.lit(" ")).otherwise(F.lit(".\n")))
     )
@@ -46,20 +45,12 @@ def sentences_chunk(text: Column) -> Column:
 def sentences_metrics(text: Column) -> Column:
     """Split after .!? and white space with the dots of abbreviations hidden."""
     dot = V.METRIC_DOT_MASK
-    initials = "".join(sorted({t[0] for t in V.METRIC_TITLES}))
     edge = rf"(?<!{V.WORD_CHAR})"  # every abbreviation starts with a letter
-    hidden = F.regexp_replace(
-        text, rf"(?=[{initials}]){edge}({'|'.join(V.METRIC_TITLES)})\.", f"$1{dot}"
-    )
-    for inner, letters in (("g", "eE"), ("e", "iI"), ("m", "ap"), ("M", "AP")):
-        # texts without the dotted ending are spared the pattern
-        pattern = rf"(?=[{letters}]\.{inner}\.){edge}([{letters}])\.{inner}\."
-        hidden = let(
-            hidden,
-            lambda h, ending=f".{inner}.", p=pattern, out=f"$1{dot}{inner}{dot}": F.when(
-                F.contains(h, F.lit(ending)), F.regexp_replace(h, p, out)
-            ).otherwise(h),
-        )
+    titles = [a[:-1] for a in V.METRIC_ABBREVIATIONS if a.count(".") == 1]
+    dotted = [re.escape(a) for a in V.METRIC_ABBREVIATIONS if a.count(".") == 2]
+    initials = "".join(sorted({t[0] for t in titles}))
+    hidden = F.regexp_replace(text, rf"(?=[{initials}]){edge}({'|'.join(titles)})\.", f"$1{dot}")
+    hidden = F.regexp_replace(hidden, rf"(?=[a-zA-Z]\.[a-zA-Z]\.){edge}(?={'|'.join(dotted)})(.)\.(.)\.", f"$1{dot}$2{dot}")
     flat = collapse_ws(strip(hidden))
     pieces = F.filter(F.split(flat, r"(?<=[.!?]) "), lambda s: strip(s) != "")
     return F.transform(pieces, lambda s: F.replace(s, F.lit(dot), F.lit(".")))
@@ -73,7 +64,7 @@ def sentences_naive(text: Column) -> Column:
 def paragraphs(text: Column) -> Column:
     """Blank-line separated paragraphs with their position before blanks are dropped."""
     numbered = F.transform(
-        F.split(text, rf"\n{V.WS}*\n"),
+        F.split(text, V.PARAGRAPH_GAP),
         lambda p, i: F.struct(i.cast("int").alias("index"), strip(p).alias("text")),
     )
     return F.filter(numbered, lambda p: p["text"] != "")
@@ -81,7 +72,7 @@ def paragraphs(text: Column) -> Column:
 
 def split_long(sentence: Column, limit: int) -> Column:
     """Pack clauses up to ``limit`` words, then cut what is still longer."""
-    clauses = F.split(sentence, rf"(?<=[,;:—]){V.WS}+")
+    clauses = F.split(sentence, V.CLAUSE_GAP)
 
     def packed(parts: Column) -> Column:
         counts = F.transform(parts, ws_count)
@@ -177,11 +168,11 @@ def fingerprint(text: Column) -> Column:
 def strip_fence(text: Column) -> Column:
     """Remove one code fence that wraps the whole answer."""
     bare = strip(F.coalesce(text, F.lit("")))
-    return strip(F.regexp_replace(bare, r"(?s)\A```(?:[a-zA-Z0-9-]*\n)?(.*?)```\z", "$1"))
+    return strip(F.regexp_replace(bare, V.FENCE, "$1"))
 
 
 def strip_think(text: Column) -> Column:
-    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?is)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(F.coalesce(text, F.lit("")), V.THINK, ""))
 
 
 def quarter_length(text: Column) -> Column:
@@ -211,10 +202,7 @@ def estimate_tokens(
 
 def parse_summary(text: Column) -> Column:
     """Sections, glossary and validity of a three-part summary."""
-    flags = "(?isu)"
-    thesis_re = rf"{flags}THESIS:(.*?)(METHODOLOGY:|$)"
-    method_re = rf"{flags}METHODOLOGY:(.*?)(GLOSSARY:|$)"
-    glossary_re = rf"{flags}GLOSSARY:(.*)$"
+    thesis_re, method_re, glossary_re = V.SUMMARY_THESIS, V.SUMMARY_METHODOLOGY, V.SUMMARY_GLOSSARY
     found = text.rlike(thesis_re) & text.rlike(method_re) & text.rlike(glossary_re)
 
     thesis = strip(F.regexp_extract(text, thesis_re, 1))

@@ -179,20 +179,15 @@ def new_chunk_rows(chunks: DataFrame, run_id: str = "run_id") -> DataFrame:
     )
 
 
-def reassemble(
-    pieces: DataFrame, key: str, position: str, text: str, separator: str = "\n\n", span: int = 65_536
-) -> DataFrame:
-    """Ordered pieces back into one text per key.
+def reassemble(pieces: DataFrame, key: str, position: str, text: str, separator: str = "\n\n") -> DataFrame:
+    """Ordered pieces back into one text per key, whatever their number.
 
-    A key's pieces are grouped by ranges of ``span`` positions, so no task ever
-    holds more than one range. Every document that intake admits has fewer pieces
-    than that and comes back as one row with part 0; longer sequences come back
-    as parts that continue each other.
+    Exact copies of a piece collapse before the shuffle. What meets for a key is
+    its text, which the result holds as one value anyway.
     """
-    part = F.floor(F.col(position) / span).cast("bigint")
     entry = F.struct(F.col(position).alias("p"), F.col(text).alias("t"))
     return (
-        pieces.groupBy(key, part.alias("part"))
+        pieces.groupBy(key)
         .agg(F.array_sort(F.collect_set(entry)).alias("_pieces"))
-        .select(key, "part", join(F.col("_pieces.t"), separator).alias(text), F.size("_pieces").alias("n_pieces"))
+        .select(key, join(F.col("_pieces.t"), separator).alias(text), F.size("_pieces").alias("n_pieces"))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import each, py_round
+from textloom.functions.core import py_round
 
 
 def default_quotas(spark) -> DataFrame:
@@ -28,46 +28,46 @@ def _quota_states(quotas: DataFrame) -> DataFrame:
     )
 
 
-def _outcomes(calls: DataFrame, quotas: DataFrame, priorities: int) -> DataFrame:
-    """One row per request: the winning call and the failed call at each priority.
-
-    Each priority is its own partial aggregate, so no list of calls is collected.
-    """
+def _made(calls: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The calls to providers that were not exhausted, with ``ok`` for those that answered."""
     states = F.broadcast(_quota_states(quotas))  # bounded by the provider list
-    marked = calls.join(states, "provider", "left")
-    made = ~F.coalesce("exhausted", F.lit(False))  # calls to exhausted providers are skipped
+    made = calls.join(states, "provider", "left").filter(~F.coalesce("exhausted", F.lit(False)))
     ok = (F.col("status") == 200) & F.col("text").isNotNull()
-    record = F.struct("priority", "provider", "text")
-    failures = [
-        F.min(F.when(made & ~ok & (F.col("priority") == p), F.struct("priority", "provider", "status"))).alias(f"_f{p}")
-        for p in range(priorities)
-    ]
-    return marked.groupBy("request_id").agg(F.min(F.when(made & ok, record)).alias("won"), *failures)
-
-
-def resolve_failover(
-    calls: DataFrame, quotas: DataFrame, priorities: int = len(V.FAILOVER_SEQUENCE)
-) -> DataFrame:
-    """The first provider in order that has budget left and answered; null if all failed."""
-    outcomes = _outcomes(calls, quotas, priorities)
-    return outcomes.select(
-        "request_id", F.col("won.priority").alias("priority"), F.col("won.provider").alias("provider"),
-        F.col("won.text").alias("text"), F.col("won").isNull().alias("all_failed"),
-    )
+    return made.drop("exhausted").withColumn("ok", F.coalesce(ok, F.lit(False)))
+
+
+def _won(made: DataFrame) -> DataFrame:
+    """(request_id, won): the first priority that answered."""
+    return made.filter("ok").groupBy("request_id").agg(F.min("priority").alias("won"))
+
 
+def resolve_failover(calls: DataFrame, quotas: DataFrame) -> DataFrame:
+    """The first provider in order that has budget left and answered; null if all failed.
 
-def failover_errors(calls: DataFrame, quotas: DataFrame, priorities: int = len(V.FAILOVER_SEQUENCE)) -> DataFrame:
-    """The failed calls that were made before the successful one."""
-    outcomes = _outcomes(calls, quotas, priorities)
-    failed = F.filter(
-        F.array(*[F.col(f"_f{p}") for p in range(priorities)]),
-        lambda f: f.isNotNull() & (F.col("won").isNull() | (f["priority"] < F.col("won.priority"))),
+    Requests are decided on numbers, and texts join the decision afterwards. Of
+    several answers at the winning priority the one with the least hash counts.
+    """
+    answers = _made(calls, quotas).filter("ok").select(
+        "request_id", "priority", "provider", "text", F.xxhash64("provider", "text").alias("_h")
     )
-    return each(outcomes, ["request_id"], failed, "_pos", "f").select(
-        "request_id", "f.priority", "f.provider", "f.status"
+    first = answers.groupBy("request_id").agg(F.min("priority").alias("priority"))
+    chosen = answers.join(first, ["request_id", "priority"], "left_semi")
+    least = chosen.groupBy("request_id").agg(F.min("_h").alias("_h"))
+    winner = chosen.join(least, ["request_id", "_h"], "left_semi").dropDuplicates(["request_id", "_h"])
+    asked = calls.select("request_id").distinct()
+    return asked.join(winner, "request_id", "left").select(
+        "request_id", "priority", "provider", "text", F.col("priority").isNull().alias("all_failed")
     )
 
 
+def failover_errors(calls: DataFrame, quotas: DataFrame) -> DataFrame:
+    """Every failed call that was made before the successful one, whatever its priority or number."""
+    made = _made(calls, quotas)
+    failed = made.filter("not ok").join(_won(made), "request_id", "left")
+    before = F.col("won").isNull() | (F.col("priority") < F.col("won"))
+    return failed.filter(before).select("request_id", "priority", "provider", "status")
+
+
 def usage_by_day(calls: DataFrame) -> DataFrame:
     """Tokens and throttling per provider and day."""
     return calls.groupBy("provider", F.to_date("ts").alias("day")).agg(
@@ -84,17 +84,23 @@ def accumulate_usage(quotas: DataFrame, calls: DataFrame) -> DataFrame:
         F.bool_or(F.col("status").isin(*V.THROTTLED_STATUSES)).alias("_throttled"),
     )
     total = F.col("used_today") + F.coalesce("_tokens", F.lit(0))
-    return quotas.join(used, "provider", "left").select(
+    return _one_each(quotas).join(used, "provider", "left").select(
         "provider", "daily_limit",
         F.when(F.coalesce("_throttled", F.lit(False)), F.col("daily_limit")).otherwise(total).alias("used_today"),
         "rpm_limit",
     )
 
 
+def _one_each(quotas: DataFrame) -> DataFrame:
+    """One record per provider: of several the one with the most use, then the highest limits."""
+    most = F.max(F.struct("used_today", "daily_limit", "rpm_limit")).alias("_q")
+    return quotas.groupBy("provider").agg(most).select("provider", "_q.daily_limit", "_q.used_today", "_q.rpm_limit")
+
+
 def required_quotas(quotas: DataFrame) -> DataFrame:
     """Every provider of the default list, with defaults where its record is missing."""
     defaults = default_quotas(quotas.sparkSession)
-    d, q = defaults.alias("d"), quotas.alias("q")
+    d, q = defaults.alias("d"), _one_each(quotas).alias("q")
     known = F.col("q.provider").isNotNull()
     pick = [F.when(known, F.col(f"q.{c}")).otherwise(F.col(f"d.{c}")).alias(c) for c in ("daily_limit", "used_today", "rpm_limit")]
     return d.join(q, F.col("d.provider") == F.col("q.provider"), "left").select(F.col("d.provider"), *pick)

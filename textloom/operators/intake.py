@@ -10,21 +10,23 @@ from textloom.functions.core import let, strip
 from textloom.functions.text import document_name, length_band
 
 
-def _text_reason(trimmed: Column) -> Column:
-    return F.when(F.coalesce(trimmed, F.lit("")) == "", "empty").when(
-        F.length(trimmed) > V.MAX_TEXT_CHARS, "too long"
-    )
+def _text_reason(trimmed: Column, limit: int | None) -> Column:
+    reason = F.when(F.coalesce(trimmed, F.lit("")) == "", "empty")
+    return reason if limit is None else reason.when(F.length(trimmed) > limit, "too long")
+
 
+def screen_documents(df: DataFrame, text: str = "text", name: str | None = None, limit: int | None = V.MAX_TEXT_CHARS) -> DataFrame:
+    """Trim every text, name it and say why it would be rejected (null = admitted).
 
-def screen_documents(df: DataFrame, text: str = "text", name: str | None = None) -> DataFrame:
-    """Trim every text, name it and say why it would be rejected (null = admitted)."""
+    ``limit``: the most characters of a text; None takes texts of any length.
+    """
     trimmed = df.withColumn(text, strip(F.col(text)))
     given = F.col(name) if name else F.lit(None).cast("string")
     return trimmed.withColumns(
         {
             "name": document_name(given, F.coalesce(F.col(text), F.lit(""))),
             "band": length_band(F.coalesce(F.col(text), F.lit(""))),
-            "reason": _text_reason(F.col(text)),
+            "reason": _text_reason(F.col(text), limit),
         }
     )
 
@@ -43,22 +45,10 @@ def file_reason(path: Column, length: Column, head: Column) -> Column:
 
 
 def admit_files(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest of a folder of files with the reason each is rejected.
-
-    Only files of the right type and size are opened: the manifest itself does not
-    read content, and the length filter reaches the file source.
-    """
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    manifest = reader.load(path).select("path", "length", "modificationTime")
-    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in V.FILE_SUFFIX)
+    """Manifest of a folder of files with the reason each is rejected, from one listing and one read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     head = F.decode(F.substring("content", 1, len(V.FILE_MAGIC)), "ISO-8859-1")
-    opened = (
-        reader.option("pathGlobFilter", glob).load(path)
-        .filter(F.col("length") <= V.MAX_FILE_BYTES).select("path", head.alias("_head"))
-    )
-    return manifest.join(opened, "path", "left").select(
-        "path", "length", "modificationTime", file_reason(F.col("path"), F.col("length"), F.col("_head")).alias("reason")
-    )
+    return files.select("path", "length", "modificationTime", file_reason(F.col("path"), F.col("length"), head).alias("reason"))
 
 
 def compare_texts(chunks: DataFrame, raw: str = "raw_text", processed: str = "processed") -> DataFrame:

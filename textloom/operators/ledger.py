@@ -14,9 +14,14 @@ from textloom.functions.text import safe_stem
 
 
 def apply_updates(chunks: DataFrame, updates: DataFrame) -> DataFrame:
-    """Chunks with processed text and iteration count replaced where an update exists."""
+    """Chunks with processed text and iteration count replaced where an update exists.
+
+    Of several updates of a chunk the one with the most iterations counts, of equal
+    ones the one with the largest text.
+    """
     keys = ["run_id", "sequence_no"]
-    new = updates.select(*keys, F.col("processed").alias("_p"), F.col("iterations").alias("_i"), F.lit(True).alias("_u"))
+    last = updates.groupBy(*keys).agg(F.max(F.struct("iterations", "processed")).alias("_l"))
+    new = last.select(*keys, F.col("_l.processed").alias("_p"), F.col("_l.iterations").alias("_i"), F.lit(True).alias("_u"))
     hit = F.coalesce("_u", F.lit(False))
     return chunks.join(new, keys, "left").withColumns(
         {
@@ -26,6 +31,28 @@ def apply_updates(chunks: DataFrame, updates: DataFrame) -> DataFrame:
     ).drop("_p", "_i", "_u")
 
 
+def finish_runs(runs: DataFrame, chunks: DataFrame, summaries: DataFrame | None = None) -> DataFrame:
+    """Runs after processing: total_chunks counted, the status set, the summary kept or replaced.
+
+    A run is completed when all of its chunks are processed and failed when it has none or
+    some are not. ``summaries``: (run_id, master_summary), one row for a run counts.
+    """
+    counted = chunks.groupBy("run_id").agg(F.count("*").alias("_n"), F.count("processed").alias("_done"))
+    done = F.coalesce(F.col("_n") == F.col("_done"), F.lit(False))
+    out = runs.join(counted, "run_id", "left").withColumns(
+        {"total_chunks": F.coalesce("_n", F.lit(0)), "status": F.when(done, "completed").otherwise("failed")}
+    ).drop("_n", "_done")
+    if summaries is None:
+        return out
+    new = summaries.groupBy("run_id").agg(F.max("master_summary").alias("_s"))
+    return out.join(new, "run_id", "left").withColumn("master_summary", F.coalesce("_s", "master_summary")).drop("_s")
+
+
+def quota_listing(quotas: DataFrame) -> DataFrame:
+    """(provider, used_today, daily_limit, rpm_limit) of every quota record, as the table states list them."""
+    return quotas.select("provider", "used_today", "daily_limit", "rpm_limit")
+
+
 def delete_runs(runs: DataFrame, chunks: DataFrame, ids: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given runs; None deletes all runs."""
     if ids is None:

@@ -46,6 +46,22 @@ def gather_attempts(attempts: DataFrame, max_iterations: int = V.MAX_ITERATIONS,
     )
 
 
+def unusable_attempts(attempts: DataFrame, max_iterations: int = V.MAX_ITERATIONS, keys: list[str] | None = None) -> DataFrame:
+    """(keys, iteration, reason) of the attempts that take no part in a choice and why.
+
+    Attempts beyond the last iteration, failed calls, and all attempts of a chunk without a
+    usable iteration 0.
+    """
+    keys = keys or KEYS
+    failed = F.col("score").isNull() | F.col("text").isNull()
+    based = attempts.filter((F.col("iteration") == 0) & ~failed).select(*keys).distinct().withColumn("_based", F.lit(True))
+    reason = (
+        F.when(F.col("iteration") > max_iterations, "beyond the last iteration").when(failed, "no text or score")
+        .when(F.col("_based").isNull(), "no baseline")
+    )
+    return attempts.join(based, keys, "left").select(*keys, "iteration", reason.alias("reason")).filter("reason is not null")
+
+
 def _history(base: Column, accepted: Column) -> Column:
     return F.concat(F.array(base["score"]), accepted["score"])
 
@@ -140,7 +156,7 @@ def select_candidates(
         F.when(use_attempt, s["tried"]).otherwise(s["best"]).alias("best_score"),
         (F.size(s["history"]) - 1).alias("iterations"),
         s["history"].alias("scores_history"),
-        F.coalesce(s["reason"], F.lit("iterations used up")).alias("stop_reason"),
+        F.when(base.isNull(), "no baseline").otherwise(F.coalesce(s["reason"], F.lit("iterations used up"))).alias("stop_reason"),
     )
 
 

@@ -16,7 +16,7 @@ from textloom.functions import text as X
 from textloom.functions.core import each, strip, ws_count
 from textloom.operators import chunking, failover, intake, layout, ledger, markdown, masking, metrics, scoring, selection
 from textloom.plans import documents as jobs
-from textloom.session import prepare, spread, stored
+from textloom.session import prepare, stored
 from textloom.sources import blocks as B
 from textloom.streaming import events as S
 
@@ -35,6 +35,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer files than cores over the cores.
+
+    A file of one row group is one task whatever the read settings. Tables of many files, as all
+    large ones are, are read as they lie.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+
+
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spread(table(spark, sf_dir, "documents").select(*(columns or ("doc_id", "text"))))
 
@@ -318,7 +328,7 @@ def finished_documents(spark, sf):
     chunks, maps, _ = jobs.prepare_documents(
         _cited(texts(spark, sf)), target=V.LIBRARY_TARGET_WORDS, maximum=V.LIBRARY_MAX_WORDS, store=True
     )
-    first, second = F.col("text"), F.concat(F.lit("New: "), "text")
+    first, second = F.concat(F.lit("Old: "), "text"), F.col("text")  # the better candidate must win
     attempts = chunks.select(
         "doc_id", "chunk_id",
         F.inline(F.array(*[
@@ -328,8 +338,8 @@ def finished_documents(spark, sf):
     )
     done = jobs.finish_documents(chunks, maps, attempts)
     return done.select(
-        "doc_id", F.col("part"), F.coalesce("error", F.lit("")).alias("error"),
-        F.sha2(F.regexp_replace(F.regexp_replace("text", "New: ", ""), f"{V.WS}+", ""), 256).alias("sha"),
+        "doc_id", F.coalesce("error", F.lit("")).alias("error"),
+        F.sha2(F.regexp_replace("text", f"{V.WS}+", ""), 256).alias("sha"),
     )
 
 
@@ -352,14 +362,14 @@ def chunk_rows(spark, sf):
 def chunk_reassembly(spark, sf):
     said = table(spark, sf, "conversations")
     return chunking.reassemble(said, "conv_id", "turn", "text").select(
-        "conv_id", "part", "text", F.col("n_pieces").cast("bigint").alias("n_pieces")
+        "conv_id", "text", F.col("n_pieces").cast("bigint").alias("n_pieces")
     )
 
 
 @query
 def glossary_losses(spark, sf):
-    """Does the text without its first line still hold the terms of the document's glossary?"""
-    docs = texts(spark, sf).withColumn("glossary", F.slice(F.array_distinct(X.words(F.col("text"))), 1, 10))
+    """Does the text without its first line still hold the words of the document?"""
+    docs = texts(spark, sf).withColumn("glossary", F.array_distinct(X.words(F.col("text"))))
     docs = docs.withColumn("processed", F.regexp_replace("text", r"\A[^\n]*\n?", ""))
     checked = intake.glossary_check(docs, "text", "processed", "glossary")
     return checked.select("doc_id", F.size("expected_terms").cast("bigint").alias("expected"),
@@ -450,14 +460,14 @@ def batch_outcomes(spark, sf):
 @query
 def isolated_map(spark, sf):
     """A user function that raises on some texts; the other rows are unaffected."""
-    def shorten(value: str) -> str:
-        if "user" in value:
+    def rewrite(value: str) -> str:
+        if value.startswith("user"):
             raise ValueError("refused")
-        return value.upper()
+        return value.replace("e", "3")
 
     said = table(spark, sf, "conversations").select("conv_id", "turn", F.concat("role", F.lit(":"), "text").alias("text"))
-    hooked = selection.transform_texts(said, "text", "text", lambda c: F.substring_index(c, ":", 1))
-    done = selection.map_texts_isolated(hooked, "text", shorten)
+    hooked = selection.transform_texts(said, "text", "text", lambda c: F.concat(c, F.lit("!")))
+    done = selection.map_texts_isolated(hooked, "text", rewrite)
     return done.select(
         "conv_id", "turn", "success", "processed", F.coalesce("error", F.lit("")).alias("error"),
         F.coalesce("best_score", F.lit(-1.0)).alias("best_score"),
@@ -575,7 +585,7 @@ def page_texts(spark, sf):
 def blocks_by_page(spark, sf):
     """Ordered blocks of each page, ranges of positions bounding the groups."""
     blocks = B.text_blocks(_blocks(spark, sf)).withColumn("text", X.fingerprint(F.col("text")))
-    return chunking.reassemble(blocks, "page_id", "block_no", "text", " ").select("page_id", "part", F.col("n_pieces").cast("bigint").alias("n_blocks"), F.col("text").alias("fingerprints"))
+    return chunking.reassemble(blocks, "page_id", "block_no", "text", " ").select("page_id", F.col("n_pieces").cast("bigint").alias("n_blocks"), F.col("text").alias("fingerprints"))
 
 
 @query
@@ -750,7 +760,7 @@ def latest_runs_with_chunks(spark, sf):
 
 @query
 def runs_with_chunks(spark, sf):
-    rows = ledger.runs_with_chunks(_runs(spark, sf), _chunks(spark, sf).filter("flag = 'R'"))
+    rows = ledger.runs_with_chunks(_runs(spark, sf), _chunks(spark, sf).filter("run_id % 7 <> 3"))
     return rows.select("run_id", "status", F.col("sequence_no").cast("bigint").alias("sequence_no"), "part")
 
 
@@ -805,9 +815,9 @@ def updated_chunks(spark, sf):
 
 @query
 def run_artifacts(spark, sf):
-    """Line items of linenumber 1 and 2 as the PDF and text files of their order."""
-    files = _chunks(spark, sf).filter("sequence_no < 3").select(
-        F.concat(F.lit("/out/"), F.col("run_id").cast("string"), F.when(F.col("sequence_no") == 1, "_final.pdf").otherwise("_result.txt")).alias("path"))
+    """Line items as files of their order: the first its PDF, the second its text, later ones parts of no use."""
+    kind = F.when(F.col("sequence_no") == 1, "_final.pdf").when(F.col("sequence_no") == 2, "_result.txt").otherwise("_part.tmp")
+    files = _chunks(spark, sf).select(F.concat(F.lit("/out/"), F.col("run_id").cast("string"), kind).alias("path"))
     return ledger.resolve_artifacts(_runs(spark, sf).withColumn("run_id", F.col("run_id").cast("string")), files)
 
 
@@ -815,7 +825,7 @@ def run_artifacts(spark, sf):
 
 
 def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
-    return S.read_stream(spark, sf, "events.parquet", table(spark, sf, "events").schema)
+    return S.read_stream(spark, f"{sf}/events.parquet")
 
 
 def _status(events: DataFrame) -> DataFrame:
@@ -909,6 +919,6 @@ def score_monitor_stream(spark, sf):
 
 @query
 def intake_stream(spark, sf):
-    documents = S.read_stream(spark, sf, "documents.parquet", table(spark, sf, "documents").schema)
+    documents = S.read_stream(spark, f"{sf}/documents.parquet")
     chunks = S.run_append(S.intake_stream(documents))
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"))

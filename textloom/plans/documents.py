@@ -15,16 +15,17 @@ from textloom.session import stored
 
 def prepare_documents(
     documents: DataFrame, key: str = "doc_id", text: str = "text",
-    target: int = V.TARGET_WORDS, maximum: int = V.MAX_WORDS, store: bool = False,
+    target: int = V.TARGET_WORDS, maximum: int = V.MAX_WORDS, store: bool = False, limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Admit, mask and chunk texts: (chunks, token maps, rejected).
 
     Everything up to the chunks happens inside the document's row. The token maps
     stay at one row per document instead of being repeated on every chunk. With
     ``store`` masked texts and chunks become tables in the shared folder, which is
-    what a job needs whose candidate texts come back later.
+    what a job needs whose candidate texts come back later. Texts of any length are
+    taken unless ``limit`` gives the most characters.
     """
-    screened = screen_documents(documents.select(key, text), text)
+    screened = screen_documents(documents.select(key, text), text, limit=limit)
     rejected = screened.filter(F.col("reason").isNotNull()).select(key, "reason")
     masked = masked_documents(screened, key, text)
     if store:
@@ -66,7 +67,7 @@ def finish_documents(chunks: DataFrame, maps: DataFrame, attempts: DataFrame, ke
     whole = reassemble(merged, key, "chunk_id", "text").join(maps, key)
     restored = restore_tokens(F.col("text"), F.col("token_map"))
     return whole.withColumn("_r", restored).select(
-        key, "part", "name",
+        key, "name",
         F.coalesce("_r.text", restore_soft(F.col("text"), F.col("token_map"))).alias("text"),
         F.col("_r.error").alias("error"),
     )

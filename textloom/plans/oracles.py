@@ -43,7 +43,7 @@ def words(x: str) -> str:
 def sentences_b(x: str) -> str:
     z = V.METRIC_DOT_MASK
     for _ in range(2):  # a title may directly follow another one
-        x = rf"regexp_replace({x}, '(^|[^{WC[1:-1]}])({'|'.join(V.METRIC_TITLES)})\.', '\1\2{z}', 'g')"
+        x = rf"regexp_replace({x}, '(^|[^{WC[1:-1]}])(Dr|dr|Mr|mr|Mrs|mrs|Ms|ms|Prof|prof|Col|col|Gen|gen|Vs|vs)\.', '\1\2{z}', 'g')"
     for pattern, out in (
         (r"([eE])\.g\.", rf"\2{z}g{z}"), (r"([iI])\.e\.", rf"\2{z}e{z}"),
         (r"([ap])\.m\.", rf"\2{z}m{z}"), (r"([AP])\.M\.", rf"\2{z}M{z}"),
@@ -326,7 +326,7 @@ p2 AS (SELECT doc_id, para, {trim('raw')} AS t, len({tokens('raw')}) AS n FROM p
 SELECT doc_id AS run_id, count(*) AS chunks, sum(len(regexp_extract_all(text, '__CITATION_[0-9]+__')))::BIGINT AS tokens,
   sum(word_count)::BIGINT AS words, 0::BIGINT AS processed FROM chunks GROUP BY doc_id""")
 oracle("finished_documents", f"""
-WITH {fill(_CITED, 'documents')} SELECT doc_id, 0::BIGINT AS part, '' AS error, sha256({flat('text', '')}) AS sha FROM c""")
+WITH {fill(_CITED, 'documents')} SELECT doc_id, '' AS error, sha256({flat('text', '')}) AS sha FROM c""")
 _LAST = "length(regexp_extract(win, '(?s)^(.*){0}', 1))"
 oracle("slice_text", rf"""
 WITH RECURSIVE r AS (
@@ -342,11 +342,12 @@ SELECT doc_id, piece - 1 AS piece, length(t) AS n_chars, sha256(t) AS sha FROM r
 oracle("chunk_rows", """
 SELECT sha256(conv_id || '|' || turn) AS chunk_id, conv_id AS run_id, turn AS sequence_no, text AS clean_text, 0::BIGINT AS iterations FROM conversations""")
 oracle("chunk_reassembly", """
-SELECT conv_id, 0::BIGINT AS part, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_pieces FROM conversations GROUP BY conv_id""")
+SELECT conv_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text, count(*) AS n_pieces FROM conversations GROUP BY conv_id""")
 oracle("glossary_losses", f"""
 WITH w AS (SELECT doc_id, text, {words('text')} AS w, regexp_replace(text, '^[^\\n]*\\n?', '') AS processed FROM documents),
-g AS (SELECT *, (list_filter(w, lambda x_, i_: list_position(w, x_) = i_))[1:10] AS g FROM w),
-e AS (SELECT *, list_filter(g, lambda t_: contains(text, t_)) AS e FROM g)
+u AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM w),
+g AS (SELECT doc_id, list(t ORDER BY i) AS g FROM (SELECT doc_id, t, min(i) AS i FROM u GROUP BY ALL) GROUP BY ALL),
+e AS (SELECT doc_id, processed, list_filter(coalesce(g, []), lambda t_: contains(text, t_)) AS e FROM w LEFT JOIN g USING (doc_id))
 SELECT doc_id, len(e) AS expected, array_to_string(list_filter(e, lambda t_: NOT contains(processed, t_)), ',') AS lost FROM e""")
 oracle("text_comparison", """
 WITH d AS (SELECT doc_id, text, rtrim(regexp_replace(text, '  +', ' ', 'g'), ' ') AS p FROM documents)
@@ -418,7 +419,7 @@ c AS (SELECT *, sum(stalled::INT) OVER (PARTITION BY run, sequence_no ORDER BY i
 SELECT run::VARCHAR AS run_id, sequence_no, iteration, score, round(score - prev, 6) AS delta, degraded, stalled, stalls::BIGINT AS stall_count,
   degraded OR (stalled AND stalls >= 2) AS stops, best AS best_score FROM c""")
 oracle("isolated_map", """
-SELECT conv_id, turn, role <> 'user' AS success, CASE WHEN role = 'user' THEN role ELSE upper(role) END AS processed,
+SELECT conv_id, turn, role <> 'user' AS success, CASE WHEN role = 'user' THEN role || ':' || text || '!' ELSE replace(role || ':' || text || '!', 'e', '3') END AS processed,
   CASE WHEN role = 'user' THEN 'refused' ELSE '' END AS error, CASE WHEN role = 'user' THEN 100::DOUBLE ELSE -1::DOUBLE END AS best_score FROM conversations""")
 
 # --- providers ------------------------------------------------------------------------------------
@@ -483,7 +484,7 @@ SELECT regexp_extract(url, '//([^/]*)', 1) AS site, count(*) AS total_blocks, co
 oracle("page_texts", f"""
 WITH {_BLOCKS} SELECT p.page_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY block_no), '') AS text FROM pages p LEFT JOIN bw USING (page_id) GROUP BY ALL""")
 oracle("blocks_by_page", f"""
-WITH {_BLOCKS} SELECT page_id, 0::BIGINT AS part, count(*) AS n_blocks, string_agg(sha256(text), ' ' ORDER BY block_no) AS fingerprints FROM bw WHERE text <> '' GROUP BY page_id""")
+WITH {_BLOCKS} SELECT page_id, count(*) AS n_blocks, string_agg(sha256(text), ' ' ORDER BY block_no) AS fingerprints FROM bw WHERE text <> '' GROUP BY page_id""")
 
 _BOXES = """
 g AS (SELECT page_id, url, block_no AS n, word_count AS w, contains(url, '/en/') AS known FROM bw),
@@ -601,7 +602,7 @@ oracle("latest_runs_with_chunks", f"""
 WITH {_LEDGER}, l AS (SELECT * FROM runs ORDER BY start_time DESC, run_id LIMIT 10)
 SELECT run_id, status, sequence_no, part, quantity FROM l LEFT JOIN chunks USING (run_id)""")
 oracle("runs_with_chunks", f"""
-WITH {_LEDGER} SELECT run_id, status, sequence_no, part FROM runs LEFT JOIN (SELECT * FROM chunks WHERE flag = 'R') USING (run_id)""")
+WITH {_LEDGER} SELECT run_id, status, sequence_no, part FROM runs LEFT JOIN (SELECT * FROM chunks WHERE run_id % 7 <> 3) USING (run_id)""")
 oracle("run_labels", f"WITH {_LEDGER} SELECT kind, status_label, count(*) AS runs FROM labelled GROUP BY ALL")
 oracle("run_violations", f"""
 WITH {_LEDGER} SELECT run_id, 'status' AS violation FROM runs WHERE status = 'paused' UNION ALL

@@ -15,6 +15,10 @@ RUNTIME_SETTINGS = {
 }
 
 
+#: Folders handed out by shared_dir and not released yet.
+_folders: list[str] = []
+
+
 def build_session(master: str | None = None, **settings: str) -> SparkSession:
     builder = SparkSession.builder.appName("textloom")
     if master:
@@ -32,27 +36,28 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder every executor can reach.
+    """A new folder every executor can reach, below the one the session names in spark.checkpoint.dir.
 
-    The cluster names its shared checkpoint folder in spark.checkpoint.dir; only
-    where that is unset (tests on one machine) a temporary folder is used.
+    Only a session that runs in this one process may leave that unset and gets a temporary folder.
+    ``release`` deletes all folders handed out.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        return tempfile.mkdtemp(prefix="spark-")
-    return f"{root.rstrip('/')}/textloom-{uuid.uuid4()}"
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small scan one partition per core before per-row text work.
-
-    A single-row-group file is one task however many cores there are. Inputs that
-    already have enough partitions (any large table) pass through unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.gettempdir()
+    folder = f"{root.rstrip('/')}/textloom-{uuid.uuid4()}"
+    _folders.append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the folders handed out so far; DataFrames that read them end here."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    while _folders:
+        folder = path(_folders.pop())
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def stored(df: DataFrame) -> DataFrame:

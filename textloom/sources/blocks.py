@@ -128,11 +128,11 @@ def blocks_to_json(blocks: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def blocks_from_json(df: DataFrame, keys: list[str], schema: T.StructType = BLOCK, json: str = "json") -> DataFrame:
-    """Parse block JSON; rows that do not parse keep a stub block and the error."""
+    """Parse block JSON; rows that do not parse keep a stub block, the error and the whole record."""
     permissive = T.StructType(schema.fields + [T.StructField("_corrupt", T.StringType())])
     parsed = df.withColumn("_b", F.from_json(json, permissive, {"columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("_b").isNull() | F.col("_b._corrupt").isNotNull()
     return parsed.select(
         *keys, *[F.col(f"_b.{f.name}").alias(f.name) for f in schema.fields],
-        F.when(bad, F.concat(F.lit("unreadable block: "), F.substring(F.coalesce(json, F.lit("")), 1, 120))).alias("error"),
+        F.when(bad, F.lit("unreadable block")).alias("error"), F.when(bad, F.col(json)).alias("unreadable"),
     )

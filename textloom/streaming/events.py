@@ -237,10 +237,16 @@ def score_monitor(
 # --- running streams to the end of what is available ------------------------------------------
 
 
+def _empty_rows(stream: DataFrame, path: str) -> None:
+    """A table without rows, so that a stream without a batch ends in one."""
+    stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)
+
+
 def run_append(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Process everything available into a Parquet table and return the table."""
     spark = stream.sparkSession
     folder = folder or shared_dir(spark)
+    _empty_rows(stream, f"{folder}/rows")
     query = (
         stream.writeStream.format("parquet").outputMode("append")
         .option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/checkpoint")
@@ -258,6 +264,7 @@ def run_updates(stream: DataFrame, keys: list[str], folder: str | None = None) -
     """
     spark = stream.sparkSession
     folder = folder or shared_dir(spark)
+    _empty_rows(stream, f"{folder}/rows/epoch=-1")
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
@@ -277,42 +284,38 @@ def run_updates(stream: DataFrame, keys: list[str], folder: str | None = None) -
 def run_error_feed(events: DataFrame, folder: str | None = None) -> DataFrame:
     """Error feed of an event stream.
 
-    The last state per run survives from batch to batch as a table in the shared
-    folder: batch n reads the states of batch n-1 and writes its own, so repeating
-    a batch gives the same result.
+    The stream lands its events, batch by batch, and the feed is taken from all events that
+    have arrived, so states go by event time: progress that arrives late counts where it
+    belongs, for errors of earlier batches too. A repeated batch overwrites itself.
     """
     spark = events.sparkSession
     folder = folder or shared_dir(spark)
     out = "run_id string, event_id bigint, event_time timestamp, state string"
+    _empty_rows(events, f"{folder}/events/epoch=-1")
 
     def write(batch: DataFrame, epoch: int) -> None:
-        old = spark.read.schema("run_id string, state string").parquet(f"{folder}/states/epoch={epoch - 1}") if epoch else None
-        error_feed(batch, old).write.mode("overwrite").parquet(f"{folder}/rows/epoch={epoch}")
-        new = (
-            batch.filter(F.col("category") == "progress").groupBy("run_id")
-            .agg(F.max(F.struct("event_time", "event_id", "progress_state")).alias("_l"))
-            .select("run_id", F.col("_l.progress_state").alias("state"), F.lit(1).alias("_age"))
-        )
-        if old is not None:
-            new = new.unionByName(old.withColumn("_age", F.lit(0)))
-        new.groupBy("run_id").agg(F.max_by("state", "_age").alias("state")).write.mode("overwrite").parquet(
-            f"{folder}/states/epoch={epoch}"
-        )
+        batch.write.mode("overwrite").parquet(f"{folder}/events/epoch={epoch}")
 
     query = (
         events.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.schema(out).parquet(f"{folder}/rows")
+    seen = spark.read.schema(events.schema).parquet(f"{folder}/events").drop("epoch")
+    return error_feed(seen).select("run_id", "event_id", "event_time", "state").to(T.StructType.fromDDL(out))
 
 
-def read_stream(spark: SparkSession, folder: str, glob: str, schema: T.StructType, files_per_batch: int = 1000) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    return (
-        spark.readStream.schema(schema).option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch).parquet(folder)
-    )
+def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
+    """A Parquet table as a stream: a folder of part files, or one file.
+
+    The stream source takes folders only, so a file is read from its parent with a filter on its name.
+    """
+    table = spark.read.parquet(path)
+    parent, _, name = path.rstrip("/").rpartition("/")
+    reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch)
+    if [file.rpartition("/")[2] for file in table.inputFiles()] == [name]:
+        return reader.option("pathGlobFilter", name).parquet(parent)
+    return reader.parquet(path)
 
 
 def intake_stream(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -320,3 +323,31 @@ def intake_stream(documents: DataFrame, key: str = "doc_id", text: str = "text")
     from textloom.plans.documents import prepare_documents
 
     return prepare_documents(documents, key, text)[0]
+
+
+def run_intake(documents: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Continuous intake with all it makes: (chunks, token maps, rejected).
+
+    Each batch writes its three tables under its own number; masks can be restored with the maps.
+    """
+    from textloom.plans.documents import prepare_documents
+
+    spark = documents.sparkSession
+    folder = folder or shared_dir(spark)
+    names = ("chunks", "maps", "rejected")
+    empty = prepare_documents(spark.createDataFrame([], documents.schema), key, text)
+    for name, part in zip(names, empty, strict=True):
+        _empty_rows(part, f"{folder}/{name}/epoch=-1")
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        for name, part in zip(names, prepare_documents(batch, key, text), strict=True):
+            part.write.mode("overwrite").parquet(f"{folder}/{name}/epoch={epoch}")
+        batch.unpersist()
+
+    query = (
+        documents.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return tuple(spark.read.schema(p.schema).parquet(f"{folder}/{n}").drop("epoch") for n, p in zip(names, empty, strict=True))
