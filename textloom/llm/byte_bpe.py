@@ -179,12 +179,13 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids = [np.frombuffer(b, np.uint32).tolist() for b in batch.column(1).to_pylist()]
-        sums = [hashlib.sha256(",".join(map(str, row)).encode()).hexdigest() for row in ids]
-        plain = [hashlib.sha256(b).hexdigest() for b in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(map(len, ids), pa.int64()), pa.array(sums), pa.array(plain)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-        )
+        sizes, sums, plain = [], [], []
+        for ids, text in zip(batch.column(1), batch.column(2), strict=True):
+            row = np.frombuffer(ids.as_buffer(), np.uint32).tolist()
+            sizes.append(len(row))
+            sums.append(hashlib.sha256(",".join(map(str, row)).encode()).hexdigest())
+            plain.append(hashlib.sha256(text.as_buffer()).hexdigest())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(plain, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
 def digests(encoded: DataFrame) -> DataFrame:

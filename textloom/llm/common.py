@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows that reach a Python worker at once. Texts can be long, so batches are kept small.
-ARROW_ROWS = 2000
+ARROW_ROWS = 1000
 #: Bits of a broadcast bitmap (16 MB), whatever the size of the input, as a power of two.
 BITMAP_BITS = 27
 
