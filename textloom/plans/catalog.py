@@ -16,7 +16,8 @@ from textloom.functions import text as X
 from textloom.functions.core import each, strip, ws_count
 from textloom.operators import chunking, failover, intake, layout, ledger, markdown, masking, metrics, scoring, selection
 from textloom.plans import documents as jobs
-from textloom.session import prepare, stored
+from textloom.session import prepare, shared_dir, stored
+from textloom.sources import tables
 from textloom.sources import blocks as B
 from textloom.streaming import events as S
 
@@ -107,9 +108,10 @@ def answer_cleanup(spark, sf):
 def summary_records(spark, sf):
     docs = texts(spark, sf)
     words = X.words(F.col("text"))
+    half = F.floor(F.size(words) / 2).cast("int")
     good = F.concat(
-        F.lit("Thesis:\n"), F.concat_ws(" ", F.slice(words, 1, 120)), F.lit("\n\nMETHODOLOGY: "),
-        F.concat_ws(" ", F.slice(words, 121, 60)), F.lit("\nGLOSSARY:\n1. "),
+        F.lit("Thesis:\n"), F.concat_ws(" ", F.slice(words, 1, half)), F.lit("\n\nMETHODOLOGY: "),
+        F.concat_ws(" ", F.slice(words, half + 1, F.size(words))), F.lit("\nGLOSSARY:\n1. "),
         F.concat_ws(",", F.slice(words, 1, 5)), F.lit("\n- "), F.concat_ws(".,", F.slice(words, 6, 5)), F.lit("."),
     )
     rows = docs.select("doc_id", "text", good.alias("summary")).withColumn("s", X.parse_summary(F.col("summary")))
@@ -278,17 +280,38 @@ def mask_tokens(spark, sf):
 def mask_roundtrip(spark, sf):
     audited = masking.audit_roundtrip(_cited(_formulas(texts(spark, sf))))
     exact = masking.restore_nested(F.col("masked"), F.col("citation_map"), F.col("math_map"))["text"]
+    lost = F.replace("masked", F.lit("__CITATION_0__"), F.lit(""))  # every second candidate lacks a mask
+    candidate = F.when(F.col("doc_id") % 2 == 1, lost).otherwise(F.col("masked"))
     return audited.select(
         "doc_id", "intact", exact.eqNullSafe(F.col("text")).alias("exact"), F.sha2("restored.text", 256).alias("restored"),
-        masking.masks_preserved(F.col("masked"), F.col("masked")).alias("preserved"),
+        masking.masks_preserved(F.col("masked"), candidate).alias("preserved"),
     )
 
 
+@query
+def mask_totals(spark, sf):
+    """Masks of every kind in texts with citations and formulas."""
+    counts = masking.audit_roundtrip(_cited(_formulas(texts(spark, sf)))).select("doc_id", "counts.*")
+    return counts.select("doc_id", *_big("citations", "math_blocks", "math_inlines", "total"))
+
+
+@query
+def strict_math_restore(spark, sf):
+    """As strict_restore, for formulas; every second document lacks its first inline formula."""
+    plain = texts(spark, sf).withColumn("text", F.translate("text", "$\\", ""))  # formulas of its own could nest
+    masked = masking.mask_math(_formulas(plain))
+    odd = F.col("doc_id") % 2 == 1
+    partial = F.map_filter("math_map", lambda k, _: ~odd | (k != F.lit("__MATH_INLINE_0__")))
+    full, broken = masking.unmask_math(F.col("masked"), F.col("math_map")), masking.unmask_math(F.col("masked"), partial)
+    return masked.select("doc_id", F.sha2(full["text"], 256).alias("restored"), F.coalesce(broken["error"], F.lit("")).alias("error"))
+
+
 @query
 def strict_restore(spark, sf):
-    """Restoring with a map that lacks the first token is an error exactly where it occurs."""
+    """Restoring with a map that lacks the first token, in every second document, is an error there."""
     masked = masking.mask_citations(_cited(texts(spark, sf)))
-    partial = F.map_filter("citation_map", lambda k, _: k != F.lit("__CITATION_0__"))
+    odd = F.col("doc_id") % 2 == 1
+    partial = F.map_filter("citation_map", lambda k, _: ~odd | (k != F.lit("__CITATION_0__")))
     full = masking.unmask_citations(F.col("masked"), F.col("citation_map"))
     broken = masking.unmask_citations(F.col("masked"), partial)
     soft = masking.restore_soft(F.col("masked"), partial)
@@ -525,6 +548,11 @@ def quotas_after_calls(spark, sf):
     return failover.accumulate_usage(_quotas(spark, sf), _calls(spark, sf))
 
 
+@query
+def quota_listing(spark, sf):
+    return ledger.quota_listing(_quotas(spark, sf))
+
+
 @query
 def quota_usage(spark, sf):
     return failover.quota_usage(_quotas(spark, sf))
@@ -813,6 +841,23 @@ def updated_chunks(spark, sf):
     return ledger.apply_updates(chunks, updates).select("run_id", "sequence_no", "processed", F.col("iterations").cast("bigint").alias("iterations"))
 
 
+@query
+def finished_runs(spark, sf):
+    """Orders whose items are all priced below a bound as runs with all chunks processed."""
+    chunks = _chunks(spark, sf).withColumn("processed", F.when(F.col("quantity") < 45, "done"))
+    runs = ledger.finish_runs(_runs(spark, sf), chunks)
+    return runs.select("run_id", "total_chunks", "status", F.coalesce("master_summary", F.lit("")).alias("master_summary"))
+
+
+@query
+def written_results(spark, sf):
+    """Texts written as a new snapshot by language, read back."""
+    folder = shared_dir(spark)
+    tables.write_results(texts(spark, sf, "doc_id", "text", "lang"), f"{folder}/results", "lang")
+    back = tables.read_documents(spark, f"{folder}/results")
+    return back.select("doc_id", F.col("lang").cast("string").alias("lang"), F.sha2("text", 256).alias("sha"))
+
+
 @query
 def run_artifacts(spark, sf):
     """Line items as files of their order: the first its PDF, the second its text, later ones parts of no use."""

@@ -126,7 +126,7 @@ FROM c""")
 
 oracle("summary_records", f"""
 WITH w AS (SELECT doc_id, text, {words('text')} AS w FROM documents),
-g AS (SELECT *, array_to_string(w[1:120], ' ') AS thesis, array_to_string(w[121:180], ' ') AS method,
+g AS (SELECT *, array_to_string(w[1:len(w) // 2], ' ') AS thesis, array_to_string(w[len(w) // 2 + 1:], ' ') AS method,
   list_filter(list_concat(w[1:5], w[6:10]), lambda x_: x_ <> '') AS terms FROM w),
 s AS (SELECT *, 'Thesis:' || chr(10) || thesis || chr(10) || chr(10) || 'METHODOLOGY: ' || method || chr(10) || 'GLOSSARY:' || chr(10)
   || '1. ' || array_to_string(w[1:5], ',') || chr(10) || '- ' || array_to_string(w[6:10], '.,') || '.' AS summary FROM g),
@@ -234,7 +234,7 @@ oracle("mask_citations", f"WITH {fill(_CITED, 'documents')}, {_KNOWN} SELECT doc
 oracle("mask_tokens", f"""
 WITH {fill(_CITED, 'documents')}, {_KNOWN}
 SELECT doc_id, '__CITATION_' || unnest(range(len(known))) || '__' AS token, unnest(known) AS original FROM k""")
-oracle("strict_restore", f"WITH {fill(_CITED, 'documents')} SELECT doc_id, sha256(text) AS restored, true AS fails, true AS left_over FROM c")
+oracle("strict_restore", f"WITH {fill(_CITED, 'documents')} SELECT doc_id, sha256(text) AS restored, doc_id % 2 = 1 AS fails, doc_id % 2 = 1 AS left_over FROM c")
 
 _FORMULAS = r"""
 f AS (SELECT doc_id, text || chr(10) || 'Let $x_{' || doc_id || '}$ and $x_{' || doc_id || '}$ with \(y\).' || chr(10) || '\[z_{' || doc_id
@@ -277,7 +277,14 @@ WITH {_FORMULAS}, {_math_stages('f')}
 SELECT doc_id, text AS masked, len(blocks) AS blocks, len(inlines) AS inlines FROM masked""")
 oracle("mask_roundtrip", f"""
 WITH {_FORMULAS}, {fill(_CITED, 'f')}
-SELECT doc_id, true AS intact, true AS exact, sha256(text) AS restored, true AS preserved FROM c""")
+SELECT doc_id, true AS intact, true AS exact, sha256(text) AS restored, doc_id % 2 = 0 AS preserved FROM c""")
+oracle("mask_totals", f"""
+WITH {_FORMULAS}, {fill(_CITED, 'f')}, {_KNOWN}, ct AS (SELECT doc_id, {_MASKED} AS text FROM k), {_math_stages('ct')}
+SELECT doc_id, len(known) AS citations, len(blocks) AS math_blocks, len(inlines) AS math_inlines, len(known) + len(blocks) + len(inlines) AS total
+FROM masked JOIN k USING (doc_id)""")
+_PLAIN = r"FROM (SELECT doc_id, translate(text, '$\\', '') AS text FROM documents)"
+oracle("strict_math_restore", f"""
+WITH {_FORMULAS.replace('FROM documents', _PLAIN)} SELECT doc_id, sha256(text) AS restored, CASE WHEN doc_id % 2 = 1 THEN 'unknown tokens: __MATH_INLINE_0__' ELSE '' END AS error FROM f""")
 
 # --- chunks -------------------------------------------------------------------------------
 
@@ -382,8 +389,7 @@ SELECT event_id, CASE WHEN event_type = 'signup' THEN 0::DOUBLE WHEN event_type
 _ATTEMPTS = """
 a AS (SELECT (event_id // 4) // 250 AS run, (event_id // 4) % 250 AS sequence_no, event_id % 4 AS iteration, value AS score,
   event_type = 'signup' AS fb, event_id, event_type FROM events),
-acc AS (SELECT * FROM a WHERE iteration = 0 OR event_type <> 'error'
-  OR EXISTS (SELECT 1 FROM a b WHERE b.run = a.run AND b.sequence_no = a.sequence_no AND b.iteration = 0 AND false)),
+acc AS (SELECT * FROM a WHERE iteration = 0 OR event_type <> 'error'),
 l AS (SELECT *, lag(score) OVER w AS prev FROM acc WINDOW w AS (PARTITION BY run, sequence_no ORDER BY iteration)),
 g AS (SELECT *, score > prev + 5 AS degraded, NOT (score > prev + 5) AND prev - score < 2 AS stalled FROM l)"""
 oracle("convergence_flags", f"""
@@ -448,6 +454,7 @@ SELECT provider, daily_limit, CASE WHEN throttled THEN daily_limit ELSE used_tod
 _DEFAULTS = "d(provider, daily_limit, used_today, rpm_limit) AS (VALUES " + ", ".join(
     f"('{p}', {a}::BIGINT, {b}::BIGINT, {c}::BIGINT)" for p, a, b, c in V.DEFAULT_QUOTAS
 ) + ")"
+oracle("quota_listing", f"WITH {_CALLS} SELECT provider, used_today, daily_limit, rpm_limit FROM quotas")
 oracle("quota_usage", f"""
 WITH {_CALLS}, {_DEFAULTS},
 r AS (SELECT d.provider, coalesce(q.daily_limit, d.daily_limit) AS daily_limit, coalesce(q.used_today, d.used_today) AS used_today,
@@ -621,6 +628,11 @@ WITH {_LEDGER} SELECT 'api_quotas' AS table_name, 4::BIGINT AS row_count UNION A
 UNION ALL SELECT 'text_chunks', count(*) FROM chunks WHERE run_id NOT IN (SELECT run_id FROM runs WHERE status = 'paused')""")
 oracle("updated_chunks", """
 SELECT conv_id AS run_id, turn AS sequence_no, CASE WHEN role = 'user' THEN text || '*' END AS processed, CASE WHEN role = 'user' THEN 2 ELSE 0 END::BIGINT AS iterations FROM conversations""")
+oracle("finished_runs", f"""
+WITH {_LEDGER}, n AS (SELECT run_id, count(*) AS n, count(*) FILTER (quantity < 45) AS done FROM chunks GROUP BY 1)
+SELECT run_id, coalesce(n, 0) AS total_chunks, CASE WHEN n = done THEN 'completed' ELSE 'failed' END AS status, coalesce(master_summary, '') AS master_summary
+FROM runs LEFT JOIN n USING (run_id)""")
+oracle("written_results", "SELECT doc_id, lang, sha256(text) AS sha FROM documents")
 oracle("run_artifacts", f"""
 WITH {_LEDGER}, f AS (SELECT run_id, bool_or(sequence_no = 1) AS pdf, bool_or(sequence_no = 2) AS txt FROM chunks WHERE sequence_no < 3 GROUP BY 1),
 j AS (SELECT l.run_id, l.filename, kind = 'PDF' AND coalesce(pdf, false) AS use_pdf, coalesce(txt, false) AS txt FROM labelled l LEFT JOIN f USING (run_id)),
