@@ -743,6 +743,28 @@ def distributed_blocks(spark, sf):
                          F.length("original_text").cast("bigint").alias("original_chars"))
 
 
+@query
+def page_documents(spark, sf):
+    """The whole page job: blocks masked, chunked, chosen, laid onto the blocks and restored.
+
+    Every block ends in a citation and a formula; the better candidate is the chunk itself. A block
+    next to another one may get a word of it, so the text of a page is compared.
+    """
+    mark = F.concat(F.lit(" [7] $x_{"), F.col("page_id").cast("string"), F.lit("}$"))
+    marked = F.transform("blocks", lambda b: b.withField("text", F.when(b["text"] != "", F.concat(b["text"], mark)).otherwise(b["text"])))
+    pages = B.page_blocks(_pages(spark, sf)).select("page_id", marked.alias("blocks"))
+    chunks, blocks, maps = jobs.prepare_page_documents(pages, "page_id")
+    tries = ((0, F.concat(F.lit("Old: "), "text"), 80.0), (1, F.col("text"), 40.0), (2, F.when(F.contains("text", F.lit("__MATH")), "masks lost"), 5.0))
+    attempts = chunks.select("page_id", "chunk_id", F.inline(F.array(*[
+        F.struct(F.lit(i).alias("iteration"), t.alias("text"), F.lit(s).alias("score"), F.lit(False).alias("from_fallback")) for i, t, s in tries
+    ])))
+    done = jobs.finish_page_documents(chunks, blocks, maps, attempts, "page_id")
+    ordered = F.array_sort(F.collect_list(F.struct("original_index", "text")))
+    whole = done.groupBy("page_id").agg(ordered.alias("b"), F.count("*").alias("blocks"), F.count("error").alias("errors"))
+    flat = F.regexp_replace(F.array_join(F.col("b.text"), ""), f"{V.WS}+", "")
+    return whole.select("page_id", "blocks", "errors", F.sha2(flat, 256).alias("sha"))
+
+
 @query
 def dangling_references(spark, sf):
     """References to three positions after the last block of each page."""

@@ -490,6 +490,9 @@ SELECT regexp_extract(url, '//([^/]*)', 1) AS site, count(*) AS total_blocks, co
   coalesce(sum(word_count) FILTER (text <> ''), 0)::BIGINT AS total_words, 0::BIGINT AS parse_errors, count(DISTINCT page_id) AS pages FROM bw GROUP BY ALL""")
 oracle("page_texts", f"""
 WITH {_BLOCKS} SELECT p.page_id, coalesce(string_agg(text, chr(10) || chr(10) ORDER BY block_no), '') AS text FROM pages p LEFT JOIN bw USING (page_id) GROUP BY ALL""")
+oracle("page_documents", f"""
+WITH {_BLOCKS} SELECT page_id, count(*) AS blocks, 0::BIGINT AS errors, sha256({flat("string_agg(text || ' [7] $x_{' || page_id || '}$', '' ORDER BY block_no)", '')}) AS sha
+FROM bw WHERE text <> '' GROUP BY page_id""")
 oracle("blocks_by_page", f"""
 WITH {_BLOCKS} SELECT page_id, count(*) AS n_blocks, string_agg(sha256(text), ' ' ORDER BY block_no) AS fingerprints FROM bw WHERE text <> '' GROUP BY page_id""")
 
