@@ -112,9 +112,24 @@ def test_score_monitor_equals_batch(spark, tmp_path):
     scores = {0: [50.0, 49.0, 48.0, 60.0], 1: [80.0, 40.0, 10.0], 2: [60.0, 75.0]}
     rows = [(i, "r", seq, i, s) for seq, values in scores.items() for i, s in enumerate(values)]
     df = spark.createDataFrame(rows, "o int, run_id string, sequence_no bigint, iteration int, score double")
-    live = S.run_append(S.score_monitor(as_stream(spark, df, tmp_path).drop("o")), str(tmp_path / "out"))
+    live = S.run_append(S.score_monitor(as_stream(spark, df, tmp_path).drop("o")), str(tmp_path / "out")).collect()
+    told = {(r.sequence_no, r.iteration): (r.previous_score, r.stall_count, r.best_score, r.stop_reason) for r in live}
+    assert told == {
+        (0, 1): (50.0, 1, 49.0, None), (0, 2): (49.0, 2, 48.0, "stalled twice"),
+        (1, 1): (80.0, 0, 40.0, None), (1, 2): (40.0, 0, 10.0, "exit score"), (2, 1): (60.0, 0, 60.0, "degraded"),
+    }
     batch = selection.convergence_flags(df.withColumns({"text": F.lit("t"), "from_fallback": F.lit(False)}))
-    assert rows_of(live.drop("best_score")) == rows_of(batch)
+    flags = {(r.sequence_no, r.iteration): (r.degraded, r.stalled, r.stall_count, r.delta) for r in batch.collect()}
+    assert all(flags[r.sequence_no, r.iteration] == (r.degraded, r.stalled, r.stall_count, r.delta) for r in live)
+    chosen = {r.sequence_no: r.stop_reason for r in selection.select_candidates(df.withColumns({"text": F.lit("t"), "from_fallback": F.lit(False)})).collect()}
+    assert chosen == {r.sequence_no: r.stop_reason for r in live if r.stop_reason}
+
+
+def test_score_monitor_passes_over_lost_masks_and_low_baselines(spark, tmp_path):
+    rows = [(0, "r", 0, 0, 60.0, True), (1, "r", 0, 1, 1.0, False), (2, "r", 0, 2, 50.0, True), (3, "r", 1, 0, 10.0, True), (4, "r", 1, 1, 5.0, True)]
+    df = spark.createDataFrame(rows, "o int, run_id string, sequence_no bigint, iteration int, score double, accepted boolean")
+    live = S.run_append(S.score_monitor(as_stream(spark, df, tmp_path).drop("o")), str(tmp_path / "out"))
+    assert [(r.sequence_no, r.iteration, r.score) for r in live.collect()] == [(0, 2, 50.0)]
 
 
 def test_intake_stream_equals_batch(spark, tmp_path):

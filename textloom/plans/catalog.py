@@ -980,7 +980,7 @@ def score_monitor_stream(spark, sf):
     )
     return S.run_append(S.score_monitor(scores)).select(
         "run_id", "sequence_no", F.col("iteration").cast("bigint").alias("iteration"), "score", _rounded("delta"), "degraded", "stalled",
-        F.col("stall_count").cast("bigint").alias("stall_count"), "stops", "best_score",
+        F.col("stall_count").cast("bigint").alias("stall_count"), "best_score", F.coalesce("stop_reason", F.lit("")).alias("stop_reason"),
     )
 
 

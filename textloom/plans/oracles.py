@@ -419,11 +419,13 @@ SELECT run::VARCHAR AS run_id, count(*) AS chunks, count(*) AS succeeded, 0::BIG
   sum(iterations)::BIGINT AS total_iterations FROM sel GROUP BY run""")
 oracle("score_monitor_stream", """
 WITH a AS (SELECT (event_id // 4) // 250 AS run, (event_id // 4) % 250 AS sequence_no, event_id % 4 AS iteration, value AS score FROM events),
-l AS (SELECT *, lag(score) OVER w AS prev, min(score) OVER w AS best FROM a WINDOW w AS (PARTITION BY run, sequence_no ORDER BY iteration)),
-g AS (SELECT *, score > prev + 5 AS degraded, NOT (score > prev + 5) AND prev - score < 2 AS stalled FROM l WHERE iteration > 0),
-c AS (SELECT *, sum(stalled::INT) OVER (PARTITION BY run, sequence_no ORDER BY iteration) AS stalls FROM g)
+l AS (SELECT *, lag(score) OVER w AS prev, min(score) OVER w AS best, first_value(score) OVER w AS base FROM a WINDOW w AS (PARTITION BY run, sequence_no ORDER BY iteration)),
+g AS (SELECT *, iteration < 3 AND score > prev + 5 AS degraded, iteration < 3 AND NOT (score > prev + 5) AND prev - score < 2 AS stalled FROM l WHERE iteration > 0),
+c AS (SELECT *, sum(stalled::INT) OVER (PARTITION BY run, sequence_no ORDER BY iteration) AS stalls FROM g),
+r AS (SELECT *, CASE WHEN score < 15 THEN 'exit score' WHEN degraded THEN 'degraded' WHEN stalled AND stalls >= 2 THEN 'stalled twice' ELSE '' END AS stop_reason FROM c),
+f AS (SELECT *, min(iteration) FILTER (stop_reason <> '') OVER (PARTITION BY run, sequence_no) AS stop FROM r)
 SELECT run::VARCHAR AS run_id, sequence_no, iteration, score, round(score - prev, 6) AS delta, degraded, stalled, stalls::BIGINT AS stall_count,
-  degraded OR (stalled AND stalls >= 2) AS stops, best AS best_score FROM c""")
+  best AS best_score, stop_reason FROM f WHERE base >= 15 AND iteration <= coalesce(stop, 99)""")
 oracle("isolated_map", """
 SELECT conv_id, turn, role <> 'user' AS success, CASE WHEN role = 'user' THEN role || ':' || text || '!' ELSE replace(role || ':' || text || '!', 'e', '3') END AS processed,
   CASE WHEN role = 'user' THEN 'refused' ELSE '' END AS error, CASE WHEN role = 'user' THEN 100::DOUBLE ELSE -1::DOUBLE END AS best_score FROM conversations""")

@@ -199,35 +199,49 @@ def error_feed(
 
 MONITOR_OUT = (
     "run_id string, sequence_no bigint, iteration int, previous_score double, score double, delta double, "
-    "degraded boolean, stalled boolean, stall_count int, stops boolean, best_score double"
+    "degraded boolean, stalled boolean, stall_count int, stops boolean, best_score double, stop_reason string"
 )
-MONITOR_STATE = "previous double, stalls int, best double"
+MONITOR_STATE = "previous double, stalls int, best double, stopped boolean"
 
 
 def score_monitor(
-    scores: DataFrame, tolerance: float = V.DEGRADATION_TOLERANCE, stall_below: float = V.STALL_THRESHOLD
+    scores: DataFrame, tolerance: float = V.DEGRADATION_TOLERANCE, stall_below: float = V.STALL_THRESHOLD,
+    exit_score: float = V.EXIT_SCORE, max_iterations: int = V.MAX_ITERATIONS,
 ) -> DataFrame:
-    """Convergence verdict of every score as it arrives, per (run_id, sequence_no).
+    """Verdict of every score as it arrives, per (run_id, sequence_no), until the chunk stops.
 
-    Input columns: run_id, sequence_no, iteration, score. A chunk has a handful of
-    scores, and the state kept for it is three numbers.
+    Input columns: run_id, sequence_no, iteration, score, and optionally accepted; attempts not
+    accepted (a placeholder was lost) are passed over. A chunk stops at a score under the exit
+    score, the baseline's included, when its scores get worse, or at its second stall; scores are
+    compared with the one before up to the last but one iteration. Nothing is told after a stop.
+    The state of a chunk is four values; it is kept, so that nothing is told after a stop.
     """
+    if "accepted" in scores.columns:
+        scores = scores.filter(F.coalesce("accepted", F.lit(True))).drop("accepted")
+    names = [c.split()[0] for c in MONITOR_OUT.split(", ")]
+
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, stalls, best = state.get if state.exists else (None, 0, None)
+        previous, stalls, best, stopped = state.get if state.exists else (None, 0, None, False)
+        rows = sorted((int(i), float(s)) for batch in batches for i, s in zip(batch["iteration"], batch["score"], strict=True))
         out = []
-        for row in pd.concat(list(batches)).sort_values("iteration").itertuples():
-            score = float(row.score)
-            if previous is not None:
-                degraded = score > previous + tolerance
-                stalled = not degraded and previous - score < stall_below
+        for iteration, score in rows:
+            if stopped:
+                break
+            if previous is None:
+                stopped = score < exit_score
+            else:
+                checked = iteration < max_iterations
+                degraded = checked and score > previous + tolerance
+                stalled = checked and not degraded and previous - score < stall_below
                 stalls += int(stalled)
-                out.append(
-                    (*key, int(row.iteration), previous, score, score - previous, degraded, stalled, stalls,
-                     degraded or (stalled and stalls >= 2), min(best, score))
-                )
-            previous, best = score, score if best is None else min(best, score)
-        state.update((previous, stalls, best))
-        yield pd.DataFrame(out, columns=[c.split()[0] for c in MONITOR_OUT.split(", ")])
+                best = min(best, score)
+                twice = stalled and stalls >= 2
+                reason = "exit score" if score < exit_score else "degraded" if degraded else "stalled twice" if twice else None
+                stopped = reason is not None
+                out.append((*key, iteration, previous, score, score - previous, degraded, stalled, stalls, stopped, best, reason))
+            previous, best = score, score if best is None else best
+        state.update((previous, stalls, best, stopped))
+        yield pd.DataFrame(out, columns=names)
 
     return scores.groupBy("run_id", "sequence_no").applyInPandasWithState(
         update, MONITOR_OUT, MONITOR_STATE, "append", GroupStateTimeout.NoTimeout
