@@ -111,10 +111,9 @@ def _trainer(shared, number: int):
 
 
 def fit(rows: DataFrame) -> dict[int, float]:
-    """Weights by coordinate from rows of (id, text as bytes, label); at most SAMPLE of them are used."""
+    """Weights by coordinate from rows of (id, text as bytes, label), as ``labelled`` bounds them."""
     spark = rows.sparkSession
-    order = F.xxhash64(F.col("id").cast("string"), F.lit("order"))
-    sample = stored(rows.orderBy(order, "id", "label", F.xxhash64("text")).limit(SAMPLE).withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS))))
+    sample = stored(rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(SHARDS))))
     told = sample.agg(F.count("*"), F.sum("label"), F.countDistinct("shard")).first()
     if not told[0] or told[1] in (0, told[0]):
         share = (told[1] or 0) / max(told[0], 1)
@@ -154,10 +153,15 @@ def score_toxicity(docs: DataFrame, weights: dict[int, float], text: str = "text
 
 
 def labelled(docs: DataFrame, labels: DataFrame, held_out: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(id, text, label) of the documents that have a label and are not held out."""
-    known = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
-    mine = docs.select(F.col(doc_id).alias("id"), as_bytes(text).alias("text"), held_out.alias("held_out")).filter("not held_out").drop("held_out")
-    return mine.join(known, "id")
+    """(id, text, label) of documents with a label that are not held out, at most SAMPLE.
+
+    The labelled ids are drawn without their texts, by the order of a hash, and sent to all tasks;
+    texts are read where they lie. Of repeated rows of an id one is taken.
+    """
+    usable = labels.filter(F.col(label).isNotNull() & F.col(doc_id).isNotNull() & ~held_out)
+    known = usable.groupBy(F.col(doc_id).alias("id")).agg(F.max(label).cast("int").alias("label"))
+    drawn = known.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("order")), "id").limit(SAMPLE)
+    return docs.select(F.col(doc_id).alias("id"), as_bytes(text).alias("text")).join(F.broadcast(drawn), "id").dropDuplicates(["id"])
 
 
 def in_test_fold(doc_id: str = "doc_id") -> Column:
