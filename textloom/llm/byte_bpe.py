@@ -135,7 +135,7 @@ def encoded_words(blocks: DataFrame, ranks: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, ids, decoded) for every row: the token ids as uint32 bytes and the bytes they stand for.
+    """(doc_id, ids, decoded) for every row: the token ids and the bytes they stand for.
 
     ``ranks``: the path of a tiktoken rank file, the same on every executor; ``pattern``: splits
     texts into pre-tokens.
@@ -165,8 +165,11 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
             places, ends = place[unpacked(row["places"])], np.cumsum(unpacked(row["sizes"]).astype(np.int64)).tolist()
             for low in range(0, len(ends), 500):
                 texts = [places[a:b].tolist() for a, b in zip([0, *ends][low : low + 500], ends[low : low + 500], strict=False)]
-                out = [pa.array([b"".join([source[p] for p in text]) for text in texts], pa.binary()) for source in (coded, plain)]
-                yield pa.RecordBatch.from_arrays([ids.slice(low, 500), *out], names=["doc_id", "ids", "decoded"])
+                rows = [b"".join([coded[p] for p in text]) for text in texts]
+                flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
+                tokens = pa.ListArray.from_arrays(np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32), flat)
+                decoded = pa.array([b"".join([plain[p] for p in text]) for text in texts], pa.binary())
+                yield pa.RecordBatch.from_arrays([ids.slice(low, 500), tokens, decoded], names=["doc_id", "ids", "decoded"])
 
     def whole(block: pa.Table, words: pa.Table) -> pa.Table:
         if not block.num_rows:
@@ -174,21 +177,10 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
         return pa.Table.from_batches(put_together(block, words))
 
     texts = blocks.drop("words").groupBy("block").cogroup(encoded_words(blocks, ranks).groupBy("block"))
-    return texts.applyInArrow(whole, f"doc_id {id_type}, ids binary, decoded binary")
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes, sums, plain = [], [], []
-        for ids, text in zip(batch.column(1), batch.column(2), strict=True):
-            row = np.frombuffer(ids.as_buffer(), np.uint32).tolist()
-            sizes.append(len(row))
-            sums.append(hashlib.sha256(",".join(map(str, row)).encode()).hexdigest())
-            plain.append(hashlib.sha256(text.as_buffer()).hexdigest())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.string()), pa.array(plain, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    return texts.applyInArrow(whole, f"doc_id {id_type}, ids array<int>, decoded binary")
 
 
 def digests(encoded: DataFrame) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 and decoded_sha256 of what encode_documents gives."""
-    id_type = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.mapInArrow(_digest, f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    joined = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

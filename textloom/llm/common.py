@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that reach a Python worker at once. Texts can be long, so batches are kept small.
 ARROW_ROWS = 1000
-#: Bits of a broadcast bitmap (16 MB), whatever the size of the input, as a power of two.
-BITMAP_BITS = 27
+#: Bits of a broadcast bitmap (8 MB), whatever the size of the input, as a power of two.
+BITMAP_BITS = 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,7 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
 def bitmap_of(df: DataFrame, position: str) -> np.ndarray:
     """A bitmap of 2**BITMAP_BITS bits with the given positions (a long column) set.
 
-    Built by a grouped aggregation into pieces of 4 KB; at most 16 MB come to the driver, however
+    Built by a grouped aggregation into pieces of 4 KB; at most 8 MB come to the driver, however
     many rows there are.
     """
     at = F.col(position) + 1  # the SQL functions number values from 1

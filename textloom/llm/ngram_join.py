@@ -62,7 +62,7 @@ COUNTED_BITS = 38
 #: A set's small bitmap, in words of 64 bits.
 SKETCH = 16
 #: Tokens or signatures a task sorts at once.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 #: Bytes of text whose tokens meet in one group of the counting shuffle.
 SLOT_BYTES = 8 << 20
 
