@@ -280,3 +280,25 @@ def test_pseudo_likelihood_beats_single_words_and_is_summed_right(spark, odd):
         assert (r["n_tokens"] == 0) == (r["mean_log_likelihood"] is None) == (not (r["text"] or "").encode().split())
     empty = odd.limit(0)
     assert pseudo_likelihood.score_documents(empty, pseudo_likelihood.fit(empty)).count() == 0
+
+
+def test_pseudo_likelihood_learns_every_position():
+    for text in (b"one", b"one two", b" ".join(b"w%d" % i for i in range(101))):
+        size = len(text.split())
+        seen = np.concatenate([np.arange(size)[pseudo_likelihood.visited(text, size, r)] for r in range(pseudo_likelihood.ROUNDS)])
+        assert set(seen.tolist()) == set(range(size))
+
+
+def test_pseudo_likelihood_gradients_are_those_of_the_loss():
+    rnd = np.random.default_rng(5)
+    net = pseudo_likelihood.Network(pseudo_likelihood.Network.start())
+    around, target = rnd.integers(0, pseudo_likelihood.CLASSES + 1, (len(pseudo_likelihood.OFFSETS), 40)), rnd.integers(0, pseudo_likelihood.CLASSES, 40)
+    around[1] = around[0]
+    for part, found in zip(net.parts, net.gradients(around, target), strict=True):
+        at = np.unravel_index(np.argmax(np.abs(found)), found.shape)
+        kept, loss = part[at], []
+        for shift in (0.01, -0.01):
+            part[at] = kept + shift
+            loss.append(-net.of_targets(around, target).astype(np.float64).mean())
+        part[at] = kept
+        assert (loss[0] - loss[1]) / 0.02 == pytest.approx(found[at], rel=0.05)

@@ -8,9 +8,8 @@ added, pass a tanh and a softmax over the classes. A document's score is the sum
 probabilities of all its words, each masked in turn.
 
 Training is data-parallel: in a round every task starts from the same weights, takes Adagrad steps
-over positions of every text it reads (each STRIDE-th one, from a start that depends on the text, so
-that all documents take part and the work grows with the corpus) and sends its weights; slices of the
-weights are averaged by grouped aggregations in two levels, weighed by positions. The network, of
+over positions of every text it reads and sends its weights; the rounds take turns over the positions
+of a text, each every STRIDE-th one, so that together they visit them all. Slices of the weights are averaged by grouped aggregations in two levels, weighed by positions. The network, of
 fixed size, is broadcast for the next round and for scoring.
 
 * null, empty and blank texts: n_tokens 0, log_likelihood 0, mean_log_likelihood null; a text of one
@@ -38,11 +37,13 @@ from textloom.llm.common import as_bytes, scored
 OWN, SHARED = 192, 64
 CLASSES = OWN + SHARED
 WINDOW, HIDDEN = 2, 24
-STRIDE, ROUNDS, BATCH, RATE = 16, 2, 256, 0.1
+ROUNDS, BATCH, RATE = 2, 256, 0.1
+#: Every position is a training target in one of the rounds.
+STRIDE = ROUNDS
 #: Words that a task counts before it passes its counts on.
 COUNTED = 200_000
-#: Positions scored at once.
-CHUNK = 16_384
+#: Positions gathered before they are learned or scored, and those whose probabilities are held at once.
+CHUNK, CACHED = 16_384, 256
 
 OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 SHAPES = [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (CLASSES, HIDDEN), (CLASSES,)]
@@ -87,27 +88,32 @@ class Network:
         _, _, out, out_bias = self.parts
         logits = self.hidden(around) @ out.T + out_bias
         logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return logits
 
     def of_targets(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log probability of each target class."""
         out = np.empty(len(target))
-        for low in range(0, len(target), CHUNK):
-            part = slice(low, low + CHUNK)
+        for low in range(0, len(target), CACHED):
+            part = slice(low, low + CACHED)
             rows = self.log_probabilities(around[:, part])
             out[part] = rows[np.arange(len(rows)), target[part]]
         return out
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        _, _, out, _ = self.parts
+        _, _, out, out_bias = self.parts
         h = self.hidden(around)
-        error = np.exp(self.log_probabilities(around))
+        error = h @ out.T + out_bias
+        error -= error.max(axis=1, keepdims=True)
+        np.exp(error, out=error)
+        error /= error.sum(axis=1, keepdims=True)
         error[np.arange(len(target)), target] -= 1
         error /= len(target)
         back = (error @ out) * (1 - h * h)
-        embed = np.zeros(SHAPES[0], np.float32)
-        for k in range(len(OFFSETS)):
-            np.add.at(embed[k], around[k], back)
+        row = around + np.arange(len(OFFSETS))[:, None] * (CLASSES + 1)
+        one_hot = np.zeros((len(OFFSETS) * (CLASSES + 1), len(target)), np.float32)
+        one_hot[row, np.arange(len(target))] = 1
+        embed = (one_hot @ back).reshape(SHAPES[0])
         return [embed, back.sum(axis=0), error.T @ h, error.sum(axis=0)]
 
 
@@ -142,6 +148,11 @@ def vocabulary(docs: DataFrame, text: str) -> Vocabulary:
     return Vocabulary([bytes(r["word"]) for r in counted.orderBy(F.col("n").desc(), "word").limit(OWN).collect()])
 
 
+def visited(text: bytes, length: int, number: int) -> slice:
+    """The positions of a text of so many words that round ``number`` learns."""
+    return slice((xxhash.xxh3_64_intdigest(text) + number * (STRIDE // ROUNDS)) % min(STRIDE, length), None, STRIDE)
+
+
 def _trained(docs: DataFrame, text: str, words: Vocabulary, weights: np.ndarray, number: int) -> np.ndarray:
     """The weights after a round over all texts."""
     shared = docs.sparkSession.sparkContext.broadcast((words, weights))
@@ -151,22 +162,33 @@ def _trained(docs: DataFrame, text: str, words: Vocabulary, weights: np.ndarray,
         words, weights = shared.value
         net, seen = Network(weights), 0
         square = [np.full(s, 1e-6, np.float32) for s in SHAPES]
-        for batch in batches:
-            around, target = [np.empty((len(OFFSETS), 0), np.int64)], [np.empty(0, np.int64)]
-            for one in batch.column(0).to_pylist():
-                row = words.classes(one)
-                if len(row):
-                    start = (xxhash.xxh3_64_intdigest(one) + number * (STRIDE // ROUNDS)) % min(STRIDE, len(row))
-                    a, t = neighbours([row])
-                    around.append(a[:, start::STRIDE])
-                    target.append(t[start::STRIDE])
+
+        def step(around, target):
             around, target = np.concatenate(around, axis=1), np.concatenate(target)
             for low in range(0, len(target), BATCH):
                 part = slice(low, low + BATCH)
                 for w, s, g in zip(net.parts, square, net.gradients(around[:, part], target[part]), strict=True):
                     s += g * g
-                    w -= RATE * g / np.sqrt(s)
-            seen += len(target)
+                    g /= np.sqrt(s)
+                    g *= RATE
+                    w -= g
+            return len(target)
+
+        around, target, held = [], [], 0
+        for batch in batches:
+            for one in batch.column(0).to_pylist():
+                row = words.classes(one)
+                if len(row):
+                    part = visited(one, len(row), number)
+                    a, t = neighbours([row])
+                    around.append(a[:, part])
+                    target.append(t[part])
+                    held += len(target[-1])
+                if held >= 4 * CHUNK:
+                    seen += step(around, target)
+                    around, target, held = [], [], 0
+        if held:
+            seen += step(around, target)
         if seen:
             pieces = np.array_split(net.flat().astype(np.float64) * seen, slices)
             group = TaskContext.get().partitionId() % groups
