@@ -302,3 +302,43 @@ def test_pseudo_likelihood_gradients_are_those_of_the_loss():
             loss.append(-net.of_targets(around, target).astype(np.float64).mean())
         part[at] = kept
         assert (loss[0] - loss[1]) / 0.02 == pytest.approx(found[at], rel=0.05)
+
+
+def test_pseudo_likelihood_tells_words_of_one_class_apart(spark, odd, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 3000)
+    rnd = random.Random(6)
+    common = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rnd.choices(common, k=40)) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string").union(odd.select("doc_id", "text"))
+    counts = collections.Counter(w for r in docs.collect() for w in (r["text"] or "").encode().lower().split())
+    counted = pseudo_likelihood.word_counts(docs)
+    assert {bytes(r["word"]): r["n"] for r in counted.collect()} == counts
+    model = pseudo_likelihood.fit(docs, counted=counted)
+    own = model[0].place
+    other = collections.defaultdict(dict)
+    for w, n in counts.items():
+        if w not in own:
+            other[pseudo_likelihood.hash_of(w) % pseudo_likelihood.SHARED][w] = n
+    seen = next(w for members in other.values() for w in sorted(members, key=members.get)[-1:] if members[w] > 5)
+    share = pseudo_likelihood.hash_of(seen) % pseudo_likelihood.SHARED
+    unseen = next(w for w in (b"typo%d" % i for i in range(9999)) if pseudo_likelihood.hash_of(w) % pseudo_likelihood.SHARED == share)
+    extra = [(-1, seen.decode(), 1), (-2, unseen.decode(), 2), (-3, texts[0], 3), (None, texts[0], None), (None, None, None)]
+    new = spark.createDataFrame(extra, "doc_id long, text string, other int")
+    for table in (new, docs):
+        rows = pseudo_likelihood.score_words(table, model, counted).collect()
+        classes = {(r["doc_id"], r["text"]): r["log_likelihood"] for r in pseudo_likelihood.score_documents(table, model).collect()}
+        want = collections.Counter()
+        for (doc, text), score in classes.items():
+            for w in (text or "").encode().lower().split():
+                if w not in own:
+                    members = other[pseudo_likelihood.hash_of(w) % pseudo_likelihood.SHARED]
+                    score += np.log((members.get(w, 0) + 0.5) / (sum(members.values()) + 0.5 * (len(members) + 1)))
+            want[doc, round(score, 1)] += 1
+        assert len(rows) == table.count() and {r["doc_id"] for r in rows} == {d for d, _ in want}
+        wanted = collections.defaultdict(list)
+        for (doc, score), n in want.items():
+            wanted[doc].append(score)
+        assert all(min(abs(r["log_likelihood"] - s) for s in wanted[r["doc_id"]]) < 0.06 + 1e-4 * abs(r["log_likelihood"]) for r in rows)
+    got = {r["doc_id"]: r for r in pseudo_likelihood.score_words(new, model, counted).collect()}
+    assert got[-1]["log_likelihood"] > got[-2]["log_likelihood"] + 1 and got[-1]["other"] == 1 and got[-3]["n_tokens"] == 40
+    assert pseudo_likelihood.score_words(new.limit(0), model, counted).count() == 0

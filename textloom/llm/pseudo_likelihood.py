@@ -4,8 +4,13 @@ Words (A-Z lower-cased, split at ASCII white space) belong to classes: each of t
 words of the corpus is a class of its own, every other word falls by a hash into one of some shared
 classes. All words of all documents are counted for this. The network predicts the class of a word
 from the classes of WINDOW words on each side: their embeddings, one table for each place, are
-added, pass a tanh and a softmax over the classes. A document's score is the sum of the log
-probabilities of all its words, each masked in turn.
+added, pass a tanh and a softmax over the classes. The probability of a word is that of its class
+times its share of the class, from the counts of all words of the corpus: smoothed by SMOOTH, with
+one place in each shared class for all words that were never counted. A document's score is the sum
+of the log probabilities of all its words, each masked in turn.
+
+Counts of words stay distributed. Texts are laid out in blocks with their distinct words; these go to
+slots by a hash, once for each block, meet the counts there and send their shares back.
 
 Training is data-parallel: in a round every task starts from the same weights, takes Adagrad steps
 over positions of every text it reads and sends its weights; the rounds take turns over the positions
@@ -27,11 +32,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from textloom.llm.byte_bpe import BLOCK, SLOT_BYTES, packed, unpacked
 from textloom.llm.common import as_bytes, scored
+from textloom.session import stored
 
 #: Words that are a class of their own, and classes the others share.
 OWN, SHARED = 192, 64
@@ -40,6 +49,8 @@ WINDOW, HIDDEN = 2, 24
 ROUNDS, BATCH, RATE = 2, 256, 0.1
 #: Every position is a training target in one of the rounds.
 STRIDE = ROUNDS
+#: Added to the count of a word within its class.
+SMOOTH = 0.5
 #: Words that a task counts before it passes its counts on.
 COUNTED = 200_000
 #: Positions gathered before they are learned or scored, and those whose probabilities are held at once.
@@ -127,8 +138,8 @@ def neighbours(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([flat[at + k] for k in OFFSETS]), flat[at]
 
 
-def vocabulary(docs: DataFrame, text: str) -> Vocabulary:
-    """The most frequent words of all texts, ties by the word."""
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, n) of all words of all texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(counts):
@@ -144,7 +155,11 @@ def vocabulary(docs: DataFrame, text: str) -> Vocabulary:
         if counts:
             yield told(counts)
 
-    counted = docs.select(as_bytes(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select(as_bytes(text).alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(counted: DataFrame) -> Vocabulary:
+    """The most frequent words, ties by the word."""
     return Vocabulary([bytes(r["word"]) for r in counted.orderBy(F.col("n").desc(), "word").limit(OWN).collect()])
 
 
@@ -209,39 +224,174 @@ def _trained(docs: DataFrame, text: str, words: Vocabulary, weights: np.ndarray,
     return np.concatenate([np.frombuffer(r["weights"], np.float64) / r["n"] for r in rows]).astype(np.float32)
 
 
-def fit(docs: DataFrame, text: str = "text") -> tuple[Vocabulary, np.ndarray]:
-    words = vocabulary(docs, text)
+def fit(docs: DataFrame, text: str = "text", counted: DataFrame | None = None) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary and the weights; ``counted``: the word counts of ``docs``, if they are there already."""
+    words = vocabulary(word_counts(docs, text) if counted is None else counted)
     weights = Network.start()
     for number in range(ROUNDS):
         weights = _trained(docs, text, words, weights, number)
     return words, weights
 
 
+def class_scores(net: Network, rows: list[np.ndarray]) -> list[float]:
+    """The log probability of the classes of each text."""
+
+    def score(rows: list[np.ndarray]) -> list[float]:
+        around, target = neighbours(rows)
+        value = np.r_[0.0, np.cumsum(net.of_targets(around, target))]
+        ends = np.cumsum([0, *(len(r) for r in rows)])
+        return (value[ends[1:]] - value[ends[:-1]]).tolist()
+
+    sums, held, size = [], [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row)
+        if size > 4 * CHUNK:
+            sums += score(held)
+            held, size = [], 0
+    return sums + score(held)
+
+
 def score_documents(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with n_tokens, log_likelihood and mean_log_likelihood."""
+    """``docs`` with n_tokens, log_likelihood and mean_log_likelihood of the classes of the words."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
         words, net = shared.value[0], Network(shared.value[1])
 
-        def score(rows: list[np.ndarray]) -> list[float]:
-            around, target = neighbours(rows)
-            value = np.r_[0.0, np.cumsum(net.of_targets(around, target))]
-            ends = np.cumsum([0, *(len(r) for r in rows)])
-            return (value[ends[1:]] - value[ends[:-1]]).tolist()
-
         def run(texts: list[bytes]) -> list[pa.Array]:
-            sizes, sums, held, size = [], [], [], 0
-            for one in texts:
-                held.append(words.classes(one))
-                sizes.append(len(held[-1]))
-                size += sizes[-1]
-                if size > 4 * CHUNK:
-                    sums += score(held)
-                    held, size = [], 0
-            return [pa.array(sizes, pa.int64()), pa.array(sums + score(held), pa.float64())]
+            sizes, sums = [], []
+            for low in range(0, len(texts), 100):
+                rows = [words.classes(one) for one in texts[low : low + 100]]
+                sizes += map(len, rows)
+                sums += class_scores(net, rows)
+            return [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
 
         return run
 
-    out = scored(docs, text, "n_tokens long, log_likelihood double", work)
+    return _with_mean(scored(docs, text, "n_tokens long, log_likelihood double", work))
+
+
+def _with_mean(out: DataFrame) -> DataFrame:
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
+
+
+# --- words within their classes -----------------------------------------------------------
+
+
+def hash_of(word: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(word)
+
+
+def _blocks(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], text: str, slots: int) -> DataFrame:
+    """(block, rows, sizes, scores, lengths, places, words): texts laid out in blocks.
+
+    ``rows``: the other columns; ``sizes`` and ``scores``: words of each text and the log probability
+    of their classes; ``lengths`` and ``places``: words of shared classes of each text and their
+    numbers in ``words``, (slot, words) of the distinct ones.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    words_type = pa.list_(pa.struct([("slot", pa.int64()), ("words", pa.binary())]))
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (vocabulary, weights), task = shared.value, TaskContext.get().partitionId()
+        net, number = Network(weights), 0
+
+        def block_of(slices: list[pa.RecordBatch], known: dict[bytes, int], rows: list[np.ndarray]) -> pa.RecordBatch:
+            names, own = list(known), vocabulary.place
+            digest = np.fromiter(map(hash_of, names), np.uint64, len(names))
+            place = np.fromiter([own.get(w, -1) for w in names], np.int64, len(names))
+            classes = np.where(place >= 0, place, OWN + (digest % np.uint64(SHARED)).astype(np.int64))
+            slot = (digest // np.uint64(SHARED) % np.uint64(slots)).astype(np.int64)
+            others = np.flatnonzero(place < 0)
+            others = others[np.argsort(slot[others], kind="stable")]
+            rank = np.full(len(names), -1, np.int64)
+            rank[others] = np.arange(len(others))
+            ranks = [r[r >= 0] for r in (rank[row] for row in rows)]
+            edge = np.flatnonzero(np.diff(slot[others])) + 1
+            pieces = [{"slot": int(slot[p[0]]), "words": zstandard.compress(b" ".join([names[i] for i in p.tolist()]), 1)} for p in np.split(others, edge) if len(p)]
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, slices[0].schema) as out:
+                for one in slices:
+                    out.write_batch(one)
+            columns = [
+                pa.array([f"{task}-{number}"]), pa.array([zstandard.compress(sink.getvalue(), 1)], pa.binary()),
+                pa.array([packed(np.array([len(r) for r in rows]))]), pa.array([np.array(class_scores(net, [classes[r] for r in rows])).tobytes()]),
+                pa.array([packed(np.array([len(r) for r in ranks]))]), pa.array([packed(np.concatenate(ranks))]), pa.array([pieces], words_type),
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "sizes", "scores", "lengths", "places", "words"])
+
+        slices, known, rows, held = [], {}, [], 0
+        for batch in batches:
+            other, first = batch.select(batch.schema.names[:-1]), 0
+            for at, one in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
+                found = one.lower().split()
+                rows.append(np.fromiter([known.setdefault(w, len(known)) for w in found], np.uint32, len(found)))
+                held += len(one)
+                if held >= BLOCK:
+                    yield block_of([*slices, other.slice(first, at + 1 - first)], known, rows)
+                    slices, known, rows, held, first, number = [], {}, [], 0, at + 1, number + 1
+            if first < batch.num_rows:
+                slices.append(other.slice(first))
+        if rows:
+            yield block_of(slices, known, rows)
+
+    source = docs.select(*(c for c in docs.columns if c != text), as_bytes(text).alias("__text"))
+    binary = ", ".join(f"{c} binary" for c in ("rows", "sizes", "scores", "lengths", "places"))
+    return source.mapInArrow(lay_out, f"block string, {binary}, words array<struct<slot: bigint, words: binary>>")
+
+
+def _hashed(counted: DataFrame, slots: int) -> DataFrame:
+    """(word, n, share, slot): shared class and slot of each word."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            digest = np.fromiter(map(hash_of, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
+            share, slot = digest % np.uint64(SHARED), digest // np.uint64(SHARED) % np.uint64(slots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share.astype(np.int64)), pa.array(slot.astype(np.int64))], names=["word", "n", "share", "slot"])
+
+    return counted.select("word", "n").mapInArrow(add, "word binary, n long, share long, slot long")
+
+
+def score_words(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], counted: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the texts, with n_tokens, log_likelihood and mean_log_likelihood of the words themselves.
+
+    ``counted``: (word, n) of the corpus, a stored table.
+    """
+    docs = docs.drop("n_tokens", "log_likelihood", "mean_log_likelihood")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    slots = max(64, size // SLOT_BYTES)
+    blocks, hashed, own = stored(_blocks(docs, model, text, slots)), _hashed(counted, slots), list(model[0].place)
+    # Words and distinct words of each shared class.
+    total = np.zeros((SHARED, 2))
+    others = hashed.filter(~F.col("word").isin(own)) if own else hashed
+    for r in others.groupBy("share").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        total[r["share"]] = r["n"], r["words"]
+    whole = total[:, 0] + SMOOTH * (total[:, 1] + 1)
+
+    def share(pieces: pa.Table, counts: pa.Table) -> pa.Table:
+        known = dict(zip(counts.column("word").to_pylist(), counts.column("n").to_pylist(), strict=True))
+        told = []
+        for data in pieces.column("words").to_pylist():
+            names = zstandard.decompress(data).split(b" ")
+            n = np.fromiter([known.get(w, 0) for w in names], np.float64, len(names)) + SMOOTH
+            told.append(np.log(n / whole[[hash_of(w) % SHARED for w in names]]).astype(np.float32).tobytes())
+        return pa.table({"block": pieces.column("block"), "slot": pieces.column("slot"), "told": pa.array(told, pa.binary())})
+
+    pieces = blocks.select("block", F.explode("words").alias("w")).select("block", "w.slot", "w.words")
+    shares = pieces.groupBy("slot").cogroup(hashed.groupBy("slot")).applyInArrow(share, "block string, slot long, told binary")
+    kept = docs.drop(text).schema
+    names = [*kept.names, "n_tokens", "log_likelihood"]
+
+    def put_together(block: pa.Table, shares: pa.Table) -> pa.Table:
+        row = block.select(["rows", "sizes", "scores", "lengths", "places"]).to_pylist()[0]
+        rows = pa.ipc.open_stream(zstandard.decompress(row["rows"])).read_all()
+        told = sorted(zip(shares.column("slot").to_pylist(), shares.column("told").to_pylist(), strict=True))
+        value = np.frombuffer(b"".join([t for _, t in told]), np.float32).astype(np.float64)
+        sums = np.r_[0.0, np.cumsum(value[unpacked(row["places"])])]
+        ends = np.r_[0, np.cumsum(unpacked(row["lengths"]).astype(np.int64))]
+        score = np.frombuffer(row["scores"], np.float64) + sums[ends[1:]] - sums[ends[:-1]]
+        return pa.table([*rows.columns, pa.array(unpacked(row["sizes"]).astype(np.int64)), pa.array(score)], names=names)
+
+    schema = StructType([*kept.fields, StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType())])
+    return _with_mean(blocks.drop("words").groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(put_together, schema))

@@ -14,7 +14,7 @@ from textloom.llm.exact_topk import exact_top_k
 from textloom.llm.language_id import identify_languages
 from textloom.llm.ngram_join import similar_documents
 from textloom.llm.posting_lists import nearest_neighbours
-from textloom.llm.pseudo_likelihood import fit, score_documents
+from textloom.llm.pseudo_likelihood import fit, score_words, word_counts
 from textloom.llm.source_mix import mix_sources, word_count
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.toxicity import judge_toxicity
@@ -102,7 +102,8 @@ def op9_toxicity(spark, sf):
 @query
 def op10_pseudo_likelihood(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    return score_documents(docs, fit(docs)).drop("text")
+    counted = stored(word_counts(docs))
+    return score_words(docs, fit(docs, counted=counted), counted)
 
 
 _RULED = "host = '{h}' OR host LIKE '%.{h}'"
