@@ -11,7 +11,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import language_id, ngram_join, pseudo_likelihood, source_mix, toxicity
+from textloom.llm import byte_bpe, language_id, ngram_join, pseudo_likelihood, source_mix, toxicity
 from textloom.llm.byte_bpe import digests, encode_documents, read_ranks
 from textloom.llm.common import small_batches
 from textloom.llm.token_counts import count_tokens
@@ -342,3 +342,14 @@ def test_pseudo_likelihood_tells_words_of_one_class_apart(spark, odd, monkeypatc
     got = {r["doc_id"]: r for r in pseudo_likelihood.score_words(new, model, counted).collect()}
     assert got[-1]["log_likelihood"] > got[-2]["log_likelihood"] + 1 and got[-1]["other"] == 1 and got[-3]["n_tokens"] == 40
     assert pseudo_likelihood.score_words(new.limit(0), model, counted).count() == 0
+
+
+def test_equal_blocks_do_not_meet(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "BLOCK", 500)
+    rows = [(i if i < 300 else None, "the same text again and again") for i in range(600)] + [(900, "another text")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    blocks = byte_bpe.text_blocks(docs, P.PATTERN, 64).groupBy("block").count().collect()
+    assert len(blocks) > 30 and max(r["count"] for r in blocks) == 1
+    ranks = P.path("byte_bpe_multi_50k.tiktoken")
+    got = encode_documents(docs, ranks, P.PATTERN).select("doc_id", F.col("decoded").cast("string")).collect()
+    assert collections.Counter(map(tuple, got)) == collections.Counter(rows)

@@ -2,7 +2,9 @@
 
 1. Every task lays its texts out in blocks. The pre-tokens of a block are numbered, the most
    frequent first, and a text becomes the list of these numbers in order: its pre-tokens exploded
-   with their positions, packed. A block's name is a hash of what it holds.
+   with their positions, packed. A block's name is a hash of what it holds and the block's place:
+   the number of its task and its own number there. So no two blocks share a name, be their texts
+   equal, and what meets for a name is one block.
 2. The distinct pre-tokens of each block go to slots by a hash, so equal pre-tokens of all blocks
    meet in one slot, once for each block and not for each occurrence. A slot encodes each of its
    distinct pre-tokens once and sends the ids back to the blocks.
@@ -11,8 +13,7 @@
 
 The blocks are laid out twice, once for their words and once for their texts, because storing them
 would take more disk than it saves time; the input must be one that Spark reads alike both times, as
-tables are. If it is not, ids are missing for a block and the job fails. Equal blocks share a name
-and their ids.
+tables are. If it is not, ids are missing for a block and the job fails.
 
 A block holds at most BLOCK bytes of text, or one longer text. The number of slots follows the size
 of the corpus, so the pre-tokens of a slot stay bounded. Blocks and words travel as compressed
@@ -35,6 +36,7 @@ import pyarrow as pa
 import tiktoken
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +72,7 @@ def text_blocks(docs: DataFrame, pattern: str, slots: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     words_type = pa.list_(pa.struct([("slot", pa.int64()), ("sizes", pa.binary()), ("text", pa.binary())]))
 
-    def block_of(ids: list, sizes: list[int], rows: list[np.ndarray], words: dict[str, int], id_arrow) -> pa.RecordBatch:
+    def block_of(ordinal: int, ids: list, sizes: list[int], rows: list[np.ndarray], words: dict[str, int], id_arrow) -> pa.RecordBatch:
         places = np.concatenate([*rows, np.empty(0, np.uint32)])
         order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
         number = np.empty(len(words), np.uint32)
@@ -85,11 +87,12 @@ def text_blocks(docs: DataFrame, pattern: str, slots: int) -> DataFrame:
             pieces.append({"slot": int(slot[part[0]]), "sizes": packed(np.array([len(w) for w in own])), "text": zstandard.compress(b"".join(own), 1)})
         sizes, places = packed(np.array(sizes)), packed(number[places] if len(places) else places)
         name = hashlib.sha256(b"".join([sizes, places, b"\0".join(names)])).hexdigest()[:32]
+        name = f"{name}-{TaskContext.get().partitionId()}-{ordinal}"
         columns = [pa.array([name]), pa.array([ids], pa.list_(id_arrow)), pa.array([sizes]), pa.array([places]), pa.array([packed(slot)]), pa.array([pieces], words_type)]
         return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "places", "slot_of", "words"])
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, rows, words, held, id_arrow = [], [], [], {}, 0, pa.null()
+        ids, sizes, rows, words, held, id_arrow, ordinal = [], [], [], {}, 0, pa.null(), 0
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -99,10 +102,10 @@ def text_blocks(docs: DataFrame, pattern: str, slots: int) -> DataFrame:
                 rows.append(np.fromiter([words.setdefault(w, len(words)) for w in found], np.uint32, len(found)))
                 held += len(text)
                 if held >= BLOCK:
-                    yield block_of(ids, sizes, rows, words, id_arrow)
-                    ids, sizes, rows, words, held = [], [], [], {}, 0
+                    yield block_of(ordinal, ids, sizes, rows, words, id_arrow)
+                    ids, sizes, rows, words, held, ordinal = [], [], [], {}, 0, ordinal + 1
         if ids:
-            yield block_of(ids, sizes, rows, words, id_arrow)
+            yield block_of(ordinal, ids, sizes, rows, words, id_arrow)
 
     pieces = "array<struct<slot: bigint, sizes: binary, text: binary>>"
     return docs.select("doc_id", as_bytes("text")).mapInArrow(lay_out, f"block string, ids array<{id_type}>, sizes binary, places binary, slot_of binary, words {pieces}")
