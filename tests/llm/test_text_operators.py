@@ -353,3 +353,16 @@ def test_equal_blocks_do_not_meet(spark, monkeypatch):
     ranks = P.path("byte_bpe_multi_50k.tiktoken")
     got = encode_documents(docs, ranks, P.PATTERN).select("doc_id", F.col("decoded").cast("string")).collect()
     assert collections.Counter(map(tuple, got)) == collections.Counter(rows)
+
+
+@pytest.mark.parametrize(("joined", "least"), [(1 << 18, 256), (300, 20)])
+def test_links_are_all_links(spark, monkeypatch, joined, least):
+    monkeypatch.setattr(ngram_join, "JOINED", joined)
+    monkeypatch.setattr(ngram_join, "LEAST_SET", least)
+    rows = families(9)
+    classes = {i: frozenset(ngram_join.tokens_of((t or "").encode()).tolist()) for i, t in rows}
+    different = [c for c in set(classes.values()) if c]
+    want = {a: sum(100 * len(a & b) >= 75 * len(a | b) for b in different if b != a) for a in different}
+    assert max(want.values()) > 10
+    got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: r["links"] for r in got} == {i: want.get(c, 0) for i, c in classes.items()}

@@ -26,7 +26,9 @@ Candidates are verified on whole sets. Within a bucket members are first held ag
 member with the fewest lone and rare tokens (an original rather than an altered copy); connected
 components of the links found are formed; then buckets whose members are already one component
 need nothing more, and in all others every pair of members of different components is looked at.
-Links within a component cannot change the components, so these are exact. Before sets are read a
+Links within a component cannot change the components, so these are exact. Links are counted after
+that: similar sets are in one component, so within every component all sets of sizes that allow a
+link are held against each other, in blocks of bounded size. Before sets are read a
 pair must pass a bound: two sets share at most the tokens that are not lone in either, less those
 whose place in a small bitmap of one set is empty in that of the other.
 
@@ -44,7 +46,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -63,6 +65,10 @@ COUNTED_BITS = 38
 SKETCH = 16
 #: Tokens or signatures a task sorts at once.
 BUFFER = 1 << 19
+#: Tokens of a block of sets that are held against each other; a set counts as LEAST_SET at least.
+JOINED, LEAST_SET = 1 << 18, 256
+#: The sizes of a band differ by less than this factor, which is more than 4/3: links are within a band or between neighbours.
+BAND = 1.4
 #: Bytes of text whose tokens meet in one group of the counting shuffle.
 SLOT_BYTES = 8 << 20
 
@@ -384,12 +390,12 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
     """doc_id, n_shingles, class, component_id and links for every row of ``docs``.
 
     ``class``: equal for equal token sets, null without tokens. ``component_id``: the smallest id
-    reachable by links. ``links``: verified links of the class with other classes; links between
-    classes that were already connected need not be among them.
+    reachable by links. ``links``: how many other classes the class is similar to; left out unless
+    ``counted``.
     """
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -406,13 +412,97 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     links = stored(links.distinct())
     component = connected_components(links, "a", "b").withColumnsRenamed({"node": "class"})
     by_class = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"))
-    degree = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
     named = by_class.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(least, "component").join(degree, "class", "left").select("class", "component_id", "links")
-    return classes.select("doc_id", "class", "n_shingles").join(of_class, "class", "left").select(
-        "doc_id", "n_shingles", "class", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("links", F.lit(0)).alias("links")
-    )
+    of_class = named.join(least, "component").select("class", "component_id")
+    if counted:
+        of_class = of_class.join(link_counts(component, sets, slots), "class", "left")
+    by_row = classes.select("doc_id", "class", "n_shingles").join(of_class, "class", "left")
+    name = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+    return by_row.select("doc_id", "n_shingles", "class", name, *([F.coalesce("links", F.lit(0)).alias("links")] if counted else []))
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many tokens each set of ``x`` shares with each of ``y``."""
+    out, width = np.zeros((len(x), len(y)), np.int64), 4096
+    parts = []
+    for sets in (x, y):
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        parts.append((flat, owner))
+    common = np.intersect1d(parts[0][0], parts[1][0])
+    placed = []
+    for flat, owner in parts:
+        at = np.minimum(np.searchsorted(common, flat), max(0, len(common) - 1))
+        here = common[at] == flat if len(common) else np.zeros(len(flat), bool)
+        order = np.argsort(at[here], kind="stable")
+        placed.append((at[here][order], owner[here][order]))
+    for low in range(0, len(common), width):
+        matrices = []
+        for (at, owner), sets in zip(placed, (x, y), strict=True):
+            part = slice(*np.searchsorted(at, [low, low + width]))
+            matrix = np.zeros((len(sets), min(width, len(common) - low)), np.float32)
+            matrix[owner[part], at[part] - low] = 1
+            matrices.append(matrix)
+        out += (matrices[0] @ matrices[1].T).astype(np.int64)
+    return out
+
+
+def link_counts(components: DataFrame, sets: DataFrame, slots: int) -> DataFrame:
+    """(class, links): with how many classes each class of ``components`` has a similarity of 3/4 or more.
+
+    A component of more than JOINED tokens is divided by bands of sizes, and bands into blocks by
+    a hash. Each pair of blocks of one band or of neighbouring bands meets once, so a set travels
+    once for each block it meets. Smaller components meet whole, many in one group.
+    """
+    weight = F.greatest("n", F.lit(LEAST_SET))
+    placed = components.withColumnsRenamed({"node": "class"}).join(sets.select("class", "n"), "class")
+    placed = stored(placed.withColumn("band", F.floor(F.log("n") / float(np.log(BAND))).cast("int")))
+    bands = placed.groupBy("component", "band").agg(F.sum(weight).alias("tokens"))
+    large = bands.groupBy("component").agg(F.sum("tokens").alias("tokens")).filter(F.col("tokens") > JOINED).select("component")
+    bands = stored(bands.join(large, "component").select("component", "band", F.ceil(F.col("tokens") / JOINED).cast("int").alias("blocks")))
+
+    def beside(step: int, name: str) -> DataFrame:
+        return bands.select("component", (F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+
+    plan = bands.join(beside(-1, "above"), ["component", "band"], "left").join(beside(1, "below"), ["component", "band"], "left")
+    dealt = placed.join(plan, ["component", "band"], "left").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+
+    def each(count: str, make) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.coalesce(count, F.lit(0))), lambda j: F.when(j < F.col(count), make(j)))
+
+    def met(band, apart: int, low, high, side) -> Column:
+        return F.struct(F.xxhash64("component", band, F.lit(apart), low, high).alias("task"), side.cast("int").alias("side"), (F.lit(apart == 1) | (low != high)).alias("two"))
+
+    block, band = F.col("block"), F.col("band")
+    own = each("blocks", lambda j: met(band, 0, F.least(block, j), F.greatest(block, j), block > j))
+    above = each("above", lambda j: met(band, 1, block, j, F.lit(0)))
+    below = each("below", lambda j: met(band - 1, 1, j, block, F.lit(1)))
+    alone = F.array(F.struct(F.col("component").alias("task"), F.lit(0).alias("side"), F.lit(False).alias("two")))
+    meetings = F.when(F.col("blocks").isNull(), alone).otherwise(F.filter(F.concat(own, above, below), lambda m: m.isNotNull()))
+    rows = dealt.select("class", F.col("blocks").isNull().alias("small"), F.explode(meetings).alias("m"))
+    slot = F.when(F.col("small"), F.pmod(F.xxhash64("m.task"), F.lit(slots))).otherwise(F.col("m.task"))
+    rows = rows.select("class", slot.alias("slot"), "m.task", "m.side", "m.two").join(sets.select("class", "tokens"), "class")
+
+    def count(group: pa.Table) -> pa.Table:
+        keys, task, side, two = (np.array(group.column(c).to_pylist()) for c in ("class", "task", "side", "two"))
+        column = group.column("tokens").to_pylist()
+        order = np.argsort(task, kind="stable")
+        out = np.zeros(len(keys), np.int64)
+        for part in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            x, y = (part[side[part] == 0], part[side[part] == 1]) if two[part[0]] else (part, part)
+            if not len(x) or not len(y):
+                continue
+            a, b = ([np.frombuffer(column[i], np.uint64) for i in of.tolist()] for of in (x, y))
+            both, n, m = overlaps(a, b), np.array([len(s) for s in a]), np.array([len(s) for s in b])
+            near = 100 * both >= 75 * (n[:, None] + m - both)
+            if two[part[0]]:
+                out[y] += near.sum(axis=0)
+            else:
+                np.fill_diagonal(near, False)
+            out[x] += near.sum(axis=1)
+        return pa.table({"class": group.column("class"), "links": out})
+
+    return rows.groupBy("slot").applyInArrow(count, "class long, links long").groupBy("class").agg(F.sum("links").alias("links"))
 
 
 def _across(found: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
@@ -436,7 +526,7 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Of repeated rows with that id one stays. Rows without an id are all kept.
     """
-    kept = similar_documents(docs, doc_id, text).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    kept = similar_documents(docs, doc_id, text, counted=False).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     chosen = docs.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
     # Ids are unique but for repeated rows, so a group of this window is one document.
     order = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))
