@@ -366,3 +366,10 @@ def test_links_are_all_links(spark, monkeypatch, joined, least):
     assert max(want.values()) > 10
     got = ngram_join.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: r["links"] for r in got} == {i: want.get(c, 0) for i, c in classes.items()}
+
+
+def test_a_text_of_one_letter_has_letters(spark):
+    assert [len(language_id.trigrams(t)) for t in (b"", b" 1 ", b"a", b"ab")] == [0, 0, 1, 2]
+    docs = spark.createDataFrame([(1, "a", "en", "x"), (2, "7", "en", "x")], "doc_id long, text string, lang string, source string")
+    got = language_id.identify_languages(docs, ["en"], "lang", "source").collect()
+    assert {r["doc_id"]: r["rejected"] for r in got} == {1: False, 2: True}

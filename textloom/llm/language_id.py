@@ -48,7 +48,7 @@ _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else
 def trigrams(text: bytes) -> np.ndarray:
     """Hashed trigrams of a text's bytes; other signs than letters count as spaces, runs of them as one."""
     b = np.frombuffer(b" ".join([b"", *text.translate(_LOWER).split(), b""]), np.uint8).astype(np.uint32)
-    if len(b) < 4:  # no letter
+    if len(b) < 3:  # no letter
         return np.empty(0, np.int64)
     code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
     return ((code * np.uint32(2654435761)) >> np.uint32(16)).astype(np.int64)
