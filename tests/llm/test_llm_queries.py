@@ -12,7 +12,11 @@ SF = "/root/testdata/sf0.001"
 TABLES = {"6": "embeddings", "8": "embeddings", "1": "pages", "7": "pages"}
 
 
-@pytest.mark.parametrize("name", list(QUERIES))
+#: Queries whose number of rows only their SQL twin knows.
+BY_SQL = ("op12_", "op13_")
+
+
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith(BY_SQL)])
 def test_query_runs_over_its_whole_table(spark, name):
     rows = QUERIES[name](spark, SF).collect()
     table = TABLES.get(name[2:].split("_")[0], "documents")

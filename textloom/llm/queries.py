@@ -15,7 +15,10 @@ from textloom.llm.language_id import identify_languages
 from textloom.llm.ngram_join import similar_documents
 from textloom.llm.posting_lists import nearest_neighbours
 from textloom.llm.pseudo_likelihood import fit, score_words, word_counts
+from textloom.llm.rule_ledger import POLICIES, RULES, apply_policy, passes, rule_ledger
 from textloom.llm.source_mix import mix_sources, word_count
+from textloom.llm.term_blocks import rank_documents
+from textloom.llm.threshold_negatives import hard_negatives
 from textloom.llm.token_counts import count_tokens
 from textloom.llm.toxicity import judge_toxicity
 from textloom.llm.url_filter import host_of, judge_urls
@@ -106,6 +109,29 @@ def op10_pseudo_likelihood(spark, sf):
     return score_words(docs, fit(docs, counted=counted), counted)
 
 
+#: The version of the policy that keeps documents.
+POLICY = 2
+
+
+@query
+def op11_rule_ledger(spark, sf):
+    ledger = rule_ledger(table(spark, sf, "documents").select("doc_id", "text")).drop("text")
+    judged = apply_policy(ledger, POLICIES[POLICY]).withColumn("base_failed", ~passes(POLICIES[1], F.col("failures")))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*first, "failures", "n_lines", "n_upper_words", "n_punct", "n_same_words")
+
+
+@query
+def op12_term_blocks(spark, sf):
+    return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=10)
+
+
+@query
+def op13_threshold_negatives(spark, sf):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
 _RULED = "host = '{h}' OR host LIKE '%.{h}'"
 
 
@@ -156,3 +182,71 @@ reached(host, path) AS (
 SELECT page_id, host, path, {_rules_sql(1)} AS "rule",
     coalesce({_rules_sql(0)}, CASE WHEN (host, path) IN (SELECT (host, path) FROM reached) THEN 'block' END, 'allow') AS verdict
 FROM parts"""
+
+_WORD = "[^\\x20\\x09-\\x0D]"
+_HARD, _SOFT = POLICIES[POLICY].masks()
+_FAILURES = " + ".join(f"CASE WHEN {condition} THEN {1 << i} ELSE 0 END" for i, (_, condition) in enumerate(RULES))
+
+ORACLES["op11_rule_ledger"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+split AS (
+    SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}+') AS words,
+        list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines
+    FROM d),
+windows AS (
+    SELECT r, i, array_to_string(words[i:i + 7], chr(32)) AS w
+    FROM (SELECT r, words, unnest(range(1, len(words) - 6)) AS i FROM split WHERE len(words) > 8)),
+again AS (SELECT r, i FROM windows QUALIFY count(*) OVER (PARTITION BY r, w) > 1),
+covered AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS p FROM again) GROUP BY r),
+measured AS (
+    SELECT doc_id, len(words) AS n_words, length(regexp_replace(text, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars,
+        length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) AS n_lines,
+        len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+        len(list_filter(words, lambda x: regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]'))) AS n_upper_words,
+        length(regexp_replace(text, '[^!?]', '', 'g')) AS n_punct,
+        len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_same_words
+    FROM split LEFT JOIN covered USING (r)),
+judged AS (SELECT *, CAST({_FAILURES} AS BIGINT) AS failures FROM measured)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+    n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    (failures & {_HARD}) = 0 AND bit_count(failures & {_SOFT}) <= {POLICIES[POLICY].tolerated} AS kept,
+    failures, n_lines, n_upper_words, n_punct, n_same_words
+FROM judged"""
+
+_TERMS = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(t=_ascii_lower("text"))
+
+ORACLES["op12_term_blocks"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS terms FROM documents WHERE text IS NOT NULL),
+s AS (SELECT count(*) AS many, CAST(sum(len(terms)) AS BIGINT) AS whole FROM d WHERE len(terms) > 0),
+q AS (
+    SELECT item_id, term, count(*) AS times
+    FROM (SELECT item_id, unnest({_TERMS}) AS term FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL GROUP BY 1))
+    GROUP BY 1, 2),
+p AS (
+    SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d)
+    WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3, 4),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY 1),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * many + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS w FROM f, s),
+scored AS (
+    SELECT item_id, r, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + ((75 * n * many) // whole))))) AS BIGINT) AS score
+    FROM q JOIN p USING (term) JOIN w USING (term), s WHERE doc_id IS NOT NULL GROUP BY 1, 2, 3)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10"""
+
+ORACLES["op13_threshold_negatives"] = """
+WITH v AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+    SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id,
+        CAST(list_sum(list_transform(list_zip(a.x, b.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id),
+positives AS (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score, CAST(row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS INTEGER) AS positive_rank
+    FROM s WHERE same QUALIFY positive_rank <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_rank ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id AS negative_id, positive_score, score AS negative_score, positive_rank
+FROM positives JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""

@@ -35,3 +35,20 @@ def best(found: DataFrame, k: int, best_first: Column) -> DataFrame:
     """
     order = Window.partitionBy("query_id").orderBy(best_first, "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def integer_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of two matrices of doubles that hold whole numbers, as longs.
+
+    Exact at every size: by doubles or longs where no sum can leave their range, else by Python's
+    integers. A product beyond the range of a long is given as the nearest long.
+    """
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * float(max(1, q.shape[1]))
+    if most < 2.0**53:
+        return (q @ x.T).astype(np.int64)
+    if most < 2.0**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    bound = (1 << 63) - 1
+    rows = [[int(v) for v in row] for row in x.tolist()]
+    out = [[max(-bound - 1, min(bound, sum(a * b for a, b in zip(one, row, strict=True)))) for row in rows] for one in ([int(v) for v in r] for r in q.tolist())]
+    return np.array(out, np.int64).reshape(len(q), len(x))
