@@ -2,7 +2,10 @@
 
 import collections
 import hashlib
+import math
 import random
+import re
+import unicodedata
 
 import numpy as np
 import public_tokenizers as P
@@ -11,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import byte_bpe, language_id, ngram_join, pseudo_likelihood, source_mix, toxicity
+from textloom.llm import byte_bpe, language_id, ngram_join, pseudo_likelihood, queries, source_mix, toxicity
 from textloom.llm.byte_bpe import digests, encode_documents, read_ranks
 from textloom.llm.common import small_batches
 from textloom.llm.token_counts import count_tokens
@@ -373,3 +376,79 @@ def test_a_text_of_one_letter_has_letters(spark):
     docs = spark.createDataFrame([(1, "a", "en", "x"), (2, "7", "en", "x")], "doc_id long, text string, lang string, source string")
     got = language_id.identify_languages(docs, ["en"], "lang", "source").collect()
     assert {r["doc_id"]: r["rejected"] for r in got} == {1: False, 2: True}
+
+
+def language_by_hand(rows, languages):
+    """(language, posterior, rejected) of rows (text, declared, host), one trigram at a time."""
+
+    def grams(text):
+        spelled = "".join(c if c.isalpha() or (ord(c) > 127 and unicodedata.category(c)[0] == "M") else " " for c in text or "")
+        if not any(c.isalpha() for c in spelled):
+            return []
+        b = b" " + b" ".join(re.sub("[A-Z]", lambda m: m[0].lower(), spelled).encode().split()) + b" "
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 16 for i in range(len(b) - 2)]
+
+    said = [(d or "").split("-")[0].split("_")[0].strip(" ").lower() for _, d, _ in rows]
+    said = [d if d in languages else None for d in said]
+    hosts = [(h or "").lower() for _, _, h in rows]
+    counts = {x: collections.Counter(g for (t, _, _), d in zip(rows, said, strict=True) if d == x for g in grams(t)) for x in languages}
+    total = {x: sum(counts[x].values()) + language_id.SMOOTH * language_id.BUCKETS for x in languages}
+    out = []
+    for i, (text, _, _) in enumerate(rows):
+        found, others = grams(text), [(d, h) for j, (d, h) in enumerate(zip(said, hosts, strict=True)) if j != i and d]
+        scores = []
+        for x in languages:
+            log = sum(math.log((counts[x][g] + language_id.SMOOTH) / total[x]) - sum(math.log((counts[y][g] + language_id.SMOOTH) / total[y]) for y in languages) / len(languages) for g in found)
+            log *= min(1.0, language_id.EVIDENCE / max(1, len(found)))
+            p = (sum(d == x for d, _ in others) + 1) / (len(others) + len(languages))
+            for near in ([d for d, h in others if h.split(".")[-1] == hosts[i].split(".")[-1]], [d for d, h in others if h == hosts[i]]):
+                p = (near.count(x) + language_id.STRENGTH * p) / (len(near) + language_id.STRENGTH)
+            log += math.log(p) + (0 if not said[i] else math.log(language_id.TRUST if said[i] == x else (1 - language_id.TRUST) / (len(languages) - 1)))
+            scores.append(log)
+        best = max(scores)
+        posterior = 1 / sum(math.exp(s - best) for s in scores)
+        out.append((languages[scores.index(best)], posterior, not found or posterior < language_id.LEAST))
+    return out
+
+
+def test_language_matches_brute_force(spark):
+    rnd = random.Random(6)
+    words = {"en": ["the", "thing", "And", "of"], "de": ["über", "ÄPFEL", "nicht", "und"], "fr": ["été", "déjà", "nous"]}
+    rows = []
+    for i in range(60):
+        own = rnd.choice(list(words))
+        text = rnd.choice([" ", " 1 ", "—", "’"]).join(rnd.choice(words[own]) for _ in range(rnd.randrange(9)))
+        rows.append((text if i % 11 else None, rnd.choice([own, own.upper() + "-XX", "xx", None, f" {own} "]), rnd.choice(["a.org", "B.org", "c.net", "", None])))
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, host string")
+    got = sorted(language_id.identify_languages(docs, list(words), "lang", "host").collect(), key=lambda r: r["doc_id"])
+    want = language_by_hand(rows, list(words))
+    assert [(r["language"], r["rejected"]) for r in got] == [(x, out) for x, _, out in want]
+    assert np.allclose([r["posterior"] for r in got], [p for _, p, _ in want], rtol=1e-9)
+
+
+@pytest.mark.parametrize("text", ["€ 5", "“ ”", "1 – 2", "٣٤٥ ١٢", "😀 👍🏽", "\x85\xa0 7!", "— … ·", "²½", "́", "१२", "", "۔؟،", "！？。、"])
+def test_texts_without_letters_have_no_evidence(text):
+    assert len(language_id.trigrams(text.encode())) == 0
+
+
+@pytest.mark.parametrize("text", ["a", "é", "日本", "ж 5", "5 ñ €", "é", "ª"])
+def test_any_letter_is_evidence(text):
+    assert len(language_id.trigrams(text.encode())) > 0
+
+
+def test_pages_are_read_for_their_language(spark, tmp_path):
+    pages = [
+        (1, "http://A.example.org/x?q", '<!DOCTYPE html><HTML class="q" LANG="de-AT"><p>nicht über</p><script>the the</script></HTML>'),
+        (2, "https://a.example.org", "<html lang='en'><body>the thing<br/>and</body></html>"),
+        (3, "nowhere", "<html lang=fr><style>x {}</style>déjà été</html>"), (4, None, "plain text, no tags"), (5, "http://b.net/", None), (6, "http://b.net/", '<html lang="en"> 12 € </html>'),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = []
+    for _, url, html in pages:
+        host = re.split("[/?#]", url.split("://", 1)[1])[0].lower() if url and "://" in url else ""
+        lang = re.search(r"""<html\b[^>]*?\blang\s*=\s*["']?([^"'\s>]*)""", html or "", re.I | re.S)
+        rows.append((None if html is None else re.sub(r"<(script|style)\b.*?</\1\s*>|<[^>]*>", " ", html, flags=re.I | re.S), lang and lang[1], host))
+    got = sorted(queries.QUERIES["op1_language_id"](spark, str(tmp_path)).collect(), key=lambda r: r["page_id"])
+    want = language_by_hand(rows, queries.LANGUAGES)
+    assert [(r["language"], r["rejected"], r["declared"] or None, r["host"]) for r in got] == [(x, out, d, h) for (x, _, out), (_, d, h) in zip(want, rows, strict=True)]
+    assert np.allclose([r["posterior"] for r in got], [p for _, p, _ in want], rtol=1e-9)

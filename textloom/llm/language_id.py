@@ -14,7 +14,8 @@ Everything is counted from the corpus itself by grouped aggregation.
 The posterior over the languages is the normalised product. A declaration outside the languages, or
 none, says nothing; so does an empty host.
 
-A document is rejected if it has no letters at all, or if no language reaches the least posterior.
+A document is rejected if it has no letters at all (of any script; digits, signs, emoji and lone marks
+are none), or if no language reaches the least posterior.
 
 * null and empty texts: the other evidence decides the language; they are rejected for want of letters;
 * very long texts: every trigram counts;
@@ -24,6 +25,8 @@ A document is rejected if it has no letters at all, or if no language reaches th
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,12 +45,30 @@ STRENGTH = 20.0
 SMOOTH = 0.5
 LEAST = 0.5
 
+#: For UTF-8 in which every character beyond ASCII is a letter or a mark.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
+@functools.cache
+def _category(character: str) -> str:
+    return unicodedata.category(character)[0]
+
+
+def letters(text: bytes) -> bytes:
+    """The text with spaces for all signs of any script but letters and marks; empty if it has no letter."""
+    if text.isascii():
+        return text
+    whole = text.decode(errors="replace")
+    found = set(whole)
+    if not any(_category(c) == "L" for c in found):
+        return b""
+    signs = [c for c in found if not c.isascii() and _category(c) not in "LM"]
+    return whole.translate(dict.fromkeys(map(ord, signs), " ")).encode() if signs else text
+
+
 def trigrams(text: bytes) -> np.ndarray:
     """Hashed trigrams of a text's bytes; other signs than letters count as spaces, runs of them as one."""
-    b = np.frombuffer(b" ".join([b"", *text.translate(_LOWER).split(), b""]), np.uint8).astype(np.uint32)
+    b = np.frombuffer(b" ".join([b"", *letters(text).translate(_LOWER).split(), b""]), np.uint8).astype(np.uint32)
     if len(b) < 3:  # no letter
         return np.empty(0, np.int64)
     code = (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]
