@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from textloom import fixed_values as V
 from textloom.functions import text as X
 from textloom.functions.core import each, strip, ws_count
-from textloom.operators import chunking, failover, intake, layout, ledger, markdown, masking, metrics, scoring, selection
+from textloom.operators import chunking, failover, glossary, intake, layout, ledger, markdown, masking, metrics, scoring, selection
 from textloom.plans import documents as jobs
 from textloom.session import prepare, shared_dir, stored
 from textloom.sources import tables
@@ -399,6 +399,19 @@ def glossary_losses(spark, sf):
                           F.array_join("lost_terms", ",").alias("lost"))
 
 
+@query
+def global_glossary_losses(spark, sf):
+    """Do the texts without their first line still hold the two- and three-word terms of the benchmark?"""
+    items = table(spark, sf, "benchmark").select(X.words(F.col("text")).alias("w")).filter(F.size("w") > 2)
+    starts = F.sequence(F.lit(1), F.size("w") - 2)
+    threes = F.transform(starts, lambda i: F.array_join(F.slice("w", i, 3), " "))
+    twos = F.transform(F.array_append(starts, F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " "))
+    terms = items.select(F.explode(F.concat(twos, threes)).alias("term"))
+    docs = texts(spark, sf).withColumn("processed", F.regexp_replace("text", r"\A[^\n]*\n?", ""))
+    checked = glossary.global_glossary_losses(docs, terms, "doc_id", "text", "processed")
+    return checked.select("doc_id", F.size("expected_terms").cast("bigint").alias("expected"), F.array_join("lost_terms", ",").alias("lost"))
+
+
 @query
 def text_comparison(spark, sf):
     docs = texts(spark, sf).withColumn("processed", F.rtrim(F.regexp_replace("text", "  +", " ")))
@@ -532,6 +545,25 @@ def failover_resolution(spark, sf):
     return resolved.withColumn("priority", F.col("priority").cast("bigint"))
 
 
+def _day_quotas(spark: SparkSession, sf: str) -> DataFrame:
+    """Limits of half of a provider's mean day, of which a tenth is used; the google record is missing."""
+    calls = _calls(spark, sf).filter("provider <> 'google'")
+    used = calls.groupBy("provider").agg(F.floor(F.sum("tokens") / (F.countDistinct(F.to_date("ts")) * 2)).alias("daily_limit"))
+    return used.select("provider", "daily_limit", F.floor(F.col("daily_limit") / 10).alias("used_today"), F.lit(30).cast("bigint").alias("rpm_limit"))
+
+
+@query
+def exhausted_at_call(spark, sf):
+    judged = failover.running_usage(_calls(spark, sf), _day_quotas(spark, sf))
+    return judged.select("request_id", F.col("priority").cast("bigint").alias("priority"), "provider", "used_before", "exhausted_at_call")
+
+
+@query
+def running_failover(spark, sf):
+    resolved = failover.resolve_running_failover(_calls(spark, sf), _day_quotas(spark, sf))
+    return resolved.withColumn("priority", F.col("priority").cast("bigint"))
+
+
 @query
 def failover_errors(spark, sf):
     errors = failover.failover_errors(_calls(spark, sf), _quotas(spark, sf))

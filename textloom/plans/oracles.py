@@ -356,6 +356,17 @@ u AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM w),
 g AS (SELECT doc_id, list(t ORDER BY i) AS g FROM (SELECT doc_id, t, min(i) AS i FROM u GROUP BY ALL) GROUP BY ALL),
 e AS (SELECT doc_id, processed, list_filter(coalesce(g, []), lambda t_: contains(text, t_)) AS e FROM w LEFT JOIN g USING (doc_id))
 SELECT doc_id, len(e) AS expected, array_to_string(list_filter(e, lambda t_: NOT contains(processed, t_)), ',') AS lost FROM e""")
+oracle("global_glossary_losses", f"""
+WITH b AS (SELECT {words('text')} AS w FROM benchmark),
+t AS (SELECT array_to_string(w[i:i + 1], ' ') AS term FROM (SELECT w, unnest(range(1, len(w))) AS i FROM b WHERE len(w) > 2)
+  UNION SELECT array_to_string(w[i:i + 2], ' ') FROM (SELECT w, unnest(range(1, len(w) - 1)) AS i FROM b WHERE len(w) > 2)),
+d AS (SELECT row_number() OVER () AS r, doc_id, {words('text')} AS w, {words("regexp_replace(text, '^[^\n]*\n?', '')")} AS p FROM documents),
+s AS (SELECT r, array_to_string(w[i:i + n - 1], ' ') AS term FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (VALUES (2), (3)) v(n))),
+k AS (SELECT r, array_to_string(p[i:i + n - 1], ' ') AS term FROM (SELECT r, p, n, unnest(range(1, len(p) - n + 2)) AS i FROM d, (VALUES (2), (3)) v(n))),
+e AS (SELECT DISTINCT r, term FROM s WHERE term IN (SELECT term FROM t)),
+h AS (SELECT DISTINCT r, term, true AS kept FROM k)
+SELECT doc_id, count(term) AS expected, coalesce(string_agg(term, ',' ORDER BY term) FILTER (kept IS NULL), '') AS lost
+FROM d LEFT JOIN e USING (r) LEFT JOIN h USING (r, term) GROUP BY r, doc_id""")
 oracle("text_comparison", """
 WITH d AS (SELECT doc_id, text, rtrim(regexp_replace(text, '  +', ' ', 'g'), ' ') AS p FROM documents)
 SELECT doc_id, length(text) AS raw_length, length(p) AS processed_length, text = p AS unchanged, text[1:80] AS raw_snippet, p[1:80] AS processed_snippet FROM d""")
@@ -444,6 +455,19 @@ oracle("failover_resolution", f"""
 WITH {_CALLS}, w AS (SELECT request_id, min(priority) AS priority FROM made WHERE NOT exhausted AND status = 200 GROUP BY 1)
 SELECT r.request_id, w.priority, c.provider, c.text, w.priority IS NULL AS all_failed
 FROM (SELECT DISTINCT request_id FROM calls) r LEFT JOIN w USING (request_id) LEFT JOIN calls c ON c.request_id = w.request_id AND c.priority = w.priority""")
+_RUNNING = f"""{_CALLS},
+days AS (SELECT provider, CAST(floor(sum(tokens) / (count(DISTINCT ts::DATE) * 2)) AS BIGINT) AS day_limit, min(ts::DATE) AS first_day FROM calls WHERE provider <> 'google' GROUP BY 1),
+used AS (SELECT c.*, day_limit,
+  CASE WHEN ts::DATE = first_day THEN day_limit // 10 ELSE 0 END + coalesce(sum(tokens) OVER w, 0) AS before,
+  coalesce(bool_or(status IN (429, 503)) OVER w, false) AS throttled
+  FROM calls c LEFT JOIN days USING (provider) WINDOW w AS (PARTITION BY provider, ts::DATE ORDER BY ts, request_id, priority ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+judged AS (SELECT *, CASE WHEN day_limit IS NOT NULL THEN CASE WHEN throttled THEN day_limit ELSE before::BIGINT END END AS used_before FROM used)"""
+oracle("exhausted_at_call", f"""
+WITH {_RUNNING} SELECT request_id, priority, provider, used_before, coalesce(used_before >= day_limit, false) AS exhausted_at_call FROM judged""")
+oracle("running_failover", f"""
+WITH {_RUNNING}, w AS (SELECT request_id, min(priority) AS priority FROM judged WHERE NOT coalesce(used_before >= day_limit, false) AND status = 200 GROUP BY 1)
+SELECT r.request_id, w.priority, c.provider, c.text, w.priority IS NULL AS all_failed
+FROM (SELECT DISTINCT request_id FROM calls) r LEFT JOIN w USING (request_id) LEFT JOIN calls c ON c.request_id = w.request_id AND c.priority = w.priority""")
 oracle("failover_errors", f"""
 WITH {_CALLS}, w AS (SELECT request_id, min(priority) AS won FROM made WHERE NOT exhausted AND status = 200 GROUP BY 1)
 SELECT m.request_id, priority, provider, status::BIGINT AS status FROM made m LEFT JOIN w USING (request_id)
