@@ -51,7 +51,10 @@ CELL, POSTINGS, BLOCK = 4096, 1 << 19, 32
 #: Documents of which representatives are drawn, their number, and the dimensions of a sketch.
 SAMPLE, REPRESENTATIVES, SKETCH = 4096, 256, 64
 #: Documents that are scored at once, and postings that are summarised at once.
-STEP, CHUNK = 256, 1 << 18
+STEP, CHUNK = 256, 1 << 17
+
+#: Bytes of a batch that a task reads at once; a cell has some megabytes.
+BATCH = 16 << 20
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
@@ -357,6 +360,7 @@ def rank_documents(
     w * (10**9 tf div (1000 tf + 8m)) with m = 100 - b + (b n N div L).
     """
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH))
     asked = queries.filter(F.col(query_id).isNotNull()).groupBy(F.col(query_id).cast("long").alias("id")).agg(F.min(as_bytes(query_text)).alias("text"))
     blocks = stored(asked.mapInArrow(_query_blocks, "block string, ids array<long>, texts array<binary>"))
     found = None
@@ -427,6 +431,7 @@ def _search_block(spark, docs: DataFrame, ids: list[int], texts: list[bytes], k:
     cells = max(1, -(-totals["holding"] // CELL))
     near = usable.mapInArrow(placed, "doc_id long, length long, terms binary, times binary, near long")
     dealt = near.repartitionByRange(cells, "near", F.xxhash64("doc_id")).sortWithinPartitions("near", "doc_id", "terms", "times").drop("near")
+    dealt = dealt.coalesce(cells)  # neighbouring ranges share a cell where there are more of them than asked for
     index = stored(dealt.mapInArrow(_cell_rows(order_sent, impacts_of, send(block.beside()), similar, block_sent), _INDEX))
 
     def richest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
