@@ -19,6 +19,25 @@ def fold(items: Column, start: Column, step: Callable, finish: Callable | None =
     return F.aggregate(items, start, step, finish) if finish else F.aggregate(items, start, step)
 
 
+def count_below(ordered: Column, wanted: Column) -> Column:
+    """How many elements of an ascending array are less than ``wanted``, by binary search.
+
+    ``ordered`` should be bound (``let``), since every step looks into it.
+    """
+    start = F.struct(F.lit(0).alias("low"), F.size(ordered).alias("high"))
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(F.size(ordered) + F.lit(1.0))).cast("int"))
+
+    def step(s: Column, _: Column) -> Column:
+        middle = ((s["low"] + s["high"]) / 2).cast("int")
+        less = (s["low"] < s["high"]) & (F.get(ordered, middle) < wanted)
+        return F.struct(
+            F.when(less, middle + 1).otherwise(s["low"]).alias("low"),
+            F.when(less | (s["low"] >= s["high"]), s["high"]).otherwise(middle).alias("high"),
+        )
+
+    return fold(halvings, start, step, lambda s: s["low"])
+
+
 def py_round(value: Column, digits: int) -> Column:
     """Round the exact binary value, ties to even.
 

@@ -8,6 +8,9 @@ afterwards. No shuffle is needed and documents are independent of each other.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -117,53 +120,41 @@ def block_paragraphs(blocks: Column) -> Column:
     return F.filter(numbered, lambda p: p["text"] != "")
 
 
+def _slices(text: str, max_chars: int) -> list[str]:
+    """The pieces of one text. Only places in the text are carried from piece to piece."""
+    space = "[" + re.escape(V.WS_CHARS) + "]"
+    boundaries = [(re.compile(p), shift) for p, shift in ((rf"\n{space}*\n", 0), (rf"[.!?]{space}", 1), (rf"[,;:]{space}", 1), (space, 0))]
+    lookback = max(0, max_chars - V.SHIFT_BACK_CHARS)
+    text, at, pieces = text.strip(V.WS_CHARS), 0, []
+    while at < len(text):
+        end = len(text)
+        if end - at > max_chars:
+            window, end = text[at + lookback : at + max_chars], at + max_chars
+            for pattern, shift in boundaries:
+                starts = [m.start() for m in pattern.finditer(window)]
+                if starts:
+                    end = at + lookback + starts[-1] + shift
+                    break
+        pieces.append(text[at:end].strip(V.WS_CHARS))
+        at = end
+        while at < len(text) and text[at] in V.WS_CHARS:
+            at += 1
+    return pieces
+
+
 def slice_chars(text: Column, max_chars: int) -> Column:
     """Array of pieces of at most ``max_chars``, cut at the best boundary nearby.
 
     Looks back up to 150 characters for the last paragraph break, else sentence
-    end, else clause end, else white space. Each step advances by at least one
-    character, and by max_chars - 150 where that is more, which bounds the fold.
+    end, else clause end, else white space. Where a piece ends depends on where it
+    began, so this is a loop over one text, in Arrow batches; its time is linear in the text.
     """
-    lookback = max(0, max_chars - V.SHIFT_BACK_CHARS)
-    advance = max(1, lookback)
-    boundaries = [(rf"\n{V.WS}*\n", 0), (rf"[.!?]{V.WS}", 1), (rf"[,;:]{V.WS}", 1), (V.WS, 0)]
-
-    def last_start(window: Column, pattern: str, shift: int) -> Column:
-        hits = F.regexp_extract_all(window, F.lit(pattern), F.lit(0))
-        tail = F.element_at(F.split(window, pattern, -1), -1)
-        return let(
-            hits,
-            lambda h: F.when(
-                F.size(h) > 0,
-                F.length(window) - F.length(tail) - F.length(F.element_at(h, -1)) + lookback + shift,
-            ),
-        )
 
-    def cut(rest: Column) -> Column:
-        window = F.substring(rest, lookback + 1, max_chars - lookback)
-        return let(
-            window, lambda w: F.coalesce(*[last_start(w, p, s) for p, s in boundaries], F.lit(max_chars))
-        )
+    @F.arrow_udf("array<string>")
+    def sliced(texts: pa.Array) -> pa.Array:
+        return pa.array([_slices(t, max_chars) if t is not None else [] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    start = F.struct(strip(text).alias("rest"), F.array().cast("array<string>").alias("pieces"))
-
-    def step(state: Column, _: Column) -> Column:
-        rest, pieces = state["rest"], state["pieces"]
-        def split_at(at: Column) -> Column:
-            return F.struct(
-                strip(F.substring(rest, at + 1, F.length(rest))).alias("rest"),
-                F.array_append(pieces, strip(F.substring(rest, F.lit(1), at))).alias("pieces"),
-            )
-        return (
-            F.when(rest == "", state)
-            .when(F.length(rest) <= max_chars, F.struct(F.lit("").alias("rest"), F.array_append(pieces, rest).alias("pieces")))
-            .otherwise(let(cut(rest), split_at))
-        )
-
-    steps = F.sequence(F.lit(0), F.ceil(F.length(text) / advance).cast("int"))
-    return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(
-        fold(steps, start, step, lambda s: s["pieces"])
-    )
+    return sliced(text)
 
 
 def new_chunk_rows(chunks: DataFrame, run_id: str = "run_id") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import each, fold, strip
+from textloom.functions.core import count_below, each, let, strip
 
 FENCE = r"^[ \t]*(?:```|~~~)"
 TABLE = r"^[ \t]*\|"
@@ -14,29 +14,24 @@ LIST = rf"^[ \t]*(?:[-*+]|\d+[.)]){V.WS}"
 HEADING = rf"^[ \t]{{0,3}}#{{1,6}}{V.WS}"
 
 
-def _fence_counts(lines: Column) -> Column:
-    """Number of fence lines up to and including each line."""
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("counts"))
-
-    def step(s: Column, line: Column) -> Column:
-        n = s["n"] + F.when(line.rlike(FENCE), 1).otherwise(0)
-        return F.struct(n.alias("n"), F.array_append(s["counts"], n).alias("counts"))
-
-    return fold(lines, start, step, lambda s: s["counts"])
-
-
 def segment_markdown(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line_no, line, label); label is fence, code, table, list, heading, blank or prose.
 
-    A line is code while the number of fence lines before it is odd. Texts without
-    a fence skip the running count.
+    A line is code while the number of fence lines before it is odd. The places of the
+    fences are found once, and each line looks up how many are before it.
     """
     lines = df.select(key, F.split(text, "\n").alias("_lines"))
-    fenced = F.exists("_lines", lambda line: line.rlike(FENCE))
-    counts = F.when(fenced, _fence_counts(F.col("_lines")))
-    marked = F.arrays_zip(
-        F.col("_lines").alias("line"),
-        F.coalesce(counts, F.transform("_lines", lambda _: F.lit(0))).alias("fences"),
+    places = F.filter(
+        F.transform("_lines", lambda line, i: F.when(line.rlike(FENCE), i)), lambda i: i.isNotNull()
+    )
+    marked = let(
+        places,
+        lambda fences: F.transform(
+            "_lines",
+            lambda line, i: F.struct(
+                line.alias("line"), F.when(F.size(fences) == 0, 0).otherwise(count_below(fences, i)).alias("fences")
+            ),
+        ),
     )
     rows = each(lines, [key], marked, "line_no", "_l").select(key, "line_no", "_l.line", "_l.fences")
     line = F.col("line")

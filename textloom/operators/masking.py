@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import each, fold, join, let
+from textloom.functions.core import count_below, each, fold, join, let
 
 _EMPTY = "array<string>"
 
@@ -176,17 +176,99 @@ def unmask_math(text: Column, token_map: Column) -> Column:
     return _unmask_strict(text, token_map, V.MATH_TOKEN_PATTERN)
 
 
-def restore_soft(text: Column, token_map: Column) -> Column:
-    """Replace every token that occurs, longest token first, and leave the rest."""
-    entries = F.array_sort(
+_ANY_TOKEN = r"__(?:CITATION|MATH_BLOCK|MATH_INLINE)_\d+__"
+#: A token whose end would also begin another one.
+_SHARED_END = r"__(?:CITATION|MATH_BLOCK|MATH_INLINE)_\d+__(?:CITATION|MATH_BLOCK|MATH_INLINE)_\d+__"
+_KEY = r"^__(?:CITATION|MATH_BLOCK|MATH_INLINE)_(?:0|[1-9]\d{0,14})__$"
+#: Maps up to this size are folded over; larger ones are looked up token by token. The results are the same.
+_FEW_TOKENS = 8
+
+
+def _by_length(token_map: Column) -> Column:
+    """Entries (key, value), longest token first, then in the order of the map."""
+    return F.array_sort(
         F.transform(
             F.map_entries(token_map),
             lambda e, i: F.struct((-F.length(e["key"])).alias("order"), i.alias("i"), e["key"], e["value"]),
         )
     )
-    return fold(
-        entries, F.coalesce(text, F.lit("")), lambda t, e: F.replace(t, e["key"], e["value"])
+
+
+def _code(token: Column) -> Column:
+    """One number for each token of the three kinds."""
+    kind = F.when(F.contains(token, F.lit("BLOCK")), 1).when(F.contains(token, F.lit("INLINE")), 2).otherwise(0)
+    return F.regexp_extract(token, r"\d+", 0).try_cast("bigint") * 3 + kind
+
+
+def _indexed(entries: Column) -> Column:
+    """Entries in the order of their codes, with their rank in the order of replacing."""
+    numbered = F.transform(
+        entries, lambda e, rank: F.struct(_code(e["key"]).alias("code"), rank.alias("rank"), e["key"], e["value"])
     )
+    return F.array_sort(numbered)
+
+
+def _one_pass(text: Column, index: Column, codes: Column, after: Column) -> Column:
+    """Replace every known token whose rank is greater than ``after``; time grows with text and tokens."""
+    def known(token: Column) -> Column:
+        def entry(code: Column) -> Column:
+            return let(
+                F.get(index, count_below(codes, code)),
+                lambda e: F.when((e["key"] == token) & (e["rank"] > after), e["value"]).otherwise(token),
+            )
+
+        return F.coalesce(let(_code(token), entry), token)
+
+    return let(F.regexp_extract_all(text, F.lit(_ANY_TOKEN), F.lit(0)), lambda found: _replace_matches(text, _ANY_TOKEN, found, known))
+
+
+def _looked_up(text: Column, entries: Column) -> Column:
+    """The restored text, or null where replacing one token after the other could give another.
+
+    Values may hold tokens themselves: those that come later in the order are replaced in the values
+    first. What is left must not be able to form a token with its surroundings: no double underscore
+    outside tokens, none in the values, and no underscore at their ends.
+    """
+    def expanded(index: Column) -> Column:
+        def values(codes: Column) -> Column:
+            inner = F.transform(
+                index,
+                lambda e: F.struct(
+                    e["code"], e["rank"], e["key"],
+                    F.when(F.contains(e["value"], F.lit("__")), _one_pass(e["value"], index, codes, e["rank"]))
+                    .otherwise(e["value"]).alias("value"),
+                ),
+            )
+
+            def restored(ready: Column) -> Column:
+                plain = F.forall(
+                    ready,
+                    lambda e: (e["value"] != "") & ~F.contains(e["value"], F.lit("__"))
+                    & ~F.startswith(e["value"], F.lit("_")) & ~F.endswith(e["value"], F.lit("_")),
+                )
+                apart = F.forall(F.split(text, _ANY_TOKEN, -1), lambda piece: ~F.contains(piece, F.lit("__")))
+                return F.when(plain & apart, _one_pass(text, ready, codes, F.lit(-1)))
+
+            return let(inner, restored)
+
+        return let(F.transform(index, lambda e: e["code"]), values)
+
+    regular = F.forall(entries, lambda e: F.coalesce(e["key"].rlike(_KEY), F.lit(False))) & ~text.rlike(_SHARED_END)
+    return F.when(regular, let(_indexed(entries), expanded))
+
+
+def restore_soft(text: Column, token_map: Column) -> Column:
+    """Replace every token that occurs, longest token first, and leave the rest.
+
+    Large maps are not gone through token by token: the text is cut at its tokens once, and each
+    looks up its value. Maps or texts of which this could differ from replacing one token after the
+    other (own token formats, values that run into tokens, nesting of more than one level) are.
+    """
+    def restored(entries: Column, value: Column) -> Column:
+        in_turn = fold(entries, value, lambda t, e: F.replace(t, e["key"], e["value"]))
+        return F.when(F.size(entries) <= _FEW_TOKENS, in_turn).otherwise(F.coalesce(_looked_up(value, entries), in_turn))
+
+    return let(_by_length(token_map), lambda entries: let(F.coalesce(text, F.lit("")), lambda value: restored(entries, value)))
 
 
 def restore_tokens(text: Column, token_map: Column) -> Column:
