@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from textloom import fixed_values as V
 from textloom.session import shared_dir
@@ -201,30 +201,58 @@ MONITOR_OUT = (
     "run_id string, sequence_no bigint, iteration int, previous_score double, score double, delta double, "
     "degraded boolean, stalled boolean, stall_count int, stops boolean, best_score double, stop_reason string"
 )
-MONITOR_STATE = "previous double, stalls int, best double, stopped boolean"
+MONITOR_STATE = "previous double, stalls int, best double, stopped boolean, expires bigint"
+#: Seconds after its newest row at which what is known of a chunk, or of a run, is forgotten.
+EXPIRE_SECONDS = 7 * 86_400
 
 
-def score_monitor(
-    scores: DataFrame, tolerance: float = V.DEGRADATION_TOLERANCE, stall_below: float = V.STALL_THRESHOLD,
-    exit_score: float = V.EXIT_SCORE, max_iterations: int = V.MAX_ITERATIONS,
-) -> DataFrame:
-    """Verdict of every score as it arrives, per (run_id, sequence_no), until the chunk stops.
+class _Expiring(StatefulProcessor):
+    """Keyed state with one timer: ``expires`` (ms of event time) moves on with the rows of the key.
 
-    Input columns: run_id, sequence_no, iteration, score, and optionally accepted; attempts not
-    accepted (a placeholder was lost) are passed over. A chunk stops at a score under the exit
-    score, the baseline's included, when its scores get worse, or at its second stall; scores are
-    compared with the one before up to the last but one iteration. Nothing is told after a stop.
-    The state of a chunk is four values; it is kept, so that nothing is told after a stop.
+    A timer that fires early, because rows came after it was set, is set again; else ``forget`` runs.
     """
-    if "accepted" in scores.columns:
-        scores = scores.filter(F.coalesce("accepted", F.lit(True))).drop("accepted")
-    names = [c.split()[0] for c in MONITOR_OUT.split(", ")]
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        previous, stalls, best, stopped = state.get if state.exists else (None, 0, None, False)
-        rows = sorted((int(i), float(s)) for batch in batches for i, s in zip(batch["iteration"], batch["score"], strict=True))
+    def expires(self) -> int:
+        raise NotImplementedError
+
+    def forget(self) -> None:
+        raise NotImplementedError
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        if self.expires() > expiredTimerInfo.getExpiryTimeInMs():
+            self.handle.registerTimer(self.expires())
+        else:
+            self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Monitor(_Expiring):
+    def __init__(self, rule: tuple, expire_ms: int):
+        self.rule, self.expire_ms = rule, expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunk = handle.getValueState("chunk", MONITOR_STATE)
+
+    def expires(self) -> int:
+        return self.chunk.get()[4] if self.chunk.exists() else 0
+
+    def forget(self) -> None:
+        self.chunk.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        tolerance, stall_below, exit_score, max_iterations = self.rule
+        known = self.chunk.exists()
+        previous, stalls, best, stopped, expires = self.chunk.get() if known else (None, 0, None, False, 0)
+        found, latest = [], expires
+        for batch in rows:
+            found += [(int(i), float(s)) for i, s in zip(batch["iteration"], batch["score"], strict=True)]
+            latest = max(latest, int(batch["at"].max()) + self.expire_ms)
         out = []
-        for iteration, score in rows:
+        for iteration, score in sorted(found):
             if stopped:
                 break
             if previous is None:
@@ -240,12 +268,121 @@ def score_monitor(
                 stopped = reason is not None
                 out.append((*key, iteration, previous, score, score - previous, degraded, stalled, stalls, stopped, best, reason))
             previous, best = score, score if best is None else best
-        state.update((previous, stalls, best, stopped))
-        yield pd.DataFrame(out, columns=names)
+        self.chunk.update((previous, stalls, best, stopped, latest))
+        if not known:
+            self.handle.registerTimer(latest)
+        if out:
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in MONITOR_OUT.split(", ")])
 
-    return scores.groupBy("run_id", "sequence_no").applyInPandasWithState(
-        update, MONITOR_OUT, MONITOR_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+
+def score_monitor(
+    scores: DataFrame, tolerance: float = V.DEGRADATION_TOLERANCE, stall_below: float = V.STALL_THRESHOLD,
+    exit_score: float = V.EXIT_SCORE, max_iterations: int = V.MAX_ITERATIONS,
+    time: str | None = None, delay: str = "1 hour", expire_seconds: int = EXPIRE_SECONDS,
+) -> DataFrame:
+    """Verdict of every score as it arrives, per (run_id, sequence_no), until the chunk stops.
+
+    Input columns: run_id, sequence_no, iteration, score, and optionally accepted; attempts not
+    accepted (a placeholder was lost) are passed over. A chunk stops at a score under the exit
+    score, the baseline's included, when its scores get worse, or at its second stall; scores are
+    compared with the one before up to the last but one iteration. Nothing is told after a stop.
+
+    The state of a chunk is five values. It is kept for ``expire_seconds`` after the chunk's newest
+    row, so that repeats stay silent after a stop, and then evicted, whether the chunk has stopped
+    or fallen silent: by the scores' own time if they have a column ``time`` (rows later than ``delay``
+    are dropped), else by the time they arrive.
+    """
+    if "accepted" in scores.columns:
+        scores = scores.filter(F.coalesce("accepted", F.lit(True))).drop("accepted")
+    rows = scores.filter(F.col("iteration").isNotNull() & F.col("score").isNotNull())
+    if time:
+        rows = rows.filter(F.col(time).isNotNull()).withWatermark(time, delay)
+    else:
+        time = "arrived"
+        rows = rows.withColumn(time, F.current_timestamp()).withWatermark(time, "0 seconds")
+    rows = rows.select("run_id", "sequence_no", "iteration", "score", time, F.unix_millis(F.col(time).cast("timestamp")).alias("at"))
+    monitor = _Monitor((tolerance, stall_below, exit_score, max_iterations), expire_seconds * 1000)
+    return rows.groupBy("run_id", "sequence_no").transformWithStateInPandas(monitor, MONITOR_OUT, "Append", "EventTime")
+
+
+# --- errors with their state, as a stream ------------------------------------------------------
+
+FEED_OUT = "run_id string, event_id bigint, event_time timestamp, state string"
+
+
+class _Feed(_Expiring):
+    """Events of a run that late progress can still precede, and the last progress before them."""
+
+    def __init__(self, expire_ms: int):
+        self.expire_ms = expire_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.recent = handle.getListState("recent", "at bigint, event_id bigint, is_error boolean, state string")
+        self.last = handle.getValueState("last", "at bigint, event_id bigint, state string")
+        self.until = handle.getValueState("until", "expires bigint")
+
+    def expires(self) -> int:
+        return self.until.get()[0] if self.until.exists() else 0
+
+    def forget(self) -> None:
+        for state in (self.recent, self.last, self.until):
+            state.clear()
+
+    @staticmethod
+    def states(before: str | None, events: list[tuple]) -> dict[tuple, str | None]:
+        """The state each error of ordered events happened in."""
+        out = {}
+        for at, event_id, is_error, state in events:
+            if is_error:
+                out[at, event_id] = before
+            else:
+                before = state
+        return out
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get() if self.last.exists() else None
+        before = last[2] if last else None
+        held = [tuple(e) for e in self.recent.get()] if self.recent.exists() else []
+        fresh = []
+        for batch in rows:
+            columns = (batch["at"].tolist(), batch["event_id"].tolist(), (batch["category"] == "error").tolist(), batch["progress_state"].tolist())
+            fresh += [(int(at), int(i), e, None if pd.isna(s) else s) for at, i, e, s in zip(*columns, strict=True)]
+        order = lambda e: (e[0], e[1])
+        told = self.states(before, sorted(held, key=order))
+        events = sorted(held + fresh, key=order)
+        now = self.states(before, events)
+        new = [(*key, i, pd.Timestamp(at, unit="us"), state) for (at, i), state in now.items() if (at, i) not in told or told[at, i] != state]
+
+        closed = timerValues.getCurrentWatermarkInMs() * 1000  # nothing earlier arrives any more
+        past = [e for e in events if e[0] < closed and not e[2]]
+        if past and (last is None or order(past[-1]) > (last[0], last[1])):
+            self.last.update((past[-1][0], past[-1][1], past[-1][3]))
+        self.recent.put([e for e in events if e[0] >= closed])
+        known = self.until.exists()
+        latest = max(self.expires(), events[-1][0] // 1000 + self.expire_ms)
+        self.until.update((latest,))
+        if not known:
+            self.handle.registerTimer(latest)
+        if new:
+            yield pd.DataFrame(new, columns=["run_id", "event_id", "event_time", "state"])
+
+
+def live_error_feed(events: DataFrame, delay: str = "1 day", expire_seconds: int = EXPIRE_SECONDS) -> DataFrame:
+    """(run_id, event_id, event_time, state) of the errors of a stream, in update mode.
+
+    A batch tells its own errors and those of the last ``delay`` whose state late progress changes;
+    what a run keeps are its events since the watermark and the last progress before, and nothing
+    once it is silent for ``expire_seconds``. Events later than ``delay``, without time or without run are
+    left out. The rows of a run that come in one batch meet in one task, so the size of a batch (files
+    per trigger) bounds a task whatever the run's share of all events.
+    """
+    kinds = events.filter(F.col("category").isin("progress", "error") & F.col("run_id").isNotNull() & F.col("event_time").isNotNull())
+    rows = kinds.select(
+        "run_id", F.col("event_id").cast("bigint").alias("event_id"), F.col("event_time").cast("timestamp").alias("event_time"), "category", "progress_state"
+    ).withWatermark("event_time", delay)
+    timed = rows.withColumn("at", F.unix_micros("event_time"))
+    return timed.groupBy("run_id").transformWithStateInPandas(_Feed(expire_seconds * 1000), FEED_OUT, "Update", "EventTime")
 
 
 # --- running streams to the end of what is available ------------------------------------------
@@ -295,28 +432,9 @@ def run_updates(stream: DataFrame, keys: list[str], folder: str | None = None) -
     return rows.groupBy(*keys).agg(newest).select(*keys, "_n.*")
 
 
-def run_error_feed(events: DataFrame, folder: str | None = None) -> DataFrame:
-    """Error feed of an event stream.
-
-    The stream lands its events, batch by batch, and the feed is taken from all events that
-    have arrived, so states go by event time: progress that arrives late counts where it
-    belongs, for errors of earlier batches too. A repeated batch overwrites itself.
-    """
-    spark = events.sparkSession
-    folder = folder or shared_dir(spark)
-    out = "run_id string, event_id bigint, event_time timestamp, state string"
-    _empty_rows(events, f"{folder}/events/epoch=-1")
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/events/epoch={epoch}")
-
-    query = (
-        events.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
-    seen = spark.read.schema(events.schema).parquet(f"{folder}/events").drop("epoch")
-    return error_feed(seen).select("run_id", "event_id", "event_time", "state").to(T.StructType.fromDDL(out))
+def run_error_feed(events: DataFrame, folder: str | None = None, delay: str = "1 day", expire_seconds: int = EXPIRE_SECONDS) -> DataFrame:
+    """The error feed of an event stream, run to the end of what is available: the newest row of each error."""
+    return run_updates(live_error_feed(events, delay, expire_seconds), ["run_id", "event_id"], folder)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
