@@ -36,19 +36,34 @@ def split_admitted(screened: DataFrame) -> tuple[DataFrame, DataFrame]:
     return screened.filter(F.col("reason").isNull()).drop("reason"), screened.filter(F.col("reason").isNotNull())
 
 
-def file_reason(path: Column, length: Column, head: Column) -> Column:
-    return (
-        F.when(~F.endswith(F.lower(F.coalesce(path, F.lit(""))), F.lit(V.FILE_SUFFIX)), "extension")
-        .when(length > V.MAX_FILE_BYTES, "size")
-        .when(~F.coalesce(head == V.FILE_MAGIC, F.lit(False)), "signature")
-    )
-
-
-def admit_files(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest of a folder of files with the reason each is rejected, from one listing and one read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    head = F.decode(F.substring("content", 1, len(V.FILE_MAGIC)), "ISO-8859-1")
-    return files.select("path", "length", "modificationTime", file_reason(F.col("path"), F.col("length"), head).alias("reason"))
+def file_reason(
+    path: Column, length: Column, head: Column | None, suffix: str = V.FILE_SUFFIX, magic: str = V.FILE_MAGIC, most: int = V.MAX_FILE_BYTES
+) -> Column:
+    """Why a file is rejected; without ``head`` only what name and size say."""
+    named = F.when(~F.endswith(F.lower(F.coalesce(path, F.lit(""))), F.lit(suffix)), "extension").when(length > most, "size")
+    return named if head is None else named.when(~F.coalesce(head == magic, F.lit(False)), "signature")
+
+
+def admit_files(
+    spark: SparkSession, path: str, suffix: str = V.FILE_SUFFIX, magic: str = V.FILE_MAGIC, most: int = V.MAX_FILE_BYTES
+) -> DataFrame:
+    """Manifest of a folder of files with the reason each is rejected (null = admitted).
+
+    Files that name or size reject come from a listing alone. Only the others are opened: the suffix
+    is part of their listing's pattern and the size a filter the source applies before it reads, so
+    no content above ``most`` bytes is ever loaded, and only its first bytes leave the scan. Spark's
+    file source passes over files without a byte.
+    """
+    def scan(**options: str) -> DataFrame:
+        return spark.read.format("binaryFile").options(recursiveFileLookup="true", **options).load(path)
+
+    rejected = file_reason(F.col("path"), F.col("length"), None, suffix, magic, most)
+    listed = scan().select("path", "length", "modificationTime", rejected.alias("reason")).filter(F.col("reason").isNotNull())
+    pattern = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    head = F.decode(F.substring("content", 1, len(magic)), "ISO-8859-1")
+    opened = scan(pathGlobFilter=pattern).filter(F.col("length") <= most)
+    judged = file_reason(F.col("path"), F.col("length"), head, suffix, magic, most)
+    return listed.unionByName(opened.select("path", "length", "modificationTime", judged.alias("reason")))
 
 
 def compare_texts(chunks: DataFrame, raw: str = "raw_text", processed: str = "processed") -> DataFrame:

@@ -1,16 +1,18 @@
 """Run, chunk and quota tables: updates, deletions, listings and audits.
 
-Updates produce a new snapshot instead of changing rows in place.
+Updates produce a new snapshot instead of changing rows in place; ``commit_updates`` and
+``commit_deletion`` make it the current version of a store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
 from textloom.functions.core import each
 from textloom.functions.text import safe_stem
+from textloom.sources.snapshots import commit_snapshot, read_snapshot, versions
 
 
 def apply_updates(chunks: DataFrame, updates: DataFrame) -> DataFrame:
@@ -152,3 +154,18 @@ def resolve_artifacts(
         F.when(path.isNull(), F.lit("result not found")).alias("error"),
     )
 
+
+
+def commit_updates(spark: SparkSession, store: str, updates: DataFrame) -> int:
+    """Apply updates to the table ``chunks`` of a store; the new version."""
+    base = versions(spark, store)[-1]
+    chunks = read_snapshot(spark, store, base)["chunks"]
+    return commit_snapshot(spark, store, {"chunks": apply_updates(chunks, updates)}, base)
+
+
+def commit_deletion(spark: SparkSession, store: str, ids: DataFrame | None) -> int:
+    """Delete runs and their chunks from the tables ``runs`` and ``chunks`` of a store, both in one version."""
+    base = versions(spark, store)[-1]
+    tables = read_snapshot(spark, store, base)
+    runs, chunks = delete_runs(tables["runs"], tables["chunks"], ids)
+    return commit_snapshot(spark, store, {"runs": runs, "chunks": chunks}, base)

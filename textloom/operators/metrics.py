@@ -95,11 +95,12 @@ def corpus_perplexity(df: DataFrame, key: str, text: str = "text", frequent_shar
     The key may be the document or any grouping column. Words that make up more
     than 1/frequent_share of all words number fewer than frequent_share, so their
     probabilities are safe to broadcast; that takes the hot join keys out of the
-    shuffle join, which handles the remaining words.
+    shuffle join, which handles the remaining words. A key whose texts hold no word has
+    no mean, and no row.
     """
-    counts = document_word_frequency(df, key, text)
-    # The vocabulary is read three times below, so it is written once.
-    corpus = stored(word_frequency(df, text))
+    # Texts are cut into words once; the vocabulary is the sum of the counts and is read three times.
+    counts = stored(document_word_frequency(df, key, text))
+    corpus = stored(counts.groupBy("word").agg(F.sum("n").alias("n")))
     total = corpus.agg(F.sum("n").alias("t")).scalar()
     model = corpus.select(
         "word", F.log(F.col("n") / total).alias("_log_p"), (F.col("n") * frequent_share > total).alias("_frequent")

@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
 from textloom.functions import text as X
-from textloom.functions.core import each, strip, ws_count
+from textloom.functions.core import collapse_ws, each, strip, ws_count
 from textloom.operators import chunking, failover, glossary, intake, layout, ledger, markdown, masking, metrics, scoring, selection
 from textloom.plans import documents as jobs
 from textloom.session import prepare, shared_dir, stored
-from textloom.sources import tables
+from textloom.sources import snapshots, tables
 from textloom.sources import blocks as B
 from textloom.streaming import events as S
 
@@ -90,6 +90,19 @@ def file_admission(spark, sf):
     return pages.select("page_id", F.coalesce(reason, F.lit("admitted")).alias("verdict"))
 
 
+@query
+def admitted_files(spark, sf):
+    """The files of the given tables, by the upload rule and by three rules of their own format."""
+    rules = {"upload": {}, "parquet": {"most": 1 << 50}, "signature": {"magic": "PAR2", "most": 1 << 50}, "size": {"most": 1000}}
+    found = [
+        intake.admit_files(spark, sf, **({"suffix": ".parquet", "magic": "PAR1"} | rule if name != "upload" else {})).withColumn("rule", F.lit(name))
+        for name, rule in rules.items()
+    ]
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+    table_name = F.regexp_extract("path", r"([^/]*)\.parquet(?:/[^/]*)?$", 1)
+    return every.groupBy("rule", table_name.alias("table_name")).agg(F.min(F.coalesce("reason", F.lit("admitted"))).alias("verdict"))
+
+
 @query
 def answer_cleanup(spark, sf):
     said = table(spark, sf, "conversations")
@@ -895,6 +908,32 @@ def updated_chunks(spark, sf):
     return ledger.apply_updates(chunks, updates).select("run_id", "sequence_no", "processed", F.col("iterations").cast("bigint").alias("iterations"))
 
 
+@query
+def committed_updates(spark, sf):
+    """As updated_chunks, committed to a store and read back."""
+    said = table(spark, sf, "conversations")
+    key = [F.col("conv_id").alias("run_id"), F.col("turn").alias("sequence_no")]
+    chunks = said.select(*key, F.col("text").alias("clean_text"), F.lit(None).cast("string").alias("processed"), F.lit(0).alias("iterations"))
+    updates = said.filter("role = 'user'").select(*key, F.concat("text", F.lit("*")).alias("processed"), F.lit(2).alias("iterations"))
+    store = shared_dir(spark)
+    snapshots.commit_snapshot(spark, store, {"chunks": chunks})
+    now = snapshots.read_snapshot(spark, store, ledger.commit_updates(spark, store, updates))["chunks"]
+    return now.select("run_id", "sequence_no", "processed", F.col("iterations").cast("bigint").alias("iterations"))
+
+
+@query
+def committed_deletion(spark, sf):
+    """Rows of both tables before and after the paused runs are deleted, as two versions of one store."""
+    store, runs = shared_dir(spark), _runs(spark, sf)
+    before = snapshots.commit_snapshot(spark, store, {"runs": runs, "chunks": _chunks(spark, sf)})
+    after = ledger.commit_deletion(spark, store, runs.filter("status = 'paused'"))
+    counts = [
+        df.agg(F.count("*").alias("row_count")).select(F.lit(v).cast("bigint").alias("version"), F.lit(name).alias("table_name"), "row_count")
+        for v in (before, after) for name, df in sorted(snapshots.read_snapshot(spark, store, v).items())
+    ]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
+
+
 @query
 def finished_runs(spark, sf):
     """Orders whose items are all priced below a bound as runs with all chunks processed."""
@@ -1022,3 +1061,17 @@ def intake_stream(spark, sf):
     documents = S.read_stream(spark, f"{sf}/documents.parquet")
     chunks = S.run_append(S.intake_stream(documents))
     return chunks.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("word_count").alias("words"))
+
+
+@query
+def intake_tables_stream(spark, sf):
+    """All that continuous intake makes: rejected rows, and documents restored from chunks and token maps."""
+    documents = S.read_stream(spark, f"{sf}/documents.parquet").select("doc_id", "text")
+    blank = F.when(F.col("doc_id") % 10 == 3, F.lit(" \n ")).otherwise(F.col("text"))
+    chunks, maps, rejected = S.run_intake(_cited(documents).withColumn("text", blank))
+    whole = chunking.reassemble(chunks, "doc_id", "chunk_id", "text").join(maps, "doc_id")
+    restored = masking.restore_soft(F.col("text"), F.col("token_map"))
+    back = whole.select(
+        "doc_id", F.size(F.filter(F.map_keys("token_map"), lambda k: F.startswith(k, F.lit("__CITATION_")))).cast("bigint").alias("citations"), F.sha2(collapse_ws(restored, ""), 256).alias("sha"), F.lit("").alias("reason")
+    )
+    return back.unionByName(rejected.select("doc_id", F.lit(0).cast("bigint").alias("citations"), F.lit("").alias("sha"), "reason"))

@@ -693,3 +693,19 @@ WITH {_STATUS},
 w AS (SELECT *, last_value(CASE WHEN category = 'progress' THEN progress_state END IGNORE NULLS) OVER (PARTITION BY run_id ORDER BY ts, event_id
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS state FROM e)
 SELECT run_id, event_id, coalesce(state, '') AS state FROM w WHERE category = 'error'""")
+oracle("intake_tables_stream", f"""
+WITH {fill(_CITED, 'documents')}, {_KNOWN}
+SELECT k.doc_id, CASE WHEN k.doc_id % 10 = 3 THEN 0 ELSE len(known) END AS citations,
+  CASE WHEN k.doc_id % 10 = 3 THEN '' ELSE sha256({flat('c.text', '')}) END AS sha, CASE WHEN k.doc_id % 10 = 3 THEN 'empty' ELSE '' END AS reason
+FROM k JOIN c ON c.doc_id = k.doc_id""")
+oracle("committed_updates", ORACLES["updated_chunks"])
+oracle("committed_deletion", f"""
+WITH {_LEDGER}, paused AS (SELECT run_id FROM runs WHERE status = 'paused')
+SELECT 1::BIGINT AS version, 'runs' AS table_name, count(*) AS row_count FROM runs UNION ALL SELECT 1, 'chunks', count(*) FROM chunks
+UNION ALL SELECT 2, 'runs', count(*) FROM runs WHERE status <> 'paused'
+UNION ALL SELECT 2, 'chunks', count(*) FROM chunks WHERE run_id NOT IN (FROM paused)""")
+oracle("admitted_files", """
+SELECT rule, table_name, verdict
+FROM (VALUES ('upload', 'extension'), ('parquet', 'admitted'), ('signature', 'signature'), ('size', 'size')) r(rule, verdict),
+  (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark',
+    'labels', 'conversations']) AS table_name)""")

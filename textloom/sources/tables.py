@@ -16,10 +16,15 @@ def read_documents(spark: SparkSession, path: str, fmt: str = "parquet") -> Data
     return spark.read.format(fmt).load(path)
 
 
-def write_results(df: DataFrame, path: str, partition: str | list[str] | None = None, fmt: str = "parquet") -> None:
-    """Write a complete new snapshot; a committed folder is never half written."""
+def write_results(
+    df: DataFrame, path: str, partition: str | list[str] | None = None, fmt: str = "parquet", only_given: bool = False
+) -> None:
+    """Write all results anew, or with ``only_given`` just the partitions that ``df`` has rows for."""
     writer = df.write.mode("overwrite").format(fmt)
+    if only_given and not partition:
+        raise ValueError("only tables with partitions can be replaced in part")
     if partition:
+        writer = writer.option("partitionOverwriteMode", "dynamic" if only_given else "static")
         writer = writer.partitionBy(*([partition] if isinstance(partition, str) else partition))
     writer.save(path)
 

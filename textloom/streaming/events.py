@@ -160,7 +160,7 @@ def error_feed(
     a second window over one row per bucket. ``carried`` holds (run, state) known
     before these events.
     """
-    is_progress = F.col("category") == "progress"
+    is_progress = (F.col("category") == "progress") & F.col("progress_state").isNotNull()
     rows = events.filter(is_progress | (F.col("category") == "error")).select(
         run, order, time, "category",
         F.when(is_progress, F.col("progress_state")).alias("_state"),
@@ -210,6 +210,7 @@ class _Expiring(StatefulProcessor):
     """Keyed state with one timer: ``expires`` (ms of event time) moves on with the rows of the key.
 
     A timer that fires early, because rows came after it was set, is set again; else ``forget`` runs.
+    It also runs before rows that come once the watermark has passed ``expires``.
     """
 
     def expires(self) -> int:
@@ -219,12 +220,17 @@ class _Expiring(StatefulProcessor):
         raise NotImplementedError
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if self.expires() > expiredTimerInfo.getExpiryTimeInMs():
+        if not self.forgotten(timerValues) and self.expires():
             self.handle.registerTimer(self.expires())
-        else:
-            self.forget()
         return iter(())
 
+    def forgotten(self, timerValues) -> bool:  # noqa: N803
+        """Forget what has expired; its timers find nothing any more."""
+        over = 0 < self.expires() <= timerValues.getCurrentWatermarkInMs()
+        if over:
+            self.forget()
+        return over
+
     def close(self) -> None:
         pass
 
@@ -245,6 +251,7 @@ class _Monitor(_Expiring):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         tolerance, stall_below, exit_score, max_iterations = self.rule
+        self.forgotten(timerValues)
         known = self.chunk.exists()
         previous, stalls, best, stopped, expires = self.chunk.get() if known else (None, 0, None, False, 0)
         found, latest = [], expires
@@ -341,6 +348,7 @@ class _Feed(_Expiring):
         return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.forgotten(timerValues)
         last = self.last.get() if self.last.exists() else None
         before = last[2] if last else None
         held = [tuple(e) for e in self.recent.get()] if self.recent.exists() else []
@@ -377,7 +385,8 @@ def live_error_feed(events: DataFrame, delay: str = "1 day", expire_seconds: int
     left out. The rows of a run that come in one batch meet in one task, so the size of a batch (files
     per trigger) bounds a task whatever the run's share of all events.
     """
-    kinds = events.filter(F.col("category").isin("progress", "error") & F.col("run_id").isNotNull() & F.col("event_time").isNotNull())
+    told = (F.col("category") == "error") | ((F.col("category") == "progress") & F.col("progress_state").isNotNull())
+    kinds = events.filter(told & F.col("run_id").isNotNull() & F.col("event_time").isNotNull())
     rows = kinds.select(
         "run_id", F.col("event_id").cast("bigint").alias("event_id"), F.col("event_time").cast("timestamp").alias("event_time"), "category", "progress_state"
     ).withWatermark("event_time", delay)
