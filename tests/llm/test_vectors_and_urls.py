@@ -1,6 +1,7 @@
 """Searches, components and URL rules against brute force."""
 
 import collections
+import math
 import random
 
 import numpy as np
@@ -46,9 +47,14 @@ def test_exact_top_k(spark, monkeypatch, n, cell, hot):
 def test_exact_top_k_edges(spark):
     empty = spark.createDataFrame([], VECTORS)
     assert exact_top_k(empty, F.col("vec_id") % 10 == 0, k=3).count() == 0
-    huge = spark.createDataFrame([(0, [1e30], "x"), (1, [1.0], "x")], VECTORS)
-    with pytest.raises(Exception, match="too large"):
-        exact_top_k(huge, F.col("vec_id") % 10 == 0, k=3).collect()
+    rnd = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(v)) for v in rnd.choice([-1, 1], 3) * 10.0 ** rnd.integers(0, 30, 3)], "x") for i in range(60)]
+    want = []
+    for q, v, _ in rows[::10]:
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(math.floor(1024 * a) * math.floor(1024 * b) for a, b in zip(v, x, strict=True)))), i) for i, x, _ in rows if i != q)
+        want += [(q, rank + 1, i, -score) for rank, (score, i) in enumerate(scores[:3])]
+    huge = spark.createDataFrame(rows, VECTORS)
+    assert sorted(map(tuple, exact_top_k(huge, F.col("vec_id") % 10 == 0, k=3).collect())) == sorted(want)
 
 
 def brute_near(rows, step):

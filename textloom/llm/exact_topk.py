@@ -11,7 +11,8 @@ descending length, and a query leaves out
   of both remainders (Cauchy-Schwarz) is below it.
 
 What remains gets its exact product. The cell of the longest vectors is searched first and its k-th
-best scores are the thresholds all other cells start from. Cells give at most k rows for a query,
+best scores are the thresholds all other cells start from; a block of queries is not sent to a cell
+of which even the longest vector times the block's longest query is below them all. Cells give at most k rows for a query,
 so the final ranking is over a bounded number of rows per cell. The number of pairs of blocks grows
 with queries times vectors, as exact search must; nothing else does.
 
@@ -20,8 +21,9 @@ with queries times vectors, as exact search must; nothing else does.
 * zero vectors take part, with score 0; fewer than k candidates: all are given;
 * ties in score go to the smaller id; equal vectors are candidates each; rows with one id are one
   query (of the first of them by their vectors) and never candidates of that query;
-* components beyond 2**40 in size after scaling are refused with an error, since products could leave
-  a long; empty table: empty result. Other columns are not read.
+* components of any size: products are exact (Python's integers where longs do not reach), and a score
+  beyond the range of a long counts as the nearest long;
+* empty table: empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.vectors import best, dimension, finite, matrix
+from textloom.llm.vectors import best, dimension, finite, integer_products, matrix, paired_products
 from textloom.session import stored
 
 #: Vectors in a cell, and queries in a block, about.
@@ -45,21 +47,6 @@ STEP = 512
 HEAD = 0.5
 
 
-def scaled(rows: np.ndarray, scale: int) -> np.ndarray:
-    whole = np.floor(scale * rows)
-    if whole.size and np.abs(whole).max() > 2.0**40:
-        raise ValueError("a component is too large for integer products")
-    return whole.astype(np.int64)
-
-
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact integer products of all rows; by doubles where they are exact."""
-    most = (np.abs(q).max(initial=0) * np.abs(x).max(initial=0)) * float(q.shape[1])
-    if most < 2.0**53:
-        return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
-
-
 def search(ids, q, floor, names, x, rotation, k: int):
     """The k best of one block of vectors, sorted by descending length, for each query of a block.
 
@@ -82,13 +69,13 @@ def search(ids, q, floor, names, x, rotation, k: int):
         maybe = (bound >= floor[live, None]) & (ids[live, None] != names[part][None, :])
         if maybe.sum() * 4 > maybe.size:
             a, b = np.nonzero(maybe)
-            values = products(q[live], x[part])[a, b]
+            values = integer_products(q[live], x[part])[a, b]
         else:
             a, b = np.nonzero(maybe)
-            values = np.einsum("ij,ij->i", q[live][a], x[part][b])
+            values = paired_products(q[live][a], x[part][b])
         keep = values >= floor[live[a]]
         at, of, score = np.r_[at, live[a[keep]]], np.r_[of, b[keep] + low], np.r_[score, values[keep]]
-        order = np.lexsort((names[of], -score, at))
+        order = np.lexsort((names[of], ~score, at))  # ~s is -s - 1, which can't overflow
         at, of, score = at[order], of[order], score[order]
         starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
         place = np.arange(len(at)) - np.repeat(starts, np.diff(np.r_[starts, len(at)]))
@@ -106,8 +93,8 @@ def _packer(dim: int, scale: int, most: int):
         cell = TaskContext.get().partitionId()
 
         def row(ids, rows):
-            x = scaled(np.concatenate(rows), scale)
-            longest = float(np.sqrt((x.astype(np.float64) ** 2).sum(axis=1)).max())
+            x = np.floor(scale * np.concatenate(rows))
+            longest = float(np.sqrt((x**2).sum(axis=1)).max())
             return pa.RecordBatch.from_arrays([pa.array([cell]), pa.array([longest]), pa.array([np.concatenate(ids).tobytes()]), pa.array([x.tobytes()])], names=["cell", "longest", "ids", "rows"])
 
         ids, rows, held = [], [], 0
@@ -163,13 +150,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024,
     parts = max(1, -(-count // (100 * QUERIES)))
     queries = stored(
         asked.repartition(parts, "vec_id").mapInArrow(_packer(dim, scale, QUERIES), "cell long, longest double, ids binary, rows binary")
-        .select(F.sha1("ids").alias("query_block"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"))
+        .select(F.sha1("ids").alias("query_block"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("longest").alias("query_longest"))
     )
 
     def held_against(group: pa.Table) -> Iterator:
         for row in group.to_pylist():
             ids, names = np.frombuffer(row["query_ids"], np.int64), np.frombuffer(row["ids"], np.int64)
-            q, x = np.frombuffer(row["query_rows"], np.int64).reshape(-1, dim), np.frombuffer(row["rows"], np.int64).reshape(-1, dim)
+            q, x = np.frombuffer(row["query_rows"]).reshape(-1, dim), np.frombuffer(row["rows"]).reshape(-1, dim)
             floor = np.frombuffer(row["floor"], np.float64) if row["floor"] else np.full(len(ids), -np.inf)
             yield row, ids, names, search(ids, q, floor, names, x, rotation.value, k)
 
@@ -180,8 +167,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024,
             last = np.flatnonzero(np.r_[at[1:] != at[:-1], True]) if len(at) else at
             whole = np.bincount(at, minlength=len(ids)) == k
             floor[at[last]] = np.where(whole[at[last]], score[last], -np.inf)
-            out.append((row["query_block"], floor.tobytes()))
-        return pa.table({"query_block": [b for b, _ in out], "floor": pa.array([f for _, f in out], pa.binary())})
+            out.append((row["query_block"], floor.tobytes(), float(floor.min())))
+        return pa.table({"query_block": [b for b, _, _ in out], "floor": pa.array([f for _, f, _ in out], pa.binary()), "least": [x for _, _, x in out]})
 
     def partial(group: pa.Table) -> pa.Table:
         found = [(ids[at], names[of], score) for _, ids, names, (at, of, score) in held_against(group)]
@@ -189,9 +176,13 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int, scale: int = 1024,
 
     top = blocks.orderBy(F.col("longest").desc(), "cell", F.xxhash64("ids")).limit(1).drop("cell")
     pairs = queries.join(F.broadcast(top)).withColumn("floor", F.lit(None).cast("binary"))  # one row: the block of the longest vectors
-    floors = pairs.groupBy("query_block").applyInArrow(first_floor, "query_block string, floor binary")
+    floors = pairs.groupBy("query_block").applyInArrow(first_floor, "query_block string, floor binary, least double")
     started = stored(queries.join(floors, "query_block", "left"))
-    # Every block of queries goes to every cell; blocks of vectors stay where they are.
-    met = started.withColumn("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))).join(blocks, "cell")
+    # Blocks of queries go to the cells that can still hold one of their best; blocks of vectors stay where they are.
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
+    pairs = started.select("query_block", "query_longest", "least", every.alias("cell")).join(blocks.groupBy("cell").agg(F.max("longest").alias("longest")), "cell")
+    reach = F.col("query_longest") * F.col("longest") * (1 + 1e-9) + 1e-6
+    near = pairs.filter(F.col("least").isNull() | (reach >= F.col("least"))).select("query_block", "cell")
+    met = near.join(started, "query_block").join(blocks, "cell")
     found = met.groupBy("cell", "query_block", F.xxhash64("ids").alias("block")).applyInArrow(partial, "query_id long, vec_id long, score long")
     return best(found, k, F.col("score").desc())

@@ -52,3 +52,11 @@ def integer_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     rows = [[int(v) for v in row] for row in x.tolist()]
     out = [[max(-bound - 1, min(bound, sum(a * b for a, b in zip(one, row, strict=True)))) for row in rows] for one in ([int(v) for v in r] for r in q.tolist())]
     return np.array(out, np.int64).reshape(len(q), len(x))
+
+
+def paired_products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """As ``integer_products``, of each row of ``q`` with the same row of ``x``."""
+    most = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * float(max(1, q.shape[1]))
+    if most < 2.0**53:
+        return np.einsum("ij,ij->i", q, x).astype(np.int64)
+    return np.array([integer_products(a[None, :], b[None, :])[0, 0] for a, b in zip(q, x, strict=True)], np.int64).reshape(len(q))
