@@ -28,6 +28,7 @@ arrays, since rows for single pre-tokens would be several times as large as the
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -63,6 +64,17 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
 
 
+@functools.cache
+def _coder(path: str) -> tiktoken.Encoding:
+    """Once in a worker: a coder that takes a pre-token as it stands."""
+    return tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(path), special_tokens={})
+
+
+@functools.cache
+def _token_bytes(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 def text_blocks(docs: DataFrame, pattern: str, slots: int) -> DataFrame:
     """(block, ids, sizes, places, slot_of, words) of the texts, block by block.
 
@@ -118,7 +130,7 @@ def encoded_words(blocks: DataFrame, ranks: str) -> DataFrame:
     """
 
     def encode(group: pa.Table) -> pa.Table:
-        coder = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=read_ranks(ranks), special_tokens={})
+        coder = _coder(ranks)
         known: dict[bytes, list[int]] = {}
         counts, coded = [], []
         for sizes, text in zip(group.column("sizes").to_pylist(), group.column("text").to_pylist(), strict=True):
@@ -149,7 +161,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
     blocks = text_blocks(docs, pattern, max(64, size // SLOT_BYTES))
 
     def put_together(blocks: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
-        table = {rank: token for token, rank in read_ranks(ranks).items()}
+        table = _token_bytes(ranks)
         coded: list[bytes] = []  # of the words in the order of slots
         plain: list[bytes] = []
         pieces = {p["slot"]: p for p in words.select(["slot", "counts", "coded"]).to_pylist()}
