@@ -60,14 +60,24 @@ OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 SHAPES = [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (CLASSES, HIDDEN), (CLASSES,)]
 
 
+class _Classes(dict):
+    """The class of each word met so far; other words get theirs by their hash and are kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = OWN + xxhash.xxh3_64_intdigest(word) % SHARED
+        return found
+
+
 class Vocabulary:
     def __init__(self, words: list[bytes]):
         self.place = {w: i for i, w in enumerate(words)}
+        self.known = _Classes(self.place)
 
     def classes(self, text: bytes) -> np.ndarray:
         words = text.lower().split()
-        get = self.place.get
-        return np.fromiter([p if (p := get(w)) is not None else OWN + xxhash.xxh3_64_intdigest(w) % SHARED for w in words], np.int64, len(words))
+        if len(self.known) > COUNTED:  # what a task keeps is bounded; the classes stay the same
+            self.known = _Classes(self.place)
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
 
 class Network:
@@ -95,37 +105,38 @@ class Network:
             total += embed[k][around[k]]
         return np.tanh(total)
 
-    def log_probabilities(self, around: np.ndarray) -> np.ndarray:
+    def odds(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each position exp(logit) of every class, their sum, and the logit of the target, shifted alike."""
         _, _, out, out_bias = self.parts
-        logits = self.hidden(around) @ out.T + out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        logits -= np.log(np.exp(logits).sum(axis=1, keepdims=True))
-        return logits
+        logits = hidden @ out.T
+        logits += out_bias
+        # |tanh| <= 1 bounds every logit; only where that is too large for exp are they shifted.
+        if np.abs(out).sum(axis=1).max() + np.abs(out_bias).max() > 40:
+            logits -= logits.max(axis=1, keepdims=True)
+        own = logits[np.arange(len(logits)), target]
+        np.exp(logits, out=logits)
+        return logits, logits @ np.ones(CLASSES, np.float32), own
 
     def of_targets(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log probability of each target class."""
-        out = np.empty(len(target))
+        found = np.empty(len(target))
         for low in range(0, len(target), CACHED):
             part = slice(low, low + CACHED)
-            rows = self.log_probabilities(around[:, part])
-            out[part] = rows[np.arange(len(rows)), target[part]]
-        return out
+            _, total, own = self.odds(self.hidden(around[:, part]), target[part])
+            found[part] = own - np.log(total)
+        return found
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        _, _, out, out_bias = self.parts
+        _, _, out, _ = self.parts
         h = self.hidden(around)
-        error = h @ out.T + out_bias
-        error -= error.max(axis=1, keepdims=True)
-        np.exp(error, out=error)
-        error /= error.sum(axis=1, keepdims=True)
-        error[np.arange(len(target)), target] -= 1
-        error /= len(target)
+        error, total, _ = self.odds(h, target)
+        error *= (1 / (total * len(target)))[:, None]
+        error[np.arange(len(target)), target] -= np.float32(1 / len(target))
         back = (error @ out) * (1 - h * h)
         row = around + np.arange(len(OFFSETS))[:, None] * (CLASSES + 1)
-        one_hot = np.zeros((len(OFFSETS) * (CLASSES + 1), len(target)), np.float32)
-        one_hot[row, np.arange(len(target))] = 1
-        embed = (one_hot @ back).reshape(SHAPES[0])
-        return [embed, back.sum(axis=0), error.T @ h, error.sum(axis=0)]
+        cell = (row * HIDDEN)[:, :, None] + np.arange(HIDDEN)
+        sums = np.bincount(cell.ravel(), np.broadcast_to(back, cell.shape).ravel(), minlength=int(np.prod(SHAPES[0])))
+        return [sums.reshape(SHAPES[0]).astype(np.float32), back.sum(axis=0), error.T @ h, error.sum(axis=0)]
 
 
 def neighbours(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
