@@ -59,7 +59,7 @@ def op1_language_id(spark, sf):
 
 @query
 def op2_ngram_jaccard_join(spark, sf):
-    return similar_documents(table(spark, sf, "documents"))
+    return similar_documents(table(spark, sf, "documents")).select("doc_id", "n_shingles", "component_id", "class", "links")
 
 
 @query
@@ -106,7 +106,7 @@ def op9_toxicity(spark, sf):
 def op10_pseudo_likelihood(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     counted = stored(word_counts(docs))
-    return score_words(docs, fit(docs, counted=counted), counted)
+    return score_words(docs, fit(docs, counted=counted), counted).select("doc_id", "mean_log_likelihood", "n_tokens", "log_likelihood")
 
 
 #: The version of the policy that keeps documents.
