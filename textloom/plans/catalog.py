@@ -43,7 +43,7 @@ def spread(df: DataFrame) -> DataFrame:
     large ones are, are read as they lie.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
+    return df if len(df._jdf.inputFiles()) >= cores else df.repartition(cores)  # the names stay in the JVM
 
 
 def texts(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -480,6 +480,16 @@ def _attempts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def unusable_attempts(spark, sf):
+    """Attempts with failed calls for errors, baselines included, and a few beyond the last iteration."""
+    late = F.when(F.regexp_extract("text", r"\d+", 0).cast("bigint") % 11 == 0, 4).otherwise(0)
+    attempts = _attempts(spark, sf).withColumns(
+        {"iteration": F.col("iteration") + late, "text": F.when(F.col("score") % 5 >= 1, F.col("text"))}
+    )
+    return selection.unusable_attempts(attempts).select("run_id", "sequence_no", F.col("iteration").cast("bigint").alias("iteration"), "reason")
+
+
 @query
 def convergence_flags(spark, sf):
     flags = selection.convergence_flags(_attempts(spark, sf))
@@ -506,6 +516,18 @@ def batch_outcomes(spark, sf):
     )
 
 
+@query
+def batch_failures(spark, sf):
+    """Conversations as batches, their turns as chunks of which the users' failed."""
+    said = table(spark, sf, "conversations")
+    results = said.select(
+        F.col("conv_id").alias("run_id"), (F.col("role") != "user").alias("success"), F.length("text").cast("double").alias("best_score"), F.col("turn").alias("iterations")
+    )
+    return selection.batch_summary(results).select(
+        "run_id", "chunks", "succeeded", "failed", _rounded("mean_best_score"), F.col("total_iterations").cast("bigint").alias("total_iterations")
+    )
+
+
 @query
 def isolated_map(spark, sf):
     """A user function that raises on some texts; the other rows are unaffected."""
@@ -648,6 +670,14 @@ def block_summary(spark, sf):
     return summary.select("site", "total_blocks", "text_blocks", "image_blocks", "total_words", "parse_errors", "pages")
 
 
+@query
+def block_errors(spark, sf):
+    """Counts per page with the blocks of more than 30 words as ones that could not be parsed."""
+    blocks = B.explode_blocks(spread(table(spark, sf, "pages").select("page_id", "html")), "page_id")
+    marked = blocks.withColumn("error", F.when(F.col("word_count") > 30, "too long"))
+    return layout.block_summary(marked, "page_id", error="error").select("page_id", "total_blocks", "parse_errors")
+
+
 @query
 def page_texts(spark, sf):
     pages = B.page_blocks(_pages(spark, sf))

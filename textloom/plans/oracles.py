@@ -709,3 +709,15 @@ SELECT rule, table_name, verdict
 FROM (VALUES ('upload', 'extension'), ('parquet', 'admitted'), ('signature', 'signature'), ('size', 'size')) r(rule, verdict),
   (SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark',
     'labels', 'conversations']) AS table_name)""")
+oracle("unusable_attempts", """
+WITH a AS (SELECT (event_id // 4) // 250 AS run, (event_id // 4) % 250 AS sequence_no, event_id % 4 + CASE WHEN event_id % 11 = 0 THEN 4 ELSE 0 END AS iteration,
+  value % 5 < 1 AS failed FROM events),
+b AS (SELECT run, sequence_no, bool_or(iteration = 0 AND NOT failed) AS based FROM a GROUP BY 1, 2),
+r AS (SELECT run::VARCHAR AS run_id, sequence_no, iteration,
+  CASE WHEN iteration > 3 THEN 'beyond the last iteration' WHEN failed THEN 'no text or score' WHEN NOT based THEN 'no baseline' END AS reason FROM a JOIN b USING (run, sequence_no))
+SELECT * FROM r WHERE reason IS NOT NULL""")
+oracle("batch_failures", """
+SELECT conv_id AS run_id, count(*) AS chunks, count(*) FILTER (role <> 'user') AS succeeded, count(*) FILTER (role = 'user') AS failed,
+  round(avg(length(text)), 6) AS mean_best_score, sum(turn)::BIGINT AS total_iterations FROM conversations GROUP BY 1""")
+oracle("block_errors", f"""
+WITH {_BLOCKS} SELECT page_id, count(*) AS total_blocks, count(*) FILTER (word_count > 30) AS parse_errors FROM bw GROUP BY page_id""")

@@ -454,7 +454,8 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     table = spark.read.parquet(path)
     parent, _, name = path.rstrip("/").rpartition("/")
     reader = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_per_batch)
-    if [file.rpartition("/")[2] for file in table.inputFiles()] == [name]:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isFile():
         return reader.option("pathGlobFilter", name).parquet(parent)
     return reader.parquet(path)
 
