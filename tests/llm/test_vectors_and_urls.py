@@ -88,6 +88,29 @@ def test_recall_and_parts(spark, monkeypatch):
     assert nearest_neighbours(df.limit(0), F.col("vec_id") % 20 == 0, k=10).count() == 0
 
 
+@pytest.mark.parametrize("dim", [8, 32])
+def test_recall_where_lists_are_pruned(spark, monkeypatch, dim):
+    monkeypatch.setattr(posting_lists, "LIST", 16)
+    monkeypatch.setattr(posting_lists, "SMALL", 64)
+    df, rows = vectors(spark, dim, 6000, dim=dim)
+    read = []
+    placed = posting_lists._placed
+
+    def counted(graph, dim, ratio, least, most):
+        if least > 1:  # the lists of queries
+            read.append(len(graph.value[0]) if isinstance(graph.value, tuple) else len(graph.value.centre))
+        return placed(graph, dim, ratio, least, most)
+
+    monkeypatch.setattr(posting_lists, "_placed", counted)
+    found = nearest_neighbours(df, F.col("vec_id") % 40 == 0, k=10, probe=1.3).collect()  # short lists miss more at the same ratio
+    want, by = brute_near(rows, 40), collections.defaultdict(list)
+    for r in found:
+        by[r["query_id"]].append(r["score"])
+    hits = sum(sum(s <= want[q][-1][0] for s in scores) for q, scores in by.items())
+    assert read and read[0] > 300, read
+    assert hits / sum(map(len, want.values())) >= 0.9
+
+
 def test_components(spark):
     rnd = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 400)] + [(rnd.randrange(500, 900), rnd.randrange(500, 900)) for _ in range(250)] + [(7, 7), (None, 3), (50, 51), (51, 50)]
