@@ -1036,7 +1036,8 @@ def run_states(spark, sf):
 @query
 def run_states_stream(spark, sf):
     stream = S.current_states(_status(_event_stream(spark, sf)), order="event_id")
-    return _state_rows(S.run_updates(stream, ["run_id"]))
+    with S.state_partitions(spark):
+        return _state_rows(S.run_updates(stream, ["run_id"]))
 
 
 @query
@@ -1048,7 +1049,8 @@ def error_feed(spark, sf):
 @query
 def error_feed_stream(spark, sf):
     # The parts of a stored table come in any order, so lateness may be as large as its span.
-    feed = S.run_error_feed(_status(_event_stream(spark, sf)), delay="3650 days")
+    with S.state_partitions(spark):
+        feed = S.run_error_feed(_status(_event_stream(spark, sf)), delay="3650 days")
     return feed.select("run_id", "event_id", F.coalesce("state", F.lit("")).alias("state"))
 
 
@@ -1060,14 +1062,16 @@ def _call_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def daily_tokens_stream(spark, sf):
-    totals = S.run_updates(S.daily_tokens(_call_stream(spark, sf)), ["provider", "day_start"])
+    with S.state_partitions(spark):
+        totals = S.run_updates(S.daily_tokens(_call_stream(spark, sf)), ["provider", "day_start"])
     totals = S.against_daily_limit(totals, _quotas(spark, sf))
     return totals.select("provider", F.date_format("day_start", "yyyy-MM-dd").alias("day"), "tokens", "daily_limit", "over_limit")
 
 
 @query
 def requests_per_minute_stream(spark, sf):
-    counts = S.run_updates(S.requests_per_minute(_call_stream(spark, sf)), ["provider", "minute_start"])
+    with S.state_partitions(spark):
+        counts = S.run_updates(S.requests_per_minute(_call_stream(spark, sf)), ["provider", "minute_start"])
     counts = S.against_rpm_limit(counts, _quotas(spark, sf))
     return counts.select("provider", F.date_format("minute_start", "yyyy-MM-dd HH:mm").alias("minute"), "requests", "rpm_limit", "over_limit")
 
@@ -1080,7 +1084,9 @@ def score_monitor_stream(spark, sf):
         F.floor(chunk / 250).cast("string").alias("run_id"), (chunk % 250).cast("bigint").alias("sequence_no"),
         (F.col("event_id") % 4).cast("int").alias("iteration"), F.col("value").alias("score"),
     )
-    return S.run_append(S.score_monitor(scores)).select(
+    with S.state_partitions(spark):
+        told = S.run_append(S.score_monitor(scores))
+    return told.select(
         "run_id", "sequence_no", F.col("iteration").cast("bigint").alias("iteration"), "score", _rounded("delta"), "degraded", "stalled",
         F.col("stall_count").cast("bigint").alias("stall_count"), "best_score", F.coalesce("stop_reason", F.lit("")).alias("stop_reason"),
     )

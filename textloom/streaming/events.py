@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -402,6 +403,22 @@ def _empty_rows(stream: DataFrame, path: str) -> None:
     stream.sparkSession.createDataFrame([], stream.schema).write.mode("ignore").parquet(path)
 
 
+@contextmanager
+def state_partitions(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in no more parts than twice the cores.
+
+    The number is fixed for the life of a stream, and every part costs each batch a state store and a
+    worker, however few rows there are.
+    """
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 2 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def run_append(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Process everything available into a Parquet table and return the table."""
     spark = stream.sparkSession
