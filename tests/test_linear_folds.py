@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
 from textloom.functions.core import count_below, let
+from textloom.functions.text import split_long
 from textloom.operators import markdown, masking
 from textloom.operators.chunking import slice_chars
 
@@ -118,3 +119,13 @@ def test_large_texts_take_time_that_follows_them(spark):
     assert masked.select(F.sha2(masking.restore_soft(F.col("text"), F.col("tokens")), 256).alias("h")).count() == 1
     assert masked.select(masking.restore_soft(F.col("text"), F.col("tokens")).alias("r")).first().r == " word ".join(many.values())
     assert time.perf_counter() - start < 60
+
+
+def test_clauses_are_packed_in_time_that_follows_them(spark):
+    """Packing 40,000 clauses into 4,000 pieces runs the fold over the clauses once, not once for every piece."""
+    text = ", ".join(f"a{i} b{i} c{i} d{i}" for i in range(40_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    begun = time.perf_counter()
+    pieces = df.select(split_long(F.col("text"), 40).alias("p")).first().p
+    assert time.perf_counter() - begun < 20
+    assert len(pieces) == 4000 and " ".join(pieces) == text and all(len(p.split()) == 40 for p in pieces)
