@@ -114,3 +114,19 @@ def test_glossary_joins_by_words_only(spark):
     terms = spark.createDataFrame([("a b",)], "term string")
     plan = glossary.global_glossary_losses(docs, terms, "id", "source", "after")._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_candidates_hold_a_pair_of_the_term(spark):
+    """Texts of common words are no candidates for every term of these words, and many terms of a text are all found."""
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "d c b a"), (3, "a")], "id long, text string")
+    terms = glossary.glossary_terms(spark.createDataFrame([("a c",), ("b d",), ("a b",), ("b c d",), ("c a b",)], "term string"))
+    got = {r.id: sorted(r.candidates) for r in glossary.candidate_terms(docs, terms, "id", "text").collect()}
+    assert got == {1: ["a b", "b c d"]}
+
+    text = " ".join(f"w{i}" for i in range(500))
+    many = [(f"w{i} w{i + 1}",) for i in range(0, 499)] + [(f"w{i} w{i + 1} w{i + 2}",) for i in range(0, 20)]
+    row = glossary.global_glossary_losses(
+        spark.createDataFrame([(1, text, text.replace("w7 ", ""))], "id long, text string, after string"), spark.createDataFrame(many, "term string"), "id", "text", "after"
+    ).first()
+    assert row.expected_terms == sorted(t for (t,) in many)
+    assert row.lost_terms == ["w5 w6 w7", "w6 w7", "w6 w7 w8", "w7 w8", "w7 w8 w9"]
