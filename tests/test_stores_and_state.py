@@ -118,3 +118,13 @@ def test_live_feed_equals_the_batch_feed_and_forgets(spark, tmp_path):
     assert 0 < kept < 120  # events of the last hours, not the history
     written = spark.read.parquet(f"{tmp_path}/out/rows").filter("epoch >= 0")
     assert written.count() < 2 * live.count()  # a batch tells its own errors and few corrections
+
+
+def test_large_files_are_judged_by_their_head_alone(spark, tmp_path):
+    """A file above the 2 GB that the binary source can load (without blocks of its own here) is no error."""
+    for name, head in (("a b.parquet", b"PAR1"), ("c.parquet", b"PARX"), ("d.parquet", b"PA")):
+        with open(tmp_path / name, "wb") as f:
+            f.write(head)
+            f.truncate(len(head) if name == "d.parquet" else 3 << 30)
+    rows = intake.admit_files(spark, str(tmp_path), ".parquet", "PAR1", 1 << 50).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.length, r.reason) for r in rows) == [("a b.parquet", 3 << 30, None), ("c.parquet", 3 << 30, "signature"), ("d.parquet", 2, "signature")]
