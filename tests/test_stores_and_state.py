@@ -128,3 +128,13 @@ def test_large_files_are_judged_by_their_head_alone(spark, tmp_path):
             f.truncate(len(head) if name == "d.parquet" else 3 << 30)
     rows = intake.admit_files(spark, str(tmp_path), ".parquet", "PAR1", 1 << 50).collect()
     assert sorted((r.path.rsplit("/", 1)[1], r.length, r.reason) for r in rows) == [("a b.parquet", 3 << 30, None), ("c.parquet", 3 << 30, "signature"), ("d.parquet", 2, "signature")]
+
+
+def test_neighbouring_chunks_share_one_list_of_states(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    rows = [(i // 64, "r", i % 64, i // 64, 80.0 - i // 64, start) for i in range(128)]
+    df = spark.createDataFrame(rows, "o int, run_id string, sequence_no bigint, iteration int, score double, ts timestamp")
+    told = S.run_append(S.score_monitor(as_stream(spark, df, tmp_path, files=2).drop("o"), time="ts"), str(tmp_path / "out"))
+    assert sorted((r.sequence_no, r.delta) for r in told.collect()) == [(i, -1.0) for i in range(64)]
+    kept = spark.read.format("statestore").option("stateVarName", "chunk").option("flattenCollectionTypes", "false").load(f"{tmp_path}/out/checkpoint")
+    assert kept.count() == 1
