@@ -183,3 +183,9 @@ def test_intake_keeps_maps_and_rejected_rows(spark, tmp_path):
     chunks, maps, rejected = S.run_intake(as_stream(spark, docs, tmp_path), folder=str(tmp_path / "out"))
     assert {r.doc_id for r in chunks.collect()} == {0, 2} == {r.doc_id for r in maps.collect()}
     assert [tuple(r) for r in rejected.collect()] == [(1, "empty")]
+
+
+def test_a_batch_of_one_file_is_dealt_over_the_cores(spark, tmp_path):
+    spark.range(64).select(F.col("id").alias("doc_id"), F.lit("One two. Three.").alias("text")).coalesce(1).write.parquet(str(tmp_path / "docs"))
+    chunks, _, _ = S.run_intake(S.read_stream(spark, str(tmp_path / "docs")), folder=str(tmp_path / "out"))
+    assert chunks.count() == 64 and len([f for f in chunks.inputFiles() if "epoch=0" in f]) > 1
