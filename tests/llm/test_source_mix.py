@@ -94,6 +94,28 @@ def test_too_many_overlaps_give_to_one_source_each(spark, monkeypatch):
     assert abs(sum(r["taken"] for r in mixed) - want) < 0.1 * want
 
 
+def test_results_do_not_depend_on_the_number_of_patterns(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = [(0, rnd.sample(names, rnd.randrange(1, 4)), rnd.randrange(1, 50)) for names in ("abcde", "fgh") for _ in range(150)]
+    rows += [(0, rnd.choice([["x"], ["x", "y"], ["y"], ["z"], [None, "z"]]), rnd.randrange(1, 50)) for _ in range(150)]
+    rows = [(i, sorted(set(s), key=lambda x: (x is None, x or "")), n) for i, (_, s, n) in enumerate(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, size long")
+
+    def taken():
+        return {r["doc_id"]: (r["taken"], r["targets"]) for r in source_mix.mix_sources(docs, "sources", "size").collect()}
+
+    whole = taken()
+    monkeypatch.setattr(source_mix, "MAX_PATTERNS", 3)
+    assert taken() == whole
+    sums = collections.Counter()
+    for _, sources, n in rows:
+        sums[tuple(sources)] += n
+    names = sorted({s for p in sums for s in p}, key=lambda s: (s is None, s or ""))
+    targets = {s: t for i, sources, _ in rows for s, t in zip(sources, whole[i][1], strict=True)}
+    flow = sum(source_mix.routed([([names.index(s) for s in p], n) for p, n in sums.items()], [round(targets[s]) for s in names], 2))
+    assert abs(sum(t for t, _ in whole.values()) - flow) <= 0.02 * flow
+
+
 def test_null_and_repeated_ids(spark):
     rows = [(None, ["a"], 5)] * 6 + [(1, ["a"], 5)] * 6 + [(2, None, 5), (3, [], 5), (4, ["b"], None), (5, ["b"], 0)]
     docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, size long").withColumn("taken", F.lit("x"))

@@ -10,9 +10,9 @@ and once more if it lies in the part that is begun.
 
 Sizes, places and targets of the sources are computed in Spark, however many there are. A source that
 stands alone in its pattern needs no flow: it takes its quota, up to the repeats. The flow works on one
-row for each pattern that meets others at a source; beyond MAX_PATTERNS of them each gives to one of
-its sources in proportion (``_by_one_source``), which meets the quotas to a token for each pattern
-but can leave one short that a flow would have filled. The seeded
+row for each pattern that meets others at a source. No path leads from one connected component of
+patterns and sources to another, so the flow runs for each component by itself, in tasks, whatever
+the number of patterns; the patterns (not the documents) of one component meet in one task. The seeded
 selection sums sizes by pattern and bucket of the hash first, so only the documents of the one
 bucket where a pattern's part ends pass a window, however large the pattern is. Documents with more
 than 1/LARGE of their pattern's tokens (fewer than LARGE) are selected before the others, their share
@@ -31,14 +31,16 @@ from __future__ import annotations
 
 from collections import deque
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textloom.llm.graph import connected_components
 from textloom.session import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Patterns of overlapping sources that go through the flow, and sources of a range.
+#: Patterns of overlapping sources for each part that flows are dealt to, and sources of a range; no result depends on them.
 MAX_PATTERNS, RANGE = 100_000, 1_000_000
 #: Buckets of a pattern's seeded order.
 BUCKETS = 1 << 12
@@ -76,7 +78,7 @@ def routed(patterns: list[tuple[list[int], int]], quotas: list[int], repeats: in
     left = [0] * len(patterns)
     free = list(quotas)
     flow: list[dict[int, int]] = [dict.fromkeys(sources, 0) for sources, _ in patterns]
-    senders: list[set[int]] = [set() for _ in quotas]
+    senders: list[dict[int, None]] = [{} for _ in quotas]  # in the order they came, so numbers of patterns decide nothing
     taken = [0] * len(patterns)
 
     def augment(start: int) -> bool:
@@ -94,11 +96,11 @@ def routed(patterns: list[tuple[list[int], int]], quotas: list[int], repeats: in
                 for (a, x), (_, y) in zip(path, path[1:], strict=False):
                     if a == "p":
                         flow[x][y] += amount
-                        senders[y].add(x)
+                        senders[y][x] = None
                     else:
                         flow[y][x] -= amount
                         if not flow[y][x]:
-                            senders[x].discard(y)
+                            senders[x].pop(y, None)
                 left[start] -= amount
                 free[i] -= amount
                 taken[start] += amount
@@ -178,37 +180,39 @@ def _plan(patterns: DataFrame, weights: tuple[float, ...], share: float, repeats
 
     # Patterns that meet at shared sources go through the flow.
     beside = own.filter("shared").select("pattern", "tokens").unionByName(patterns.filter(F.size("pattern") > 1))
-    rows = beside.limit(MAX_PATTERNS + 1).collect()
-    if not rows:
+    if beside.isEmpty():
         return settled
-    if len(rows) > MAX_PATTERNS:
-        return settled.unionByName(_by_one_source(beside, sources, quota, repeats, told))
-    rows = sorted(((tuple(r["pattern"]), r["tokens"]) for r in rows), key=lambda r: [(s is None, s or "") for s in r[0]])
-    near = {r["source"]: r for r in sources.filter("shared").collect()}  # each stands in one of the patterns
-    names = sorted(near, key=lambda s: near[s]["place"])
-    number = {s: i for i, s in enumerate(names)}
-    taken = routed([([number[s] for s in pattern], tokens) for pattern, tokens in rows], [round(near[s]["target"]) for s in names], repeats)
-    data = [
-        (list(pattern), tokens, [near[s]["size"] for s in pattern], [near[s]["target"] for s in pattern], flow)
-        for (pattern, tokens), flow in zip(rows, taken, strict=True)
-    ]
-    routes = spark.createDataFrame(data, "pattern array<string>, tokens long, source_sizes array<long>, targets array<double>, routed long")
+    routes = _flows(beside, sources.filter("shared").withColumn("quota", quota), repeats)
     return settled.unionByName(told(routes, F.col("routed")).select(settled.columns))
 
 
-def _by_one_source(patterns: DataFrame, sources: DataFrame, quota: Column, repeats: int, told) -> DataFrame:
-    """For more patterns than the flow takes: each gives to the one of its sources that asks most for its
-    size (ties by order), all patterns of a source in proportion. Quotas are met to a token for each
-    pattern unless a source's own patterns fall short, which the flow might have mended."""
+def _flows(patterns: DataFrame, sources: DataFrame, repeats: int) -> DataFrame:
+    """(pattern, tokens, source_sizes, targets, routed) of patterns that meet at sources, component by component."""
     each = patterns.select("pattern", "tokens", F.posexplode("pattern").alias("at", "one"))
-    met = each.join(sources.withColumn("quota", quota), F.col("one").eqNullSafe(F.col("source")))
-    asks = F.struct((F.col("target") / F.greatest(F.col("size"), F.lit(1))).alias("by"), (-F.col("place")).alias("order"), "quota", "place")
-    facts = F.array_sort(F.collect_list(F.struct("at", "size", "target")))
-    chosen = met.groupBy("pattern", "tokens").agg(F.max(asks).alias("asks"), facts.alias("facts"))
-    given = chosen.groupBy("asks.place").agg(F.sum("tokens").alias("given")).withColumnRenamed("place", "giving")
-    shares = chosen.join(given, F.col("asks.place") == F.col("giving"))
-    flow = F.least(F.floor(F.col("asks.quota") * F.col("tokens") / F.greatest(F.col("given"), F.lit(1))).cast("long"), F.col("tokens") * repeats)
-    return told(shares.withColumns({"source_sizes": F.col("facts.size"), "targets": F.col("facts.target")}), flow)
+    met = each.join(sources, F.col("one").eqNullSafe(F.col("source")))
+    facts = F.array_sort(F.collect_list(F.struct("at", "place", "size", "target", "quota")))
+    whole = stored(met.groupBy("pattern", "tokens").agg(facts.alias("facts")))
+    # Every shared source has another beside it in some pattern, hence an edge.
+    edges = whole.select(F.col("facts")[0]["place"].alias("one"), F.explode("facts.place").alias("other"))
+    components = connected_components(edges, "one", "other")
+    dealt = whole.join(components, F.col("facts")[0]["place"] == F.col("node")).select(
+        "component", "pattern", "tokens", F.col("facts.place").alias("places"), F.col("facts.quota").alias("quotas"),
+        F.col("facts.size").alias("source_sizes"), F.col("facts.target").alias("targets"),
+    )
+
+    def route(component: pa.Table) -> pa.Table:
+        places = component.column("places").to_pylist()
+        order = sorted(range(len(places)), key=places.__getitem__)
+        quota = {s: q for row, quotas in zip(places, component.column("quotas").to_pylist(), strict=True) for s, q in zip(row, quotas, strict=True)}
+        number = {s: i for i, s in enumerate(sorted(quota))}
+        tokens = component.column("tokens").to_pylist()
+        taken = routed([([number[s] for s in places[i]], tokens[i]) for i in order], [quota[s] for s in number], repeats)
+        kept = component.select(["pattern", "tokens", "source_sizes", "targets"]).take(pa.array(order))
+        return kept.append_column("routed", pa.array(taken, pa.int64()))
+
+    parts = -(-whole.count() // MAX_PATTERNS)
+    told = "pattern array<string>, tokens long, source_sizes array<long>, targets array<double>, routed long"
+    return dealt.repartition(parts, "component").groupBy("component").applyInArrow(route, told)
 
 
 def mix_sources(docs: DataFrame, members: str, size: str, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, repeats: int = 2, seed: int = 7, doc_id: str = "doc_id") -> DataFrame:
