@@ -8,9 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from textloom import fixed_values as V
-from textloom.functions.core import count_below, let
+from textloom.functions import text as X
+from textloom.functions.core import count_below, let, ws_count, ws_words
 from textloom.functions.text import split_long
-from textloom.operators import markdown, masking
+from textloom.operators import intake, markdown, masking
 from textloom.operators.chunking import slice_chars
 
 
@@ -129,3 +130,53 @@ def test_clauses_are_packed_in_time_that_follows_them(spark):
     pieces = df.select(split_long(F.col("text"), 40).alias("p")).first().p
     assert time.perf_counter() - begun < 20
     assert len(pieces) == 4000 and " ".join(pieces) == text and all(len(p.split()) == 40 for p in pieces)
+
+
+def test_own_glossary_against_plain_search(spark):
+    rows = [
+        (1, "The Re-run don't stop. two words", "no stop", ["re-run", "stop", "on't", "two words", "The", "", "zz", "stop", None]),
+        (2, None, "x", ["x"]), (3, "x y", None, ["x", "q"]), (4, "x", "x", None), (5, "", "", ["", "a"]), (6, "a.b (c)", "b", ["a.b", "b (", "c", ".", " ", "ab"]),
+    ]
+    docs = spark.createDataFrame(rows, "id long, text string, processed string, glossary array<string>")
+    got = {r["id"]: (r["expected_terms"], r["lost_terms"]) for r in intake.glossary_check(docs, "text", "processed", "glossary").collect()}
+    for i, text, processed, terms in rows:
+        if terms is None:
+            assert got[i] == (None, None)
+            continue
+        expected = [t for t in terms if t is not None and text is not None and t in text]
+        assert got[i] == (expected, [t for t in expected if processed is not None and t not in processed])
+
+
+def test_own_glossary_takes_time_that_follows_the_text(spark):
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.concat(F.lit("word"), i.cast("string"))), " ")
+    docs = spark.range(1).select(text.alias("text")).withColumn("glossary", F.split("text", " ")).localCheckpoint()
+    began = time.time()
+    got = intake.glossary_check(docs, "text", "text", "glossary").select(F.size("expected_terms"), F.size("lost_terms")).first()
+    assert tuple(got) == (40_000, 0) and time.time() - began < 8  # a search for every term alone takes several times that
+
+
+def test_summaries_are_cut_once(spark):
+    from textloom.plans.catalog import QUERIES
+
+    plan = QUERIES["summary_records"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1 and "regexp_extract(" not in plan
+
+
+def test_summary_sections_against_plain_patterns(spark):
+    texts = [
+        "THESIS: a b\nMethodology: c\nGLOSSARY:\n1. x, y.\n", "gloſſary: q methodology: m theſis: t METHODOLOGY: n THESIS: u", "thesis: only", None, "",
+        "x THESIS: METHODOLOGY: GLOSSARY:", "GLOSSARY: g\nTHESIS: t\r\n\nMETHODOLOGY: m\u2028",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").withColumn("s", X.parse_summary(F.col("text"))).collect()
+    for r in rows:
+        cut = [re.search(p, r["text"] or "", re.I | re.S) for p in (r"THESIS:(.*?)(METHODOLOGY:|$)", r"METHODOLOGY:(.*?)(GLOSSARY:|$)", r"GLOSSARY:(.*)$")]
+        want = (cut[0][1].strip(), cut[1][1].strip()) if all(cut) else (None, None)
+        assert (r["s"]["thesis"], r["s"]["methodology"]) == want and (r["s"]["word_count"] == (len(r["text"].split()) if all(cut) else None))
+
+
+def test_white_space_words_against_plain_split(spark):
+    texts = ["", " \u3000\n", "a", "\x85a\xa0b\u2028 c\x1fd ", None, "a  b"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(ws_words(F.col("text")), ws_count(F.col("text"))).collect()
+    for t, r in zip(texts, rows, strict=True):
+        want = None if t is None else [w for w in re.split(f"[{re.escape(V.WS_CHARS)}]+", t) if w]
+        assert r[0] == want and r[1] == (None if t is None else len(want))
