@@ -11,7 +11,7 @@ from textloom import fixed_values as V
 from textloom.functions import text as X
 from textloom.functions.core import count_below, let, ws_count, ws_words
 from textloom.functions.text import split_long
-from textloom.operators import intake, markdown, masking
+from textloom.operators import intake, layout, markdown, masking
 from textloom.operators.chunking import slice_chars
 
 
@@ -180,3 +180,59 @@ def test_white_space_words_against_plain_split(spark):
     for t, r in zip(texts, rows, strict=True):
         want = None if t is None else [w for w in re.split(f"[{re.escape(V.WS_CHARS)}]+", t) if w]
         assert r[0] == want and r[1] == (None if t is None else len(want))
+
+
+def test_hopeless_steps_of_fitting_are_not_wrapped(spark):
+    """Eleven wraps of long paragraphs in flat boxes took more than five times one wrap."""
+    words = F.transform(F.sequence(F.lit(1), F.lit(4000)), lambda i: F.concat(F.lit("w"), (i * 7919 % 100_003).cast("string")))
+    blocks = spark.range(64).select(F.array_join(words, " ").alias("text"), F.lit(200.0).alias("width"), F.lit(30.0).alias("height"))
+
+    def seconds(df):
+        best = 1e9
+        for _ in range(3):
+            began = time.time()
+            df.write.format("noop").mode("overwrite").save()
+            best = min(best, time.time() - began)
+        return best
+
+    one = seconds(blocks.select(layout.wrap_lines(F.col("text"), F.lit(9.0), F.col("width"))))
+    assert seconds(layout.fit_paragraphs(blocks)) < 5 * one
+
+
+def test_fitting_with_wide_words_equals_trying_every_step(spark):
+    rnd = random.Random(4)
+    rows = [(i, " ".join("x" * rnd.choice([1, 3, 8, 40, 90]) for _ in range(rnd.randrange(40))), float(rnd.randrange(10, 200)), float(rnd.randrange(5, 150))) for i in range(120)]
+    blocks = spark.createDataFrame(rows, "id long, text string, width double, height double")
+    steps = [(max(V.MIN_FONT_SIZE, V.BODY_FONT_SIZE * (1 - 0.1 * (k / 10))), V.LINE_SPACING * (1 - 0.1 * (k / 10))) for k in range(11)]
+    lines = [layout.wrap_lines(F.col("text"), F.lit(size), F.col("width")).alias(f"l{k}") for k, (size, _) in enumerate(steps)]
+    for r in layout.fit_paragraphs(blocks).join(blocks.select("id", *lines), "id").collect():
+        fits = [k for k, (size, gap) in enumerate(steps) if len(r[f"l{k}"]) * size * gap <= r["height"]]
+        chosen = fits[0] if fits else 10
+        assert r["font_size"] == round(steps[chosen][0], 2) and r["lines"] == r[f"l{chosen}"][: len(r["lines"])]
+        assert (len(r["lines"]) == len(r[f"l{chosen}"])) or not fits
+
+
+def test_names_of_long_texts_take_only_their_head(spark):
+    texts = ["", " \n", "a", "  One, two　three four five six seven eight nine", "?! ... --", "\x85x y", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(X.auto_name(F.col("text"))).collect()
+    for t, r in zip(texts, rows, strict=True):
+        head = [re.sub("[^a-zA-Z0-9]", "", w) for w in re.split(f"[{re.escape(V.WS_CHARS)}]+", (t or "").strip(V.WS_CHARS))[:7]]
+        assert r[0] == (None if t is None else "_".join([w for w in head if w][:6])[: V.MAX_NAME_CHARS] or V.DEFAULT_NAME)
+    plan = spark.range(1).select(F.col("id").cast("string").alias("text")).select(X.auto_name(F.col("text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert ", 8)" not in plan  # no split of the whole text
+
+
+def test_ends_of_pieces_against_the_whole_pattern(spark):
+    ends = ["et al.", " Dr.", "Dr.", "xdr.", "approx" + "." * 40, " approx" + " ?" * 30, "e.g", "word.", "", " sec.,! \t"]
+    rows = spark.createDataFrame([(a + b,) for a in ("", "long words before the end of it ", "a") for b in ends], "text string")
+    whole, tail = F.col("text").rlike(X._ENDS_WITH_ABBREVIATION), X._ends_with_abbreviation(F.col("text"))
+    assert rows.filter(~whole.eqNullSafe(tail)).count() == 0 and 0 < rows.filter(tail).count() < rows.count()
+
+
+def test_texts_without_a_sign_meet_no_formula_pattern(spark):
+    texts = spark.createDataFrame([("plain",), ("a $x$ b",), (r"\(y\) and $$z$$",), (None,), (r"\begin{align}q\end{align} \[r\]",)], "text string")
+    masked = masking.mask_math(texts)
+    assert [r["masked"] for r in masked.collect()] == [
+        "plain", "a __MATH_INLINE_0__ b", "__MATH_INLINE_0__ and __MATH_BLOCK_0__", "", "__MATH_BLOCK_0__ __MATH_BLOCK_1__",
+    ]
+    assert masked._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") >= len(V.MATH_BLOCK_SIGNS + V.MATH_INLINE_SIGNS)

@@ -286,6 +286,8 @@ def fit_paragraphs(
     Font and spacing shrink together in eleven steps down to 90 %, the font not
     below 7 points; the first step that fits wins. If none does, the lines that fit
     (at least one) stay and the rest is handed back. Words are measured once.
+    A line holds no more than its width, an over-wide word alone; a step at which that asks
+    for more lines than there is height for cannot fit and is skipped without wrapping.
     """
     bold = F.col(heading) if heading else None
     blocks = blocks.withColumns(
@@ -297,7 +299,16 @@ def fit_paragraphs(
     )
     blocks = blocks.withColumn("_widths", word_widths(F.col("_words"), bold))
 
-    def layout(step: Column, widths: Column) -> Column:
+    def room(size: Column) -> Column:
+        """The width of the box in thousandths of the font size."""
+        return F.col("_w") / (size * 0.001)
+
+    # What the words take at least, a space with each, at every step: rooms only grow from the first on.
+    first = F.greatest(F.lit(V.MIN_FONT_SIZE), F.lit(float(font_size)))
+    bare = let(room(first), lambda most: fold(F.col("_widths"), F.lit(0.0), lambda a, w: a + F.least(w.cast("double"), most) + float(V.HELVETICA_SPACE)))
+    blocks = blocks.withColumn("_bare", bare)
+
+    def layout(best: Column, step: Column, widths: Column) -> Column:
         factor = F.lit(1.0) - F.lit(0.1) * (step / F.lit(float(V.FIT_STEPS)))
         scale = F.struct(
             F.greatest(F.lit(V.MIN_FONT_SIZE), F.lit(font_size) * factor).alias("size"),
@@ -305,6 +316,11 @@ def fit_paragraphs(
         )
 
         def sized(s: Column) -> Column:
+            least = F.col("_bare") / (room(s["size"]) + float(V.HELVETICA_SPACE)) * (1 - 1e-9)
+            hopeless = F.ceil(least) * s["size"] * s["gap"] > F.col("_h") * (1 + 1e-9)
+            return F.when(hopeless & (step < V.FIT_STEPS), best).otherwise(wrapped(s))
+
+        def wrapped(s: Column) -> Column:
             starts = _wrap_starts(widths, V.HELVETICA_SPACE, s["size"], F.col("_w"))
             return let(
                 starts,
@@ -322,7 +338,7 @@ def fit_paragraphs(
         F.col("_widths"),
         lambda widths: fold(
             F.sequence(F.lit(0), F.lit(V.FIT_STEPS)), none,
-            lambda best, step: F.when(F.coalesce(best["fits"], F.lit(False)), best).otherwise(layout(step, widths)),
+            lambda best, step: F.when(F.coalesce(best["fits"], F.lit(False)), best).otherwise(layout(best, step, widths)),
         ),
     )
     blocks = blocks.withColumn("_fit", search)
@@ -336,15 +352,15 @@ def fit_paragraphs(
             ),
         }
     )
-    room = F.greatest(F.lit(1), F.floor(F.col("_h") / (F.col("font_size") * F.col("line_spacing"))).cast("int"))
-    kept = F.when(F.col("_fit.fits"), F.size("_lines")).otherwise(F.least(room, F.size("_lines")))
+    most_lines = F.greatest(F.lit(1), F.floor(F.col("_h") / (F.col("font_size") * F.col("line_spacing"))).cast("int"))
+    kept = F.when(F.col("_fit.fits"), F.size("_lines")).otherwise(F.least(most_lines, F.size("_lines")))
     blocks = blocks.withColumn("_kept", kept)
     return blocks.withColumns(
         {
             "lines": F.slice("_lines", F.lit(1), F.col("_kept")),
             "overflow_text": join(F.slice("_lines", F.col("_kept") + 1, F.size("_lines")), " "),
         }
-    ).drop("_words", "_w", "_h", "_widths", "_fit", "_lines", "_kept")
+    ).drop("_words", "_w", "_h", "_widths", "_bare", "_fit", "_lines", "_kept")
 
 
 # --- chunks and blocks ----------------------------------------------------------------------
