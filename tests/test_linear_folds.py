@@ -1,5 +1,6 @@
 """Restoring, slicing and fences of large texts: the results of the plain rules, in time that follows the text."""
 
+import math
 import random
 import re
 import time
@@ -11,7 +12,7 @@ from textloom import fixed_values as V
 from textloom.functions import text as X
 from textloom.functions.core import count_below, let, ws_count, ws_words
 from textloom.functions.text import split_long
-from textloom.operators import intake, layout, markdown, masking
+from textloom.operators import intake, layout, markdown, masking, metrics
 from textloom.operators.chunking import slice_chars
 
 
@@ -236,3 +237,27 @@ def test_texts_without_a_sign_meet_no_formula_pattern(spark):
         "plain", "a __MATH_INLINE_0__ b", "__MATH_INLINE_0__ and __MATH_BLOCK_0__", "", "__MATH_BLOCK_0__ __MATH_BLOCK_1__",
     ]
     assert masked._jdf.queryExecution().optimizedPlan().toString().lower().count("contains(") >= len(V.MATH_BLOCK_SIGNS + V.MATH_INLINE_SIGNS)
+
+
+def _repeated_keys(spark):
+    rows = [(1, "a b a"), (1, "b c"), (2, None), (3, ""), (4, "Don't don't -"), (None, "a")]
+    return spark.createDataFrame(rows, "id long, text string")
+
+
+def test_words_of_documents_meet_in_parts_that_follow_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PART_BYTES", 1)
+    counts = metrics.document_word_frequency(_repeated_keys(spark), "id")
+    assert sorted(map(tuple, counts.collect()), key=repr) == sorted([(1, "a", 2), (1, "b", 2), (1, "c", 1), (4, "don't", 2), (None, "a", 1)], key=repr)
+    assert counts.rdd.getNumPartitions() == sum(len(t) for t in ("a b a", "b c", "Don't don't -", "a"))
+
+
+def test_perplexity_shuffles_no_counts_of_keys(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(metrics, "stored", lambda df: written.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    got = {r["id"]: (r["word_count"], r["perplexity"]) for r in metrics.corpus_perplexity(_repeated_keys(spark), "id", frequent_share=4).collect()}
+    n = {"a": 3, "b": 2, "c": 1, "don't": 2}
+    held = {1: ["a", "b", "a", "b", "c"], 4: ["don't"] * 2, None: ["a"]}
+    for key, found in held.items():
+        mean = sum(math.log(n[w] / 8) for w in found) / len(found)
+        assert got[key] == (len(found), pytest.approx(math.exp(-mean)))
+    assert set(got) == set(held) and "Exchange" not in written[0]  # texts are not shuffled, nor their counts before they are written

@@ -66,8 +66,25 @@ def burstiness(mean: Column, std: Column) -> Column:
     return F.when(std + mean != 0, (std - mean) / (std + mean))
 
 
+#: Bytes of text whose counts of words meet in one task.
+PART_BYTES = 16 << 20
+
+
 def document_word_frequency(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, word, n): how often each word occurs in each document."""
+    """(key, word, n): how often each word occurs in each document.
+
+    Words are counted inside the row; rows that share a key meet by (key, word), in parts whose number
+    follows the size of the texts, so no task holds more the larger the table is. For keys with many
+    texts each see ``group_word_frequency``.
+    """
+    size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    counts = df.select(key, F.explode(counted_words(F.col(text))).alias("_c")).select(key, "_c.word", "_c.n")
+    return counts.repartition(parts, key, "word").groupBy(key, "word").agg(F.sum("n").alias("n"))
+
+
+def group_word_frequency(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, word, n) for keys that many texts share: words are counted in every task before they are shuffled."""
     return (
         each(df, [key], words(F.col(text)), "_pos", "word")
         .groupBy(key, "word")
@@ -75,6 +92,18 @@ def document_word_frequency(df: DataFrame, key: str, text: str = "text") -> Data
     )
 
 
+def counted_words(text: Column) -> Column:
+    """Array of (word, n), the words of one text in order; counted by sorting, in time that follows the text."""
+    def counted(ordered: Column) -> Column:
+        firsts = F.filter(
+            F.transform(ordered, lambda w, i: F.struct(w.alias("word"), i.alias("at"), F.get(ordered, i - 1).eqNullSafe(w).alias("again"))),
+            lambda e: ~e["again"],
+        )
+        return let(firsts, lambda f: F.transform(f, lambda e, i: F.struct(e["word"].alias("word"), (F.coalesce(F.get(f, i + 1)["at"], F.size(ordered)) - e["at"]).cast("bigint").alias("n"))))
+
+    return let(F.array_sort(words(text)), counted)
+
+
 def word_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over the corpus."""
     return each(df, [], words(F.col(text)), "_pos", "word").groupBy("word").agg(F.count("*").alias("n"))
@@ -98,8 +127,10 @@ def corpus_perplexity(df: DataFrame, key: str, text: str = "text", frequent_shar
     shuffle join, which handles the remaining words. A key whose texts hold no word has
     no mean, and no row.
     """
-    # Texts are cut into words once; the vocabulary is the sum of the counts and is read three times.
-    counts = stored(document_word_frequency(df, key, text))
+    # Texts are cut into words once. Their counts stay in the row of the text, as written arrays, since the
+    # sums over a key need no counts of the key as a whole; only words that are not frequent are shuffled.
+    own = stored(df.select(key, counted_words(F.col(text)).alias("_counts")))
+    counts = own.select(key, F.explode("_counts").alias("_c")).select(key, "_c.word", "_c.n")
     corpus = stored(counts.groupBy("word").agg(F.sum("n").alias("n")))
     total = corpus.agg(F.sum("n").alias("t")).scalar()
     model = corpus.select(
@@ -110,14 +141,13 @@ def corpus_perplexity(df: DataFrame, key: str, text: str = "text", frequent_shar
     marked = counts.join(F.broadcast(frequent), "word", "left")
     known = marked.filter(F.col("_log_frequent").isNotNull()).select(key, "n", F.col("_log_frequent").alias("_log_p"))
     looked_up = marked.filter(F.col("_log_frequent").isNull()).join(rare, "word").select(key, "n", "_log_p")
-    return (
-        known.unionByName(looked_up)
-        .groupBy(key)
-        .agg(
-            F.sum("n").alias("word_count"),
-            F.exp(-F.sum(F.col("n") * F.col("_log_p")) / F.sum("n")).alias("perplexity"),
-        )
-    )
+
+    def summed(found: DataFrame) -> DataFrame:
+        return found.groupBy(key).agg(F.sum("n").alias("word_count"), F.sum(F.col("n") * F.col("_log_p")).alias("_log_sum"))
+
+    # Each part is summed by itself: rows of one text lie together, so it leaves its task as one row.
+    sums = summed(known).unionByName(summed(looked_up)).groupBy(key).agg(F.sum("word_count").alias("word_count"), F.sum("_log_sum").alias("_log_sum"))
+    return sums.select(key, "word_count", F.exp(-F.col("_log_sum") / F.col("word_count")).alias("perplexity"))
 
 
 _BUZZWORD = (
