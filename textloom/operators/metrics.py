@@ -101,7 +101,7 @@ def counted_words(text: Column) -> Column:
         )
         return let(firsts, lambda f: F.transform(f, lambda e, i: F.struct(e["word"].alias("word"), (F.coalesce(F.get(f, i + 1)["at"], F.size(ordered)) - e["at"]).cast("bigint").alias("n"))))
 
-    return let(F.array_sort(words(text)), counted)
+    return let(F.sort_array(words(text)), counted)
 
 
 def word_frequency(df: DataFrame, text: str = "text") -> DataFrame:
