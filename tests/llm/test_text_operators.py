@@ -347,6 +347,39 @@ def test_pseudo_likelihood_tells_words_of_one_class_apart(spark, odd, monkeypatc
     assert pseudo_likelihood.score_words(new.limit(0), model, counted).count() == 0
 
 
+def test_pseudo_likelihood_cuts_texts_into_words_once(spark, odd, monkeypatch):
+    monkeypatch.setattr(pseudo_likelihood, "BLOCK", 3000)
+    read = spark.sparkContext.accumulator(0)
+
+    def tell(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = odd.select("doc_id", "text")
+    watched = docs.mapInArrow(tell, docs.schema)
+    monkeypatch.setattr(queries, "table", lambda *_: watched)
+    rows = queries.QUERIES["op10_pseudo_likelihood"](spark, SF).collect()
+    assert read.value <= 2 * docs.count()  # once for their size
+    counted = pseudo_likelihood.word_counts(docs)
+    want = pseudo_likelihood.score_words(docs, pseudo_likelihood.fit(docs, counted=counted), counted).collect()
+    got, want = (np.array(sorted((r["n_tokens"], r["log_likelihood"]) for r in found)) for found in (rows, want))
+    assert (got[:, 0] == want[:, 0]).all() and np.allclose(got, want, rtol=0.02)
+    blank = spark.createDataFrame([(1, None), (2, ""), (None, " \n")], "doc_id long, text string")
+    assert sorted(r["n_tokens"] for r in pseudo_likelihood.score_corpus(blank).collect()) == [0, 0, 0]
+
+
+def test_pseudo_likelihood_visits_in_blocks_what_it_visits_in_texts():
+    texts = [b" ".join(b"w%d" % i for i in range(size)) for size in (0, 1, 2, 0, 7, 100)]
+    lengths, turns = np.array([len(t.split()) for t in texts]), np.array([pseudo_likelihood.turn(t) for t in texts], np.uint32)
+    for number in range(pseudo_likelihood.ROUNDS):
+        want, first = [], 0
+        for text, size in zip(texts, lengths.tolist(), strict=True):
+            want += np.arange(first, first + size)[pseudo_likelihood.visited(text, size, number)].tolist() if size else []
+            first += size
+        assert pseudo_likelihood.all_visited(turns, lengths, number).tolist() == want
+
+
 def test_equal_blocks_do_not_meet(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 500)
     rows = [(i if i < 300 else None, "the same text again and again") for i in range(600)] + [(900, "another text")]

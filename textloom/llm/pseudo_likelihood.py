@@ -9,11 +9,13 @@ times its share of the class, from the counts of all words of the corpus: smooth
 one place in each shared class for all words that were never counted. A document's score is the sum
 of the log probabilities of all its words, each masked in turn.
 
-Counts of words stay distributed. Texts are laid out in blocks with their distinct words; these go to
-slots by a hash, once for each block, meet the counts there and send their shares back.
+Texts are cut into words once and laid out in stored blocks: the distinct words of a block with their
+counts, and the number of its word for each position. Counting, training and scoring read the blocks.
+Counts of words stay distributed: the words of the blocks go to slots by a hash, once for each block,
+are added up there and later send their classes and shares back.
 
 Training is data-parallel: in a round every task starts from the same weights, takes Adagrad steps
-over positions of every text it reads and sends its weights; the rounds take turns over the positions
+over positions of every text of its blocks and sends its weights; the rounds take turns over the positions
 of a text, each every STRIDE-th one, so that together they visit them all. Slices of the weights are averaged by grouped aggregations in two levels, weighed by positions. The network, of
 fixed size, is broadcast for the next round and for scoring.
 
@@ -28,6 +30,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -53,11 +56,18 @@ STRIDE = ROUNDS
 SMOOTH = 0.5
 #: Words that a task counts before it passes its counts on.
 COUNTED = 200_000
+#: The columns that scoring adds.
+RESULTS = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
 #: Positions gathered before they are learned or scored, and those whose probabilities are held at once.
 CHUNK, CACHED = 16_384, 256
 
 OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
-SHAPES = [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (CLASSES, HIDDEN), (CLASSES,)]
+#: Embeddings by place and class, one class more for beyond the edge; the bias of the hidden layer; output weights, the last one for its bias.
+SHAPES = [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (CLASSES, HIDDEN + 1)]
+SIZES = [int(np.prod(s)) for s in SHAPES]
+#: The row of the embeddings where those of a place begin, and the cells of each row.
+_FIRST = np.arange(len(OFFSETS))[:, None] * (CLASSES + 1)
+_CELLS = np.arange(SIZES[0]).reshape(-1, HIDDEN)
 
 
 class _Classes(dict):
@@ -79,39 +89,54 @@ class Vocabulary:
             self.known = _Classes(self.place)
         return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
+    def of_words(self, words: list[bytes]) -> np.ndarray:
+        """The classes of distinct words."""
+        place = self.place
+        return np.fromiter((place[w] if w in place else OWN + hash_of(w) % SHARED for w in words), np.int64, len(words))
+
+    def of_block(self, row: dict) -> np.ndarray:
+        """The class of each word of all texts of a block."""
+        names = [w for piece in row["words"] for w in words_of(piece["words"])]
+        classes = np.empty(len(names), np.int64)
+        classes[unpacked(row["order"])] = self.of_words(names)
+        return classes[unpacked(row["places"])]
+
 
 class Network:
-    """Weights: embeddings by place and class (one class more for beyond the edge), bias, output, output bias."""
+    """``weights`` in one array; ``parts``, views of it: embeddings by place and class, bias, output, output bias."""
 
     def __init__(self, flat: np.ndarray):
-        self.parts, at = [], 0
-        for shape in SHAPES:
-            size = int(np.prod(shape))
-            self.parts.append(flat[at : at + size].astype(np.float32).reshape(shape))
-            at += size
+        self.weights = np.array(flat, np.float32)
+        embed, self.bias, self.top = (p.reshape(s) for p, s in zip(np.split(self.weights, np.cumsum(SIZES)[:-1]), SHAPES, strict=True))
+        self.rows = embed.reshape(-1, HIDDEN)
+        self.parts = [embed, self.bias, self.top[:, :HIDDEN], self.top[:, HIDDEN]]
 
     @staticmethod
     def start(seed: int = 3) -> np.ndarray:
         rng = np.random.default_rng(seed)
-        return np.concatenate([rng.normal(0, 0.1, int(np.prod(s))) if len(s) > 1 else np.zeros(s) for s in SHAPES]).astype(np.float32)
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([p.ravel() for p in self.parts])
-
-    def hidden(self, around: np.ndarray) -> np.ndarray:
-        embed, bias, _, _ = self.parts
-        total = bias + embed[0][around[0]]
+        net = Network(np.zeros(sum(SIZES)))
+        for part in net.parts[0], net.parts[2]:
+            part[:] = rng.normal(0, 0.1, part.shape)
+        return net.weights
+
+    def hidden(self, row: np.ndarray) -> np.ndarray:
+        """The hidden layer and a column of ones, from the rows of the embeddings of each place."""
+        total = self.rows.take(row[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            total += embed[k][around[k]]
-        return np.tanh(total)
+            total += self.rows.take(row[k], axis=0)
+        total += self.bias
+        out = np.ones((len(total), HIDDEN + 1), np.float32)
+        np.tanh(total, out=out[:, :HIDDEN])
+        return out
+
+    def steep(self) -> bool:
+        """Whether logits can be too large for exp: |tanh| <= 1 bounds them all."""
+        return np.abs(self.top).sum(axis=1).max() > 40
 
-    def odds(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def odds(self, hidden: np.ndarray, target: np.ndarray, steep: bool, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each position exp(logit) of every class, their sum, and the logit of the target, shifted alike."""
-        _, _, out, out_bias = self.parts
-        logits = hidden @ out.T
-        logits += out_bias
-        # |tanh| <= 1 bounds every logit; only where that is too large for exp are they shifted.
-        if np.abs(out).sum(axis=1).max() + np.abs(out_bias).max() > 40:
+        logits = np.matmul(hidden, self.top.T, out=out)
+        if steep:
             logits -= logits.max(axis=1, keepdims=True)
         own = logits[np.arange(len(logits)), target]
         np.exp(logits, out=logits)
@@ -119,33 +144,48 @@ class Network:
 
     def of_targets(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log probability of each target class."""
-        found = np.empty(len(target))
+        found, total, steep = np.empty(len(target)), np.empty(len(target)), self.steep()
+        buffer, row = np.empty((CACHED, CLASSES), np.float32), around + _FIRST
         for low in range(0, len(target), CACHED):
             part = slice(low, low + CACHED)
-            _, total, own = self.odds(self.hidden(around[:, part]), target[part])
-            found[part] = own - np.log(total)
-        return found
+            own = target[part]
+            _, total[part], found[part] = self.odds(self.hidden(row[:, part]), own, steep, buffer[: len(own)])
+        return found - np.log(total)
+
+    def gradient(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+        """Of the mean loss by all ``weights``."""
+        row = around + _FIRST
+        h = self.hidden(row)
+        error, total, _ = self.odds(h, target, self.steep())
+        # The error is scaled where it has met the narrow sides.
+        error[np.arange(len(target)), target] -= total
+        scale = (1 / (total * len(target)))[:, None]
+        back = (error @ self.parts[2]) * scale * (1 - h[:, :HIDDEN] * h[:, :HIDDEN])
+        spread = np.empty((*row.shape, HIDDEN))
+        spread[:] = back
+        out = np.empty(len(self.weights), np.float32)
+        embed, bias, top = np.split(out, np.cumsum(SIZES)[:-1])
+        embed[:] = np.bincount(_CELLS.take(row, axis=0).ravel(), spread.ravel(), minlength=SIZES[0])
+        bias[:] = back.sum(axis=0)
+        np.matmul(error.T, h * scale, out=top.reshape(SHAPES[2]))
+        return out
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
-        _, _, out, _ = self.parts
-        h = self.hidden(around)
-        error, total, _ = self.odds(h, target)
-        error *= (1 / (total * len(target)))[:, None]
-        error[np.arange(len(target)), target] -= np.float32(1 / len(target))
-        back = (error @ out) * (1 - h * h)
-        row = around + np.arange(len(OFFSETS))[:, None] * (CLASSES + 1)
-        cell = (row * HIDDEN)[:, :, None] + np.arange(HIDDEN)
-        sums = np.bincount(cell.ravel(), np.broadcast_to(back, cell.shape).ravel(), minlength=int(np.prod(SHAPES[0])))
-        return [sums.reshape(SHAPES[0]).astype(np.float32), back.sum(axis=0), error.T @ h, error.sum(axis=0)]
-
-
-def neighbours(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """For all words of several texts: the classes around each (CLASSES beyond an edge), and its own."""
-    edge = np.full(WINDOW, CLASSES)
-    flat = np.concatenate([edge, *(x for row in rows for x in (row, edge))])
-    lengths = np.array([len(r) for r in rows], np.int64)
-    starts = np.cumsum(np.r_[WINDOW, lengths[:-1] + WINDOW]) if len(rows) else lengths
-    at = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        """``gradient`` by ``parts``."""
+        found = Network(self.gradient(around, target))
+        return found.parts
+
+
+def edged(own: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The classes of all words of several texts with edges (CLASSES) around each text, and where the words are."""
+    at = np.arange(len(own)) + WINDOW * (1 + np.repeat(np.arange(len(lengths)), lengths))
+    flat = np.full(len(own) + WINDOW * (len(lengths) + 1), CLASSES)
+    flat[at] = own
+    return flat, at
+
+
+def neighbours(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the words at these places of ``edged`` texts: the classes around each, and its own."""
     return np.stack([flat[at + k] for k in OFFSETS]), flat[at]
 
 
@@ -174,49 +214,54 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     return Vocabulary([bytes(r["word"]) for r in counted.orderBy(F.col("n").desc(), "word").limit(OWN).collect()])
 
 
+def turn(text: bytes) -> int:
+    """Where the rounds over a text begin."""
+    return xxhash.xxh3_64_intdigest(text) & 0xFFFFFFFF
+
+
 def visited(text: bytes, length: int, number: int) -> slice:
     """The positions of a text of so many words that round ``number`` learns."""
-    return slice((xxhash.xxh3_64_intdigest(text) + number * (STRIDE // ROUNDS)) % min(STRIDE, length), None, STRIDE)
+    return slice((turn(text) + number * (STRIDE // ROUNDS)) % min(STRIDE, length), None, STRIDE)
+
 
+def all_visited(turns: np.ndarray, lengths: np.ndarray, number: int) -> np.ndarray:
+    """The same of several texts that lie one after the other."""
+    first = (turns.astype(np.int64) + number * (STRIDE // ROUNDS)) % np.clip(lengths, 1, STRIDE)
+    many = np.maximum(0, -(-(lengths - first) // STRIDE))
+    place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(np.cumsum(lengths) - lengths + first, many) + STRIDE * place
 
-def _trained(docs: DataFrame, text: str, words: Vocabulary, weights: np.ndarray, number: int) -> np.ndarray:
+
+def _trained(blocks: DataFrame, words: Vocabulary, weights: np.ndarray, number: int) -> np.ndarray:
     """The weights after a round over all texts."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, weights))
+    shared = blocks.sparkSession.sparkContext.broadcast((words, weights))
     slices, groups = 16, 64
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = shared.value
         net, seen = Network(weights), 0
-        square = [np.full(s, 1e-6, np.float32) for s in SHAPES]
+        square = np.full(len(net.weights), 1e-6, np.float32)
 
         def step(around, target):
-            around, target = np.concatenate(around, axis=1), np.concatenate(target)
             for low in range(0, len(target), BATCH):
                 part = slice(low, low + BATCH)
-                for w, s, g in zip(net.parts, square, net.gradients(around[:, part], target[part]), strict=True):
-                    s += g * g
-                    g /= np.sqrt(s)
-                    g *= RATE
-                    w -= g
-            return len(target)
-
-        around, target, held = [], [], 0
+                g = net.gradient(around[:, part], target[part])
+                np.add(square, g * g, out=square)
+                g /= np.sqrt(square)
+                g *= RATE
+                net.weights -= g
+
         for batch in batches:
-            for one in batch.column(0).to_pylist():
-                row = words.classes(one)
-                if len(row):
-                    part = visited(one, len(row), number)
-                    a, t = neighbours([row])
-                    around.append(a[:, part])
-                    target.append(t[part])
-                    held += len(target[-1])
-                if held >= 4 * CHUNK:
-                    seen += step(around, target)
-                    around, target, held = [], [], 0
-        if held:
-            seen += step(around, target)
+            for block in range(batch.num_rows):
+                row = batch.slice(block, 1).to_pylist()[0]
+                lengths = unpacked(row["sizes"]).astype(np.int64)
+                flat, at = edged(words.of_block(row), lengths)
+                at = at[all_visited(unpacked(row["turns"]), lengths, number)]
+                for low in range(0, len(at), 4 * CHUNK):
+                    step(*neighbours(flat, at[low : low + 4 * CHUNK]))
+                seen += len(at)
         if seen:
-            pieces = np.array_split(net.flat().astype(np.float64) * seen, slices)
+            pieces = np.array_split(net.weights.astype(np.float64) * seen, slices)
             group = TaskContext.get().partitionId() % groups
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(slices)), pa.array([group] * slices), pa.array([seen] * slices), pa.array([p.tobytes() for p in pieces], pa.binary())],
@@ -227,7 +272,7 @@ def _trained(docs: DataFrame, text: str, words: Vocabulary, weights: np.ndarray,
         total = sum(np.frombuffer(w.as_buffer(), np.float64) for w in part.column("weights"))
         return pa.table({"slice": part.column("slice")[:1], "n": [sum(part.column("n").to_pylist())], "weights": pa.array([total.tobytes()], pa.binary())})
 
-    sent = docs.select(as_bytes(text).alias("text")).mapInArrow(learn, "slice long, group long, n long, weights binary")
+    sent = blocks.select("sizes", "turns", "places", "order", "words").mapInArrow(learn, "slice long, group long, n long, weights binary")
     summed = sent.groupBy("slice", "group").applyInArrow(add, "slice long, n long, weights binary").groupBy("slice").applyInArrow(add, "slice long, n long, weights binary")
     rows = sorted(summed.collect(), key=lambda r: r["slice"])
     if not rows:
@@ -235,32 +280,35 @@ def _trained(docs: DataFrame, text: str, words: Vocabulary, weights: np.ndarray,
     return np.concatenate([np.frombuffer(r["weights"], np.float64) / r["n"] for r in rows]).astype(np.float32)
 
 
-def fit(docs: DataFrame, text: str = "text", counted: DataFrame | None = None) -> tuple[Vocabulary, np.ndarray]:
-    """The vocabulary and the weights; ``counted``: the word counts of ``docs``, if they are there already."""
-    words = vocabulary(word_counts(docs, text) if counted is None else counted)
+def trained(blocks: DataFrame, words: Vocabulary) -> np.ndarray:
+    """The weights after all rounds."""
     weights = Network.start()
     for number in range(ROUNDS):
-        weights = _trained(docs, text, words, weights, number)
-    return words, weights
+        weights = _trained(blocks, words, weights, number)
+    return weights
+
+
+def fit(docs: DataFrame, text: str = "text", counted: DataFrame | None = None) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary and the weights; ``counted``: the word counts of ``docs``, if they are there already."""
+    laid = laid_out(docs, text)
+    words = vocabulary(first_words(block_counts(laid)) if counted is None else counted)
+    return words, trained(laid.table, words)
 
 
-def class_scores(net: Network, rows: list[np.ndarray]) -> list[float]:
+def class_scores(net: Network, own: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The log probability of the classes of each text."""
+    flat, at = edged(own, lengths)
+    value = np.zeros(len(at) + 1)
+    for low in range(0, len(at), 4 * CHUNK):
+        part = at[low : low + 4 * CHUNK]
+        value[low + 1 : low + 1 + len(part)] = net.of_targets(*neighbours(flat, part))
+    return by_text(np.cumsum(value), lengths)
 
-    def score(rows: list[np.ndarray]) -> list[float]:
-        around, target = neighbours(rows)
-        value = np.r_[0.0, np.cumsum(net.of_targets(around, target))]
-        ends = np.cumsum([0, *(len(r) for r in rows)])
-        return (value[ends[1:]] - value[ends[:-1]]).tolist()
 
-    sums, held, size = [], [], 0
-    for row in rows:
-        held.append(row)
-        size += len(row)
-        if size > 4 * CHUNK:
-            sums += score(held)
-            held, size = [], 0
-    return sums + score(held)
+def by_text(running: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The sums of each text, from running sums that begin with 0."""
+    ends = np.r_[0, np.cumsum(lengths)]
+    return running[ends[1:]] - running[ends[:-1]]
 
 
 def score_documents(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], text: str = "text") -> DataFrame:
@@ -274,8 +322,9 @@ def score_documents(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], text:
             sizes, sums = [], []
             for low in range(0, len(texts), 100):
                 rows = [words.classes(one) for one in texts[low : low + 100]]
-                sizes += map(len, rows)
-                sums += class_scores(net, rows)
+                lengths = np.array([len(r) for r in rows], np.int64)
+                sizes += lengths.tolist()
+                sums += class_scores(net, np.concatenate(rows), lengths).tolist()
             return [pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())]
 
         return run
@@ -287,122 +336,218 @@ def _with_mean(out: DataFrame) -> DataFrame:
     return out.withColumn("mean_log_likelihood", F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens")))
 
 
-# --- words within their classes -----------------------------------------------------------
+# --- blocks of texts ----------------------------------------------------------------------
 
 
 def hash_of(word: bytes) -> int:
     return xxhash.xxh3_64_intdigest(word)
 
 
-def _blocks(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], text: str, slots: int) -> DataFrame:
-    """(block, rows, sizes, scores, lengths, places, words): texts laid out in blocks.
+def words_of(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ") if data else []
+
+
+class Blocks(NamedTuple):
+    """``table``: (block, rows, sizes, turns, places, order, words), stored; ``kept``: the schema of the other columns."""
 
-    ``rows``: the other columns; ``sizes`` and ``scores``: words of each text and the log probability
-    of their classes; ``lengths`` and ``places``: words of shared classes of each text and their
-    numbers in ``words``, (slot, words) of the distinct ones.
+    table: DataFrame
+    slots: int
+    kept: StructType
+
+
+class _Numbers(dict):
+    """Words numbered in the order they come."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def laid_out(docs: DataFrame, text: str = "text") -> Blocks:
+    """``docs`` in blocks of BLOCK bytes of text, or one longer text.
+
+    ``rows``: the other columns; ``sizes`` and ``turns``: words of each text, and where its rounds begin;
+    ``places``: the number of each word; ``words``: (slot, words, counts) of the distinct ones, slot
+    by slot; ``order``: their numbers in that order.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    words_type = pa.list_(pa.struct([("slot", pa.int64()), ("words", pa.binary())]))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    slots = max(64, size // SLOT_BYTES)
+    words_type = pa.list_(pa.struct([("slot", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (vocabulary, weights), task = shared.value, TaskContext.get().partitionId()
-        net, number = Network(weights), 0
-
-        def block_of(slices: list[pa.RecordBatch], known: dict[bytes, int], rows: list[np.ndarray]) -> pa.RecordBatch:
-            names, own = list(known), vocabulary.place
-            digest = np.fromiter(map(hash_of, names), np.uint64, len(names))
-            place = np.fromiter([own.get(w, -1) for w in names], np.int64, len(names))
-            classes = np.where(place >= 0, place, OWN + (digest % np.uint64(SHARED)).astype(np.int64))
-            slot = (digest // np.uint64(SHARED) % np.uint64(slots)).astype(np.int64)
-            others = np.flatnonzero(place < 0)
-            others = others[np.argsort(slot[others], kind="stable")]
-            rank = np.full(len(names), -1, np.int64)
-            rank[others] = np.arange(len(others))
-            ranks = [r[r >= 0] for r in (rank[row] for row in rows)]
-            edge = np.flatnonzero(np.diff(slot[others])) + 1
-            pieces = [{"slot": int(slot[p[0]]), "words": zstandard.compress(b" ".join([names[i] for i in p.tolist()]), 1)} for p in np.split(others, edge) if len(p)]
+        task, number, zstd = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
+
+        def block_of(slices: list[pa.RecordBatch], known: dict[bytes, int], rows: list[np.ndarray], turns: list[int]) -> pa.RecordBatch:
+            names, places = list(known), np.concatenate(rows)
+            slot = (np.fromiter(map(hash_of, names), np.uint64, len(names)) // np.uint64(SHARED) % np.uint64(slots)).astype(np.int64)
+            counts, order = np.bincount(places, minlength=len(names)), np.argsort(slot, kind="stable")
+            pieces = []
+            for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(names) else []:
+                pieces.append({"slot": int(slot[part[0]]), "words": zstd.compress(b" ".join([names[i] for i in part.tolist()])), "counts": packed(counts[part])})
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, slices[0].schema) as out:
                 for one in slices:
                     out.write_batch(one)
             columns = [
-                pa.array([f"{task}-{number}"]), pa.array([zstandard.compress(sink.getvalue(), 1)], pa.binary()),
-                pa.array([packed(np.array([len(r) for r in rows]))]), pa.array([np.array(class_scores(net, [classes[r] for r in rows])).tobytes()]),
-                pa.array([packed(np.array([len(r) for r in ranks]))]), pa.array([packed(np.concatenate(ranks))]), pa.array([pieces], words_type),
+                pa.array([f"{task}-{number}"]), pa.array([zstd.compress(sink.getvalue())], pa.binary()), pa.array([packed(np.array([len(r) for r in rows]))]),
+                pa.array([packed(np.array(turns))]), pa.array([packed(places)]), pa.array([packed(order)]), pa.array([pieces], words_type),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "sizes", "scores", "lengths", "places", "words"])
+            return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "sizes", "turns", "places", "order", "words"])
 
-        slices, known, rows, held = [], {}, [], 0
+        slices, known, rows, turns, held = [], _Numbers(), [], [], 0
         for batch in batches:
             other, first = batch.select(batch.schema.names[:-1]), 0
             for at, one in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
                 found = one.lower().split()
-                rows.append(np.fromiter([known.setdefault(w, len(known)) for w in found], np.uint32, len(found)))
+                rows.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
+                turns.append(turn(one))
                 held += len(one)
                 if held >= BLOCK:
-                    yield block_of([*slices, other.slice(first, at + 1 - first)], known, rows)
-                    slices, known, rows, held, first, number = [], {}, [], 0, at + 1, number + 1
+                    yield block_of([*slices, other.slice(first, at + 1 - first)], known, rows, turns)
+                    slices, known, rows, turns, held, first, number = [], _Numbers(), [], [], 0, at + 1, number + 1
             if first < batch.num_rows:
                 slices.append(other.slice(first))
         if rows:
-            yield block_of(slices, known, rows)
+            yield block_of(slices, known, rows, turns)
 
     source = docs.select(*(c for c in docs.columns if c != text), as_bytes(text).alias("__text"))
-    binary = ", ".join(f"{c} binary" for c in ("rows", "sizes", "scores", "lengths", "places"))
-    return source.mapInArrow(lay_out, f"block string, {binary}, words array<struct<slot: bigint, words: binary>>")
+    binary = ", ".join(f"{c} binary" for c in ("rows", "sizes", "turns", "places", "order"))
+    laid = source.mapInArrow(lay_out, f"block string, {binary}, words array<struct<slot: bigint, words: binary, counts: binary>>")
+    return Blocks(stored(laid), slots, docs.drop(text).schema)
+
+
+# --- counts of words by slot --------------------------------------------------------------
+
+_COUNTS = "slot long, words binary, counts binary"
+
+
+def _counts_row(slot: int, counts: dict[bytes, int]) -> pa.Table:
+    n = np.fromiter(counts.values(), np.int64, len(counts))
+    return pa.table({"slot": [slot], "words": pa.array([zstandard.compress(b" ".join(counts), 1)], pa.binary()), "counts": pa.array([n.tobytes()], pa.binary())})
+
+
+def block_counts(laid: Blocks) -> DataFrame:
+    """(slot, words, counts) of all words of the blocks, stored."""
 
+    def add(pieces: pa.Table) -> pa.Table:
+        total: dict[bytes, int] = {}
+        for data, counts in zip(pieces.column("words").to_pylist(), pieces.column("counts").to_pylist(), strict=True):
+            for w, n in zip(words_of(data), unpacked(counts).tolist(), strict=True):
+                total[w] = total.get(w, 0) + n
+        return _counts_row(pieces.column("slot")[0].as_py(), total)
 
-def _hashed(counted: DataFrame, slots: int) -> DataFrame:
-    """(word, n, share, slot): shared class and slot of each word."""
+    pieces = laid.table.select(F.explode("words").alias("w")).select("w.slot", "w.words", "w.counts")
+    return stored(pieces.groupBy("slot").applyInArrow(add, _COUNTS))
+
+
+def _by_slot(counted: DataFrame, slots: int) -> DataFrame:
+    """(slot, words, counts) of (word, n)."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             digest = np.fromiter(map(hash_of, batch.column(0).to_pylist()), np.uint64, batch.num_rows)
-            share, slot = digest % np.uint64(SHARED), digest // np.uint64(SHARED) % np.uint64(slots)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(share.astype(np.int64)), pa.array(slot.astype(np.int64))], names=["word", "n", "share", "slot"])
+            slot = digest // np.uint64(SHARED) % np.uint64(slots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(slot.astype(np.int64))], names=["word", "n", "slot"])
+
+    def pack(group: pa.Table) -> pa.Table:
+        return _counts_row(group.column("slot")[0].as_py(), dict(zip(group.column("word").to_pylist(), group.column("n").to_pylist(), strict=True)))
+
+    return counted.select("word", "n").mapInArrow(add, "word binary, n long, slot long").groupBy("slot").applyInArrow(pack, _COUNTS)
+
+
+def first_words(counts: DataFrame) -> DataFrame:
+    """(word, n) of the OWN most frequent words of each slot, ties by the word."""
+
+    def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = sorted(zip((-np.frombuffer(counts, np.int64)).tolist(), words_of(data), strict=True))[:OWN]
+                yield pa.RecordBatch.from_arrays([pa.array([w for _, w in found], pa.binary()), pa.array([-n for n, _ in found], pa.int64())], names=["word", "n"])
 
-    return counted.select("word", "n").mapInArrow(add, "word binary, n long, share long, slot long")
+    return counts.select("words", "counts").mapInArrow(top, "word binary, n long")
+
+
+def share_totals(counts: DataFrame, words: Vocabulary) -> np.ndarray:
+    """Words and distinct words of each shared class."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((SHARED, 2), np.int64)
+        for batch in batches:
+            for data, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                share = words.of_words(words_of(data)) - OWN
+                other = share >= 0
+                np.add.at(total, (share[other], 0), np.frombuffer(counts, np.int64)[other])
+                np.add.at(total, (share[other], 1), 1)
+        yield pa.RecordBatch.from_arrays([pa.array(range(SHARED)), pa.array(total[:, 0]), pa.array(total[:, 1])], names=["share", "n", "words"])
+
+    found = counts.select("words", "counts").mapInArrow(add, "share long, n long, words long")
+    out = np.zeros((SHARED, 2))
+    for r in found.groupBy("share").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect():
+        out[r["share"]] = r["n"], r["words"]
+    return out
+
+
+# --- words within their classes -----------------------------------------------------------
 
 
 def score_words(docs: DataFrame, model: tuple[Vocabulary, np.ndarray], counted: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` without the texts, with n_tokens, log_likelihood and mean_log_likelihood of the words themselves.
 
-    ``counted``: (word, n) of the corpus, a stored table.
+    ``counted``: (word, n) of the corpus.
     """
-    docs = docs.drop("n_tokens", "log_likelihood", "mean_log_likelihood")
-    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    slots = max(64, size // SLOT_BYTES)
-    blocks, hashed, own = stored(_blocks(docs, model, text, slots)), _hashed(counted, slots), list(model[0].place)
-    # Words and distinct words of each shared class.
-    total = np.zeros((SHARED, 2))
-    others = hashed.filter(~F.col("word").isin(own)) if own else hashed
-    for r in others.groupBy("share").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
-        total[r["share"]] = r["n"], r["words"]
+    laid = laid_out(docs.drop(*RESULTS), text)
+    return score_blocks(laid, model, stored(_by_slot(counted, laid.slots)))
+
+
+def score_corpus(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``score_words`` by a model that is fitted on ``docs`` and by their counts, laid out once for all three."""
+    laid = laid_out(docs.drop(*RESULTS), text)
+    counts = block_counts(laid)
+    words = vocabulary(first_words(counts))
+    return score_blocks(laid, (words, trained(laid.table, words)), counts)
+
+
+def score_blocks(laid: Blocks, model: tuple[Vocabulary, np.ndarray], counts: DataFrame) -> DataFrame:
+    """The rows of the blocks with their scores; ``counts``: (slot, words, counts) of the corpus, a stored table."""
+    shared = counts.sparkSession.sparkContext.broadcast(model)
+    total = share_totals(counts, model[0])
     whole = total[:, 0] + SMOOTH * (total[:, 1] + 1)
 
     def share(pieces: pa.Table, counts: pa.Table) -> pa.Table:
-        known = dict(zip(counts.column("word").to_pylist(), counts.column("n").to_pylist(), strict=True))
-        told = []
+        vocabulary, told = shared.value[0], []
+        known: dict[bytes, int] = {}
+        for row in counts.select(["words", "counts"]).to_pylist():
+            known.update(zip(words_of(row["words"]), np.frombuffer(row["counts"], np.int64).tolist(), strict=True))
+        of = {}  # the class of each word of the slot, and its share of the class
         for data in pieces.column("words").to_pylist():
-            names = zstandard.decompress(data).split(b" ")
-            n = np.fromiter([known.get(w, 0) for w in names], np.float64, len(names)) + SMOOTH
-            told.append(np.log(n / whole[[hash_of(w) % SHARED for w in names]]).astype(np.float32).tobytes())
-        return pa.table({"block": pieces.column("block"), "slot": pieces.column("slot"), "told": pa.array(told, pa.binary())})
-
-    pieces = blocks.select("block", F.explode("words").alias("w")).select("block", "w.slot", "w.words")
-    shares = pieces.groupBy("slot").cogroup(hashed.groupBy("slot")).applyInArrow(share, "block string, slot long, told binary")
-    kept = docs.drop(text).schema
-    names = [*kept.names, "n_tokens", "log_likelihood"]
+            names = words_of(data)
+            new = [w for w in names if w not in of]
+            if new:
+                classes = vocabulary.of_words(new)
+                n = np.fromiter([known.get(w, 0) for w in new], np.float64, len(new)) + SMOOTH
+                other = classes >= OWN
+                value = np.zeros(len(new))
+                value[other] = np.log(n[other] / whole[classes[other] - OWN])
+                of.update(zip(new, zip(classes.tolist(), value.tolist(), strict=True), strict=True))
+            classes, value = zip(*map(of.__getitem__, names), strict=True)
+            told.append((np.array(classes, np.uint16).tobytes(), np.array(value, np.float32).tobytes()))
+        return pa.table({"block": pieces.column("block"), "slot": pieces.column("slot"), "classes": pa.array([c for c, _ in told], pa.binary()), "told": pa.array([v for _, v in told], pa.binary())})
+
+    pieces = laid.table.select("block", F.explode("words").alias("w")).select("block", "w.slot", "w.words")
+    shares = pieces.groupBy("slot").cogroup(counts.groupBy("slot")).applyInArrow(share, "block string, slot long, classes binary, told binary")
+    names = [*laid.kept.names, "n_tokens", "log_likelihood"]
 
     def put_together(block: pa.Table, shares: pa.Table) -> pa.Table:
-        row = block.select(["rows", "sizes", "scores", "lengths", "places"]).to_pylist()[0]
+        row = block.to_pylist()[0]
         rows = pa.ipc.open_stream(zstandard.decompress(row["rows"])).read_all()
-        told = sorted(zip(shares.column("slot").to_pylist(), shares.column("told").to_pylist(), strict=True))
-        value = np.frombuffer(b"".join([t for _, t in told]), np.float32).astype(np.float64)
-        sums = np.r_[0.0, np.cumsum(value[unpacked(row["places"])])]
-        ends = np.r_[0, np.cumsum(unpacked(row["lengths"]).astype(np.int64))]
-        score = np.frombuffer(row["scores"], np.float64) + sums[ends[1:]] - sums[ends[:-1]]
-        return pa.table([*rows.columns, pa.array(unpacked(row["sizes"]).astype(np.int64)), pa.array(score)], names=names)
-
-    schema = StructType([*kept.fields, StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType())])
-    return _with_mean(blocks.drop("words").groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(put_together, schema))
+        order, places, lengths = unpacked(row["order"]), unpacked(row["places"]), unpacked(row["sizes"]).astype(np.int64)
+        classes, value = np.empty(len(order), np.int64), np.empty(len(order))
+        told = shares.select(["slot", "classes", "told"]).sort_by("slot")
+        classes[order] = np.frombuffer(b"".join(told.column("classes").to_pylist()), np.uint16)
+        value[order] = np.frombuffer(b"".join(told.column("told").to_pylist()), np.float32)
+        score = class_scores(Network(shared.value[1]), classes[places], lengths) + by_text(np.r_[0.0, np.cumsum(value[places])], lengths)
+        return pa.table([*rows.columns, pa.array(lengths), pa.array(score)], names=names)
+
+    schema = StructType([*laid.kept.fields, StructField("n_tokens", LongType()), StructField("log_likelihood", DoubleType())])
+    blocks = laid.table.select("block", "rows", "sizes", "places", "order")
+    return _with_mean(blocks.groupBy("block").cogroup(shares.groupBy("block")).applyInArrow(put_together, schema))
