@@ -14,10 +14,11 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import byte_bpe, language_id, ngram_join, pseudo_likelihood, queries, source_mix, toxicity
+from textloom.llm import byte_bpe, graph, language_id, ngram_join, pseudo_likelihood, queries, source_mix, toxicity
 from textloom.llm.byte_bpe import digests, encode_documents, read_ranks
 from textloom.llm.common import small_batches
 from textloom.llm.token_counts import count_tokens
+from textloom.session import stored
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -380,6 +381,47 @@ def test_pseudo_likelihood_visits_in_blocks_what_it_visits_in_texts():
         assert pseudo_likelihood.all_visited(turns, lengths, number).tolist() == want
 
 
+def test_components_take_no_round_more_than_their_edges_need(spark, monkeypatch):
+    written = []
+
+    def counted(df):
+        written.append(df)
+        return stored(df)
+
+    monkeypatch.setattr(graph, "stored", counted)
+    stars, star_of_five = [(1, 2), (3, 1), (7, 8), (8, 8), (None, 4), (1, 2)], [(5, 1), (5, 9), (5, 3), (5, 7)]
+    chain = [(i, i + 1) for i in range(20)]
+    for edges, most, least in ((stars, 1, {2: 1, 3: 1, 1: 1, 7: 7, 8: 7}), (star_of_five, 2, dict.fromkeys([1, 3, 5, 7, 9], 1)), (chain, 9, dict.fromkeys(range(21), 0)), ([], 1, {})):
+        written.clear()
+        found = graph.connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+        assert {r["node"]: r["component"] for r in found} == least and len(found) == len(least)
+        assert len(written) <= most
+
+
+def test_weights_reach_the_driver_in_few_jobs(spark, monkeypatch):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    rows = spark.createDataFrame([(i, bytearray(b"bad word %d" % i if i % 2 else b"good day %d" % i), i % 2) for i in range(40)], "id long, text binary, label int")
+    want = toxicity.fit(rows)
+    try:
+        for k, v in zip(kept, ("60", "false"), strict=True):
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("weights", "weights")
+        got = toxicity.fit(rows)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("weights"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert 0 < jobs <= toxicity.PASSES * 12 + 12 and got == pytest.approx(want)
+
+
+def test_one_of_each_group_keeps_the_documents_that_name_their_component(odd):
+    named = ngram_join.similar_documents(odd, counted=False).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = [r["doc_id"] for r in ngram_join.one_of_each_group(odd).collect()]
+    assert sorted(k for k in kept if k is not None) == sorted(r["doc_id"] for r in named.collect())
+    assert kept.count(None) == odd.filter("doc_id is null").count()
+
+
 def test_equal_blocks_do_not_meet(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 500)
     rows = [(i if i < 300 else None, "the same text again and again") for i in range(600)] + [(900, "another text")]

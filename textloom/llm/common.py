@@ -73,6 +73,11 @@ def in_bitmap(bits: np.ndarray, position: np.ndarray) -> np.ndarray:
     return (bits[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
 
 
+def in_few_jobs(df: DataFrame) -> Iterator:
+    """The rows of a result of bounded size, an eighth at a time: a local iterator runs a job for each partition."""
+    return df.coalesce(8).toLocalIterator()
+
+
 # --- arrow --------------------------------------------------------------------------------
 
 

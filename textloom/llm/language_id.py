@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import as_bytes, scored
+from textloom.llm.common import as_bytes, in_few_jobs, scored
 from textloom.session import stored
 
 #: Hashed trigrams of a language.
@@ -101,7 +101,7 @@ def trigram_counts(docs: DataFrame, languages: list[str]) -> np.ndarray:
     number = F.array_position(F.array(*map(F.lit, languages)), F.col("declared")).cast("int") - 1
     known = docs.select(number.alias("language"), as_bytes("text").alias("text")).filter("language >= 0")
     out = np.zeros((len(languages) * BUCKETS // width, width), np.int64)
-    for row in known.mapInArrow(count, "place long, counts binary").groupBy("place").applyInArrow(add, "place long, counts binary").toLocalIterator():
+    for row in in_few_jobs(known.mapInArrow(count, "place long, counts binary").groupBy("place").applyInArrow(add, "place long, counts binary")):
         out[row["place"]] = np.frombuffer(row["counts"], np.int64)
     return out.reshape(len(languages), BUCKETS)
 

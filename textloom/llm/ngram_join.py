@@ -42,6 +42,7 @@ fingerprints agree (2e-9 for a million classes).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -51,7 +52,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.common import BITMAP_BITS, as_bytes, bitmap_of, in_bitmap
-from textloom.llm.graph import connected_components
+from textloom.llm.graph import members, star_edges
 from textloom.session import stored
 
 SHINGLE = 5
@@ -390,14 +391,23 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.select("a", "b", "set_a", "set_b").mapInArrow(_linked, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
-    """doc_id, n_shingles, class, component_id and links for every row of ``docs``.
+class Classes(NamedTuple):
+    """``rows``: (doc_id, class, n_shingles, ..) of every row; ``sets``: (class, n, shared, sketch, tokens) of classes in a
+    bucket; ``components``: (class, component) of linked classes; ``named``: (class, least_id, component) of all."""
 
-    ``class``: equal for equal token sets, null without tokens. ``component_id``: the smallest id
-    reachable by links. ``links``: how many other classes the class is similar to; left out unless
-    ``counted``.
-    """
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    rows: DataFrame
+    sets: DataFrame
+    components: DataFrame
+    named: DataFrame
+    slots: int
+
+    def least_ids(self) -> DataFrame:
+        """(component, component_id)"""
+        return self.named.groupBy("component").agg(F.min("least_id").alias("component_id"))
+
+
+def linked_classes(docs: DataFrame) -> Classes:
+    """The classes of ``docs`` (doc_id, text) and their components."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slots = max(64, size // SLOT_BYTES)
     kinds = token_kinds(docs, slots)
@@ -407,17 +417,29 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     classes = stored(classes_of(docs, kinds, bitmap_of(wanted, "at")))
     sets = classes.filter("tokens is not null").select("class", F.col("n_shingles").alias("n"), "shared", "sketch", "tokens")
     sets = stored(sets.dropDuplicates(["class"]))
-    first = stored(linked(found.filter("lead <> member").select(F.col("lead").alias("a"), F.col("member").alias("b")).distinct(), sets))
-    links = first.union(stored(_across(found, connected_components(first, "a", "b"), sets)))
-    links = stored(links.distinct())
-    component = connected_components(links, "a", "b").withColumnsRenamed({"node": "class"})
+    first = linked(found.filter("lead <> member").select(F.col("lead").alias("a"), F.col("member").alias("b")).distinct(), sets)
+    stars = star_edges(first, "a", "b")
+    across = _across(found, members(stars), sets)
+    if across is not None:  # the stars stand for the links they were made of
+        stars = star_edges(stars.select(F.col("u").alias("a"), F.col("v").alias("b")).union(across), "a", "b")
+    component = members(stars).withColumnsRenamed({"node": "class"})
     by_class = classes.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id"))
     named = by_class.join(component, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    least = named.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = named.join(least, "component").select("class", "component_id")
+    return Classes(classes, sets, component, named, slots)
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", counted: bool = True) -> DataFrame:
+    """doc_id, n_shingles, class, component_id and links for every row of ``docs``.
+
+    ``class``: equal for equal token sets, null without tokens. ``component_id``: the smallest id
+    reachable by links. ``links``: how many other classes the class is similar to; left out unless
+    ``counted``.
+    """
+    found = linked_classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    of_class = found.named.join(found.least_ids(), "component").select("class", "component_id")
     if counted:
-        of_class = of_class.join(link_counts(component, sets, slots), "class", "left")
-    by_row = classes.select("doc_id", "class", "n_shingles").join(of_class, "class", "left")
+        of_class = of_class.join(link_counts(found.components, found.sets, found.slots), "class", "left")
+    by_row = found.rows.select("doc_id", "class", "n_shingles").join(of_class, "class", "left")
     name = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     return by_row.select("doc_id", "n_shingles", "class", name, *([F.coalesce("links", F.lit(0)).alias("links")] if counted else []))
 
@@ -505,8 +527,8 @@ def link_counts(components: DataFrame, sets: DataFrame, slots: int) -> DataFrame
     return rows.groupBy("slot").applyInArrow(count, "class long, links long").groupBy("class").agg(F.sum("links").alias("links"))
 
 
-def _across(found: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links between members of one bucket that are in different components so far.
+def _across(found: DataFrame, components: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """Links between members of one bucket that are in different components so far; None if there is no such bucket.
 
     A bucket seen by several tasks has several leads; they are members too.
     """
@@ -515,6 +537,8 @@ def _across(found: DataFrame, components: DataFrame, sets: DataFrame) -> DataFra
     placed = members.join(of, "member", "left").withColumn("component", F.coalesce("component", "member"))
     mixed = placed.groupBy("signature").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     rest = stored(placed.join(mixed.select("signature"), "signature", "left_semi").join(bounds(sets, "member"), "member").filter("4 * shared >= 3 * n"))
+    if rest.isEmpty():
+        return None
     one, two = rest.alias("x"), rest.alias("y")
     near = f"x.signature = y.signature and x.member < y.member and x.component <> y.component and {possible('x', 'y')}"
     pairs = one.join(two, F.expr(near)).select(F.col("x.member").alias("a"), F.col("y.member").alias("b")).distinct()
@@ -526,7 +550,9 @@ def one_of_each_group(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     Of repeated rows with that id one stays. Rows without an id are all kept.
     """
-    kept = similar_documents(docs, doc_id, text, counted=False).filter("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    found = linked_classes(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
+    alone = found.rows.filter("class is null").select(F.col("doc_id").alias("__kept"))
+    kept = found.least_ids().select(F.col("component_id").alias("__kept")).union(alone)
     chosen = docs.join(kept, F.col(doc_id) == F.col("__kept"), "left_semi")
     # Ids are unique but for repeated rows, so a group of this window is one document.
     order = Window.partitionBy(doc_id).orderBy(F.xxhash64(*docs.columns))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import as_bytes, scored
+from textloom.llm.common import as_bytes, in_few_jobs, scored
 from textloom.session import stored
 
 #: Size of the feature table (a power of two).
@@ -123,7 +123,7 @@ def fit(rows: DataFrame) -> dict[int, float]:
         start = spark.sparkContext.broadcast((np.flatnonzero(weights), weights[weights != 0]))
         learned = sample.select("shard", "id", "text", "label").groupBy("shard").applyInArrow(_trainer(start, number), "at long, weight double")
         weights = np.zeros_like(weights)
-        for row in learned.groupBy("at").agg((F.sum("weight") / told[2]).alias("weight")).toLocalIterator():
+        for row in in_few_jobs(learned.groupBy("at").agg((F.sum("weight") / told[2]).alias("weight"))):
             weights[row["at"]] = row["weight"]
     return {(BIAS if at == 1 << BITS else int(at)): float(weights[at]) for at in np.flatnonzero(weights)}
 
