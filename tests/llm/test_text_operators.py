@@ -370,6 +370,33 @@ def test_pseudo_likelihood_cuts_texts_into_words_once(spark, odd, monkeypatch):
     assert sorted(r["n_tokens"] for r in pseudo_likelihood.score_corpus(blank).collect()) == [0, 0, 0]
 
 
+def test_pseudo_likelihood_reads_classes_of_blocks_without_hashing_again(odd, monkeypatch):
+    texts = [(r["text"] or "").encode() for r in odd.collect()]
+    found, places, lengths = pseudo_likelihood.cut(texts)
+    found = found.to_pylist()
+    assert [found[i] for i in places.tolist()] == [w for t in texts for w in t.lower().split()] and len(set(found)) == len(found)
+    assert lengths.tolist() == [len(t.split()) for t in texts]
+    words = pseudo_likelihood.Vocabulary(sorted(found)[::3][: pseudo_likelihood.OWN])
+    blocks = pseudo_likelihood.laid_out(odd.select("doc_id", "text").coalesce(1)).table.collect()
+    want = words.of_words([w for t in texts for w in t.lower().split()]).tolist()
+    monkeypatch.setattr(pseudo_likelihood, "hash_of", None)
+    assert sum((words.of_block(b.asDict(True)).tolist() for b in blocks), []) == want
+
+
+@pytest.mark.parametrize("steepness", [0.1, 5, 300])
+def test_pseudo_likelihood_of_steep_weights(steepness):
+    rnd = np.random.default_rng(7)
+    net = pseudo_likelihood.Network(pseudo_likelihood.Network.start())
+    net.top[:] = rnd.normal(-steepness, steepness, net.top.shape)
+    around, target = rnd.integers(0, pseudo_likelihood.CLASSES + 1, (len(pseudo_likelihood.OFFSETS), 300)), rnd.integers(0, pseudo_likelihood.CLASSES, 300)
+    embed, bias, top, top_bias = (p.astype(float) for p in net.parts)
+    logits = np.tanh(bias + sum(embed[k][c] for k, c in enumerate(around))) @ top.T + top_bias
+    logits -= logits.max(axis=1, keepdims=True)
+    want = logits[np.arange(300), target] - np.log(np.exp(logits).sum(axis=1))
+    assert np.allclose(net.of_targets(around, target), want, rtol=1e-3, atol=1e-3)
+    assert np.isfinite(net.gradient(around, target)).all()
+
+
 def test_pseudo_likelihood_visits_in_blocks_what_it_visits_in_texts():
     texts = [b" ".join(b"w%d" % i for i in range(size)) for size in (0, 1, 2, 0, 7, 100)]
     lengths, turns = np.array([len(t.split()) for t in texts]), np.array([pseudo_likelihood.turn(t) for t in texts], np.uint32)

@@ -81,6 +81,13 @@ def in_few_jobs(df: DataFrame) -> Iterator:
 # --- arrow --------------------------------------------------------------------------------
 
 
+def binary_values(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Values of so many bytes that lie one after the other in ``data``."""
+    ends = np.zeros(len(sizes) + 1, np.int32)
+    np.cumsum(sizes, out=ends[1:])
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

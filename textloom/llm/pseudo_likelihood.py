@@ -34,6 +34,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from textloom.llm.byte_bpe import BLOCK, SLOT_BYTES, packed, unpacked
-from textloom.llm.common import as_bytes, scored
+from textloom.llm.common import as_bytes, binary_values, scored
 from textloom.session import stored
 
 #: Words that are a class of their own, and classes the others share.
@@ -65,9 +66,14 @@ OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 #: Embeddings by place and class, one class more for beyond the edge; the bias of the hidden layer; output weights, the last one for its bias.
 SHAPES = [(len(OFFSETS), CLASSES + 1, HIDDEN), (HIDDEN,), (CLASSES, HIDDEN + 1)]
 SIZES = [int(np.prod(s)) for s in SHAPES]
-#: The row of the embeddings where those of a place begin, and the cells of each row.
+#: The row of the embeddings where those of a place begin, and the cells of each row of one place.
 _FIRST = np.arange(len(OFFSETS))[:, None] * (CLASSES + 1)
-_CELLS = np.arange(SIZES[0]).reshape(-1, HIDDEN)
+_CELLS = np.arange((CLASSES + 1) * HIDDEN).reshape(-1, HIDDEN)
+_ONES = np.ones(CLASSES, np.float32)
+#: Sums of exp(logit) up to this, or down to its inverse, are exact enough in single precision.
+WIDE = 1e30
+#: ASCII white space among the bytes.
+_GAPS = np.isin(np.arange(256), list(b" \t\n\r\x0b\x0c"))
 
 
 class _Classes(dict):
@@ -97,8 +103,10 @@ class Vocabulary:
     def of_block(self, row: dict) -> np.ndarray:
         """The class of each word of all texts of a block."""
         names = [w for piece in row["words"] for w in words_of(piece["words"])]
+        told = pc.index_in(pa.array(names, pa.binary()), value_set=pa.array(list(self.place), pa.binary()))
+        own = told.fill_null(-1).to_numpy()
         classes = np.empty(len(names), np.int64)
-        classes[unpacked(row["order"])] = self.of_words(names)
+        classes[unpacked(row["order"])] = np.where(own >= 0, own, OWN + np.frombuffer(row["shares"], np.uint8).astype(np.int64))
         return classes[unpacked(row["places"])]
 
 
@@ -110,6 +118,10 @@ class Network:
         embed, self.bias, self.top = (p.reshape(s) for p, s in zip(np.split(self.weights, np.cumsum(SIZES)[:-1]), SHAPES, strict=True))
         self.rows = embed.reshape(-1, HIDDEN)
         self.parts = [embed, self.bias, self.top[:, :HIDDEN], self.top[:, HIDDEN]]
+        self.rooms, self.cells = [np.empty(0)], np.empty(0)
+        self.slope = np.zeros(len(self.weights), np.float32)
+        embed, bias, top = np.split(self.slope, np.cumsum(SIZES)[:-1])
+        self.slopes = embed.reshape(SHAPES[0][0], -1), bias, top.reshape(SHAPES[2])
 
     @staticmethod
     def start(seed: int = 3) -> np.ndarray:
@@ -119,56 +131,72 @@ class Network:
             part[:] = rng.normal(0, 0.1, part.shape)
         return net.weights
 
+    def room(self, size: int) -> list[np.ndarray]:
+        """Arrays that the steps write to, made once: a batch after the other takes the same memory."""
+        if len(self.rooms[0]) < size:
+            shapes = [(size, CLASSES), (size, HIDDEN + 1), (size, HIDDEN), (size, HIDDEN)]
+            self.rooms = [np.ones(shape, np.float32) for shape in shapes]
+        return [r[:size] for r in self.rooms]
+
     def hidden(self, row: np.ndarray) -> np.ndarray:
         """The hidden layer and a column of ones, from the rows of the embeddings of each place."""
-        total = self.rows.take(row[0], axis=0)
+        _, out, total, near = self.room(row.shape[1])
+        self.rows.take(row[0], axis=0, out=total, mode="clip")  # any other mode copies ``out``
         for k in range(1, len(OFFSETS)):
-            total += self.rows.take(row[k], axis=0)
+            total += self.rows.take(row[k], axis=0, out=near, mode="clip")
         total += self.bias
-        out = np.ones((len(total), HIDDEN + 1), np.float32)
         np.tanh(total, out=out[:, :HIDDEN])
         return out
 
-    def steep(self) -> bool:
-        """Whether logits can be too large for exp: |tanh| <= 1 bounds them all."""
-        return np.abs(self.top).sum(axis=1).max() > 40
-
-    def odds(self, hidden: np.ndarray, target: np.ndarray, steep: bool, out: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def odds(self, hidden: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each position exp(logit) of every class, their sum, and the logit of the target, shifted alike."""
-        logits = np.matmul(hidden, self.top.T, out=out)
-        if steep:
+        logits, at = self.room(len(target))[0], np.arange(len(target))
+        np.matmul(hidden, self.top.T, out=logits)
+        own = logits[at, target]
+        with np.errstate(over="ignore"):
+            np.exp(logits, out=logits)
+            total = logits @ _ONES
+        if len(total) and not (total.min() > 1 / WIDE and total.max() < WIDE):  # too steep for exp as they are
+            np.matmul(hidden, self.top.T, out=logits)
             logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(logits)), target]
-        np.exp(logits, out=logits)
-        return logits, logits @ np.ones(CLASSES, np.float32), own
+            own = logits[at, target]
+            np.exp(logits, out=logits)
+            total = logits @ _ONES
+        return logits, total, own
 
     def of_targets(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """The log probability of each target class."""
-        found, total, steep = np.empty(len(target)), np.empty(len(target)), self.steep()
-        buffer, row = np.empty((CACHED, CLASSES), np.float32), around + _FIRST
+        found, total = np.empty(len(target)), np.empty(len(target))
+        row = around + _FIRST
         for low in range(0, len(target), CACHED):
             part = slice(low, low + CACHED)
-            own = target[part]
-            _, total[part], found[part] = self.odds(self.hidden(row[:, part]), own, steep, buffer[: len(own)])
+            _, total[part], found[part] = self.odds(self.hidden(row[:, part]), target[part])
         return found - np.log(total)
 
     def gradient(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """Of the mean loss by all ``weights``."""
+        """Of the mean loss by all ``weights``; the array is written to again by the next call."""
         row = around + _FIRST
         h = self.hidden(row)
-        error, total, _ = self.odds(h, target, self.steep())
+        error, total, _ = self.odds(h, target)
         # The error is scaled where it has met the narrow sides.
         error[np.arange(len(target)), target] -= total
         scale = (1 / (total * len(target)))[:, None]
-        back = (error @ self.parts[2]) * scale * (1 - h[:, :HIDDEN] * h[:, :HIDDEN])
-        spread = np.empty((*row.shape, HIDDEN))
-        spread[:] = back
-        out = np.empty(len(self.weights), np.float32)
-        embed, bias, top = np.split(out, np.cumsum(SIZES)[:-1])
-        embed[:] = np.bincount(_CELLS.take(row, axis=0).ravel(), spread.ravel(), minlength=SIZES[0])
-        bias[:] = back.sum(axis=0)
-        np.matmul(error.T, h * scale, out=top.reshape(SHAPES[2]))
-        return out
+        _, _, back, slope = self.room(len(target))
+        np.matmul(error, self.parts[2], out=back)
+        back *= scale
+        np.multiply(h[:, :HIDDEN], h[:, :HIDDEN], out=slope)
+        np.subtract(1, slope, out=slope)
+        back *= slope
+        embed, bias, top = self.slopes
+        exact = back.ravel().astype(np.float64)
+        if self.cells.size != exact.size:
+            self.cells = np.empty(back.shape, _CELLS.dtype)
+        for k, classes in enumerate(around):  # place by place, which stays within the cache
+            at = _CELLS.take(classes, axis=0, out=self.cells, mode="clip").ravel()
+            embed[k] = np.bincount(at, exact, minlength=_CELLS.size)
+        back.sum(axis=0, out=bias)
+        np.matmul(error.T, h * scale, out=top)
+        return self.slope
 
     def gradients(self, around: np.ndarray, target: np.ndarray) -> list[np.ndarray]:
         """``gradient`` by ``parts``."""
@@ -240,14 +268,15 @@ def _trained(blocks: DataFrame, words: Vocabulary, weights: np.ndarray, number:
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, weights = shared.value
         net, seen = Network(weights), 0
-        square = np.full(len(net.weights), 1e-6, np.float32)
+        square, root = np.full(len(net.weights), 1e-6, np.float32), np.empty(len(net.weights), np.float32)
 
         def step(around, target):
             for low in range(0, len(target), BATCH):
                 part = slice(low, low + BATCH)
                 g = net.gradient(around[:, part], target[part])
-                np.add(square, g * g, out=square)
-                g /= np.sqrt(square)
+                np.multiply(g, g, out=root)
+                np.add(square, root, out=square)
+                g /= np.sqrt(square, out=root)
                 g *= RATE
                 net.weights -= g
 
@@ -272,7 +301,7 @@ def _trained(blocks: DataFrame, words: Vocabulary, weights: np.ndarray, number:
         total = sum(np.frombuffer(w.as_buffer(), np.float64) for w in part.column("weights"))
         return pa.table({"slice": part.column("slice")[:1], "n": [sum(part.column("n").to_pylist())], "weights": pa.array([total.tobytes()], pa.binary())})
 
-    sent = blocks.select("sizes", "turns", "places", "order", "words").mapInArrow(learn, "slice long, group long, n long, weights binary")
+    sent = blocks.select("sizes", "turns", "places", "order", "shares", "words").mapInArrow(learn, "slice long, group long, n long, weights binary")
     summed = sent.groupBy("slice", "group").applyInArrow(add, "slice long, n long, weights binary").groupBy("slice").applyInArrow(add, "slice long, n long, weights binary")
     rows = sorted(summed.collect(), key=lambda r: r["slice"])
     if not rows:
@@ -348,19 +377,21 @@ def words_of(data: bytes) -> list[bytes]:
 
 
 class Blocks(NamedTuple):
-    """``table``: (block, rows, sizes, turns, places, order, words), stored; ``kept``: the schema of the other columns."""
+    """``table``: (block, rows, sizes, turns, places, order, shares, words), stored; ``kept``: the schema of the other columns."""
 
     table: DataFrame
     slots: int
     kept: StructType
 
 
-class _Numbers(dict):
-    """Words numbered in the order they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
+def cut(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of its word for each position, and the words of each text."""
+    data = np.frombuffer(b"\n".join([*texts, b""]).lower(), np.uint8)
+    solid = ~_GAPS[data]
+    turns = np.flatnonzero(np.diff(np.r_[False, solid, False].view(np.int8)))
+    first, ends = turns[::2], np.cumsum(np.array([len(one) + 1 for one in texts], np.int64))
+    coded = binary_values(data[solid], turns[1::2] - first).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(), np.diff(np.searchsorted(first, ends), prepend=0)
 
 
 def laid_out(docs: DataFrame, text: str = "text") -> Blocks:
@@ -368,7 +399,7 @@ def laid_out(docs: DataFrame, text: str = "text") -> Blocks:
 
     ``rows``: the other columns; ``sizes`` and ``turns``: words of each text, and where its rounds begin;
     ``places``: the number of each word; ``words``: (slot, words, counts) of the distinct ones, slot
-    by slot; ``order``: their numbers in that order.
+    by slot; ``order``: their numbers in that order; ``shares``: the class each would share, in the same order.
     """
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     slots = max(64, size // SLOT_BYTES)
@@ -377,41 +408,43 @@ def laid_out(docs: DataFrame, text: str = "text") -> Blocks:
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, zstd = TaskContext.get().partitionId(), 0, zstandard.ZstdCompressor(level=1)
 
-        def block_of(slices: list[pa.RecordBatch], known: dict[bytes, int], rows: list[np.ndarray], turns: list[int]) -> pa.RecordBatch:
-            names, places = list(known), np.concatenate(rows)
-            slot = (np.fromiter(map(hash_of, names), np.uint64, len(names)) // np.uint64(SHARED) % np.uint64(slots)).astype(np.int64)
+        def block_of(slices: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
+            known, places, lengths = cut(texts)
+            names = known.to_pylist()
+            digest = np.fromiter(map(hash_of, names), np.uint64, len(names))
+            slot = (digest // np.uint64(SHARED) % np.uint64(slots)).astype(np.int64)
             counts, order = np.bincount(places, minlength=len(names)), np.argsort(slot, kind="stable")
             pieces = []
             for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(names) else []:
                 pieces.append({"slot": int(slot[part[0]]), "words": zstd.compress(b" ".join([names[i] for i in part.tolist()])), "counts": packed(counts[part])})
+            shares = (digest[order] % np.uint64(SHARED)).astype(np.uint8).tobytes()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, slices[0].schema) as out:
                 for one in slices:
                     out.write_batch(one)
             columns = [
-                pa.array([f"{task}-{number}"]), pa.array([zstd.compress(sink.getvalue())], pa.binary()), pa.array([packed(np.array([len(r) for r in rows]))]),
-                pa.array([packed(np.array(turns))]), pa.array([packed(places)]), pa.array([packed(order)]), pa.array([pieces], words_type),
+                pa.array([f"{task}-{number}"]), pa.array([zstd.compress(sink.getvalue())], pa.binary()), pa.array([packed(lengths)]),
+                pa.array([packed(np.array([turn(one) for one in texts]))]), pa.array([packed(places)]), pa.array([packed(order)]),
+                pa.array([shares], pa.binary()), pa.array([pieces], words_type),
             ]
-            return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "sizes", "turns", "places", "order", "words"])
+            return pa.RecordBatch.from_arrays(columns, names=["block", "rows", "sizes", "turns", "places", "order", "shares", "words"])
 
-        slices, known, rows, turns, held = [], _Numbers(), [], [], 0
+        slices, texts, held = [], [], 0
         for batch in batches:
             other, first = batch.select(batch.schema.names[:-1]), 0
             for at, one in enumerate(batch.column(batch.num_columns - 1).to_pylist()):
-                found = one.lower().split()
-                rows.append(np.fromiter(map(known.__getitem__, found), np.uint32, len(found)))
-                turns.append(turn(one))
+                texts.append(one)
                 held += len(one)
                 if held >= BLOCK:
-                    yield block_of([*slices, other.slice(first, at + 1 - first)], known, rows, turns)
-                    slices, known, rows, turns, held, first, number = [], _Numbers(), [], [], 0, at + 1, number + 1
+                    yield block_of([*slices, other.slice(first, at + 1 - first)], texts)
+                    slices, texts, held, first, number = [], [], 0, at + 1, number + 1
             if first < batch.num_rows:
                 slices.append(other.slice(first))
-        if rows:
-            yield block_of(slices, known, rows, turns)
+        if texts:
+            yield block_of(slices, texts)
 
     source = docs.select(*(c for c in docs.columns if c != text), as_bytes(text).alias("__text"))
-    binary = ", ".join(f"{c} binary" for c in ("rows", "sizes", "turns", "places", "order"))
+    binary = ", ".join(f"{c} binary" for c in ("rows", "sizes", "turns", "places", "order", "shares"))
     laid = source.mapInArrow(lay_out, f"block string, {binary}, words array<struct<slot: bigint, words: binary, counts: binary>>")
     return Blocks(stored(laid), slots, docs.drop(text).schema)
 
@@ -514,24 +547,21 @@ def score_blocks(laid: Blocks, model: tuple[Vocabulary, np.ndarray], counts: Dat
     whole = total[:, 0] + SMOOTH * (total[:, 1] + 1)
 
     def share(pieces: pa.Table, counts: pa.Table) -> pa.Table:
-        vocabulary, told = shared.value[0], []
-        known: dict[bytes, int] = {}
+        names = [words_of(data) for data in pieces.column("words").to_pylist()]
+        coded = pa.array([w for some in names for w in some], pa.binary()).dictionary_encode()
+        # The class of each word of the slot, and its share of the class.
+        classes = shared.value[0].of_words(coded.dictionary.to_pylist())
+        n = np.full(len(classes), SMOOTH)
         for row in counts.select(["words", "counts"]).to_pylist():
-            known.update(zip(words_of(row["words"]), np.frombuffer(row["counts"], np.int64).tolist(), strict=True))
-        of = {}  # the class of each word of the slot, and its share of the class
-        for data in pieces.column("words").to_pylist():
-            names = words_of(data)
-            new = [w for w in names if w not in of]
-            if new:
-                classes = vocabulary.of_words(new)
-                n = np.fromiter([known.get(w, 0) for w in new], np.float64, len(new)) + SMOOTH
-                other = classes >= OWN
-                value = np.zeros(len(new))
-                value[other] = np.log(n[other] / whole[classes[other] - OWN])
-                of.update(zip(new, zip(classes.tolist(), value.tolist(), strict=True), strict=True))
-            classes, value = zip(*map(of.__getitem__, names), strict=True)
-            told.append((np.array(classes, np.uint16).tobytes(), np.array(value, np.float32).tobytes()))
-        return pa.table({"block": pieces.column("block"), "slot": pieces.column("slot"), "classes": pa.array([c for c, _ in told], pa.binary()), "told": pa.array([v for _, v in told], pa.binary())})
+            at = pc.index_in(coded.dictionary, value_set=pa.array(words_of(row["words"]), pa.binary())).fill_null(-1).to_numpy()
+            n[at >= 0] += np.frombuffer(row["counts"], np.int64)[at[at >= 0]]
+        other, value = classes >= OWN, np.zeros(len(classes), np.float32)
+        value[other] = np.log(n[other] / whole[classes[other] - OWN])
+        ends = np.cumsum([len(some) for some in names]).tolist()
+        at = [coded.indices.to_numpy()[low:high] for low, high in zip([0, *ends], ends, strict=False)]
+        classes = classes.astype(np.uint16)
+        told = {"classes": pa.array([classes[i].tobytes() for i in at], pa.binary()), "told": pa.array([value[i].tobytes() for i in at], pa.binary())}
+        return pa.table({"block": pieces.column("block"), "slot": pieces.column("slot"), **told})
 
     pieces = laid.table.select("block", F.explode("words").alias("w")).select("block", "w.slot", "w.words")
     shares = pieces.groupBy("slot").cogroup(counts.groupBy("slot")).applyInArrow(share, "block string, slot long, classes binary, told binary")
