@@ -14,7 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import byte_bpe, graph, language_id, ngram_join, pseudo_likelihood, queries, source_mix, toxicity
+from textloom.llm import byte_bpe, common, graph, language_id, ngram_join, pseudo_likelihood, queries, source_mix, toxicity
 from textloom.llm.byte_bpe import digests, encode_documents, read_ranks
 from textloom.llm.common import small_batches
 from textloom.llm.token_counts import count_tokens
@@ -449,6 +449,21 @@ def test_one_of_each_group_keeps_the_documents_that_name_their_component(odd):
     assert kept.count(None) == odd.filter("doc_id is null").count()
 
 
+def test_pre_tokens_of_many_texts_are_those_of_each(odd, monkeypatch):
+    rnd = random.Random(8)
+    signs = "  \t\n\x0b\x1c\x85\xa0\u2003\u3000\'\'\'\'stmdrevlLa1\u00b2\u0663!.-\u00e9\u00df\u6f22\U0001f600\u0301\u200b\ufeff"
+    texts = ["".join(rnd.choice(signs) for _ in range(rnd.choice([0, 1, 2, 3, 5, 30]))) for _ in range(3000)]
+    texts += [(r["text"] or "") for r in odd.collect()] + ["a'", "s", "'", "re", "x'l", "l ", "", " b", "'s's'll''ve \n 't", "\u3000", "\u3000a"]
+    assert common.GPT2 == P.PATTERN
+    want = [[w.encode() for w in common.pre_tokens(t, P.PATTERN)] for t in texts]
+    other = common.pre_token_sizes([t.encode() for t in texts], P.PATTERN + "|x")
+    monkeypatch.setattr(common, "pre_tokens", None)  # no text is cut by itself
+    got = common.pre_token_sizes([t.encode() for t in texts], P.PATTERN)
+    for data, sizes, lengths in (got, other):
+        assert common.binary_values(data, sizes).to_pylist() == sum(want, []) and lengths.tolist() == [len(w) for w in want]
+    assert [len(x) for x in common.pre_token_sizes([b"", b""], P.PATTERN)] == [0, 0, 2]
+
+
 def test_equal_blocks_do_not_meet(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "BLOCK", 500)
     rows = [(i if i < 300 else None, "the same text again and again") for i in range(600)] + [(900, "another text")]

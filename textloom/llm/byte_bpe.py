@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding of whole texts, each distinct pre-token encoded once.
 
-1. Every task lays its texts out in blocks. The pre-tokens of a block are numbered, the most
+1. Every task lays its texts out in blocks. The pre-tokens of a block are found in all its texts at
+   once (by the pattern text by text, if it is not the usual one) and numbered, the most
    frequent first, and a text becomes the list of these numbers in order: its pre-tokens exploded
    with their positions, packed. A block's name is a hash of what it holds and the block's place:
    the number of its task and its own number there. So no two blocks share a name, be their texts
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import tiktoken
 import xxhash
 import zstandard
@@ -41,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import as_bytes, pre_tokens
+from textloom.llm.common import as_bytes, binary_values, bytes_of, pre_token_sizes
 
 #: Bytes of text in a block.
 BLOCK = 4_000_000
@@ -71,8 +73,24 @@ def _coder(path: str) -> tiktoken.Encoding:
 
 
 @functools.cache
-def _token_bytes(path: str) -> dict[int, bytes]:
-    return {rank: token for token, rank in read_ranks(path).items()}
+def _token_bytes(path: str) -> pa.Array:
+    """Once in a worker: the bytes of each rank, in the order of the ranks."""
+    table = {rank: token for token, rank in read_ranks(path).items()}
+    return pa.array([table.get(rank, b"") for rank in range(max(table) + 1)], pa.binary())
+
+
+def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    """Lists of so many numbers that lie one after the other in ``values``."""
+    return pa.ListArray.from_arrays(pa.array(_bounds(sizes), pa.int32()), pa.array(values, pa.int32()))
+
+
+def _bounds(sizes: np.ndarray) -> np.ndarray:
+    return np.r_[0, np.cumsum(sizes, dtype=np.int64)]
+
+
+def _values(array: pa.Array) -> list[bytes]:
+    data, ends = bytes_of(array).tobytes(), _bounds(pc.binary_length(array).to_numpy()).tolist()
+    return [data[low:high] for low, high in zip(ends, ends[1:], strict=False)]
 
 
 def text_blocks(docs: DataFrame, pattern: str, slots: int) -> DataFrame:
@@ -84,40 +102,41 @@ def text_blocks(docs: DataFrame, pattern: str, slots: int) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     words_type = pa.list_(pa.struct([("slot", pa.int64()), ("sizes", pa.binary()), ("text", pa.binary())]))
 
-    def block_of(ordinal: int, ids: list, sizes: list[int], rows: list[np.ndarray], words: dict[str, int], id_arrow) -> pa.RecordBatch:
-        places = np.concatenate([*rows, np.empty(0, np.uint32)])
+    def block_of(ordinal: int, ids: list, texts: list[bytes], id_arrow) -> pa.RecordBatch:
+        data, lengths, sizes = pre_token_sizes(texts, pattern)
+        coded = binary_values(data, lengths).dictionary_encode()
+        places, words = coded.indices.to_numpy(), coded.dictionary
         order = np.argsort(-np.bincount(places, minlength=len(words)), kind="stable")
         number = np.empty(len(words), np.uint32)
         number[order] = np.arange(len(words), dtype=np.uint32)
-        names = list(words)
-        names = [names[i].encode() for i in order.tolist()]
+        words = words.take(pa.array(order))
+        names = _values(words)
         slot = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names)) % np.uint64(slots)
         by_slot = np.argsort(slot, kind="stable")
-        pieces = []
-        for part in np.split(by_slot, np.flatnonzero(np.diff(slot[by_slot])) + 1) if len(names) else []:
-            own = [names[i] for i in part.tolist()]
-            pieces.append({"slot": int(slot[part[0]]), "sizes": packed(np.array([len(w) for w in own])), "text": zstandard.compress(b"".join(own), 1)})
-        sizes, places = packed(np.array(sizes)), packed(number[places] if len(places) else places)
+        lengths, own = pc.binary_length(words).to_numpy()[by_slot], bytes_of(words.take(pa.array(by_slot)))
+        pieces, ends = [], _bounds(lengths)
+        firsts = np.flatnonzero(np.diff(slot[by_slot], prepend=np.uint64(slots))).tolist()
+        for low, high in zip(firsts, [*firsts[1:], len(names)], strict=False):
+            pieces.append({"slot": int(slot[by_slot[low]]), "sizes": packed(lengths[low:high]), "text": zstandard.compress(own[ends[low] : ends[high]], 1)})
+        sizes, places = packed(sizes), packed(number[places])
         name = hashlib.sha256(b"".join([sizes, places, b"\0".join(names)])).hexdigest()[:32]
         name = f"{name}-{TaskContext.get().partitionId()}-{ordinal}"
         columns = [pa.array([name]), pa.array([ids], pa.list_(id_arrow)), pa.array([sizes]), pa.array([places]), pa.array([packed(slot)]), pa.array([pieces], words_type)]
         return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "sizes", "places", "slot_of", "words"])
 
     def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, rows, words, held, id_arrow, ordinal = [], [], [], {}, 0, pa.null(), 0
+        ids, texts, held, id_arrow, ordinal = [], [], 0, pa.null(), 0
         for batch in batches:
             id_arrow = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = pre_tokens(text.decode(), pattern)
                 ids.append(doc)
-                sizes.append(len(found))
-                rows.append(np.fromiter([words.setdefault(w, len(words)) for w in found], np.uint32, len(found)))
+                texts.append(text)
                 held += len(text)
                 if held >= BLOCK:
-                    yield block_of(ordinal, ids, sizes, rows, words, id_arrow)
-                    ids, sizes, rows, words, held, ordinal = [], [], [], {}, 0, ordinal + 1
+                    yield block_of(ordinal, ids, texts, id_arrow)
+                    ids, texts, held, ordinal = [], [], 0, ordinal + 1
         if ids:
-            yield block_of(ordinal, ids, sizes, rows, words, id_arrow)
+            yield block_of(ordinal, ids, texts, id_arrow)
 
     pieces = "array<struct<slot: bigint, sizes: binary, text: binary>>"
     return docs.select("doc_id", as_bytes("text")).mapInArrow(lay_out, f"block string, ids array<{id_type}>, sizes binary, places binary, slot_of binary, words {pieces}")
@@ -130,19 +149,16 @@ def encoded_words(blocks: DataFrame, ranks: str) -> DataFrame:
     """
 
     def encode(group: pa.Table) -> pa.Table:
-        coder = _coder(ranks)
-        known: dict[bytes, list[int]] = {}
-        counts, coded = [], []
-        for sizes, text in zip(group.column("sizes").to_pylist(), group.column("text").to_pylist(), strict=True):
-            ends, text = np.cumsum(unpacked(sizes)).tolist(), zstandard.decompress(text)
-            rows = []
-            for low, high in zip([0, *ends], ends, strict=False):
-                word = text[low:high]
-                if word not in known:
-                    known[word] = coder.encode_ordinary(word.decode())
-                rows.append(known[word])
-            counts.append(packed(np.array([len(r) for r in rows])))
-            coded.append(packed(np.array([i for r in rows for i in r])))
+        coder, counts, coded = _coder(ranks), [], []
+        pieces = zip(group.column("sizes").to_pylist(), group.column("text").to_pylist(), strict=True)
+        words = [binary_values(np.frombuffer(zstandard.decompress(text), np.uint8), unpacked(sizes)) for sizes, text in pieces]
+        distinct = pa.concat_arrays(words).dictionary_encode()
+        known = [coder.encode_ordinary(word.decode()) for word in _values(distinct.dictionary)]
+        lists = pa.array(known, pa.list_(pa.int32()))
+        for low, some in zip(_bounds([len(w) for w in words]).tolist(), words, strict=False):
+            rows = lists.take(distinct.indices.slice(low, len(some)))
+            counts.append(packed(pc.list_value_length(rows).to_numpy()))
+            coded.append(packed(rows.flatten().to_numpy()))
         return pa.table({"block": group.column("block"), "slot": group.column("slot"), "counts": pa.array(counts, pa.binary()), "coded": pa.array(coded, pa.binary())})
 
     pieces = blocks.select("block", F.explode("words").alias("w")).select("block", "w.slot", "w.sizes", "w.text")
@@ -162,14 +178,10 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
 
     def put_together(blocks: pa.Table, words: pa.Table) -> Iterator[pa.RecordBatch]:
         table = _token_bytes(ranks)
-        coded: list[bytes] = []  # of the words in the order of slots
-        plain: list[bytes] = []
         pieces = {p["slot"]: p for p in words.select(["slot", "counts", "coded"]).to_pylist()}
-        for slot in sorted(pieces):
-            flat = unpacked(pieces[slot]["coded"])
-            for part in np.split(flat, np.cumsum(unpacked(pieces[slot]["counts"]))[:-1]):
-                coded.append(part.tobytes())
-                plain.append(b"".join([table[i] for i in part.tolist()]))
+        pieces = [pieces[slot] for slot in sorted(pieces)]  # the words lie in the order of slots
+        counts = np.concatenate([np.empty(0, np.uint32), *(unpacked(p["counts"]) for p in pieces)])
+        coded = _lists(np.concatenate([np.empty(0, np.uint32), *(unpacked(p["coded"]) for p in pieces)]), counts)
         for number, row in enumerate(blocks.select(["sizes", "places", "slot_of"]).to_pylist()):
             ids = blocks.column("ids").slice(number, 1).combine_chunks().flatten()
             slot_of = unpacked(row["slot_of"])
@@ -177,14 +189,13 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str, doc_id: str = "d
                 raise ValueError("the input was not read alike twice: a block lacks its ids")
             place = np.empty(len(coded), np.int64)
             place[np.argsort(slot_of, kind="stable")] = np.arange(len(coded))
-            places, ends = place[unpacked(row["places"])], np.cumsum(unpacked(row["sizes"]).astype(np.int64)).tolist()
-            for low in range(0, len(ends), 500):
-                texts = [places[a:b].tolist() for a, b in zip([0, *ends][low : low + 500], ends[low : low + 500], strict=False)]
-                rows = [b"".join([coded[p] for p in text]) for text in texts]
-                flat = pa.array(np.frombuffer(b"".join(rows), np.int32))
-                tokens = pa.ListArray.from_arrays(np.cumsum([0, *(len(r) // 4 for r in rows)]).astype(np.int32), flat)
-                decoded = pa.array([b"".join([plain[p] for p in text]) for text in texts], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(low, 500), tokens, decoded], names=["doc_id", "ids", "decoded"])
+            places, ends = place[unpacked(row["places"])], _bounds(unpacked(row["sizes"]))
+            flat = coded.take(pa.array(places)).flatten()
+            starts = _bounds(counts[places])[ends]  # of each text among the ids
+            plain = table.take(flat)
+            sizes = np.diff(_bounds(pc.binary_length(plain).to_numpy())[starts])
+            columns = [ids, _lists(flat, np.diff(starts)), binary_values(bytes_of(plain), sizes)]
+            yield from pa.table(columns, names=["doc_id", "ids", "decoded"]).to_batches(500)
 
     def whole(block: pa.Table, words: pa.Table) -> pa.Table:
         if not block.num_rows:

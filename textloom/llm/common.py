@@ -51,6 +51,61 @@ def pre_tokens(text: str, pattern: str) -> list[str]:
     return (plain if text.isascii() else wide).findall(text)
 
 
+#: The pattern whose pre-tokens are found in many texts at once.
+GPT2 = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+_SPACE, _QUOTE = ord(" "), ord("'")
+
+
+@functools.cache
+def character_kinds() -> np.ndarray:
+    """Of every code point 0 for white space, 1 for letters, 2 for numbers, 3 for others."""
+    kinds, every = np.full(0x110000, 3, np.uint8), "".join(chr(c) if not 0xD800 <= c < 0xE000 else "!" for c in range(0x110000))
+    for kind, pattern in enumerate((r"\s+", r"\p{L}+", r"\p{N}+")):
+        for found in regex.finditer(pattern, every):
+            kinds[found.start() : found.end()] = kind
+    return kinds
+
+
+def _starts(data: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens of GPT2 start in the UTF-8 bytes of texts that begin at ``begins``."""
+    kind, high = character_kinds()[data], data >= 128
+    if high.any():
+        some = data[high]
+        leads = np.flatnonzero((some & 0xC0) == 0xC0)
+        codes = np.frombuffer(some.tobytes().decode().encode("utf-32-le"), "<u4")
+        kind[high] = np.repeat(character_kinds()[codes], np.diff(leads, append=len(some)))
+    new = np.zeros(len(data) + 3, bool)
+    new[begins] = True
+    start = new[: len(data)].copy()
+    start[1:] |= (kind[1:] != kind[:-1]) & (data[:-1] != _SPACE)  # one space goes with what follows
+    white = kind == 0
+    last = np.flatnonzero(white[:-1] & ~white[1:] & ~new[1 : len(data)])
+    for _ in range(3):  # to the first byte of the last white space before another character
+        last = last - ((data[last] & 0xC0) == 0x80)
+    start[last] = True
+    quote = np.flatnonzero(start & (data == _QUOTE))
+    one, two = (np.r_[data, np.zeros(3, np.uint8)][quote + k] for k in (1, 2))
+    short = np.isin(one, list(b"stmd"))
+    long = (np.isin(one, list(b"rv")) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))) & ~new[quote + 2]
+    fits = (short | long) & ~new[quote + 1]
+    start[quote[fits] + 1] = False
+    ends = quote[fits] + np.where(long[fits], 3, 2)
+    start[ends[ends < len(data)]] = True
+    return np.flatnonzero(start)
+
+
+def pre_token_sizes(texts: list[bytes], pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all pre-tokens of texts, one after the other, the size of each, and how many each text has."""
+    if pattern != GPT2:
+        found = [[w.encode() for w in pre_tokens(one.decode(), pattern)] for one in texts]
+        sizes = np.array([len(w) for words in found for w in words], np.int64)
+        return np.frombuffer(bytearray().join(w for words in found for w in words), np.uint8), sizes, np.array([len(words) for words in found], np.int64)
+    data = np.frombuffer(bytearray().join(texts), np.uint8)
+    bounds = np.r_[0, np.cumsum([len(one) for one in texts], dtype=np.int64)]
+    starts = _starts(data, bounds[:-1]) if len(data) else bounds[:0]
+    return data, np.diff(starts, append=len(data)), np.diff(np.searchsorted(starts, bounds))
+
+
 # --- bitmaps ----------------------------------------------------------------------------
 
 
@@ -88,6 +143,13 @@ def binary_values(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
 
 
+def bytes_of(values: pa.Array) -> np.ndarray:
+    """The bytes of all values of a binary array without nulls, one after the other."""
+    ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1]
+    data = values.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None and data.size else np.empty(0, np.uint8)
+
+
 def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
