@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from textloom.llm.byte_bpe import BLOCK, SLOT_BYTES, packed, unpacked
-from textloom.llm.common import as_bytes, binary_values, scored
+from textloom.llm.common import as_bytes, binary_values, bytes_of, scored
 from textloom.session import stored
 
 #: Words that are a class of their own, and classes the others share.
@@ -60,7 +60,7 @@ COUNTED = 200_000
 #: The columns that scoring adds.
 RESULTS = ["n_tokens", "log_likelihood", "mean_log_likelihood"]
 #: Positions gathered before they are learned or scored, and those whose probabilities are held at once.
-CHUNK, CACHED = 16_384, 256
+CHUNK, CACHED = 16_384, 512
 
 OFFSETS = [k for k in range(-WINDOW, WINDOW + 1) if k]
 #: Embeddings by place and class, one class more for beyond the edge; the bias of the hidden layer; output weights, the last one for its bias.
@@ -102,8 +102,8 @@ class Vocabulary:
 
     def of_block(self, row: dict) -> np.ndarray:
         """The class of each word of all texts of a block."""
-        names = [w for piece in row["words"] for w in words_of(piece["words"])]
-        told = pc.index_in(pa.array(names, pa.binary()), value_set=pa.array(list(self.place), pa.binary()))
+        names = pa.concat_arrays([pa.array([], pa.binary()), *(words_array(piece["words"]) for piece in row["words"])])
+        told = pc.index_in(names, value_set=pa.array(list(self.place), pa.binary()))
         own = told.fill_null(-1).to_numpy()
         classes = np.empty(len(names), np.int64)
         classes[unpacked(row["order"])] = np.where(own >= 0, own, OWN + np.frombuffer(row["shares"], np.uint8).astype(np.int64))
@@ -376,6 +376,23 @@ def words_of(data: bytes) -> list[bytes]:
     return zstandard.decompress(data).split(b" ") if data else []
 
 
+def words_array(data: bytes) -> pa.Array:
+    """``words_of`` as an Arrow array."""
+    text = np.frombuffer(zstandard.decompress(data) + b" ", np.uint8)
+    gap = text == 32
+    return binary_values(text[~gap], np.diff(np.flatnonzero(gap), prepend=-1) - 1)
+
+
+def spaced(words: pa.Array) -> np.ndarray:
+    """The bytes of all words, a space after each."""
+    sizes = pc.binary_length(words).to_numpy()
+    out = np.full(sizes.sum() + len(words), 32, np.uint8)
+    kept = np.ones(len(out), bool)
+    kept[np.cumsum(sizes + 1, dtype=np.int64) - 1] = False
+    out[kept] = bytes_of(words)
+    return out
+
+
 class Blocks(NamedTuple):
     """``table``: (block, rows, sizes, turns, places, order, shares, words), stored; ``kept``: the schema of the other columns."""
 
@@ -410,13 +427,16 @@ def laid_out(docs: DataFrame, text: str = "text") -> Blocks:
 
         def block_of(slices: list[pa.RecordBatch], texts: list[bytes]) -> pa.RecordBatch:
             known, places, lengths = cut(texts)
-            names = known.to_pylist()
-            digest = np.fromiter(map(hash_of, names), np.uint64, len(names))
+            names = spaced(known).tobytes().split()
+            digest = np.fromiter(map(xxhash.xxh3_64_intdigest, names), np.uint64, len(names))
             slot = (digest // np.uint64(SHARED) % np.uint64(slots)).astype(np.int64)
             counts, order = np.bincount(places, minlength=len(names)), np.argsort(slot, kind="stable")
-            pieces = []
+            pieces, sizes, words = [], pc.binary_length(known).to_numpy()[order] + 1, spaced(known.take(pa.array(order)))
+            first, ends = 0, np.r_[0, np.cumsum(sizes, dtype=np.int64)]
             for part in np.split(order, np.flatnonzero(np.diff(slot[order])) + 1) if len(names) else []:
-                pieces.append({"slot": int(slot[part[0]]), "words": zstd.compress(b" ".join([names[i] for i in part.tolist()])), "counts": packed(counts[part])})
+                text = words[ends[first] : ends[first + len(part)] - 1]
+                pieces.append({"slot": int(slot[part[0]]), "words": zstd.compress(text), "counts": packed(counts[part])})
+                first += len(part)
             shares = (digest[order] % np.uint64(SHARED)).astype(np.uint8).tobytes()
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, slices[0].schema) as out:
@@ -547,13 +567,13 @@ def score_blocks(laid: Blocks, model: tuple[Vocabulary, np.ndarray], counts: Dat
     whole = total[:, 0] + SMOOTH * (total[:, 1] + 1)
 
     def share(pieces: pa.Table, counts: pa.Table) -> pa.Table:
-        names = [words_of(data) for data in pieces.column("words").to_pylist()]
-        coded = pa.array([w for some in names for w in some], pa.binary()).dictionary_encode()
+        names = [words_array(data) for data in pieces.column("words").to_pylist()]
+        coded = pa.concat_arrays([pa.array([], pa.binary()), *names]).dictionary_encode()
         # The class of each word of the slot, and its share of the class.
         classes = shared.value[0].of_words(coded.dictionary.to_pylist())
         n = np.full(len(classes), SMOOTH)
         for row in counts.select(["words", "counts"]).to_pylist():
-            at = pc.index_in(coded.dictionary, value_set=pa.array(words_of(row["words"]), pa.binary())).fill_null(-1).to_numpy()
+            at = pc.index_in(coded.dictionary, value_set=words_array(row["words"])).fill_null(-1).to_numpy()
             n[at >= 0] += np.frombuffer(row["counts"], np.int64)[at[at >= 0]]
         other, value = classes >= OWN, np.zeros(len(classes), np.float32)
         value[other] = np.log(n[other] / whole[classes[other] - OWN])
