@@ -226,6 +226,36 @@ def test_negatives_match_brute_force(spark, monkeypatch):
     assert threshold_negatives.hard_negatives(frame(spark, rows).withColumn("label", F.lit(1)), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def broadcast_columns(spark, work):
+    """The names of all columns that any job of ``work`` broadcast."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    plans = [store.executionsList(n, 1).head().physicalPlanDescription() for n in range(before, store.executionsCount())]
+    return {re.sub("#.*", "", c) for plan in plans for found in re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*)\]", plan) for c in found.split(", ")}
+
+
+def test_vectors_are_not_broadcast_to_cells(spark, monkeypatch):
+    monkeypatch.setattr(threshold_negatives, "CELL", 20)
+    rng = np.random.default_rng(4)
+    rows = [(i, i % 5, v) for i, v in enumerate(rng.uniform(-1, 1, (600, 64)).tolist())]
+    found = []
+    names = broadcast_columns(spark, lambda: found.extend(threshold_negatives.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0).collect()))
+    assert collections.Counter(map(tuple, found)) == mined([(i, y, [float(np.float32(x)) for x in v]) for i, y, v in rows], lambda i: i % 10 == 0)
+    assert names == {"part", "least", "most", "block", "first", "last"}
+
+
+def test_negatives_of_many_cells_in_a_partition(spark, monkeypatch):
+    for name, value in {"CELL": 16, "ANCHORS": 4, "PLACES": 2}.items():
+        monkeypatch.setattr(threshold_negatives, name, value)
+    rnd = random.Random(3)
+    rows = [(i, rnd.choice([-7, 1, 1, 2, 90]), [rnd.uniform(-200, 200) for _ in range(5)]) for i in range(240)]
+    got = threshold_negatives.hard_negatives(frame(spark, rows), F.col("vec_id") % 10 == 0)
+    want = mined([(i, y, [float(np.float32(x)) for x in v]) for i, y, v in rows], lambda i: i % 10 == 0)
+    assert collections.Counter(map(tuple, got.collect())) == want and sum(want.values()) > 100
+
+
 def test_negatives_of_large_components(spark):
     rnd = random.Random(2)
     rows = [(i, i % 2, [rnd.choice([-1, 1]) * 10.0 ** rnd.randrange(0, 30) for _ in range(4)]) for i in range(60)]
